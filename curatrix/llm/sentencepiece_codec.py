@@ -31,7 +31,7 @@ from curatrix.llm.common import small_batches
 
 SPACE = "▁"
 #: Most stretches and token pairs a worker remembers; beyond it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
