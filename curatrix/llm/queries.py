@@ -72,3 +72,19 @@ def _op2_oracle() -> str:
 
 
 ORACLES["op2_chat_templates"] = _op2_oracle()
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def _op3_oracle() -> str:
+    from curatrix.llm.warc import ORACLE
+
+    return ORACLE
+
+
+ORACLES["op3_warc"] = _op3_oracle()
