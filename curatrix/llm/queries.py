@@ -88,3 +88,11 @@ def _op3_oracle() -> str:
 
 
 ORACLES["op3_warc"] = _op3_oracle()
+
+
+@query
+def op9_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.html_main import main_text
+
+    out = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
