@@ -96,3 +96,19 @@ def op9_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op8_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from curatrix.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
