@@ -4,9 +4,10 @@ Coarse centroids and the residuals' codebooks are fitted on a bounded sample of
 :data:`SAMPLE_ROWS` vectors, chosen by a hash of the id; every vector is then
 indexed under its nearest centroid as :data:`SUBSPACES` bytes. A query visits the
 cells of its nearest centroids, ranks their rows by asymmetric distance tables,
-and the best :data:`RERANK` of all cells are measured again on the original
-vectors in double precision. Large cells and many queries of a cell are dealt
-out in blocks of bounded size. A query that finds fewer rows than asked for
+and the best :data:`RERANK` of each block, with all that tie with the last of
+them, are measured again on the original vectors in double precision. Large
+cells and many queries of a cell are dealt out in blocks of bounded size, and
+only a query's best leave a block. A query that finds fewer rows than asked for
 visits all cells.
 
 Defined results: vectors that are null, zero, hold null or non-finite
@@ -27,10 +28,10 @@ from curatrix.llm.common import materialize
 
 SAMPLE_ROWS = 20_000
 CELLS = 128
-PROBES = 40
+PROBES = 72
 SUBSPACES = 16
 CODES = 256
-RERANK = 160
+RERANK = 512
 #: Rows and queries of a cell that meet in one block.
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
@@ -97,11 +98,7 @@ def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, **params) -> Index |
     return Index(np.array([r["v"] for r in rows]), **params) if rows else None
 
 
-def distance(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
-def _visit(vectors: DataFrame, index_rows: DataFrame, queries: DataFrame, shared, probes: int, rerank: int, k: int) -> DataFrame:
+def _visit(index_rows: DataFrame, queries: DataFrame, shared, probes: int, rerank: int, k: int) -> DataFrame:
     """(query_id, vec_id, score) of the best ``k`` of each query."""
 
     def probe(frames):
@@ -126,21 +123,21 @@ def _visit(vectors: DataFrame, index_rows: DataFrame, queries: DataFrame, shared
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(ids), -1)[order]
+            x = np.array(rows["v"].tolist())[order]
             cell = int(rows["cell"].iloc[0])
             for query_id, q in zip(asking["query_id"], asking["q"], strict=True):
                 d = shared.value.distances(np.asarray(q), cell, codes)
                 d[ids == query_id] = np.inf
-                best = np.argsort(d, kind="stable")[:rerank]
-                best = best[np.isfinite(d[best])]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "d": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
+                last = np.partition(d, rerank - 1)[rerank - 1] if len(d) > rerank else np.inf
+                near = np.flatnonzero((d <= last) & (d < np.inf))
+                exact = np.sqrt(((x[near] - np.asarray(q)) ** 2).sum(1))
+                best = np.argsort(exact, kind="stable")[:k]
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[near[best]], "score": exact[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     keys = ["cell", "row_block", "query_block"]
-    found = left.select(*keys, "vec_id", "codes").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, d double")
-    best = found.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id"))).filter(F.col("at") <= rerank).select("query_id", "vec_id")
-    pairs = best.join(vectors, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    scored = pairs.select("query_id", "vec_id", distance("q", "v").alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+    found = left.select(*keys, "vec_id", "codes", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
 
 
 def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int = PROBES, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, cells: int = CELLS, subspaces: int = SUBSPACES) -> DataFrame:
@@ -159,15 +156,15 @@ def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int = PROBE
             if len(pdf):
                 x = np.array(pdf["v"].tolist())
                 cell = shared.value.nearest(x, 1)[:, 0]
-                yield pd.DataFrame({"cell": cell, "vec_id": pdf["vec_id"], "codes": [c.tobytes() for c in shared.value.codes(x, cell)]})
+                yield pd.DataFrame({"cell": cell, "vec_id": pdf["vec_id"], "codes": [c.tobytes() for c in shared.value.codes(x, cell)], "v": pdf["v"]})
 
-    index_rows = materialize(vectors.mapInPandas(code, "cell int, vec_id long, codes binary"), "index")
+    index_rows = materialize(vectors.mapInPandas(code, "cell int, vec_id long, codes binary, v array<double>"), "index")
     asked = vectors.filter(queries)
-    found = materialize(_visit(vectors, index_rows, asked, shared, probes, max(rerank, k), k), "found")
+    found = materialize(_visit(index_rows, asked, shared, probes, max(rerank, k), k), "found")
     others = vectors.count() - 1
     full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, others)).select(F.col("query_id").alias("vec_id"))
     short = asked.join(full, "vec_id", "left_anti")
     if others and not short.isEmpty():
-        again = _visit(vectors, index_rows, short, shared, len(shared.value.coarse), max(rerank, k), k)
+        again = _visit(index_rows, short, shared, len(shared.value.coarse), max(rerank, k), k)
         found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
