@@ -13,8 +13,8 @@ total length is as declared, and undoes the chunk framing.
 
 Defined results: null html is an empty payload; equal payloads under
 :data:`LEAST_BYTES` are all responses; among larger ones the smallest page_id
-responds and the others revisit it, also where a page_id is repeated with another
-payload; repeated equal rows give one revisit more each; null page_ids don't respond
+responds and the others revisit it; rows that repeat the responding page_id and
+payload respond as well; null page_ids don't respond
 for others, and where all are null each responds for itself; an empty table gives no rows;
 columns besides page_id, url and html are ignored.
 """
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import new_path
@@ -97,11 +96,7 @@ def records(row: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[tuple[b
 def write_warc(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write archives of ``pages`` (page_id, url, html) to the folder ``path``."""
     rows = classified(pages, least_bytes)
-    # Only equal rows can be told apart by nothing: of rows with the responding page_id, one responds.
-    rows = rows.withColumn("twin", F.col("first").isNotNull() & (F.col("page_id") == F.col("first")))
-    twins = rows.filter("twin").withColumn("nth", F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url")))
-    rest = rows.filter("not coalesce(twin, false)").withColumn("nth", F.when(F.col("first").isNull(), 1).otherwise(2))
-    rows = rest.unionByName(twins).withColumn("revisit", F.col("first").isNotNull() & (F.col("nth") > 1))
+    rows = rows.withColumn("revisit", F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
     # A revisit's payload isn't written.
     rows = rows.select("page_id", "url", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")).alias("html"), "payload_bytes", "digest", "first", "revisit", F.expr("uuid()").alias("record"))
     names = rows.columns
