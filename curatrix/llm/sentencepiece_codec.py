@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from curatrix.llm.common import small_batches
 
 SPACE = "▁"
-#: Most stretches and token pairs a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+#: Stretches and token pairs of one generation of a worker's memory, which has two.
+REMEMBERED = 250_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -84,11 +84,13 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         self.reachable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
         for p in self.reachable:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (self.ids[p], len(p) - 1))
         self.automaton.make_automaton()
-        self.shorter: dict[str, str | None] = {}
+        self.lengths = [len(p) for p in self.pieces]
+        # By id: the id of the longest token that begins the token, or -1.
+        self.shorter = [-1] * len(self.pieces)
         for p in self.reachable:
-            self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reachable), None)
+            self.shorter[self.ids[p]] = next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reachable), -1)
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text of known characters by plain merging: highest score first, then leftmost."""
@@ -103,69 +105,71 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _compatible(self, pair: tuple[str, str]) -> bool:
-        return self.merge(pair[0] + pair[1]) == [*pair]
+    def _compatible(self, pair: int) -> bool:
+        left, right = self.pieces[pair >> 24], self.pieces[pair & 0xFFFFFF]
+        return self.merge(left + right) == [left, right]
 
-    def tokens(self, text: str) -> list[str]:
-        """The pieces of a text of known characters, by backtracking."""
+    def tokens(self, text: str) -> list[int]:
+        """The ids of a text of known characters, by backtracking."""
         n = len(text)
-        longest: list[str | None] = [None] * (n + 1)
-        for end, piece in self.automaton.iter(text):
-            longest[end - len(piece) + 1] = piece
-        alive = (1 << (n + 1)) - 1
-        out: list[str] = []
-        at, token, pairs, shorter = 0, longest[0], self.pairs, self.shorter
+        longest = [-1] * (n + 1)
+        for end, (token, before) in self.automaton.iter(text):
+            longest[end - before] = token
+        failed = 0  # a bit for each position that no tokens lead on from
+        out: list[int] = []
+        at, token, last = 0, longest[0], -1
+        pairs, shorter, lengths = self.pairs, self.shorter, self.lengths
         while at < n:
-            last = out[-1] if out else None
-            while token is not None:
-                if alive >> (at + len(token)) & 1 and (last is None or pairs[last, token]):
+            while token >= 0:
+                end = at + lengths[token]
+                if not failed >> end & 1 and (last < 0 or pairs[last << 24 | token]):
                     break
                 token = shorter[token]
-            if token is not None:
+            if token >= 0:
                 out.append(token)
-                at += len(token)
-                token = longest[at]
+                at, last, token = end, token, longest[end]
             else:
-                alive &= ~(1 << at)
-                token = out.pop()
-                at -= len(token)
+                failed |= 1 << at
+                token = shorter[out.pop()]
+                at -= lengths[last]
+                last = out[-1] if out else -1
         return out
 
     def encode_stretch(self, text: str) -> tuple[int, ...]:
         """Ids of a stretch between cuts."""
         if self.known.issuperset(text):
-            return tuple(map(self.ids.__getitem__, self.long_tokens(text)))
+            return tuple(self.long_tokens(text))
         out: list[int] = []
         start = 0
         for i, c in enumerate(text):
             if c not in self.known:
-                out += map(self.ids.__getitem__, self.long_tokens(text[start:i]))
+                out += self.long_tokens(text[start:i])
                 out += [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.unk]
                 start = i + 1
-        out += map(self.ids.__getitem__, self.long_tokens(text[start:]))
+        out += self.long_tokens(text[start:])
         return tuple(out)
 
-    def long_tokens(self, text: str) -> list[str]:
+    def long_tokens(self, text: str) -> list[int]:
         """As :meth:`tokens`, over windows of bounded length.
 
-        A token stands once no later text can undo it: windows overlap by far more than the longest piece, and a
-        window's tokens are kept up to a border that the next window's tokens, begun there, meet compatibly.
+        A window's tokens are kept up to a border that the next window's tokens, begun there, meet compatibly; so all
+        neighbours are compatible, which only the right tokens are.
         """
         size, tail = 4096, 1024
         if len(text) <= size:
             return self.tokens(text) if text else []
-        out: list[str] = []
+        out: list[int] = []
         at = 0
         while len(text) - at > size:
             found = self.tokens(text[at : at + size])
             kept, length = 0, 0
-            while length + len(found[kept]) <= size - tail:
-                length += len(found[kept])
+            while length + self.lengths[found[kept]] <= size - tail:
+                length += self.lengths[found[kept]]
                 kept += 1
             more = self.tokens(text[at + length : at + length + size])
-            while kept > 1 and not self.pairs[found[kept - 1], more[0]]:
+            while kept > 1 and not self.pairs[found[kept - 1] << 24 | more[0]]:
                 kept -= 1
-                length -= len(found[kept])
+                length -= self.lengths[found[kept]]
                 more = self.tokens(text[at + length : at + length + size])
             out += found[:kept]
             at += length
@@ -229,16 +233,20 @@ def _utf8(raw: bytes) -> str:
 
 
 class _Memory(dict):
-    """Values of a function; emptied when full, and long keys aren't kept."""
+    """Values of a function. When full it begins anew, but takes over what the last generation still has."""
 
     def __init__(self, f):
         super().__init__()
         self.f = f
+        self.old: dict = {}
 
     def __missing__(self, key):
-        value = self.f(key)
-        if len(key) <= 48:
+        value = self.old.get(key)
+        if value is None:
+            value = self.f(key)
+        if isinstance(key, int) or len(key) <= 48:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
