@@ -150,8 +150,9 @@ def logs(model: Filter, t: np.ndarray, heads: np.ndarray) -> np.ndarray:
     pairs, where = np.unique(pair_hash(before[usable], t[usable]), return_inverse=True)
     joint = np.zeros(len(t))
     joint[usable] = np.minimum(model.count(pairs)[where], known[usable]) / known[usable]
-    p = LAMBDA * joint + (1 - LAMBDA * share[history]) * (single[at] + 1) / (model.n + model.v + 1)
-    return np.log10(p)
+    # Quantised counts may contradict each other: no probability is over 1, and no pair exceeds its word's share.
+    one = np.minimum(1.0, (single[at] + 1) / (model.n + model.v + 1))
+    return np.log10(LAMBDA * joint + (1 - LAMBDA * np.maximum(share[history], joint)) * one)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], names: list[str], collect) -> Iterator[pa.RecordBatch]:
