@@ -102,4 +102,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     names = docs.columns
     inner = quality(docs.select("doc_id", "text", F.struct(*names).alias("row")), labels, **params)
-    return inner.filter("kept").select("row.*")
+    # The optimizer moves no filter below a column that isn't deterministic; moved, it would repeat every count.
+    return inner.withColumn("fixed", F.monotonically_increasing_id()).filter("kept and fixed >= 0").select("row.*")
