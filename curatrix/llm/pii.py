@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm.common import materialize
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: kind, shape, and pattern of each generator. Loops are possessive, so long texts need no deep stack.
@@ -211,14 +213,17 @@ def train(found: DataFrame, precision: float = PRECISION) -> tuple[list[tuple],
     return trees, limits
 
 
-def find_pii(docs: DataFrame, *, precision: float = PRECISION) -> DataFrame:
+def find_pii(docs: DataFrame, *, precision: float = PRECISION, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``spans``: structs (start, rank, kind, stop, base), sorted; code points, stop exclusive.
 
     ``base`` marks the spans of the base rules, the others are those the trees select that touch no base span.
+    Columns of ``docs`` named ``spans``, ``every``, ``found`` or ``sure`` are replaced; without ``keep_text``, ``text``
+    is dropped. The candidates are written once, since the trees learn from all of them before they judge each.
     """
-    trees, limits = train(candidates(docs.select("text")), precision)
-    rank = F.lit(len(KINDS))
     out = candidates(docs)
+    out = materialize(out if keep_text else out.drop("text"), "candidates")
+    trees, limits = train(out, precision)
+    rank = F.lit(len(KINDS))
 
     def span(c: Column) -> Column:
         r = rank
@@ -250,7 +255,8 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; of overlapping spans the first names the whole."""
-    found = find_pii(docs.withColumn("text", F.col("text")), **params)
+    # Other columns get plain names on the way, so none clashes with those added here.
+    found = find_pii(docs.toDF(*[n if n == "text" else f"c{i}" for i, n in enumerate(docs.columns)]), **params)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -258,4 +264,4 @@ def redact(docs: DataFrame, **params) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["parts"], F.array(piece)).alias("parts"))
 
     clean = F.aggregate("spans", begin, add, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("spans").toDF(*docs.columns)

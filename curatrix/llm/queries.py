@@ -37,7 +37,7 @@ def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.pii import digests, find_pii
 
-    return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
 @query
