@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.functions import json_text
 from curatrix.functions import text as T
 from curatrix.operators import dedup, matching, selection
 from curatrix.session import table
-from curatrix.sources.store import shared_copy
+from curatrix.sources.store import shared_copy, shared_folder
+from curatrix.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -429,6 +431,31 @@ def q48_pii_findings_by_kind(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.explode(found).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+@query("select event_id, false as strict, true as ok, props as json from events")
+def q49_json_repair(spark, sf_dir):
+    props = F.regexp_replace("props", r"\}$", ",}")
+    said = F.concat(F.lit("<think>{</think>answer: "), F.translate(props, '"', "“"), F.lit(" end"))
+    return table(spark, sf_dir, "events").select("event_id", json_text.parsed(said).alias("p")).select("event_id", "p.*")
+
+
+@query(ORACLES["q47_upsert_last_write_wins"])
+def q50_streamed_upsert(spark, sf_dir):
+    schema, folder = table(spark, sf_dir, "events").schema, shared_folder(spark, "changes")
+    stream = changes.follow(spark, f"{sf_dir}/events.parquet", schema)
+    changes.log_changes(stream, f"{folder}/log", f"{folder}/state", "user_id", ["ts", "event_id"]).awaitTermination()
+    return changes.current(spark, f"{folder}/log", schema, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("""select event_type, cast(epoch(h) as bigint) as start, n from (select event_type, date_trunc('hour', ts) as h, count(*) as n from events group by all)
+where h + interval 1 hour <= (select max(ts) from events) - interval 1 hour""")
+def q51_streamed_windows(spark, sf_dir):
+    folder = shared_folder(spark, "windows")
+    stream = changes.follow(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    out = changes.windowed(stream, "ts", ["event_type"], width="1 hour", lateness="1 hour").select("event_type", F.unix_timestamp("start").alias("start"), "n")
+    changes.write_windows(out, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return spark.read.schema("event_type string, start long, n long").parquet(f"{folder}/rows")
+
+
 @query("""select l_returnflag, l_linestatus, cast(sum(l_quantity) as double) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
 def g01_pricing_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))

@@ -69,13 +69,18 @@ def upsert(existing: DataFrame | None, new: DataFrame, key: str, order: list[str
     return latest(both, key, [*order, "_new"]).drop("_new")
 
 
-def shared_copy(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the folder that all executors share, and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the one that all executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = tempfile.mkdtemp(prefix="curatrix-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_copy(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the folder that all executors share, and read back."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
