@@ -82,7 +82,24 @@ class Codec:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.reachable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
+        self.reachable: dict[str, int] = {}
+        # By id: when a token's last merge comes, lower is earlier, with 0 for a character; and that merge's two sides.
+        order = {p: k for k, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.score[p]), 1)}
+        self.turn = [0] * len(self.pieces)
+        self.left: list[int] = [-1] * len(self.pieces)
+        self.right: list[int] = [-1] * len(self.pieces)
+        for p, i in self.ids.items():
+            sides = self.merge(p, 2)
+            if len(sides) <= 2:
+                self.reachable[p] = i
+            if len(sides) == 2:
+                self.turn[i], self.left[i], self.right[i] = order[p], self.ids[sides[0]], self.ids[sides[1]]
+        # By id: whether each merge inside a token comes after those it builds on.
+        self.in_turn = [True] * len(self.pieces)
+        for p in sorted(self.reachable, key=len):
+            i = self.ids[p]
+            if len(p) > 1:
+                self.in_turn[i] = all(self.in_turn[k] and self.turn[k] <= self.turn[i] for k in (self.left[i], self.right[i]))
         for p in self.reachable:
             self.automaton.add_word(p, (self.ids[p], len(p) - 1))
         self.automaton.make_automaton()
@@ -92,10 +109,12 @@ class Codec:
         for p in self.reachable:
             self.shorter[self.ids[p]] = next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reachable), -1)
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces of a short text of known characters by plain merging: highest score first, then leftmost."""
+    def merge(self, text: str, least: int = 1) -> list[str]:
+        """The pieces, or the last ``least`` parts before, of a short text of known characters by plain merging: highest score first, then leftmost."""
         parts = list(text)
         while True:
+            if len(parts) <= least:
+                return parts
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = self.score.get(parts[i] + parts[i + 1])
@@ -106,8 +125,28 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _compatible(self, pair: int) -> bool:
-        left, right = self.pieces[pair >> 24], self.pieces[pair & 0xFFFFFF]
-        return self.merge(left + right) == [left, right]
+        """Whether merging two tokens' text gives the two again.
+
+        It goes through the merges backwards from both tokens: at each moment only the parts that touch matter, and
+        they must not have a merge that comes before the one that used one of them up. Where a token's merges are not
+        in the order of their scores, the text is merged anew.
+        """
+        a, b = pair >> 24, pair & 0xFFFFFF
+        if not (self.in_turn[a] and self.in_turn[b]):
+            return self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+        pieces, ids, turn = self.pieces, self.reachable, self.turn
+        until, last_left = len(pieces) + 1, True  # the merge that made the later of the two parts' successors
+        while True:
+            both = ids.get(pieces[a] + pieces[b])
+            # Of equal pieces the leftmost merges first: the pair goes before a part to its right, not to its left.
+            if both is not None and (turn[both] < until or turn[both] == until and not last_left):
+                return False
+            if not turn[a] and not turn[b]:
+                return True
+            if turn[a] > turn[b]:
+                until, last_left, a = turn[a], True, self.right[a]
+            else:
+                until, last_left, b = turn[b], False, self.left[b]
 
     def tokens(self, text: str) -> list[int]:
         """The ids of a text of known characters, by backtracking."""
@@ -277,16 +316,19 @@ def _with(df: DataFrame, name: str, kind: T.DataType, source: str, f) -> DataFra
     return df.mapInArrow(run, schema)
 
 
+def _lists(rows: list[list[int]]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))))).astype(np.int32)
+    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", end: bool = True) -> DataFrame:
     """``docs`` with the array column ``ids``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(column: pa.Array) -> pa.Array:
         c = codec(shared.value)
-        rows = [c.encode(t, end) for t in column.to_pylist()]
-        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))))).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        return _lists([c.encode(t, end) for t in column.to_pylist()])
 
     return _with(docs, ids, T.ArrayType(T.IntegerType()), text, run)
 
@@ -302,8 +344,24 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded
     return _with(docs, text, T.StringType(), ids, run)
 
 
+def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded", end: bool = True) -> DataFrame:
+    """``docs`` without ``text`` but with its ids and the text these decode to, in one pass through Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c not in (text, ids, decoded)]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(shared.value)
+        for batch in batches:
+            rows = [c.encode(t, end) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), _lists(rows), pa.array(map(c.decode, rows), pa.string())], [*kept, ids, decoded])
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
     """Number of ids and digests of ids and decoded text, by document."""
-    both = decode(encode(docs.select("doc_id", "text"), model).drop("text"), model)
+    both = round_trip(docs.select("doc_id", "text"), model)
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
