@@ -69,12 +69,40 @@ def first_rule(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     return out
 
 
+#: Chinese digits, words after a year that make it a date, and drives that a cohort's year names.
+DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+NUMBER = "([0-9]+|[零一二两三四五六七八九十]+)"
+DATED, COHORT = ("毕业", "入学", "应届", "在校", "出生", "届"), "校招|社招|春招|秋招"
+#: Characters after a year in which such words count.
+NEAR = 12
+
+
+def number(c: Column) -> Column:
+    """A decimal number, or a Chinese one below 100; 0 for other Chinese ones, null for none or over nine digits."""
+    digits = F.create_map(*(F.lit(x) for pair in DIGITS.items() for x in pair))
+    of = lambda x, other: F.coalesce(F.try_element_at(digits, x), F.lit(other))
+    chinese = F.when(F.contains(c, F.lit("十")), of(F.substring_index(c, "十", 1), 1) * 10 + of(F.regexp_replace(c, "^[^十]*十", ""), 0)).otherwise(of(c, 0))
+    return F.when(c.rlike("^[0-9]{1,9}$"), c.try_cast("int")).when(c.rlike("^[零一二两三四五六七八九十]+$"), chinese)
+
+
+def years(text: Column) -> Column:
+    """The largest duration of 1 to 50 years, 0 if none. Years of graduation, birth and the like are none, nor are
+    those from 20 on that name a recruiting drive."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")
+    dated = "|".join(f".{{0,{NEAR - len(w)}}}{w}" for w in DATED)
+    pattern = F.lit(rf"(?Us){NUMBER}\s*年(?!{dated})({COHORT})?")
+    found = F.arrays_zip(F.regexp_extract_all(plain, pattern, F.lit(1)).alias("n"), F.regexp_extract_all(plain, pattern, F.lit(2)).alias("drive"))
+    every = F.transform(found, lambda f: F.struct(number(f["n"]).alias("n"), f["drive"].alias("drive")))
+    lasting = F.filter(every, lambda f: f["n"].between(1, 50) & ((f["n"] < 20) | (f["drive"] == "")))
+    return F.coalesce(F.array_max(F.transform(lasting, lambda f: f["n"])), F.lit(0))
+
+
 def required_years(text: Column) -> Column:
-    """The lower bound of a range of years, else the largest duration of 1 to 50 years, else 0."""
-    low = F.regexp_extract(text, r"([0-9]{1,2})\s*[-~—至到]\s*[0-9]{1,2}\s*年", 1)
-    every = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]{1,2})\s*年"), F.lit(1)), lambda x: x.cast("int"))
-    most = F.array_max(F.filter(every, lambda x: x.between(1, 50)))
-    return F.when(low != "", low.cast("int")).otherwise(F.coalesce(most, F.lit(0)))
+    """The lower plausible bound of the first range of years, 0 if neither is; without a range as :func:`years`."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")
+    span = rf"(?U){NUMBER}\s*[-~～至到]\s*{NUMBER}\s*年"
+    bounds = F.filter(F.array(*(number(F.regexp_extract(plain, span, g)) for g in (1, 2))), lambda n: n.between(1, 50))
+    return F.when(plain.rlike(span), F.coalesce(F.array_min(bounds), F.lit(0))).otherwise(years(text))
 
 
 #: Degrees by rank; fixed values.

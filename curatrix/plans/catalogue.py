@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import json_text
 from curatrix.functions import text as T
-from curatrix.operators import dedup, matching, selection
+from curatrix.operators import dedup, matching, privacy, sections, selection
 from curatrix.session import table
 from curatrix.sources.store import shared_copy, shared_folder
 from curatrix.streaming import changes
@@ -456,6 +456,26 @@ def q51_streamed_windows(spark, sf_dir):
     return spark.read.schema("event_type string, start long, n long").parquet(f"{folder}/rows")
 
 
+#: Lines that play the headings on the general tables.
+HEADINGS = {"short": r"\S{1,12}", "licence": "(?:Licensed under|Copyright).*"}
+
+
+@query(f"""with l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from (select doc_id, {LINES} as ls from documents)),
+s as (select doc_id, pos, regexp_replace(line, '^{BLANK}+|{BLANK}+$', '', 'g') as x from l),
+m as (select *, case when regexp_full_match(x, '(?i)\\S{{1,12}}[：:]?') then 'short' when regexp_full_match(x, '(?i)(?:Licensed under|Copyright).*[：:]?') then 'licence' end as h from s where x <> ''),
+c as (select *, coalesce(last_value(h ignore nulls) over (partition by doc_id order by pos), 'header') as sec from m)
+select d.doc_id, {", ".join(f"coalesce(string_agg(x, chr(10) order by pos) filter (sec = '{n}' and h is null), '') as {n}" for n in ("header", "short", "licence"))}
+from documents d left join c using (doc_id) group by d.doc_id""")
+def q52_line_sections(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", sections.line_sections(F.col("text"), HEADINGS).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def q53_private_findings(spark, sf_dir):
+    found = docs(spark, sf_dir).select("doc_id", "text", privacy.findings(F.col("text")).alias("found"))
+    return found.select("doc_id", F.size("found").alias("n_found"), F.concat_ws(",", F.transform("found", lambda f: f["kind"])).alias("kinds"), F.sha2(privacy.for_training(F.col("text")), 256).alias("kept_sha256"))
+
+
 @query("""select l_returnflag, l_linestatus, cast(sum(l_quantity) as double) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
 def g01_pricing_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
