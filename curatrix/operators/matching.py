@@ -106,12 +106,17 @@ def required_years(text: Column) -> Column:
 
 
 #: Degrees by rank; fixed values.
-DEGREES = (("博士", 5), ("硕士", 4), ("本科", 3), ("大专", 2), ("高中", 1))
+DEGREES = (("博士", 5), ("硕士", 4), ("研究生", 4), ("本科", 3), ("大专", 2), ("中专", 1))
 
 
-def required_degree(text: Column) -> Column:
-    """The highest degree named, 0 where it is only preferred."""
+def rank_of_degree(text: Column) -> Column:
+    """The rank of the highest degree named, 0 for none."""
     rank = F.lit(0)
     for word, r in reversed(DEGREES):
         rank = F.when(F.contains(text, F.lit(word)), r).otherwise(rank)
-    return F.when(F.contains(text, F.lit("优先")), 0).otherwise(rank)
+    return rank
+
+
+def required_degree(text: Column) -> Column:
+    """The rank of the highest degree named, 0 where it is only preferred."""
+    return F.when(F.contains(text, F.lit("优先")), 0).otherwise(rank_of_degree(text))
