@@ -93,9 +93,13 @@ def skill_pattern(name: str) -> str:
 
 def known_skills(text: Column, vocabulary: dict[str, list[str]]) -> Column:
     """The names, in the vocabulary's order, of which the name or an alias stands in the text."""
-    plain = narrow(text)
-    found = (F.when(plain.rlike("(?iU)" + "|".join(skill_pattern(a) for a in (name, *aliases))), F.lit(name)) for name, aliases in vocabulary.items())
-    return F.array_compact(F.array(*found))
+
+    def names(plain: Column) -> Column:
+        found = (F.when(plain.rlike("(?iU)" + "|".join(skill_pattern(a) for a in (name, *aliases))), F.lit(name)) for name, aliases in vocabulary.items())
+        return F.array_compact(F.array(*found))
+
+    # The narrowed text is bound to a variable, else each name would narrow it again.
+    return F.get(F.transform(F.array(narrow(text)), names), 0)
 
 
 def canonical_skills(items: Column, vocabulary: dict[str, list[str]], keep_unknown: bool = False) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import json_text
 from curatrix.functions import text as T
-from curatrix.operators import dedup, matching, privacy, sections, selection
+from curatrix.operators import dedup, matching, pairing, privacy, sections, selection
 from curatrix.session import table
 from curatrix.sources.store import shared_copy, shared_folder
 from curatrix.streaming import changes
@@ -476,6 +476,27 @@ def q53_private_findings(spark, sf_dir):
     return found.select("doc_id", F.size("found").alias("n_found"), F.concat_ws(",", F.transform("found", lambda f: f["kind"])).alias("kinds"), F.sha2(privacy.for_training(F.col("text")), 256).alias("kept_sha256"))
 
 
+def _skill(name: str, aliases: list[str]) -> str:
+    return "case when " + " or ".join(f"regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9]){a}($|[^A-Za-z0-9-])', 'i')" for a in (name, *aliases)) + f" then '{name}' end"
+
+
+@query("select doc_id, array_to_string(list_filter([" + ", ".join(_skill(n, a) for n, a in VOCABULARY.items()) + "], lambda x: x is not null), ',') as skills from documents")
+def q54_known_skills(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(pairing.known_skills(F.col("text"), VOCABULARY), ",").alias("skills"))
+
+
+@query()
+def q55_pair_match(spark, sf_dir):
+    """Whole scores of pairs of documents, which play adverts and résumés with their language as direction."""
+    d = docs(spark, sf_dir)
+    none, words = F.lit(None), F.array(*(F.lit(w) for w in VOCABULARY))
+    advert = F.struct(F.col("lang").alias("direction"), words.alias("skills"), none.cast("string").alias("education"), none.cast("string").alias("experience"), none.cast("array<string>").alias("requirements"), none.cast("array<string>").alias("responsibilities"), F.concat(F.lit("任职要求："), F.col("text")).alias("text"))
+    resume = F.struct(F.col("lang").alias("target"), none.cast("array<string>").alias("education"), none.cast("array<string>").alias("skills"), none.cast("array<string>").alias("projects"), none.cast("array<string>").alias("internships"), F.col("text").alias("text"))
+    both = pairs(spark, sf_dir).select("left_id", "right_id").join(d.select(F.col("doc_id").alias("left_id"), advert.alias("advert")), "left_id").join(d.select(F.col("doc_id").alias("right_id"), resume.alias("resume")), "right_id")
+    out = pairing.score_pairs(both, VOCABULARY).select("left_id", "right_id", "match.*")
+    return out.select("left_id", "right_id", "score", "level", "relation", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
+
+
 @query("""select l_returnflag, l_linestatus, cast(sum(l_quantity) as double) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
 def g01_pricing_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
