@@ -38,8 +38,13 @@ def test_sentencepiece_equals_the_library(spark, odd):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         ids = lib.encode(t, add_eos=True)
         assert c.encode(t) == ids and c.decode(ids) == lib.decode(ids)
-    for t in ("a" * 9000, " " * 6000, "=-" * 5000):
+    # Runs of blanks merge out of the order of their scores.
+    for t in ("a" * 9000, " " * 6000, "=-" * 5000, *(" " * n + w for n in range(40) for w in ("option", "luc", "countersara portrait", "poems ones"))):
         assert c.encode(t) == lib.encode(t, add_eos=True)
+    tokens = sorted(c.reachable)
+    for _ in range(3000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        assert c._compatible(c.ids[a] << 24 | c.ids[b]) == (c.merge(a + b) == [a, b])
     rows = decode(encode(odd, default_model()), default_model()).collect()
     assert len(rows) == len(ODD) and all(r.decoded == (r.text or "") for r in rows)
     assert digests(empty(odd), default_model()).count() == 0
