@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.functions import json_text
+from curatrix.functions import json_text, values
 from curatrix.functions import text as T
 from curatrix.operators import dedup, matching, pairing, privacy, sections, selection
 from curatrix.session import table
@@ -497,6 +497,13 @@ def q55_pair_match(spark, sf_dir):
     return out.select("left_id", "right_id", "score", "level", "relation", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
 
 
+@query(f"""with t as (select page_id, html, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1), '^{BLANK}+|{BLANK}+$', '', 'g') as t from pages)
+select page_id, case when lower(t) = 'none' then '' else t end as title, not contains(lower(coalesce(html, '')), 'cookie') and (contains(lower(coalesce(html, '')), '<article') or contains(lower(coalesce(html, '')), '<main')) as wanted from t""")
+def q56_page_values(spark, sf_dir):
+    page = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", values.tagged(page, "title").alias("title"), values.wanted(page, ["<article", "<main"], ["cookie"]).alias("wanted"))
+
+
 @query("""select l_returnflag, l_linestatus, cast(sum(l_quantity) as double) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
 def g01_pricing_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
