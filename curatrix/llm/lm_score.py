@@ -1,20 +1,23 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 Counts of words and of pairs of neighbours are summed over all training
-documents. Those that make up at least one in :data:`ENTRIES` of the tokens, of
-which there can be no more than ENTRIES of either kind at any corpus size, go
-into one Bloom filter: an n-gram of count c is entered once for each level
+documents, and every one of them, whatever its count and the corpus size, goes
+into a Bloom filter: an n-gram of count c is entered once for each level
 1 .. 1 + floor(log_b c), so its count is found again, up to a factor, by probing
-for level after level until one is missing. A word's share of tokens that are
-followed by an entered pair is entered by levels as well. The filter is
-broadcast; its size follows from ENTRIES.
+for level after level until one is missing. The filter grows with the input, so
+it is cut into shards by hashes of n-grams, and nothing is broadcast.
+
+Documents are dealt to blocks by hashes. A block sends each shard its distinct
+n-grams with their counts in training documents; the shard sums them, builds its
+part of the filter and answers each block with the levels found, in the order
+asked, and with the exact counts of words. Blocks and shards grow in number with
+the input, so neither outgrows a task.
 
 The probability of a word after another interpolates both orders:
 ``L * c(hw) / c(h) + (1 - L * share(h)) * (c(w) + 1) / (N + V + 1)``,
-with all counts from probes and h the end token before the first word.
-
-Beside it stands the exact base score, whose counts of frequent words are
-broadcast as well and those of all others joined.
+with all counts from probes, h the end token before the first word, and share(h)
+1 for known words, which are always followed by an entered pair, and 0 for
+others. Beside it stands the exact base score.
 
 Words are told apart by 64-bit hashes. Defined results: null and empty texts
 have the end token only; documents without an id count as training; repeated
@@ -25,6 +28,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +37,16 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import materialize, small_batches
 
-#: Most words, and most pairs, in the filter.
-ENTRIES = 1 << 20
 #: Counts of neighbouring levels differ by this factor.
 LEVEL_BASE = 1.5
-SHARE_LEVELS = 16
 BITS_PER_ENTRY = 10
 PROBES = 7
 LAMBDA = 0.8
-#: Tokens that are counted in a task before the counts go on.
-FLUSH_TOKENS = 3_000_000
+#: Characters of text to a block and to a shard, and the least number of either.
+BLOCK_CHARS, SHARD_CHARS, LEAST_PARTS = 1 << 24, 1 << 25, 32
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Salts of the three kinds of entries.
-WORD, PAIR, SHARE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+#: Salts of words, of pairs, of steps between probes and of shards.
+WORD, PAIR, STEP, SHARD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
 
 
 class _Hashes(dict):
@@ -89,16 +90,15 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """The Bloom filter and the numbers that go with it."""
+    """A shard of the Bloom filter."""
 
     def __init__(self, entries: int):
         self.size = max(1024, entries * BITS_PER_ENTRY)
         self.bits = np.zeros(self.size // 8 + 1, dtype=np.uint8)
-        self.n = self.v = 0
 
     def places(self, key: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
         h = mixed(key + np.asarray(level).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        step = mixed(h ^ np.uint64(SHARE)) | np.uint64(1)
+        step = mixed(h ^ np.uint64(STEP)) | np.uint64(1)
         for i in range(PROBES):
             yield (h + np.uint64(i) * step) % np.uint64(self.size)
 
@@ -127,131 +127,156 @@ class Filter:
             out[alive] = level
         return out
 
-    def count(self, key: np.ndarray) -> np.ndarray:
-        """Counts of keys: the middle of the level's range, 0 where there is none."""
-        level = self.level(key)
-        return np.where(level > 0, (LEVEL_BASE ** (level - 1) + np.maximum(LEVEL_BASE ** (level - 1), LEVEL_BASE**level - 1)) / 2, 0.0)
+
+def count_of(level: np.ndarray) -> np.ndarray:
+    """Counts by level: the middle of the level's range, 0 where there is none."""
+    level = level.astype(np.float64)
+    return np.where(level > 0, (LEVEL_BASE ** (level - 1) + np.maximum(LEVEL_BASE ** (level - 1), LEVEL_BASE**level - 1)) / 2, 0.0)
 
 
 def levels_of(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
 
 
-def logs(model: Filter, t: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """log10 probabilities of tokens of several texts; ``heads`` are the places where texts begin."""
-    before = np.concatenate(([END], t[:-1])).astype(np.uint64)
-    before[heads] = END
-    words, at = np.unique(t, return_inverse=True)
-    single = model.count(words ^ np.uint64(WORD))
-    share = model.level(words ^ np.uint64(SHARE)) / SHARE_LEVELS
-    history = np.searchsorted(words, before)  # every text ends with END, so all are there
-    known = single[history]
-    usable = np.flatnonzero((known > 0) & (single[at] > 0))
-    pairs, where = np.unique(pair_hash(before[usable], t[usable]), return_inverse=True)
-    joint = np.zeros(len(t))
-    joint[usable] = np.minimum(model.count(pairs)[where], known[usable]) / known[usable]
-    # Quantised counts may contradict each other: no probability is over 1, and no pair exceeds its word's share.
-    one = np.minimum(1.0, (single[at] + 1) / (model.n + model.v + 1))
-    return np.log10(LAMBDA * joint + (1 - LAMBDA * np.maximum(share[history], joint)) * one)
-
-
-def _counted(batches: Iterator[pa.RecordBatch], names: list[str], collect) -> Iterator[pa.RecordBatch]:
-    """Sums by key of what ``collect`` gives for each text; ``collect`` gives arrays (key[, more])."""
-    held: list[tuple] = []
-    n = 0
-
-    def flush() -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        key, first, count = np.unique(columns[0], return_index=True, return_counts=True)
-        arrays = [pa.array(key.view(np.int64)), *(pa.array(c[first].view(np.int64)) for c in columns[1:]), pa.array(count.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(arrays, names)
-
+def logs(single: np.ndarray, joint: np.ndarray, history: np.ndarray, norm: float) -> np.ndarray:
+    """log10 probabilities of tokens from the counts found of words, of pairs with the words before and of those words."""
+    joint = np.minimum(joint, history) / np.maximum(history, 1)
+    # Quantised counts may contradict each other: no probability is over 1.
+    one = np.minimum(1.0, (single + 1) / norm)
+    return np.log10(LAMBDA * joint + (1 - LAMBDA * (history > 0)) * one)
+
+
+class Block:
+    """The tokens of a block of texts and its distinct words and pairs, in the order in which shards are asked."""
+
+    def __init__(self, texts: list[str | None], shards: int):
+        found = [tokens(t) for t in texts]
+        self.sizes = np.array([len(t) for t in found], dtype=np.int64)
+        self.heads = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
+        self.words = np.concatenate(found)
+        self.before = np.concatenate(([END], self.words[:-1])).astype(np.uint64)
+        self.before[self.heads] = END
+        self.pairs = pair_hash(self.before, self.words)
+        self.shards = shards
+
+    def order(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard of each key, order by shards and then by keys) of sorted keys."""
+        shard = (mixed(distinct ^ np.uint64(SHARD)) % np.uint64(self.shards)).astype(np.int64)
+        return shard, np.argsort(shard, kind="stable")
+
+    def asked(self, keys: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        """(shard, keys, counts in training documents)."""
+        distinct = np.unique(keys)
+        trained, n = np.unique(keys[train], return_counts=True)
+        count = np.zeros(len(distinct), dtype=np.uint32)
+        count[np.searchsorted(distinct, trained)] = n
+        shard, order = self.order(distinct)
+        distinct, count = distinct[order], count[order]
+        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            yield k, distinct[edges[k] : edges[k + 1]].tobytes(), count[edges[k] : edges[k + 1]].tobytes()
+
+    def answered(self, keys: np.ndarray, answers: np.ndarray) -> np.ndarray:
+        """The answer to each of ``keys`` from the shards' answers in their order."""
+        distinct, at = np.unique(keys, return_inverse=True)
+        if len(answers) != len(distinct):
+            raise ValueError(f"{len(answers)} answers to {len(distinct)} n-grams")
+        out = np.empty(len(distinct), dtype=answers.dtype)
+        out[self.order(distinct)[1]] = answers
+        return out[at]
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            got = collect(tokens(text))
-            held.append(got)
-            n += len(got[0])
-            if n >= FLUSH_TOKENS:
-                yield flush()
-                held, n = [], 0
-    if n:
-        yield flush()
-
-
-def train(docs: DataFrame, entries: int = ENTRIES):
-    """(filter, words, frequent): the filter, the table of all words (h, c), and (hashes, counts) of the frequent ones."""
-    words = docs.mapInArrow(lambda it: _counted(it, ["h", "c"], lambda t: (t,)), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    words = materialize(words, "words")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1, -(-n // entries))  # at most n / least entries reach it
-    common = words.filter(F.col("c") >= least).toArrow()
-    h = common.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    c = common.column("c").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    shared = docs.sparkSession.sparkContext.broadcast(h)
-
-    def pairs(t: np.ndarray) -> tuple:
-        # A pair is no more frequent than its words.
-        before = np.concatenate(([END], t[:-1])).astype(np.uint64)
-        known = shared.value
-        spot = np.minimum(np.searchsorted(known, t), len(known) - 1)
-        there = known[spot] == t
-        spot = np.minimum(np.searchsorted(known, before), len(known) - 1)
-        keep = there & (known[spot] == before)
-        return pair_hash(before[keep], t[keep]), before[keep]
-
-    found = []
-    if len(h):
-        both = docs.mapInArrow(lambda it: _counted(it, ["g", "h", "c"], pairs), "g long, h long, c long").groupBy("g").agg(F.min("h").alias("h"), F.sum("c").alias("c"))
-        found = both.filter(F.col("c") >= least).toArrow()
-    g, first, pc = (found.column(x).to_numpy().astype(np.int64) for x in ("g", "h", "c")) if len(h) else (np.zeros(0, dtype=np.int64),) * 3
-    seen = np.bincount(np.searchsorted(h, first.view(np.uint64)), weights=pc, minlength=len(h)) if len(h) else np.zeros(0)
-    share = np.floor(SHARE_LEVELS * np.minimum(1.0, seen / np.maximum(c, 1))).astype(np.int64)
-    word_levels, pair_levels = levels_of(c), levels_of(pc)
-    model = Filter(int(word_levels.sum() + pair_levels.sum() + share.sum()))
-    model.n, model.v = int(n), int(v)
-    model.enter(h ^ np.uint64(WORD), word_levels)
-    model.enter(g.view(np.uint64), pair_levels)
-    model.enter(h ^ np.uint64(SHARE), share)
-    return model, words, (h, c)
-
-
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,n:long>>"
-
-
-def score(docs: DataFrame, *, entries: int = ENTRIES) -> DataFrame:
+        yield from batch.to_pylist()
+
+
+ASKED = "block int, shard int, kind int, keys binary, counts binary"
+ANSWERED = "block int, shard int, kind int, levels binary, exact binary, n long, v long"
+
+
+def ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """What the blocks of rows (block, held_out, text) sorted by block ask the shards; kind 1: words, 2: pairs."""
+    for number, rows in groupby(rows_of(batches), lambda r: r["block"]):
+        rows = list(rows)
+        block = Block([r["text"] for r in rows], shards)
+        train = np.repeat([not r["held_out"] for r in rows], block.sizes)
+        out = [(number, shard, kind, k, c) for kind, keys in ((1, block.words), (2, block.pairs)) for shard, k, c in block.asked(keys, train)]
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "shard", "kind", "keys", "counts"])
+
+
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers to rows sorted by shard and kind; the first of a shard's has its number of training tokens and of words."""
+    for (shard, kind), rows in groupby(rows_of(batches), lambda r: (r["shard"], r["kind"])):
+        rows = [(r["block"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint32)) for r in rows]
+        keys, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([r[2] for r in rows])).astype(np.int64)
+        salted = keys ^ np.uint64(WORD) if kind == 1 else keys
+        levels = levels_of(count[count > 0])
+        model = Filter(int(levels.sum()))
+        model.enter(salted[count > 0], levels)
+        level = model.level(salted).astype(np.uint8)
+        ends = np.cumsum([len(r[1]) for r in rows])
+        parts = [at[e - len(r[1]) : e] for e, r in zip(ends, rows, strict=True)]
+        rest = [0] * (len(rows) - 1)
+        n, v = ((int(count.sum()), int((count > 0).sum())) if kind == 1 else (0, 0))
+        columns = [
+            pa.array([r[0] for r in rows], pa.int32()),
+            pa.array([shard] * len(rows), pa.int32()),
+            pa.array([kind] * len(rows), pa.int32()),
+            pa.array([level[p].tobytes() for p in parts], pa.binary()),
+            pa.array([count[p].tobytes() if kind == 1 else None for p in parts], pa.binary()),
+            pa.array([n, *rest], pa.int64()),
+            pa.array([v, *rest], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "shard", "kind", "levels", "exact", "n", "v"])
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scored(batches: Iterator[pa.RecordBatch], shards: int, n: int, v: int) -> Iterator[pa.RecordBatch]:
+    """The scores of blocks from their documents (kind 0) and answers, sorted by block, kind and shard."""
+    norm = float(n + v + 1)
+    for _, rows in groupby(rows_of(batches), lambda r: r["block"]):
+        kinds: tuple[list, list, list] = ([], [], [])
+        for r in rows:
+            kinds[r["kind"]].append(r)
+        docs, words, pairs = kinds
+        block = Block([r["text"] for r in docs], shards)
+        exact = block.answered(block.words, np.frombuffer(b"".join(r["exact"] for r in words), np.int64))
+        single = count_of(block.answered(block.words, np.frombuffer(b"".join(r["levels"] for r in words), np.uint8)))
+        joint = count_of(block.answered(block.pairs, np.frombuffer(b"".join(r["levels"] for r in pairs), np.uint8)))
+        history = np.concatenate(([0.0], single[:-1]))
+        # Every text ends with the end token, which also stands before its first word.
+        history[block.heads] = single[block.heads + block.sizes - 1]
+        joint[single == 0] = 0
+        total = lambda x: np.add.reduceat(x, block.heads)
+        columns = [
+            pa.array([r["doc_id"] for r in docs], pa.int64()),
+            pa.array([r["held_out"] for r in docs], pa.bool_()),
+            pa.array(block.sizes),
+            pa.array(total((exact > 0).astype(np.int64))),
+            pa.array(np.full(len(docs), n, dtype=np.int64)),
+            pa.array(total(np.log10((exact + 1) / norm))),
+            pa.array(total(logs(single, joint, history, norm))),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
+
+
+def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    model, words, frequent = train(docs.filter("not held_out"), entries)
-    shared = spark.sparkContext.broadcast((model, *frequent))
-    norm = float(model.n + model.v + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, h, c = shared.value
-        for batch in batches:
-            texts = [tokens(t) for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            heads = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if len(sizes) else sizes
-            everything = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
-            totals = np.add.reduceat(logs(model, everything, heads), heads) if len(sizes) else np.zeros(0)
-            known, base, rare = [], [], []
-            for t in texts:
-                u, n = np.unique(t, return_counts=True)
-                spot = np.minimum(np.searchsorted(h, u), max(len(h) - 1, 0))
-                there = h[spot] == u if len(h) else np.zeros(len(u), dtype=bool)
-                known.append(int(n[there].sum()))
-                base.append(float((n[there] * np.log10((c[spot[there]] + 1) / norm)).sum()) if there.any() else 0.0)
-                rare.append((u[~there].view(np.int64), n[~there]))
-            offsets = np.concatenate(([0], np.cumsum([len(r[0]) for r in rare]))).astype(np.int32)
-            items = pa.StructArray.from_arrays([pa.array(np.concatenate([r[i] for r in rare]) if rare else [], pa.int64()) for i in (0, 1)], ["h", "n"])
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(totals), pa.ListArray.from_arrays(pa.array(offsets), items)], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-    part = materialize(docs.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text").mapInArrow(run, SCORED), "scored")
-    rest = part.select("rid", F.explode("rare").alias("r")).select("rid", "r.h", "r.n").join(words, "h", "left")
-    rest = rest.groupBy("rid").agg(F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / norm)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("also"))
-    out = part.drop("rare").join(rest, "rid", "left").na.fill(0, ["more", "also"])
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("also")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score")
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks, shards = (max(LEAST_PARTS, -(-chars // size)) for size in (BLOCK_CHARS, SHARD_CHARS))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    asked = docs.select("block", "held_out", "text").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda it: ask(it, shards), ASKED)
+    asked = asked.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    answers = materialize(asked.mapInArrow(answer, ANSWERED), "answers")
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    rows = docs.withColumns({"kind": F.lit(0), "shard": F.lit(0)}).unionByName(answers.drop("n", "v"), allowMissingColumns=True)
+    rows = rows.repartition(blocks, "block").sortWithinPartitions("block", "kind", "shard")
+    return rows.mapInArrow(lambda it: scored(it, shards, int(n), int(v)), SCORED)

@@ -112,6 +112,20 @@ def test_lm_base_score(spark, odd):
     assert score(empty(odd)).count() == 0
 
 
+def test_lm_keeps_rare_ngrams_of_large_corpora(spark):
+    from curatrix.llm.lm_score import score
+
+    # Over 2^20 training tokens, where words seen once used to be left out.
+    ids = range(1, 60)
+    held = [i for i in ids if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in ids if i not in held]
+    rare = [f"rare{k}" for k in range(50)]
+    rows = [(i, "a b c " * 40000) for i in train[:10]] + [(train[10], " ".join(rare)), (held[0], " ".join(rare)), (held[1], " ".join(rare[::-1]))]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].train_tokens > 1 << 20 and got[held[0]].n_known == got[held[1]].n_known == 51
+    assert got[held[0]].score > got[held[1]].score + 100
+
+
 def test_simhash_links_match_brute_force(spark, odd):
     from curatrix.llm import simhash
 
