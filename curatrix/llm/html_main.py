@@ -52,15 +52,17 @@ HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KEEPERS = frozenset(("ul", "ol", "dl", "table", "html", "body", "article", "main"))
 
+#: An attribute. A quote opens a value only after an equals sign; one that's never closed is part of a name, so its tag ends at the next ">".
+_NAMED = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]{0,5000}+\"|'[^']{0,5000}+')*+)>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|{_NAMED})*+)>"
     r"|<[!?/][^>]*+>"
     r"|</?[a-zA-Z][^<>]*+\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
 _SPACES = re.compile(r"\s+")
 
 Block = tuple[int, int, str, bool]  # node, parent node, text, inside an article

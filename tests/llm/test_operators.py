@@ -236,6 +236,16 @@ def test_main_text(spark):
     assert all(got[i] == f"text {i} here" for i in range(30)) and got[99] == ""
 
 
+def test_main_text_takes_attributes_of_any_length():
+    from curatrix.llm.html_main import text_of
+
+    uri, data = "data:image/png;base64," + "iVBORw0K" * 6400, "x > y " * 1000
+    page = f"<body><div><nav class=top data-x=\"{data}\"><p>furniture</p></nav><p>one<img src=\"{uri}\" alt='a'> two</p></div><p data-y='{data}'>three</p></body>"
+    assert text_of(page) == "one two\n\nthree"
+    # Quotes that aren't values, and one that is never closed.
+    assert text_of("<p it's=1 \">a</p><p title=a\">b</p><p title=\"c>d</p>") == "a\n\nb\n\nd"
+
+
 def test_quality(spark, odd):
     from curatrix.llm.quality import keep_good, quality
 
