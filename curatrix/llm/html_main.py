@@ -10,8 +10,11 @@ weight, of its parent's presentation. Blocks of nodes seen on enough pages with
 an importance near 0 are the site's furniture and are removed, and so is a
 branch all of whose blocks are. Nodes whose tag, role or class names them as
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments
-have importance 0 by rule, as have scripts and styles. What remains inside
-article or main elements is the text, or all that remains where there are none.
+have importance 0 by rule, as have scripts and styles; but a form, a role, a
+class or an id decides nothing on an element that holds an article or main
+element or over half of the page's text outside furniture known by its tag. What
+remains inside article or main elements is the text, or all that remains where
+there are none.
 
 Pages of a host with equal html count once. Counts are sums by (host, node,
 feature), so a host with a third of all pages is pre-aggregated like any other.
@@ -44,7 +47,7 @@ CONTENT_WEIGHT = 0.9
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-FURNITURE = frozenset("nav footer aside form menu button select label fieldset dialog head option object".split())
+FURNITURE = frozenset("nav footer aside menu button select label fieldset dialog head option object".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CLASSES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|disqus|replies|related|recommended|share|sharing|social|subscribe|newsletter|popup|modal|login|signup|widget|pagination|pager|toolbar|copyright)(?:$|[\s_-])", re.I)
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
@@ -78,17 +81,21 @@ _NODES: dict[tuple[int, str, str], tuple[int, int]] = {}
 
 
 def _node(parent: int, tag: str, attrs: str) -> tuple[int, int]:
-    """(node, rule) of a child element; rule 0: content, 1: furniture, 2: furniture outside articles."""
+    """(node, rule) of a child element; rule 0: content, 1: furniture, 2: furniture outside articles, 3 and 4: the same by name alone."""
     key = (parent, tag, attrs)
     found = _NODES.get(key)
     if found is None:
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
         names = f"{named.get('class', '')} {named.get('id', '')}"
         rule = 0
-        if tag in FURNITURE or (tag not in ("html", "body", "main") and (CLASSES.search(names) or named.get("role", "").lower() in ROLES)):
+        if tag in FURNITURE:
             rule = 1
-        elif tag == "header" or (tag not in ("html", "body", "main", "article") and HEADERS.search(names)):
+        elif tag == "form" or (tag not in ("html", "body", "main") and (CLASSES.search(names) or named.get("role", "").lower() in ROLES)):
+            rule = 3
+        elif tag == "header":
             rule = 2
+        elif tag not in ("html", "body", "main", "article") and HEADERS.search(names):
+            rule = 4
         found = (_hash(parent, tag, " ".join(sorted(named.get("class", "").lower().split()))), rule)
         if len(_NODES) > 100_000:
             _NODES.clear()
@@ -100,26 +107,27 @@ def _node(parent: int, tag: str, attrs: str) -> tuple[int, int]:
 def parse(page: str | None) -> tuple[list[Block], set[tuple[int, int]]]:
     """(blocks, styles): the page's blocks outside furniture, in order, and (node, hash of its child tags)."""
     page = page or ""
-    blocks: list[Block] = []
+    # Texts come as pieces (innermost element named as furniture or -1, text): what the names mean is known at the end.
+    found: list[tuple[int, int, list[tuple[int, str]], bool]] = []
+    # Of the elements named as furniture: the one around it or -1, characters, whether it holds an article.
+    named: list[list] = []
     styles: set[tuple[int, int]] = set()
-    # tag, node, furniture, in an article, child tags
-    stack: list[tuple[str, int, bool, bool, list[str]]] = [("", 0, False, False, [])]
-    buffer: list[str] = []
+    # tag, node, furniture, in an article, child tags, innermost named element
+    stack: list[tuple[str, int, bool, bool, list[str], int]] = [("", 0, False, False, [], -1)]
+    buffer: list[tuple[int, str]] = []
     depth: dict[str, int] = {}
 
     def flush() -> None:
         if buffer:
-            text = _SPACES.sub(" ", html_lib.unescape("".join(buffer))).strip()
+            k = len(stack) - 1
+            while k and stack[k][0] not in BLOCK:
+                k -= 1
+            found.append((stack[k][1], stack[k - 1][1] if k else 0, buffer.copy(), stack[-1][3]))
             buffer.clear()
-            if text:
-                k = len(stack) - 1
-                while k and stack[k][0] not in BLOCK:
-                    k -= 1
-                blocks.append((stack[k][1], stack[k - 1][1] if k else 0, text, stack[-1][3]))
 
     def pop(n: int) -> None:
         while len(stack) > n:
-            tag, node, _, _, children = stack.pop()
+            tag, node, _, _, children, _ = stack.pop()
             depth[tag] -= 1
             if children:
                 styles.add((node, _hash(*children)))
@@ -134,14 +142,14 @@ def parse(page: str | None) -> tuple[list[Block], set[tuple[int, int]]]:
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not stack[-1][2]:
-            buffer.append(page[at : m.start()])
+            buffer.append((stack[-1][5], page[at : m.start()]))
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if tag == "br":
-            buffer.append(" ")
+            buffer.append((-1, " "))
             continue
         if tag in BLOCK:
             flush()
@@ -163,14 +171,41 @@ def parse(page: str | None) -> tuple[list[Block], set[tuple[int, int]]]:
         node, rule = _node(parent[1], tag, m["attrs"])
         inside = parent[3] or tag in ("article", "main")
         furniture = parent[2] or rule == 1 or (rule == 2 and not inside)
-        stack.append((tag, node, furniture, inside, []))
+        mark = parent[5]
+        if not furniture and (rule == 3 or (rule == 4 and not inside)):
+            named.append([mark, 0, False])
+            mark = len(named) - 1
+        elif not furniture and tag in ("article", "main"):
+            k = mark
+            while k >= 0 and not named[k][2]:
+                named[k][2] = True
+                k = named[k][0]
+        stack.append((tag, node, furniture, inside, [], mark))
         depth[tag] = depth.get(tag, 0) + 1
     if at < len(page) and not stack[-1][2]:
-        buffer.append(page[at:])
+        buffer.append((stack[-1][5], page[at:]))
     flush()
     pop(1)
     if stack[0][4]:
         styles.add((0, _hash(*stack[0][4])))
+    total = 0
+    for *_, pieces, _ in found:
+        for mark, text in pieces:
+            n = len(text.strip())
+            total += n
+            if mark >= 0:
+                named[mark][1] += n
+    for outer, n, _ in reversed(named):  # outer ones come before those in them
+        if outer >= 0:
+            named[outer][1] += n
+    low: list[bool] = []
+    for outer, n, holds in named:
+        low.append((outer >= 0 and low[outer]) or (not holds and 2 * n <= total))
+    blocks: list[Block] = []
+    for node, parent_node, pieces, inside in found:
+        text = _SPACES.sub(" ", html_lib.unescape("".join(t for mark, t in pieces if mark < 0 or not low[mark]))).strip()
+        if text:
+            blocks.append((node, parent_node, text, inside))
     return blocks, styles
 
 

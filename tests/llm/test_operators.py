@@ -246,6 +246,19 @@ def test_main_text_takes_attributes_of_any_length():
     assert text_of("<p it's=1 \">a</p><p title=a\">b</p><p title=\"c>d</p>") == "a\n\nb\n\nd"
 
 
+def test_main_text_keeps_wrappers_named_as_furniture():
+    from curatrix.llm.html_main import text_of
+
+    body = "<p>the first paragraph of the text</p><p>and <span class=promo>buy</span> another</p>"
+    want = "the first paragraph of the text\n\nand another"
+    side = "<div class=sidebar>links</div><div id=comments>no</div>"
+    for wrapper in ("div class='layout has-sidebar'", "div class=elementor-widget", "form", "div id=page-header", "div role=form"):
+        tag = wrapper.split()[0]
+        assert text_of(f"<nav>menu</nav><{wrapper}>{body}{side}</{tag}><footer>f</footer>") == want
+        assert text_of(f"<{wrapper}><div class=widget><article>{body}{side}</article></div></{tag}><p>{'other ' * 99}</p>") == want
+    assert text_of(f"{body}<form>search</form>{side}") == want
+
+
 def test_quality(spark, odd):
     from curatrix.llm.quality import keep_good, quality
 
