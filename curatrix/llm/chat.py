@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import small_batches
+from curatrix.llm.common import pieces
 
 #: Strings that mean something to the format; fixed values.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -344,7 +344,7 @@ def compile_template(source: str) -> Callable[..., Iterator[Piece]]:
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, Iterator[dict]]]:
     """(conv_id, its rows) of sorted rows; rows are read as they are asked for."""
-    rows = (dict(zip(names, r, strict=True)) for b in batches for r in zip(*(b.column(n).to_pylist() for n in names), strict=True))
+    rows = (dict(zip(names, r, strict=True)) for b in pieces(batches) for r in zip(*(b.column(n).to_pylist() for n in names), strict=True))
     row = next(rows, None)
     while row is not None:
         conv = row["conv_id"]
@@ -368,7 +368,6 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE, piece_chars: int = 1
     ``loss`` has [start, stop) pairs of code points of the part. Parts of a conversation come in one task, one after
     the other, so a conversation of any length needs the memory of its longest text.
     """
-    small_batches(rows.sparkSession)
     run = compile_template(template)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

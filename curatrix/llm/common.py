@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python; texts can be long.
+from curatrix.sources.store import shared_folder
+
+#: Rows of a slice of an Arrow batch in Python; texts can be long.
 BATCH_ROWS = 500
 
 
@@ -17,38 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="curatrix-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name inside the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: it cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder by Spark's own file system classes."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`materialize`, with the folder, for :func:`curatrix.sources.store.remove` once nothing reads it."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows. Spark bounds the bytes of a batch; this bounds what Python makes of one at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(k, BATCH_ROWS)
 
 
 def words(text: Column) -> Column:

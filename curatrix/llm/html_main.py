@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import materialize, small_batches
+from curatrix.llm.common import materialize, pieces
 
 #: Sightings below which a node isn't judged by its entropy.
 LEAST_PAGES = 10
@@ -222,13 +222,11 @@ def host(url: Column) -> Column:
 
 def style_tree(pages: DataFrame, content_weight: float = CONTENT_WEIGHT) -> DataFrame:
     """(host, node, pages, importance) of every node with blocks of its own."""
-    small_batches(pages.sparkSession)
-
     types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
     names = ["host", "page", "node", "parent", "content", "feature"]
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple] = []
             for h, page, key in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "h")), strict=True):
                 blocks, styles = parse(page)
@@ -262,7 +260,7 @@ def main_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_importa
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [text_of(h, set(x) if x else None) for h, x in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 

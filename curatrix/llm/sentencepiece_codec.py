@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import small_batches
+from curatrix.llm.common import pieces
 
 SPACE = "▁"
 #: Stretches and token pairs of one generation of a worker's memory, which has two.
@@ -309,10 +309,9 @@ def _with(df: DataFrame, name: str, kind: T.DataType, source: str, f) -> DataFra
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), f(batch.column(source))], [*kept, name])
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -352,11 +351,10 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [c.encode(t, end) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), _lists(rows), pa.array(map(c.decode, rows), pa.string())], [*kept, ids, decoded])
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

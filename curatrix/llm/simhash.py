@@ -20,8 +20,10 @@ one.
 
 Defined results: null and empty texts have the fingerprint zero and link like
 any other; texts under four words are one shingle; repeated rows come back as
-often as they went in; an empty table gives no rows; columns besides ``doc_id``
-and ``text`` are kept by :func:`keep_one` and ignored elsewhere.
+often as they went in; rows without an id link like any other but name a
+component only by null, where none in it has an id; an empty table gives no
+rows; columns besides ``doc_id`` and ``text`` are kept by :func:`keep_one` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize, small_batches
+from curatrix.llm.common import materialize, pieces, written
+from curatrix.sources.store import remove
 
 SHINGLE = 4
 SEED = 42
@@ -43,6 +46,8 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most distinct fingerprints of a key that are compared with each other.
 RUN_ROWS = 4096
+#: Tasks to which the rows of one key of a join are dealt.
+SALTS = 8
 #: Generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -71,15 +76,24 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit number."""
-    small_batches(docs.sparkSession)
+    """(doc_id, h, fp): h hashes the text, fp is the fingerprint; both are signed 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found.view(np.int64))], ["doc_id", "h", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def salted(large: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """``large`` joined with the one row of ``small`` for its key; rows of a key are dealt to SALTS tasks by a hash of ``by``."""
+    many = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [key, "salt"]).drop("salt")
 
 
 def syndrome(word: np.ndarray) -> np.ndarray:
@@ -240,39 +254,52 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN_ROWS) ->
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with a link, root the least node reachable: alternating large and small stars."""
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    edges, folder = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = salted(both.filter("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(low, "b")
+        joined = salted(large, low, "b", "a")
         small = joined.filter("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        edges = materialize(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "edges")
+        old = folder
+        edges, folder = written(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "edges")
+        remove(edges.sparkSession, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         state = now
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) of every row; the component's id is the smallest doc_id in it."""
+def _grouped(docs: DataFrame, max_bits: int) -> DataFrame:
+    """(doc_id, h, fp, component_id, lead) of every row; lead is the component's first (no id, doc_id, h)."""
     marked = materialize(fingerprints(docs), "fingerprints")
-    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(lead).alias("lead")), "distinct")
     roots = components(links(firsts, max_bits))
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = materialize(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", "lead", "root"), "rooted")
+    linked = rooted.filter("root is not null")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.min("lead").alias("least"))
+    by_fp = salted(linked, lowest, "root", "fp").select("fp", "component_id", F.col("least").alias("lead"))
+    by_fp = by_fp.unionByName(rooted.filter("root is null").select("fp", F.col("first").alias("component_id"), "lead"))
+    return marked.join(by_fp, "fp").select("doc_id", "h", "fp", "component_id", "lead")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id) of every row; the component's id is the smallest doc_id in it."""
+    return _grouped(docs, max_bits).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents of the smallest id in each component, one row each, with the columns of ``docs``.
+    """One row of each component, with the columns of ``docs``: that of the smallest id, or without any id of the text that
+    hashes lowest.
 
-    Of rows that repeat that id, the one whose text hashes lowest stays.
+    Rows are told apart by id and text, so rows with one id and different texts are kept or dropped each by its own
+    component, and rows that repeat both count once.
     """
-    kept = near_duplicates(docs, max_bits).filter("doc_id = component_id").select("doc_id").distinct()
-    names = docs.columns
-    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64(F.coalesce("text", F.lit("")))).alias("row"))
-    return rows.select("row.*")
+    kept = _grouped(docs, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("h") == F.col("lead.h"))).select(F.col("doc_id").alias("id"), "h").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("h"))
+    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.h") == F.col("k.h"))
+    found = rows.alias("r").join(kept.alias("k"), same, "left_semi")
+    return found.groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")

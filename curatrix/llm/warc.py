@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import new_path
+from curatrix.llm.common import pieces
+from curatrix.sources.store import shared_folder
 
 LEAST_BYTES = 100
 #: Block bytes of a record at most; longer ones are segmented.
@@ -102,7 +103,7 @@ def write_warc(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, s
     names = rows.columns
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out, held = [], 0
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for head, block in records(dict(zip(names, values, strict=True)), segment_bytes, chunk_bytes):
@@ -161,7 +162,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a whole file
     return files.mapInArrow(run, RECORD)
 
 
@@ -183,7 +183,7 @@ def reassembled(found: DataFrame) -> DataFrame:
     parts = parts.select("record_id", "record_type", "page_id", "refers_to", "digest", "payload_bytes", F.col("parts.block").alias("blocks"), "total", F.forall(F.transform("parts", lambda p, i: p["segment"] == i + 1), lambda ok: ok).alias("complete"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, payloads = batch.schema.names, []
             for record, kind, blocks, total, complete in zip(*(batch.column(c).to_pylist() for c in ("record_id", "record_type", "blocks", "total", "complete")), strict=True):
                 block = b"".join(blocks)
@@ -198,7 +198,7 @@ def reassembled(found: DataFrame) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives, read them back and describe every page; responses by what was read, revisits by their record."""
-    path = new_path(spark, "warc")
+    path = shared_folder(spark, "warc")
     write_warc(pages, path)
     out = reassembled(read_records(spark, path))
     own = F.col("record_type") == "response"
