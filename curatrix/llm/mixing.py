@@ -13,8 +13,10 @@ steps; each step is one distributed aggregation over (source, size) cells.
 Rates become whole copies by rounding cumulative rates over cells in order of
 falling size, so roundings do not add up; then single copies are added or taken
 back, large sizes first, where they still fit what is missing. Cells of many
-documents are split by a hash of the row, so no group grows with the input, and
-the same input gives the same copies.
+documents are split by a hash of the row into parts of about CELL_ROWS: ranks
+within a part see that many rows (more only where a row repeats in id and text),
+and cumulative sums within a source see its distinct sizes and one row for each
+CELL_ROWS documents. The same input gives the same copies.
 
 Defined results: null and empty texts have size 0, rate 1 and no words taken;
 null sources form one source, the last; repeated rows count one by one and hash
@@ -27,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize
+from curatrix.llm.common import materialize, written
+from curatrix.sources.store import remove
 
 #: Most copies of a document, and most times its words that a source gives.
 MOST = 3
@@ -35,7 +38,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 #: 0 gives all documents of a source one rate, 1 balances plain document entropies.
 TILT = 0.5
 #: Documents of one cell of equal source and size.
-CELL_ROWS = 1000
+CELL_ROWS = 100_000
 STEPS = 40
 TOLERANCE = 1e-9
 #: Passes that place single copies after the first rounding.
@@ -77,7 +80,7 @@ def balanced(cells: DataFrame, goals: DataFrame, *, tilt: float, most: int, step
     ratio = F.col("target") / F.col("source_size")
     full = F.col("target") >= F.col("source_size") * (most * (1 - 1e-12))
     state = goals.withColumns({"full": F.coalesce(full, F.lit(True)), "lo": F.lit(-1e4), "hi": F.lit(1e4)})
-    state = materialize(state.withColumn("a", F.when(F.col("full"), F.lit(0.0)).otherwise(F.log(ratio * (most - 1) / (most - ratio)))), "dual")
+    state, folder = written(state.withColumn("a", F.when(F.col("full"), F.lit(0.0)).otherwise(F.log(ratio * (most - 1) / (most - ratio)))), "dual")
     for _ in range(steps):
         at = used.alias("c").join(state.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & ~F.col("s.full"))
         at = at.select(F.col("s.source").alias("source"), "size", "n", "mean", "a").withColumn("x", x).withColumn("r", rate_of(F.col("a"), F.col("x"), most))
@@ -89,9 +92,14 @@ def balanced(cells: DataFrame, goals: DataFrame, *, tilt: float, most: int, step
         step = F.col("a") - newton
         inside = F.coalesce((step > F.col("lo")) & (step < F.col("hi")), F.lit(False))
         new = new.withColumn("a", F.when(F.col("off") <= tolerance, F.col("a")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2))
-        state = materialize(new.select("source", "source_size", "mean", "target", "full", "lo", "hi", "a", "off"), "dual")
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        old = folder
+        state, folder = written(new.select("source", "source_size", "mean", "target", "full", "lo", "hi", "a", "off"), "dual")
+        remove(state.sparkSession, old)
+        worst = state.agg(F.max("off")).first()[0] or 0.0
+        if worst <= tolerance:
             break
+    else:
+        raise ValueError(f"the dual has not converged in {steps} steps: a source is off its target by a share of {worst}")
     return state.select("source", "source_size", "mean", "target", F.when(~F.col("full"), F.col("a")).alias("a"))
 
 
@@ -133,9 +141,18 @@ def mix(docs: DataFrame, *, tilt: float = TILT, most: int = MOST, cell_rows: int
 
 
 def remix(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``; rows without words stay once."""
+    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``; rows without words stay once.
+
+    Rows that repeat id, source and text share what the mix takes of them all, as evenly as whole copies allow.
+    """
     names = docs.columns
-    taken = mix(docs.select("doc_id", "source", "text"), **params).groupBy("doc_id", "h").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), "doc_id")
-    joined = rows.alias("r").join(taken.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.h") == F.col("t.h")))
-    return joined.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    taken = mix(docs.select("doc_id", "source", "text"), **params).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("m"))
+    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), "doc_id", "source")
+    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.h") == F.col("t.h"))
+    joined = rows.alias("r").join(taken.alias("t"), same).select("r.*", "all", "m")
+    once = joined.filter("m = 1").select("row", F.col("all").alias("copies"))
+    rank = F.row_number().over(W.partitionBy("doc_id", "source", "h").orderBy(F.xxhash64("row")))
+    repeated = joined.filter("m > 1").withColumn("rank", rank)
+    repeated = repeated.select("row", (F.floor(F.col("all") / F.col("m")) + F.when(F.col("rank") <= F.col("all") % F.col("m"), 1).otherwise(0)).alias("copies"))
+    both = once.unionByName(repeated).filter("copies > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
