@@ -83,11 +83,20 @@ def measured(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_repeat_words", repeated).drop("runs", "by_hash", "at")
 
 
+#: The columns that :func:`quality` adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def quality(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, min_score: float = MIN_SCORE, prior: float = PRIOR) -> DataFrame:
-    """All columns of ``docs`` with the base counts, ``base_failed``, ``score`` and ``kept``.
+    """The columns of ``docs``, which needs ``doc_id`` and ``text``, with those of :data:`ADDED`, which replace columns of the
+    same names."""
+    names = [c for c in docs.columns if c not in ADDED]
+    inner = _judged(docs.select("doc_id", "text", F.struct(*names).alias("row")), labels, buckets, trusted_rows, min_score, prior)
+    return inner.select("row.*", *ADDED)
+
 
-    ``docs`` needs ``doc_id`` and ``text``; columns of the same names as the added ones are replaced.
-    """
+def _judged(docs: DataFrame, labels: DataFrame, buckets: int, trusted_rows: int, min_score: float, prior: float) -> DataFrame:
+    """``docs`` (doc_id, text, row) with the columns of :data:`ADDED`."""
     model = weights(docs, labels, buckets, trusted_rows, prior)
     # h, h2 and w have one reference each below, so the optimizer keeps the weights out of the rows.
     out = measured(docs).withColumn("w", model.scalar())
@@ -98,9 +107,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trust
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("h", "h2", "w")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, min_score: float = MIN_SCORE, prior: float = PRIOR) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    names = docs.columns
-    inner = quality(docs.select("doc_id", "text", F.struct(*names).alias("row")), labels, **params)
+    inner = _judged(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), labels, buckets, trusted_rows, min_score, prior)
     # The optimizer moves no filter below a column that isn't deterministic; moved, it would repeat every count.
     return inner.withColumn("fixed", F.monotonically_increasing_id()).filter("kept and fixed >= 0").select("row.*")

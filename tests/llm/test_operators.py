@@ -280,3 +280,77 @@ def test_quality(spark, odd):
     good = {r.doc_id for r in labels.filter("quality = 1 and toxic = 0").collect()}
     assert all(r.kept or r.base_failed for i, r in rows.items() if i in good)
     assert keep_good(odd, labels).columns == odd.columns and quality(empty(odd), labels).count() == 0
+
+
+def test_quality_keeps_the_columns_of_the_caller(spark, odd):
+    from curatrix.llm.quality import ADDED, quality
+
+    names = ["ws", "lines", "h", "h2", "w", "runs", "by_hash", "at", "row", "n_words"]
+    docs = odd.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality(docs, labels).collect()
+    assert len(rows) == len(ODD) and all(r[n] == i for r in rows for i, n in enumerate(names[:-1]))
+    assert set(rows[0].asDict()) == {*docs.columns, *ADDED} and {r.n_words for r in rows if r.doc_id == 1} == {6}
+
+
+def test_simhash_fingerprints_match_their_definition(spark, odd):
+    import xxhash
+
+    from curatrix.llm import simhash
+
+    for _, t, _ in [*ODD, (0, "Éa É é\x0bx  Y\nz q é", "")]:
+        ws = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        grams = [" ".join(ws[i : i + 4]) for i in range(len(ws) - 3)] or ([" ".join(ws)] if ws else [])
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+        assert simhash.fingerprint(t) == want
+    assert simhash.near_duplicates(empty(odd)).count() == 0 and simhash.keep_one(empty(odd)).count() == 0
+
+
+def test_keep_one_loses_no_row_without_id_or_with_a_shared_one(spark):
+    from curatrix.llm import simhash
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1), 1), (1, text(2), 2), (1, text(3), 3), (2, text(3), 4), (None, text(4), 5), (None, text(4), 5), (7, text(1), 6)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, h int")).collect()
+    assert sorted(r.h for r in kept) == [2, 3, 5, 6]
+
+
+def test_mixing_targets_and_copies_match_their_definition(spark):
+    from curatrix.llm.mixing import mix, remix, sized, targets
+
+    sizes = {"a": [5, 3, 8], "b": [400, 300], "c": [20] * 5, None: [1, 2]}
+    rows = [(i, s, "w " * n) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    rows += [(90, "c", "w " * 50)] * 4 + [(91, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    own = {s: sum(len(t.split()) for _, x, t in rows if x == s and t) for s in sizes}
+    weight = {s: float(w) for s, w in zip(["a", "b", "c", None], [1, 2, 3, 1], strict=True)}
+    want, free, left = {}, set(own), sum(own.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * level > 3 * own[s]}
+        if not full:
+            want |= {s: weight[s] * level for s in free}
+            break
+        want |= {s: 3.0 * own[s] for s in full}
+        left -= sum(3 * own[s] for s in full)
+        free -= full
+    cells = sized(docs).groupBy("source", "size").count().withColumnRenamed("count", "n")
+    got = {r.source: r.target for r in targets(cells).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+    # The rates of a source follow one tilt and meet its target before rounding.
+    import math
+
+    mixed = mix(docs).collect()
+    for s in sizes:
+        mine = [r for r in mixed if r.source == s and r["size"]]
+        assert abs(sum(r.rate * r["size"] for r in mine) - want[s]) <= 1e-6 * want[s]
+        if want[s] < 2.99 * own[s]:
+            mean = sum(r["size"] for r in mine) / sum(1 for r in mixed if r.source == s)
+            tilts = [math.log(2 * r.rate / (3 - r.rate)) / (r["size"] / mean) ** 0.5 for r in mine]
+            assert max(tilts) - min(tilts) < 1e-6
+    copies = sum(r.copies for r in mixed if r.doc_id == 90)
+    out = remix(docs).collect()
+    assert len(out) == sum(r.copies for r in mixed) and sum(r.doc_id == 90 for r in out) == copies <= 12
+    with pytest.raises(ValueError, match="converged"):
+        mix(docs, steps=1)
