@@ -6,13 +6,15 @@ are the sequences of child tags it was seen with, its content are the texts of
 the blocks directly in it. With N sightings, of which a share p_i shows style or
 text i, the entropy ``-sum p_i log_N p_i`` is 1 where every page differs and 0
 where all agree; a block's importance is that of its content and, by a small
-weight, of its parent's presentation. Blocks of nodes seen on enough pages with
-an importance near 0 are the site's furniture and are removed, and so is a
-branch all of whose blocks are. Nodes whose tag, role or class names them as
+weight, of its parent's presentation, shrunk towards 1 where it rests on few
+sightings. Blocks of nodes with an importance near 0 are the site's furniture
+and are removed, and so is a branch all of whose blocks are. Nodes whose tag, role or class names them as
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments
 have importance 0 by rule, as have scripts and styles; but a form, a role, a
 class or an id decides nothing on an element that holds an article or main
-element or over half of the page's text outside furniture known by its tag. What
+element or over half of the page's text outside furniture known by its tag.
+Names say nothing on headings, and on articles and inline elements only where a
+whole class is one of a comment or an advert. What
 remains inside article or main elements is the text, or all that remains where
 there are none.
 
@@ -37,8 +39,8 @@ from pyspark.sql import types as T
 
 from curatrix.llm.common import materialize, pieces
 
-#: Sightings below which a node isn't judged by its entropy.
-LEAST_PAGES = 10
+#: Sightings, as if all differed, that every node has besides its own; a node seen nine times with one text is low.
+PRIOR = 1.5
 #: Blocks of less importance are removed.
 LEAST_IMPORTANCE = 0.15
 #: Weight of the content against the parent's presentation.
@@ -53,6 +55,10 @@ CLASSES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 #: What a start tag closes first, if it is open.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Whole classes that tell articles of readers and inline adverts.
+REMARKS = frozenset("comment comments comment-body reply replies".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEEPERS = frozenset(("ul", "ol", "dl", "table", "html", "body", "article", "main"))
 
 #: An attribute. A quote opens a value only after an equals sign; one that's never closed is part of a name, so its tag ends at the next ">".
@@ -87,16 +93,25 @@ def _node(parent: int, tag: str, attrs: str) -> tuple[int, int]:
     if found is None:
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
         names = f"{named.get('class', '')} {named.get('id', '')}"
+        classes = set(named.get("class", "").lower().split())
         rule = 0
         if tag in FURNITURE:
             rule = 1
-        elif tag == "form" or (tag not in ("html", "body", "main") and (CLASSES.search(names) or named.get("role", "").lower() in ROLES)):
+        elif tag == "form":
             rule = 3
         elif tag == "header":
-            rule = 2
-        elif tag not in ("html", "body", "main", "article") and HEADERS.search(names):
+            rule = 3 if CLASSES.search(names) else 2
+        elif tag in ("html", "body", "main") or tag in HEADINGS:
+            rule = 0
+        elif tag == "article":
+            rule = 3 if classes & (REMARKS | ADVERTS) else 0
+        elif tag not in BLOCK:
+            rule = 3 if classes & ADVERTS else 0
+        elif CLASSES.search(names) or named.get("role", "").lower() in ROLES:
+            rule = 3
+        elif HEADERS.search(names):
             rule = 4
-        found = (_hash(parent, tag, " ".join(sorted(named.get("class", "").lower().split()))), rule)
+        found = (_hash(parent, tag, " ".join(sorted(classes))), rule)
         if len(_NODES) > 100_000:
             _NODES.clear()
         if len(attrs) < 200:
@@ -220,7 +235,7 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def style_tree(pages: DataFrame, content_weight: float = CONTENT_WEIGHT) -> DataFrame:
+def style_tree(pages: DataFrame, content_weight: float = CONTENT_WEIGHT, prior: float = PRIOR) -> DataFrame:
     """(host, node, pages, importance) of every node with blocks of its own."""
     types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
     names = ["host", "page", "node", "parent", "content", "feature"]
@@ -239,24 +254,24 @@ def style_tree(pages: DataFrame, content_weight: float = CONTENT_WEIGHT) -> Data
     keyed = pages.select(host(F.col("url")).alias("host"), "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("h"))
     features = keyed.mapInArrow(seen, "host string, page long, node long, parent long, content boolean, feature long")
     once = features.distinct()
-    counts = once.groupBy("host", "node", "parent", "content", "feature").agg(F.count(F.lit(1)).alias("c"))
+    # Written, since both branches read it and each would parse all pages again.
+    counts = materialize(once.groupBy("host", "node", "parent", "content", "feature").agg(F.count(F.lit(1)).alias("c")), "features")
     nodes = counts.groupBy("host", "node", "parent", "content").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("c").alias("most"))
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).otherwise(1.0)
     nodes = nodes.withColumn("entropy", entropy)
     styles = nodes.filter("not content").select("host", F.col("node").alias("parent"), F.col("entropy").alias("style"))
     found = nodes.filter("content").join(styles, ["host", "parent"], "left")
     importance = content_weight * F.col("entropy") + (1 - content_weight) * F.coalesce("style", F.lit(0.0))
-    return found.select("host", "node", F.col("n").alias("pages"), importance.alias("importance"))
+    return found.select("host", "node", F.col("n").alias("pages"), ((F.col("n") * importance + prior) / (F.col("n") + prior)).alias("importance"))
 
 
-def main_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+def main_text(pages: DataFrame, *, least_importance: float = LEAST_IMPORTANCE, prior: float = PRIOR) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``."""
-    tree = style_tree(pages)
-    low = tree.filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
+    low = style_tree(pages, prior=prior).filter(F.col("importance") < least_importance)
     # Written first, so that its size is known and the join broadcasts it only where it is small.
     low = materialize(low.groupBy("host").agg(F.collect_set("node").alias("low")), "furniture")
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.withColumn("host", host(F.col("url"))).join(low, "host", "left").select(F.struct(*kept).alias("row"), "html", "low")
+    rows = pages.select(F.struct(*kept).alias("row"), "html", host(F.col("url")).alias("host")).join(low, "host", "left").select("row", "html", "low")
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -354,3 +354,62 @@ def test_mixing_targets_and_copies_match_their_definition(spark):
     assert len(out) == sum(r.copies for r in mixed) and sum(r.doc_id == 90 for r in out) == copies <= 12
     with pytest.raises(ValueError, match="converged"):
         mix(docs, steps=1)
+
+
+def test_main_text_names_decide_nothing_on_articles_headings_and_inline_text():
+    from curatrix.llm.html_main import text_of
+
+    assert text_of('<div class="site no-sidebar"><p>Hello article text</p></div>') == "Hello article text"
+    assert text_of('<article class="post comments-open related-none"><p>Hello</p></article><p>other text on the page</p>') == "Hello"
+    assert text_of('<div><h2 class="share">Share price</h2><p>it rose <span class="notice">today</span> again</p></div>') == "Share price\n\nit rose today again"
+    assert text_of("<article><p>the article itself</p><article class='comment'>bad</article></article>") == "the article itself"
+
+
+def brute_style_tree(pages):
+    """(host, node) -> importance, from counts by plain loops."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    from curatrix.llm import html_main as H
+
+    texts, styles, parent_of = defaultdict(Counter), defaultdict(Counter), {}
+    hosts = [(re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", u or ""), p or "") for u, p in pages]
+    for h, page in {(m[1].lower() if m else "", p) for m, p in hosts}:
+        blocks, found = H.parse(page)
+        for key in {(n, p, t) for n, p, t, _ in blocks}:
+            texts[h, key[0]][key[2]] += 1
+            parent_of[h, key[0]] = key[1]
+        for n, s in found:
+            styles[h, n][s] += 1
+
+    def entropy(c):
+        n = sum(c.values())
+        return 1.0 if n == 1 else -sum(x / n * math.log(x / n, n) for x in c.values())
+
+    out = {}
+    for (h, node), c in texts.items():
+        n, style = sum(c.values()), styles.get((h, parent_of[h, node]))
+        raw = 0.9 * entropy(c) + 0.1 * (entropy(style) if style else 0)
+        out[h, node] = (n * raw + 1.5) / (n + 1.5)
+    return out
+
+
+def test_style_tree_matches_plain_loops(spark):
+    from curatrix.llm.html_main import LEAST_IMPORTANCE, main_text, style_tree, text_of
+
+    page = lambda i: f"<body><div class=a><p>Same</p></div><div class=b>{'odd' if i % 4 else 'even'}</div><ul><li>x</li>{'<li>y</li>' * (i % 3)}</ul><div class=c><p>own {i}</p></div></body>"
+    pages = [(f"http://H{i % 2}.org/x", page(i)) for i in range(24)] + [("http://h1.org/z", page(1)), (None, page(3)), (None, None), ("no url", "")]
+    df = spark.createDataFrame([(i, u, p, "k", 9) for i, (u, p) in enumerate(pages)] + [(99, None, None, "k", 9)] * 2, "page_id long, url string, html string, low string, host int")
+    want = brute_style_tree(pages)
+    got = {(r.host, r.node): r.importance for r in style_tree(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    rows = main_text(df).collect()
+    assert len(rows) == len(pages) + 2 and {r.low for r in rows} == {"k"} and {r.host for r in rows} == {9}
+    for r in rows:
+        h = (r.url or "").lower().split("/")[2] if "://" in (r.url or "") else ""
+        low = {n for (x, n), v in want.items() if x == h and v < LEAST_IMPORTANCE}
+        assert r.text == text_of(r.html, low) and r.n_chars == len(r.text)
+    assert any("Same" not in r.text and "own" in r.text for r in rows) and main_text(empty(df)).count() == 0
+    long = "<article>" + "".join(f"<p>part {i}</p>" for i in range(30000)) + "</article>"
+    assert text_of(long).count("\n\n") == 29999
