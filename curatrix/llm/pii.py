@@ -1,19 +1,25 @@
 """Personal data by candidate gradient boosting (native).
 
-Generators of high recall propose spans, which may overlap: e-mail addresses
-(plain and spelled out), dotted quads, chains of digits, international and local
-phone numbers, and long hexadecimal strings. Spans that pass the base rules
-always stay. The others are scored by boosted regression trees over small
-integer features of format and context. The trees learn from the candidates
-themselves: those that pass the strict test of their shape (checksum, number
-ranges, digit counts) are positive and those that fail it negative, while the
-features do not hold the test's outcome. All candidates of the corpus count,
-summed up by feature values into at most :data:`MOST_CELLS` cells; the trees are
-fitted to these cells exactly. A shape's threshold is the lowest score from
-which on :data:`PRECISION` of its labelled candidates are positive.
-
-Defined results: null and empty texts have no spans; rows are judged one by one,
-so repeated rows get equal spans; an empty table trains no trees and gives no
+Generators of high recall propose spans, which may overlap: e-mail addresses,
+dotted quads, chains of digits and international phone numbers, which have base
+rules, and e-mail addresses that are spelled out, local phone numbers and long
+hexadecimal strings, which have none. Spans that pass their base rule always
+stay and those that fail it go. The others are scored by boosted regression
+trees over small integers of format and context.
+
+The trees learn from two halves of equal weight. The first are examples made by
+rule from :data:`EXAMPLES`, in which the same forms stand for personal data and
+for what looks like it (order numbers, dates, versions, checksums), so labels
+disagree with the generators. The second are the corpus's own base spans, masked:
+a phone number without its country code and an address spelled out are positive
+in the context where they stand. Every second example, by a hash of what fills
+it, is held out from the trees and calibrates the threshold of its shape: the
+lowest score from which on :data:`PRECISION` of the held-out examples are
+personal data. Of chosen spans that overlap, the highest score stays.
+
+Defined results: null and empty texts have no spans; repeated rows get equal
+spans; base spans depend on the text alone, further ones on the contexts of the
+corpus's base spans as well; an empty table trains on the examples and gives no
 rows; columns besides ``text`` are kept.
 """
 
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import materialize
@@ -38,15 +44,59 @@ GENERATORS = (
     ("phone", "local", r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("secret", "hex", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"),
 )
-SHAPES = tuple(g[1] for g in GENERATORS)
+#: The shapes without a base rule, which the trees judge.
+JUDGED = ("spelled", "local", "hex")
 CONTEXT = 24
-KEYWORDS = r"(?i)(mail|contact|card|visa|iban|ip|host|server|tel|phone|call|fax|token|key|secret|password)[^A-Za-z]*$"
-FEATURES = {"shape": len(SHAPES), "digits": 7, "seps": 3, "left": 3, "right": 3, "keyword": 2}
-MOST_CELLS = math.prod(FEATURES.values())
-TREES = 24
+#: Words right before a span that speak for its kind, and words that speak against any.
+FOR = {
+    "email": r"(?i)(?:e-?mail|mailto|contact|write|reach|address)[^A-Za-z]*(?:(?:me|us|to|is|at)[^A-Za-z]*){0,2}$",
+    "phone": r"(?i)(?:tel|telephone|phone|mobile|cell|call|fax|contact|dial|reach|text|whatsapp)[^A-Za-z]*(?:(?:me|us|number|no|is|at|on)[^A-Za-z]*){0,2}$",
+    "secret": r"(?i)(?:token|key|secret|passwd|password|bearer|credentials?|auth|authorization)[^A-Za-z]*(?:is[^A-Za-z]*)?$",
+}
+AGAINST = r"(?i)(?:order|invoice|part|item|sku|ref|reference|version|build|release|isbn|issn|page|pages|row|serial|id|no|nr|number|code|lot|batch|case|commit|sha|sha-?1|sha-?256|md5|checksum|rev|revision|hash|digest|etag|blob|tree|object|section|fig|figure|sum|total|from|date)[^A-Za-z]*$"
+FEATURES = {"shape": len(JUDGED), "form": 7, "digits": 5, "left": 3, "right": 3, "cue": 3, "given": 2}
+MOST_CELLS = 2 * math.prod(FEATURES.values())
+#: Features without an order: trees ask whether they equal a value.
+NOMINAL = ("shape", "form", "left", "right", "cue")
+TREES = 40
 RATE = 0.4
 PRECISION = 0.9
 
+#: Examples by shape: texts around a span (x), whether it is personal data there, and the forms that it takes.
+EXAMPLES = (
+    ("spelled", 1, ("mail {x} soon", "{x}", "reach me at {x}.", "I am {x}, thanks", "contact: {x}", "by {x} (author)"), ("named", "mixed")),
+    ("spelled", 0, ("see {x} for it", "price {x} there", "we met {x}", "look {x}, please"), ("numbered", "spaced")),
+    ("local", 1, ("call {x} now", "phone: {x}", "tel. {x}", "fax {x}", "my number is {x}", "reach me at {x}!", "Contact us on {x}"), ("dashes", "dots", "blanks", "bracket", "trunk")),
+    ("local", 1, ("{x}", "and {x} is hers", "J. Doe, {x}, Main St", "she wrote {x}."), ("dashes", "bracket", "trunk")),
+    ("local", 0, ("order {x} x", "invoice no. {x}", "part {x} fits", "ref {x}", "version {x} is out", "SKU: {x}", "item {x}", "isbn {x}", "pages {x}", "id={x}", "serial {x}"), ("dashes", "dots", "blanks", "trunk")),
+    ("local", 0, ("the values {x} and more", "{x}", "5 {x} 7", "sums of {x},", "run {x} again"), ("blanks", "dots")),
+    ("hex", 1, ("token = \"{x}\"", "api_key: {x}", "secret={x}", "password '{x}'", "Authorization: Bearer {x}", "the key is {x}", "auth {x} ok"), ("hex32", "hex40", "hex64")),
+    ("hex", 0, ("commit {x}", "sha1 {x}", "sha256: {x}", "md5 = {x}", "checksum \"{x}\"", "revision {x}", "hash={x}", "etag: \"{x}\"", "{x}", "see {x} there", "blob {x} a", "digest {x}", "({x})"), ("hex32", "hex40", "hex64")),
+    ("hex", 0, ("number {x}", "{x}", "total {x} of", "see {x}"), ("numeral",)),
+)
+#: What fills each form, made from numbers 0 .. FILLS - 1.
+FILLS = 12
+
+
+def filled(form: str, i: int) -> str:
+    """The i-th text of a form."""
+    import hashlib
+
+    name, host, end = ("bob", "ann.lee", "j_doe", "info", "m.mueller", "sales+x")[i % 6], ("mail", "example", "post-x", "uni")[i % 4], ("com", "org", "de", "co.uk", "net")[i % 5]
+    at, dot = ("[at]", "(at)", " [at] ", " (at) ", "[ AT ]")[i % 5], ("[dot]", " (dot) ", " [dot] ", "(DOT)")[i % 4]
+    area, mid, last = 201 + 61 * i, 220 + 47 * i, 1000 + 733 * i
+    digest = hashlib.sha256(f"{form}{i}".encode()).hexdigest()
+    return {
+        "named": lambda: f"{name}{at}{host}{dot}{end.replace('.', dot)}",
+        "mixed": lambda: f"{name}{at}{host}.{end}",
+        "numbered": lambda: f"{('up', 'it', 'look')[i % 3]} (at) {('fig', 'sec', '10', 'p')[i % 4]}.{i + 2}",
+        "spaced": lambda: f"{('down', 'sold', 'them')[i % 3]} (at) {('approx', 'ca', 'min')[i % 3]}. {('cost', 'price', 'five')[i % 3]}",
+        "dashes": lambda: f"{area}-{mid}-{last}", "dots": lambda: f"{area}.{mid}.{last}", "blanks": lambda: f"{area} {mid} {last}",
+        "bracket": lambda: f"({area}){' -'[i % 2]}{mid}-{last}", "trunk": lambda: f"0{20 + i}-{mid}-{last}",
+        "hex32": lambda: digest[:32], "hex40": lambda: digest[:40], "hex64": lambda: digest,
+        "numeral": lambda: str(int(digest, 16))[: 32 + i],
+    }[form]()
+
 
 def proposed(text: Column, kind: str, shape: str, pattern: str) -> Column:
     """All matches as structs of kind, shape, start, stop, the match, and what stands left and right of it."""
@@ -94,40 +144,80 @@ def strict(c: Column) -> Column:
 
 def features(c: Column) -> dict[str, Column]:
     """Small integers of format and context."""
-    n = F.length(digits_of(c["match"]))
-    seps = F.array_distinct(F.filter(F.split(F.regexp_replace(c["match"], "[0-9A-Za-z@_%]+", ""), ""), lambda x: x != ""))
+    m, before = c["match"], c["before"]
+    n = F.length(digits_of(m))
     edge = lambda s, p: F.when(s.rlike(p), 0).when(s.rlike("[\\p{L}0-9]"), 1).otherwise(2)
-    shape = F.lit(len(SHAPES) - 1)
-    for i, name in reversed(list(enumerate(SHAPES))):
+    shape = F.lit(len(JUDGED) - 1)
+    for i, name in reversed(list(enumerate(JUDGED))):
         shape = F.when(c["shape"] == name, i).otherwise(shape)
+    spelled = F.when(m.rlike("(?i)[\\])]\\x20?[A-Za-z0-9-]+.*\\.\\x20"), 0).when(m.rlike("[\\x20.\\])][A-Za-z]{2,}$"), F.when(m.rlike("(?i)[\\[(]\\x20?dot"), 1).otherwise(2)).otherwise(3)
+    local = F.when(m.startswith("("), 0).when(m.rlike("^0"), 1).when(m.rlike("^[0-9]+-[0-9]+-"), 2).when(m.rlike("^[0-9]+\\.[0-9]+\\."), 3).when(m.rlike("^[0-9]+\\x20[0-9]+\\x20"), 4).otherwise(5)
+    hexed = F.when(m.rlike("^[0-9]+$"), 0).when(m.rlike("^[A-Fa-f]+$"), 1).when(F.length(m) == 32, 2).when(F.length(m) == 40, 3).when(F.length(m) == 64, 4).otherwise(5)
+    cue = F.lit(0)
+    for kind, pattern in FOR.items():
+        cue = F.when((c["kind"] == kind) & before.rlike(pattern), 1).otherwise(cue)
     return {
         "shape": shape,
-        "digits": F.when(n < 7, 0).when(n < 9, 1).when(n < 12, 2).when(n < 16, 3).when(n == 16, 4).when(n < 20, 5).otherwise(6),
-        "seps": F.least(F.size(seps), F.lit(2)),
-        "left": edge(F.right(c["before"], F.lit(1)), "^\\s?$"),
+        "form": F.when(c["shape"] == "spelled", spelled).when(c["shape"] == "local", local).otherwise(hexed),
+        "digits": F.when(n == 0, 0).when(n < 9, 1).when(n < 11, 2).when(n < 16, 3).otherwise(4),
+        "left": edge(F.right(before, F.lit(1)), "^\\s?$"),
         "right": edge(F.left(c["after"], F.lit(1)), "^\\s?$"),
-        "keyword": c["before"].rlike(KEYWORDS).cast("int"),
+        "cue": F.when(before.rlike(AGAINST), 2).otherwise(cue),
+        "given": before.rlike("[=:]\\s*[\"']?$").cast("int"),
     }
 
 
+def masked(c: Column) -> Column:
+    """A base span as the judged shape that is left when what its rule relies on is taken away; null where there is none."""
+    like = lambda kind, shape, match: F.struct(F.lit(kind).alias("kind"), F.lit(shape).alias("shape"), match.alias("match"), c["before"].alias("before"), c["after"].alias("after"))
+    local = F.regexp_replace(c["match"], "^\\+[0-9]{1,3}[\\x20.-]?", "")
+    spelled = F.regexp_replace(F.regexp_replace(c["match"], "@", " [at] "), "\\.([A-Za-z]+)$", " [dot] $1")
+    pattern = {g[1]: g[2] for g in GENERATORS}
+    of_phone = (c["shape"] == "plus") & local.rlike(f"^{pattern['local']}$")
+    of_mail = (c["shape"] == "address") & spelled.rlike(f"^{pattern['spelled']}$")
+    return F.when(of_phone, like("phone", "local", local)).when(of_mail, like("email", "spelled", spelled))
+
+
+def _cells(c: Column) -> Column:
+    return F.struct(*[v.cast("int").alias(k) for k, v in features(c).items()])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``found``: the spans of all generators with their strict test and features."""
+    """``docs`` with ``sure``, the spans that pass their base rule, with their masked features, and ``found``, those that
+    have no base rule, with theirs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = F.concat(*[proposed(text, *g) for g in GENERATORS])
-    marked = lambda c: F.struct(c["kind"].alias("kind"), c["shape"].alias("shape"), c["start"].alias("start"), c["stop"].alias("stop"), strict(c).alias("passed"), F.struct(*[v.cast("int").alias(k) for k, v in features(c).items()]).alias("f"))
-    return docs.withColumn("every", every).withColumn("found", F.transform("every", marked)).drop("every")
+    ruled, judged = (F.concat(*[proposed(text, *g) for g in GENERATORS if (g[1] in JUDGED) == j]) for j in (False, True))
+    place = lambda c: (c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))
+    fold = lambda c: F.pmod(F.xxhash64(c["match"]), F.lit(2)).cast("int").alias("fold")
+    learn = lambda c: F.get(F.transform(F.filter(F.array(masked(c)), lambda m: m.isNotNull()), _cells), 0)
+    sure = F.transform(F.filter(ruled, strict), lambda c: F.struct(*place(c), fold(c), learn(c).alias("f")))
+    found = F.transform(judged, lambda c: F.struct(*place(c), fold(c), c["shape"].alias("shape"), _cells(c).alias("f")))
+    return docs.withColumn("sure", sure).withColumn("found", found)
+
+
+def examples(spark: SparkSession) -> DataFrame:
+    """Cells (features, fold, pos, neg) of the examples; the fold is by what fills the example."""
+    rows = [(shape, good, around.replace("{x}", filled(form, i)), around.index("{x}")) for shape, good, arounds, forms in EXAMPLES for around in arounds for form in forms for i in range(FILLS)]
+    listed = F.array(*[F.struct(F.lit(s).alias("want"), F.lit(g).alias("good"), F.lit(t).alias("text"), F.lit(at).alias("at")) for s, g, t, at in rows])
+    found = candidates(spark.range(1).select(F.inline(listed))).select("want", "good", "at", F.explode("found").alias("c"))
+    mine = found.filter((F.col("c.shape") == F.col("want")) & (F.col("c.start") <= F.col("at") + 6) & (F.col("c.stop") > F.col("at")))
+    return _counted(mine.select("c.f.*", "c.fold", F.col("good").alias("good")))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*FEATURES, "fold").agg(F.sum("good").cast("double").alias("pos"), F.sum(1 - F.col("good")).cast("double").alias("neg"))
 
 
 def grow(cells: list[dict], trees: int = TREES, rate: float = RATE) -> list[tuple]:
     """Boosted trees of depth 2 with logistic loss over labelled cells {features, pos, neg}.
 
     A tree is ((feature, limit), left, right); a side is ((feature, limit), low, high) or a number. Rows with
-    feature <= limit go left.
+    feature <= limit go left; with a nominal feature, those where it equals the limit.
     """
     data = [c for c in cells if c["pos"] + c["neg"] > 0]
     if not data:
         return []
-    tests = [(f, v) for f, n in FEATURES.items() for v in range(n - 1)]
+    tests = [(f, v) for f, n in FEATURES.items() for v in range(n if f in NOMINAL else n - 1)]
     score = [0.0] * len(data)
     out = []
 
@@ -143,9 +233,9 @@ def grow(cells: list[dict], trees: int = TREES, rate: float = RATE) -> list[tupl
     def best(rows: list[int]):
         found = None
         for f, v in tests:
-            low = [i for i in rows if data[i][f] <= v]
+            low = [i for i in rows if goes_left(data[i], f, v)]
             if low and len(low) < len(rows):
-                high = [i for i in rows if data[i][f] > v]
+                high = [i for i in rows if not goes_left(data[i], f, v)]
                 gain = value(low)[1] + value(high)[1]
                 if found is None or gain > found[0] + 1e-9:
                     found = (gain, (f, v), low, high)
@@ -160,17 +250,21 @@ def grow(cells: list[dict], trees: int = TREES, rate: float = RATE) -> list[tupl
     for _ in range(trees):
         cut = best(list(range(len(data))))
         if cut is None:
-            out.append((("shape", len(SHAPES)), rate * value(list(range(len(data))))[0], 0.0))
+            out.append((("digits", FEATURES["digits"]), rate * value(list(range(len(data))))[0], 0.0))
         else:
             out.append((cut[1], side(cut[2]), side(cut[3])))
         score = [s + leaf(out[-1], c) for s, c in zip(score, data, strict=True)]
     return out
 
 
+def goes_left(cell: dict, f: str, v: int) -> bool:
+    return cell[f] == v if f in NOMINAL else cell[f] <= v
+
+
 def leaf(tree, cell: dict) -> float:
     while isinstance(tree, tuple):
         (f, v), low, high = tree
-        tree = low if cell[f] <= v else high
+        tree = low if goes_left(cell, f, v) else high
     return tree
 
 
@@ -180,7 +274,7 @@ def scored(trees: list[tuple], f: Column) -> Column:
         if not isinstance(tree, tuple):
             return F.lit(float(tree))
         (name, v), low, high = tree
-        return F.when(f[name] <= v, walk(low)).otherwise(walk(high))
+        return F.when(f[name] == v if name in NOMINAL else f[name] <= v, walk(low)).otherwise(walk(high))
 
     total = F.lit(0.0)
     for tree in trees:
@@ -189,59 +283,57 @@ def scored(trees: list[tuple], f: Column) -> Column:
 
 
 def train(found: DataFrame, precision: float = PRECISION) -> tuple[list[tuple], dict[str, float]]:
-    """(trees, threshold by shape) from ``found`` (array of candidates). What reaches the driver are at most MOST_CELLS cells."""
-    each = found.select(F.explode("found").alias("c")).select("c.f.*", "c.passed")
-    cells = [r.asDict() for r in each.groupBy(*FEATURES).agg(F.count_if("passed").alias("pos"), F.count_if(~F.col("passed")).alias("neg")).orderBy(*FEATURES).collect()]
-    trees = grow(cells)
-    marks = [(sum(leaf(t, c) for t in trees), c) for c in cells]
+    """(trees, threshold by shape) from ``found`` (with ``sure``). What reaches the driver are at most MOST_CELLS cells."""
+    order = [*FEATURES, "fold"]
+    made = [r.asDict() for r in examples(found.sparkSession).orderBy(*order).collect()]
+    own = found.select(F.explode("sure").alias("c")).filter("c.f is not null").select("c.f.*", "c.fold", F.lit(1).alias("good"))
+    own = [r.asDict() for r in _counted(own).orderBy(*order).collect()]
+    # The corpus's cells weigh as much in all as the positive examples, whatever its size.
+    weight = sum(c["pos"] for c in made) / max(1.0, sum(c["pos"] for c in own))
+    fitted = [c for c in made if c["fold"] == 0] + [c | {"pos": c["pos"] * weight} for c in own if c["fold"] == 0]
+    trees = grow(fitted)
 
     def threshold(rows: list) -> float:
         pos = neg = 0
         lowest = math.inf
-        rows = sorted((x for x in rows if x[1]["pos"] + x[1]["neg"]), key=lambda x: -x[0])
+        rows = sorted(rows, key=lambda x: -x[0])
         for k, (s, c) in enumerate(rows):
             pos, neg = pos + c["pos"], neg + c["neg"]
             if (k + 1 == len(rows) or rows[k + 1][0] < s) and pos >= precision * (pos + neg):
                 lowest = s
         return lowest
 
-    whole = threshold(marks)
-    limits = {}
-    for i, shape in enumerate(SHAPES):
-        own = [x for x in marks if x[1]["shape"] == i and x[1]["pos"] + x[1]["neg"]]
-        limits[shape] = threshold(own) if own else whole
-    return trees, limits
+    marks = [(sum(leaf(t, c) for t in trees), c) for c in made if c["fold"] == 1]
+    return trees, {shape: threshold([x for x in marks if x[1]["shape"] == i]) for i, shape in enumerate(JUDGED)}
 
 
 def find_pii(docs: DataFrame, *, precision: float = PRECISION, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``spans``: structs (start, rank, kind, stop, base), sorted; code points, stop exclusive.
 
-    ``base`` marks the spans of the base rules, the others are those the trees select that touch no base span.
-    Columns of ``docs`` named ``spans``, ``every``, ``found`` or ``sure`` are replaced; without ``keep_text``, ``text``
-    is dropped. The candidates are written once, since the trees learn from all of them before they judge each.
+    ``base`` marks the spans of the base rules; the others are those the trees select that touch no base span and no
+    other of a higher score. Columns of ``docs`` named ``spans``, ``found`` or ``sure`` are replaced; without
+    ``keep_text``, ``text`` is dropped. The candidates are written once, since the trees learn from all of them before
+    they judge each.
     """
     out = candidates(docs)
     out = materialize(out if keep_text else out.drop("text"), "candidates")
     trees, limits = train(out, precision)
-    rank = F.lit(len(KINDS))
 
-    def span(c: Column) -> Column:
-        r = rank
+    def span(c: Column, base: bool) -> Column:
+        r = F.lit(len(KINDS))
         for i, k in reversed(list(enumerate(KINDS))):
             r = F.when(c["kind"] == k, i).otherwise(r)
-        return F.struct(c["start"].alias("start"), r.cast("int").alias("rank"), c["kind"].alias("kind"), c["stop"].alias("stop"), F.coalesce(c["passed"], F.lit(False)).alias("base"))
-
-    def chosen(c: Column) -> Column:
-        limit = F.lit(math.inf)
-        for shape, v in limits.items():
-            limit = F.when(c["shape"] == shape, F.lit(v)).otherwise(limit)
-        return scored(trees, c["f"]) >= limit if trees else F.lit(False)
-
-    out = out.withColumn("sure", F.filter("found", lambda c: F.coalesce(c["passed"], F.lit(False))))
-    apart = lambda c: ~F.exists("sure", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    more = F.filter("found", lambda c: ~F.coalesce(c["passed"], F.lit(False)) & chosen(c) & apart(c))
-    both = F.array_distinct(F.transform(F.concat("sure", more), span))
-    return out.withColumn("spans", F.sort_array(both)).drop("found", "sure")
+        return F.struct(c["start"].alias("start"), r.cast("int").alias("rank"), c["kind"].alias("kind"), c["stop"].alias("stop"), F.lit(base).alias("base"))
+
+    limit = lambda c: F.when(c["shape"] == "spelled", limits["spelled"]).when(c["shape"] == "local", limits["local"]).otherwise(limits["hex"])
+    apart = lambda c, others: ~F.exists(others, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    marked = F.transform("found", lambda c: F.struct((-scored(trees, c["f"])).alias("cost"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"), c["shape"].alias("shape")))
+    chosen = F.array_sort(F.filter(marked, lambda c: (-c["cost"] >= limit(c)) & apart(c, F.col("sure"))))
+    none = F.array().cast("array<struct<cost:double,start:int,stop:int,kind:string,shape:string>>")
+    more = F.aggregate(chosen, none, lambda acc, c: F.when(apart(c, acc), F.concat(acc, F.array(c))).otherwise(acc))
+    both = F.concat(F.transform("sure", lambda c: span(c, True)), F.transform(more, lambda c: span(c, False)))
+    spans = F.when((F.size("sure") > 0) | (F.size("found") > 0), F.sort_array(F.array_distinct(both)))
+    return out.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int,base:boolean>>"))).drop("found", "sure")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -413,3 +413,45 @@ def test_style_tree_matches_plain_loops(spark):
     assert any("Same" not in r.text and "own" in r.text for r in rows) and main_text(empty(df)).count() == 0
     long = "<article>" + "".join(f"<p>part {i}</p>" for i in range(30000)) + "</article>"
     assert text_of(long).count("\n\n") == 29999
+
+
+#: Planted texts, written apart from the examples that the trees learn from: the span that is private, or none.
+PRIVATE = [
+    ("Please email jane.roe [at] fastpost [dot] info about it", "jane.roe [at] fastpost [dot] info"), ("questions go to k_smith(at)lab.example.edu please", "k_smith(at)lab.example.edu"),
+    ("team (at) firm (dot) co (dot) uk", "team (at) firm (dot) co (dot) uk"), ("Written by zoe [at] web [dot] de in May", "zoe [at] web [dot] de"),
+    ("Mobile: 646-555-0187", "646-555-0187"), ("you can call me on 312.555.0143 after six", "312.555.0143"), ("her cell is 503 555 0171", "503 555 0171"),
+    ("Dr. Lee (808) 555-0125 Honolulu", "(808) 555-0125"), ("fax 030-555-0199", "030-555-0199"), ("Phone number: 917-555-0110.", "917-555-0110"),
+    ("text me at 720-555-0162!", "720-555-0162"), ("Mr. Poe, 205-555-0113, asked again", "205-555-0113"),
+    ("ACCESS_TOKEN: " + "3f" * 20, "3f" * 20), ("aws secret key = " + "0a9b8c7d" * 5, "0a9b8c7d" * 5), ("password=" + "e4d9" * 8, "e4d9" * 8), ("auth token '" + "c0ffee12" * 8 + "'", "c0ffee12" * 8),
+]
+LOOKALIKES = [
+    "order 100-200-3000 x", "invoice number 482-193-2201 is due", "part 771-204-9932 rev b", "isbn 978-316-1484", "version 12.204.1180 of it", "SKU 440.100.2000", "the row 100 200 3000 4000 5000",
+    "counts 120 340 5600 and 10", "see ref 331-220-1044", "item no 201-330-4400", "look (at) fig.12", "sold (at) approx. five", "meet us (at) 10.30", "prices (at) min. cost",
+    "commit " + "ab12" * 10, "sha256 " + "9f86d081" * 8, "md5: " + "5d41402a" * 4, "checksum = " + "77aa" * 8, "the blob " + "deadbeef" * 5 + " was packed", "digits " + "31415926" * 5, "tree hash " + "0f1e" * 10,
+    "call +12 345 for 4111 1111 1111 1112", "serial 550-120-9981", "build 10.100.2000",
+]
+
+
+def test_pii_finds_what_has_no_base_rule_and_leaves_lookalikes(spark):
+    from curatrix.llm.pii import find_pii
+
+    texts = [t for t, _ in PRIVATE] + LOOKALIKES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [r.text[s.start : s.stop] for s in r.spans if not s.base] for r in find_pii(df).collect()}
+    hits = sum(got[i] == [want] for i, (_, want) in enumerate(PRIVATE))
+    wrong = {texts[i]: got[i] for i in range(len(PRIVATE), len(texts)) if got[i]}
+    missed = [(t, got[i]) for i, (t, w) in enumerate(PRIVATE) if got[i] != [w]]
+    # Recall and precision on texts that no example shares.
+    assert hits >= 0.8 * len(PRIVATE), missed
+    assert hits >= 0.9 * (hits + len(wrong)), wrong
+
+
+def test_pii_spans_of_repeated_rows_and_overlaps(spark):
+    from curatrix.llm.pii import find_pii
+
+    rows = [(1, "phone (212) 555-0147 mail a@b.cd", "s")] * 3 + [(None, "reach x [at] y [dot] com or call 212-555-0147-555-0199", None)]
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string, found string")).collect()
+    assert len({str(r.spans) for r in got if r.doc_id == 1}) == 1 and len(got) == 4
+    for r in got:
+        own = [s for s in r.spans if not s.base]
+        assert all(a.stop <= b.start or b.stop <= a.start for a in own for b in r.spans if a != b)
