@@ -1,14 +1,20 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals.
 
-Coarse centroids and the residuals' codebooks are fitted on a bounded sample of
-:data:`SAMPLE_ROWS` vectors, chosen by a hash of the id; every vector is then
-indexed under its nearest centroid as :data:`SUBSPACES` bytes. A query visits the
-cells of its nearest centroids, ranks their rows by asymmetric distance tables,
-and the best :data:`RERANK` of each block, with all that tie with the last of
-them, are measured again on the original vectors in double precision. Large
-cells and many queries of a cell are dealt out in blocks of bounded size, and
-only a query's best leave a block. A query that finds fewer rows than asked for
-visits all cells.
+Equal vectors are one entry, which keeps the smallest of their ids that any
+result can need. Coarse centroids, about the square root of the rows in number
+up to :data:`MOST_CELLS`, and the residuals' codebooks are fitted on a bounded
+sample of SAMPLE_PER_CELL vectors a cell, chosen by a hash of the id; every entry
+is then indexed under its nearest centroid as :data:`SUBSPACES` bytes. On a part
+of the sample the true neighbours are known: a query visits as many of its
+nearest cells as hold :data:`REACH` of them there, so clustered vectors need few
+and shapeless ones many.
+
+A query ranks the rows of its cells by asymmetric distance tables; only codes
+travel to it, and only its best :data:`RERANK` of all cells are joined with the
+original vectors and measured again in double precision. Large cells and many
+queries of a cell are dealt out in blocks of bounded size, and only a query's
+best leave a block. A query that finds fewer rows than asked for visits all
+cells.
 
 Defined results: vectors that are null, zero, hold null or non-finite
 components, or aren't of the commonest length take no part, nor do rows without
@@ -26,14 +32,18 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import materialize
 
-SAMPLE_ROWS = 20_000
-CELLS = 128
-PROBES = 72
+#: Bounds of the number of cells and of the sample, which holds at most their product in rows.
+MOST_CELLS = 2048
+SAMPLE_PER_CELL = 64
+LEAST_SAMPLE = 20_000
+#: Share of the true neighbours of sampled queries that the visited cells must hold, and the number of these queries.
+REACH = 0.95
+TRIALS = 500
 SUBSPACES = 16
 CODES = 256
-RERANK = 512
+RERANK = 300
 #: Rows and queries of a cell that meet in one block.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 BLOCK_QUERIES = 1024
 ROUNDS = 12
 
@@ -55,8 +65,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
         d = (c * c).sum(1)[None, :] - 2 * x @ c.T
         at = d.argmin(1)
         n = np.bincount(at, minlength=k)
+        by_cell = np.argsort(at, kind="stable")
         sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
+        sums[n > 0] = np.add.reduceat(x[by_cell], (np.cumsum(n) - n)[n > 0], axis=0)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
         if (n == 0).any():
             far = (d[np.arange(len(x)), at] + (x * x).sum(1)).argsort()[::-1]
@@ -65,20 +76,38 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and codebooks."""
+    """Coarse centroids, codebooks, and the number of cells that a query visits."""
 
-    def __init__(self, sample: np.ndarray, cells: int = CELLS, subspaces: int = SUBSPACES, codes: int = CODES, rounds: int = ROUNDS, seed: int = 7):
+    def __init__(self, sample: np.ndarray, cells: int, subspaces: int = SUBSPACES, codes: int = CODES, rounds: int = ROUNDS, seed: int = 7, reach: float = REACH, k: int = 10):
         x = sample.astype(np.float64)
-        self.coarse = kmeans(x, max(1, min(cells, len(x) // 30)), rounds, seed)
+        self.coarse = kmeans(x, max(1, min(cells, len(x) // 8)), rounds, seed)
         rest = x - self.coarse[self.nearest(x, 1)[:, 0]]
         edges = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int)
         self.parts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         self.books = [kmeans(rest[:, a:b], min(codes, len(x)), rounds, seed + i) for i, (a, b) in enumerate(self.parts)]
+        self.probes = self.needed(x, reach, k)
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         d = (self.coarse * self.coarse).sum(1)[None, :] - 2 * x @ self.coarse.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
+    def needed(self, x: np.ndarray, reach: float, k: int) -> int:
+        """The cells to visit that hold a share ``reach`` of the ``k`` true neighbours of rows of ``x`` among all of it."""
+        if len(x) < 2:
+            return 1
+        home, places = self.nearest(x, 1)[:, 0], []
+        for q in range(0, min(len(x), TRIALS), 50):
+            own = x[q : min(q + 50, TRIALS)]
+            d = (x * x).sum(1)[None, :] - 2 * own @ x.T
+            d[np.arange(len(own)), np.arange(q, q + len(own))] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+            order = self.nearest(own, len(self.coarse))
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+            places.append(np.take_along_axis(place, home[near], axis=1).ravel())
+        every = np.sort(np.concatenate(places))
+        return int(every[min(len(every) - 1, int(np.ceil(reach * len(every))) - 1)]) + 1
+
     def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = x - self.coarse[cell]
         return np.stack([((k * k).sum(1)[None, :] - 2 * rest[:, a:b] @ k.T).argmin(1) for (a, b), k in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
@@ -92,55 +121,55 @@ class Index:
         return total
 
 
-def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, **params) -> Index | None:
-    """An index fitted on a bounded sample, or None without vectors."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
-    return Index(np.array([r["v"] for r in rows]), **params) if rows else None
+def fit(vectors: DataFrame, rows: int, *, most_cells: int = MOST_CELLS, **params) -> Index | None:
+    """An index fitted on a bounded sample of ``rows`` distinct vectors, or None without any."""
+    cells = max(1, min(most_cells, round(rows**0.5)))
+    found = vectors.orderBy(F.xxhash64("entry"), "entry").limit(max(LEAST_SAMPLE, SAMPLE_PER_CELL * cells)).select("v").collect()
+    return Index(np.array([r["v"] for r in found]), cells, **params) if found else None
 
 
-def _visit(index_rows: DataFrame, queries: DataFrame, shared, probes: int, rerank: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the best ``k`` of each query."""
+def _visit(index_rows: DataFrame, entries: DataFrame, queries: DataFrame, shared, probes: int, rerank: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the best ``k`` of each query (vec_id, v)."""
 
     def probe(frames):
         for pdf in frames:
             if len(pdf):
                 q = np.array(pdf["v"].tolist())
                 near = shared.value.nearest(q, probes)
-                yield pd.DataFrame({"cell": near.ravel(), "query_id": np.repeat(pdf["vec_id"].to_numpy(), near.shape[1]), "q": [v for v in pdf["v"] for _ in range(near.shape[1])]})
+                yield pd.DataFrame({"cell": near.ravel(), "query_id": np.repeat(pdf["vec_id"].to_numpy(), near.shape[1]), "q": [v for v in q.astype(np.float32) for _ in range(near.shape[1])]})
 
-    asked = queries.mapInPandas(probe, "cell int, query_id long, q array<double>")
+    asked = queries.mapInPandas(probe, "cell int, query_id long, q array<float>")
     # Block numbers of both sides; the counts have one row a cell.
     blocks = index_rows.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("row_blocks"))
     rounds = asked.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK_QUERIES) + 1).cast("int").alias("query_blocks"))
     sizes = materialize(blocks.join(rounds, "cell"), "cells")
-    left = index_rows.join(F.broadcast(sizes), "cell").withColumn("row_block", F.pmod(F.xxhash64("vec_id"), "row_blocks").cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+    left = index_rows.join(F.broadcast(sizes), "cell").withColumn("row_block", F.pmod(F.xxhash64("entry"), "row_blocks").cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
     right = asked.join(F.broadcast(sizes), "cell").withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
 
     def rank(rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asking):
-            ids = rows["vec_id"].to_numpy()
+            ids = rows["entry"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(ids), -1)[order]
-            x = np.array(rows["v"].tolist())[order]
             cell = int(rows["cell"].iloc[0])
             for query_id, q in zip(asking["query_id"], asking["q"], strict=True):
-                d = shared.value.distances(np.asarray(q), cell, codes)
-                d[ids == query_id] = np.inf
-                last = np.partition(d, rerank - 1)[rerank - 1] if len(d) > rerank else np.inf
-                near = np.flatnonzero((d <= last) & (d < np.inf))
-                exact = np.sqrt(((x[near] - np.asarray(q)) ** 2).sum(1))
-                best = np.argsort(exact, kind="stable")[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[near[best]], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                d = shared.value.distances(np.asarray(q, dtype=np.float64), cell, codes)
+                best = np.argsort(d, kind="stable")[:rerank] if len(d) <= 2 * rerank else np.sort(np.argpartition(d, rerank)[:rerank])
+                out.append(pd.DataFrame({"query_id": query_id, "entry": ids[best], "near": d[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
 
     keys = ["cell", "row_block", "query_block"]
-    found = left.select(*keys, "vec_id", "codes", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+    found = left.select(*keys, "entry", "codes").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(rank, "query_id long, entry long, near double")
+    first = found.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("near", "entry"))).filter(F.col("rn") <= rerank)
+    measured = first.select("query_id", "entry").join(entries, "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    gaps = F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    each = measured.select("query_id", F.explode("ids").alias("vec_id"), F.sqrt(gaps).alias("score")).filter("vec_id <> query_id")
+    return each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int = PROBES, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, cells: int = CELLS, subspaces: int = SUBSPACES) -> DataFrame:
+def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int | None = None, rerank: int = RERANK, subspaces: int = SUBSPACES, most_cells: int = MOST_CELLS) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest of all other rows, for the rows where ``queries`` (on vec_id) holds."""
     spark = rows.sparkSession
     vectors = materialize(usable(rows), "vectors")
@@ -149,22 +178,25 @@ def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int = PROBE
     if not lengths:
         return spark.createDataFrame([], empty)
     vectors = vectors.filter(F.size("v") == lengths[0]["n"])
-    shared = spark.sparkContext.broadcast(fit(vectors, sample_rows, cells=cells, subspaces=subspaces))
+    # Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query but themselves.
+    ids = vectors.withColumn("rn", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
+    entries = materialize(ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("entry"), "ids", "v"), "entries")
+    shared = spark.sparkContext.broadcast(fit(entries, entries.count(), subspaces=subspaces, most_cells=most_cells, k=k))
 
     def code(frames):
         for pdf in frames:
             if len(pdf):
                 x = np.array(pdf["v"].tolist())
                 cell = shared.value.nearest(x, 1)[:, 0]
-                yield pd.DataFrame({"cell": cell, "vec_id": pdf["vec_id"], "codes": [c.tobytes() for c in shared.value.codes(x, cell)], "v": pdf["v"]})
+                yield pd.DataFrame({"cell": cell, "entry": pdf["entry"], "codes": [c.tobytes() for c in shared.value.codes(x, cell)]})
 
-    index_rows = materialize(vectors.mapInPandas(code, "cell int, vec_id long, codes binary, v array<double>"), "index")
-    asked = vectors.filter(queries)
-    found = materialize(_visit(index_rows, asked, shared, probes, max(rerank, k), k), "found")
+    index_rows = materialize(entries.select("entry", "v").mapInPandas(code, "cell int, entry long, codes binary"), "index")
+    asked = materialize(vectors.filter(queries), "asked")
+    found = materialize(_visit(index_rows, entries, asked, shared, probes or shared.value.probes, max(rerank, k), k), "found")
     others = vectors.count() - 1
     full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, others)).select(F.col("query_id").alias("vec_id"))
     short = asked.join(full, "vec_id", "left_anti")
     if others and not short.isEmpty():
-        again = _visit(index_rows, short, shared, len(shared.value.coarse), max(rerank, k), k)
+        again = _visit(index_rows, entries, short, shared, len(shared.value.coarse), max(rerank, k), k)
         found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -455,3 +455,34 @@ def test_pii_spans_of_repeated_rows_and_overlaps(spark):
     for r in got:
         own = [s for s in r.spans if not s.base]
         assert all(a.stop <= b.start or b.stop <= a.start for a in own for b in r.spans if a != b)
+
+
+def test_ann_visits_few_cells_of_clustered_vectors_and_breaks_ties(spark):
+    from curatrix.llm import ann
+
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(80, 24)) * 4
+    x = (centres[rng.integers(0, 80, 8000)] + rng.normal(size=(8000, 24)) * 0.7).astype(np.float32).astype(float)
+    x[100:160] = x[100]  # sixty equal vectors, one of them a query
+    rows = [(i, v, "k", 1, "q") for i, v in enumerate(x.tolist())]
+    rows += [(300, [9.0] * 24, "again", 1, "q"), (None, [1.0] * 24, None, None, None), (9000, [1.0] * 23, "short", 1, "q")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string, rank int, v string")
+    entries = ann.usable(df).filter("size(v) = 24").select(F.col("vec_id").alias("entry"), "v")
+    index = ann.fit(entries, entries.count())
+    assert index.probes < len(index.coarse) / 4
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids = np.arange(8000)
+    x[300] = min(x[300].tolist(), [9.0] * 24)
+    hits = 0
+    for q in range(0, 8000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((ids, d))[:10].tolist()
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 11)) and all(abs(s - d[v]) < 1e-9 for _, v, s in mine)
+        assert [(s, v) for _, v, s in mine] == sorted((s, v) for _, v, s in mine)
+        hits += len(set(want) & {m[1] for m in mine})
+    assert [v for _, v, _ in sorted(got[100])] == list(range(101, 111)) and hits >= 0.9 * 800
+    assert ann.search(empty(df), F.col("vec_id") % 100 == 0).count() == 0
