@@ -12,9 +12,10 @@ and shapeless ones many.
 A query ranks the rows of its cells by asymmetric distance tables; only codes
 travel to it, and only its best :data:`RERANK` of all cells are joined with the
 original vectors and measured again in double precision. Large cells and many
-queries of a cell are dealt out in blocks of bounded size, and only a query's
-best leave a block. A query that finds fewer rows than asked for visits all
-cells.
+queries of a cell are dealt out in blocks of bounded size. What leaves a block
+are the query's best within the distance that, by the sample, holds
+:data:`WITHIN` times RERANK rows, so it does not grow with the cells visited. A
+query that finds fewer rows than asked for visits all cells, at any distance.
 
 Defined results: vectors that are null, zero, hold null or non-finite
 components, or aren't of the commonest length take no part, nor do rows without
@@ -42,6 +43,8 @@ TRIALS = 500
 SUBSPACES = 16
 CODES = 256
 RERANK = 300
+#: Rows, by the sample, within the distance that a query looks to, as a multiple of RERANK.
+WITHIN = 2
 #: Rows and queries of a cell that meet in one block.
 BLOCK_ROWS = 16384
 BLOCK_QUERIES = 1024
@@ -86,6 +89,11 @@ class Index:
         self.parts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         self.books = [kmeans(rest[:, a:b], min(codes, len(x)), rounds, seed + i) for i, (a, b) in enumerate(self.parts)]
         self.probes = self.needed(x, reach, k)
+        home = self.nearest(x, 1)[:, 0]
+        codes = self.codes(x, home)
+        coded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
+        self.error = float((((x - self.coarse[home]) - coded) ** 2).sum(1).mean())
+        self.sample = x.astype(np.float32)
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         d = (self.coarse * self.coarse).sum(1)[None, :] - 2 * x @ self.coarse.T
@@ -108,6 +116,13 @@ class Index:
         every = np.sort(np.concatenate(places))
         return int(every[min(len(every) - 1, int(np.ceil(reach * len(every))) - 1)]) + 1
 
+    def cutoff(self, q: np.ndarray, share: float) -> np.ndarray:
+        """The squared distance, with the mean error of codes, within which a share of the sample lies, of each query."""
+        x = self.sample
+        m = min(len(x) - 1, max(3, int(np.ceil(share * len(x)))))
+        out = [np.partition((x * x).sum(1) - 2 * (x @ row.astype(np.float32)), m)[m] + (row * row).sum() for row in q]
+        return np.array(out) + self.error
+
     def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = x - self.coarse[cell]
         return np.stack([((k * k).sum(1)[None, :] - 2 * rest[:, a:b] @ k.T).argmin(1) for (a, b), k in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
@@ -128,17 +143,18 @@ def fit(vectors: DataFrame, rows: int, *, most_cells: int = MOST_CELLS, **params
     return Index(np.array([r["v"] for r in found]), cells, **params) if found else None
 
 
-def _visit(index_rows: DataFrame, entries: DataFrame, queries: DataFrame, shared, probes: int, rerank: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the best ``k`` of each query (vec_id, v)."""
+def _visit(index_rows: DataFrame, entries: DataFrame, queries: DataFrame, shared, probes: int, rerank: int, k: int, share: float | None) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the best ``k`` of each query (vec_id, v), within the distance of a share of rows."""
 
     def probe(frames):
         for pdf in frames:
             if len(pdf):
                 q = np.array(pdf["v"].tolist())
                 near = shared.value.nearest(q, probes)
-                yield pd.DataFrame({"cell": near.ravel(), "query_id": np.repeat(pdf["vec_id"].to_numpy(), near.shape[1]), "q": [v for v in q.astype(np.float32) for _ in range(near.shape[1])]})
+                cut = np.full(len(q), np.inf) if share is None else shared.value.cutoff(q, share)
+                yield pd.DataFrame({"cell": near.ravel(), "query_id": np.repeat(pdf["vec_id"].to_numpy(), near.shape[1]), "cut": np.repeat(cut, near.shape[1]), "q": [v for v in q.astype(np.float32) for _ in range(near.shape[1])]})
 
-    asked = queries.mapInPandas(probe, "cell int, query_id long, q array<float>")
+    asked = queries.mapInPandas(probe, "cell int, query_id long, cut double, q array<float>")
     # Block numbers of both sides; the counts have one row a cell.
     blocks = index_rows.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("row_blocks"))
     rounds = asked.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK_QUERIES) + 1).cast("int").alias("query_blocks"))
@@ -154,14 +170,15 @@ def _visit(index_rows: DataFrame, entries: DataFrame, queries: DataFrame, shared
             ids = ids[order]
             codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(ids), -1)[order]
             cell = int(rows["cell"].iloc[0])
-            for query_id, q in zip(asking["query_id"], asking["q"], strict=True):
+            for query_id, q, cut in zip(asking["query_id"], asking["q"], asking["cut"], strict=True):
                 d = shared.value.distances(np.asarray(q, dtype=np.float64), cell, codes)
-                best = np.argsort(d, kind="stable")[:rerank] if len(d) <= 2 * rerank else np.sort(np.argpartition(d, rerank)[:rerank])
+                best = np.flatnonzero(d <= cut)
+                best = best[np.argsort(d[best], kind="stable")[:rerank]]
                 out.append(pd.DataFrame({"query_id": query_id, "entry": ids[best], "near": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
 
     keys = ["cell", "row_block", "query_block"]
-    found = left.select(*keys, "entry", "codes").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(rank, "query_id long, entry long, near double")
+    found = left.select(*keys, "entry", "codes").groupBy(*keys).cogroup(right.select(*keys, "query_id", "cut", "q").groupBy(*keys)).applyInPandas(rank, "query_id long, entry long, near double")
     first = found.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("near", "entry"))).filter(F.col("rn") <= rerank)
     measured = first.select("query_id", "entry").join(entries, "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     gaps = F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
@@ -181,7 +198,8 @@ def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int | None
     # Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query but themselves.
     ids = vectors.withColumn("rn", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
     entries = materialize(ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("entry"), "ids", "v"), "entries")
-    shared = spark.sparkContext.broadcast(fit(entries, entries.count(), subspaces=subspaces, most_cells=most_cells, k=k))
+    size = entries.count()
+    shared = spark.sparkContext.broadcast(fit(entries, size, subspaces=subspaces, most_cells=most_cells, k=k))
 
     def code(frames):
         for pdf in frames:
@@ -192,11 +210,11 @@ def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int | None
 
     index_rows = materialize(entries.select("entry", "v").mapInPandas(code, "cell int, entry long, codes binary"), "index")
     asked = materialize(vectors.filter(queries), "asked")
-    found = materialize(_visit(index_rows, entries, asked, shared, probes or shared.value.probes, max(rerank, k), k), "found")
+    found = materialize(_visit(index_rows, entries, asked, shared, probes or shared.value.probes, max(rerank, k), k, WITHIN * max(rerank, k) / size), "found")
     others = vectors.count() - 1
     full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, others)).select(F.col("query_id").alias("vec_id"))
     short = asked.join(full, "vec_id", "left_anti")
     if others and not short.isEmpty():
-        again = _visit(index_rows, entries, short, shared, len(shared.value.coarse), max(rerank, k), k)
+        again = _visit(index_rows, entries, short, shared, len(shared.value.coarse), max(rerank, k), k, None)
         found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
