@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import pieces
+from curatrix.llm.common import bound_batches, pieces
 
 #: Strings that mean something to the format; fixed values.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -368,6 +368,7 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE, piece_chars: int = 1
     ``loss`` has [start, stop) pairs of code points of the part. Parts of a conversation come in one task, one after
     the other, so a conversation of any length needs the memory of its longest text.
     """
+    bound_batches(rows.sparkSession)
     run = compile_template(template)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

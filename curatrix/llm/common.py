@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from curatrix.sources.store import shared_folder
 
+#: Bytes of an Arrow batch: a task holds one in the executor and one in Python.
+BATCH_BYTES = "8m"
 #: Rows of a slice of an Arrow batch in Python; texts can be long.
 BATCH_ROWS = 500
 
@@ -32,6 +34,11 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, which hold whole texts; their rows stay as they are set."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of few rows. Spark bounds the bytes of a batch; this bounds what Python makes of one at a time."""
     for batch in batches:

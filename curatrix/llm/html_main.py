@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import materialize, pieces
+from curatrix.llm.common import bound_batches, materialize, pieces
 
 #: Sightings, as if all differed, that every node has besides its own; a node seen nine times with one text is low.
 PRIOR = 1.5
@@ -237,6 +237,7 @@ def host(url: Column) -> Column:
 
 def style_tree(pages: DataFrame, content_weight: float = CONTENT_WEIGHT, prior: float = PRIOR) -> DataFrame:
     """(host, node, pages, importance) of every node with blocks of its own."""
+    bound_batches(pages.sparkSession)
     types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
     names = ["host", "page", "node", "parent", "content", "feature"]
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import pieces
+from curatrix.llm.common import bound_batches, pieces
 
 SPACE = "▁"
 #: Stretches and token pairs of one generation of a worker's memory, which has two.
@@ -312,6 +312,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, source: str, f) -> DataFra
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), f(batch.column(source))], [*kept, name])
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -355,6 +356,7 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "id
             rows = [c.encode(t, end) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), _lists(rows), pa.array(map(c.decode, rows), pa.string())], [*kept, ids, decoded])
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

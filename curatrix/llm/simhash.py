@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize, pieces, written
+from curatrix.llm.common import bound_batches, materialize, pieces, written
 from curatrix.sources.store import remove
 
 SHINGLE = 4
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found.view(np.int64))], ["doc_id", "h", "fp"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import pieces
+from curatrix.llm.common import bound_batches, pieces
 from curatrix.sources.store import shared_folder
 
 LEAST_BYTES = 100
@@ -198,6 +198,7 @@ def reassembled(found: DataFrame) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives, read them back and describe every page; responses by what was read, revisits by their record."""
+    bound_batches(spark)
     path = shared_folder(spark, "warc")
     write_warc(pages, path)
     out = reassembled(read_records(spark, path))
