@@ -163,7 +163,7 @@ def _visit(index_rows: DataFrame, entries: DataFrame, queries: DataFrame, shared
     right = asked.join(F.broadcast(sizes), "cell").withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
 
     def rank(rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        who, what, near = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(rows) and len(asking):
             ids = rows["entry"].to_numpy()
             order = np.argsort(ids, kind="stable")
@@ -174,8 +174,10 @@ def _visit(index_rows: DataFrame, entries: DataFrame, queries: DataFrame, shared
                 d = shared.value.distances(np.asarray(q, dtype=np.float64), cell, codes)
                 best = np.flatnonzero(d <= cut)
                 best = best[np.argsort(d[best], kind="stable")[:rerank]]
-                out.append(pd.DataFrame({"query_id": query_id, "entry": ids[best], "near": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
+                who.append(np.full(len(best), query_id))
+                what.append(ids[best])
+                near.append(d[best])
+        return pd.DataFrame({"query_id": np.concatenate(who), "entry": np.concatenate(what), "near": np.concatenate(near)})
 
     keys = ["cell", "row_block", "query_block"]
     found = left.select(*keys, "entry", "codes").groupBy(*keys).cogroup(right.select(*keys, "query_id", "cut", "q").groupBy(*keys)).applyInPandas(rank, "query_id long, entry long, near double")
