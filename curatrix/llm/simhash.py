@@ -18,6 +18,14 @@ another exact way: every fingerprint is dealt to all words within 2 bits; two
 fingerprints share such a word just if they link, and at most 2,081 can share
 one.
 
+:func:`similar` asks for more: texts link at a Jaccard similarity of
+:data:`SIMILARITY` or more of their sets of :data:`WIDE_SHINGLE`-word shingles.
+Such pairs differ in more bits than four (about ten of 64 at 0.8), so each set has
+:data:`ROUNDS` independent fingerprints, pairs of one key are candidates up to
+:data:`WIDE_BITS` differing bits, and candidates are verified on their whole sets.
+Keys still hold any pair with two segments of two or fewer differing bits each;
+what that finds depends on the similarity and is stated in the README.
+
 Defined results: null and empty texts have the fingerprint zero and link like
 any other; texts under four words are one shingle; repeated rows come back as
 often as they went in; rows without an id link like any other but name a
@@ -46,6 +54,10 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most distinct fingerprints of a key that are compared with each other.
 RUN_ROWS = 4096
+#: Words of a shingle, least similarity, fingerprints and differing bits of candidates of :func:`similar`.
+WIDE_SHINGLE, SIMILARITY, ROUNDS, WIDE_BITS = 5, 0.8, 3, 17
+#: Odd numbers that make further fingerprints from one hash of a shingle.
+ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Tasks to which the rows of one key of a join are dealt.
 SALTS = 8
 #: Generator polynomial of the binary Golay code of length 23.
@@ -53,21 +65,25 @@ GENERATOR = 0b101011100011
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash of one text, unsigned."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the shingles of one text, repeats included; of the whole sequence where it has fewer words."""
     import xxhash
 
     ws = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not ws:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(ws)
-    if len(ws) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if len(ws) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1)
-    starts = np.concatenate(([0], ends[: -SHINGLE])).tolist()
-    stops = (ends[SHINGLE - 1 :] - 1).tolist()
+    starts = np.concatenate(([0], ends[:-size])).tolist()
+    stops = (ends[size - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 14):
         block = hashes[k : k + (1 << 14)]
@@ -75,6 +91,11 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << int(b) for b in np.nonzero(2 * counts > len(hashes))[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """The SimHash of one text, unsigned."""
+    return majority(shingle_hashes(text, SHINGLE))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, h, fp): h hashes the text, fp is the fingerprint; both are signed 64-bit numbers."""
 
@@ -159,8 +180,10 @@ def forest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
 
     left, right = [], []
     for s in range(0, n, step):
-        near = np.bitwise_count(fp[s : s + step, None] ^ fp[None, :]) <= max_bits
-        for x, y in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+        bits = np.bitwise_count(fp[s : s + step, None] ^ fp[None, :])
+        x, y = np.nonzero(bits <= max_bits)
+        # The nearest first, so that the forest holds the closest links.
+        for x, y in zip(*(v[np.argsort(bits[x, y], kind="stable")].tolist() for v in (x, y)), strict=True):
             if s + x < y:
                 a, b = root(s + x), root(y)
                 if a != b:
@@ -235,6 +258,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN_ROWS) ->
     """Links (a, b) that connect just the distinct fingerprints ``fps`` (fp) whose graph of at most ``max_bits`` differing bits connects them."""
     if max_bits > 4:
         raise ValueError("three Golay segments find pairs of up to four differing bits")
+    dealt = keyed_rows(fps)
+    found = materialize(dealt.mapInArrow(lambda it: link_sorted(it, max_bits, run_rows), "a long, b long").distinct(), "links")
+    crowded = found.filter("b is null").select(F.col("a").alias("fp"))
+    masks = F.array(*[F.lit(m).cast("long") for m in flips(max_bits // 2)])
+    middle = crowded.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("middle"))
+    least = middle.groupBy("middle").agg(F.min("fp").alias("first"))
+    dense = middle.join(least, "middle").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
+    return found.filter("b is not null").unionByName(dense)
+
+
+def keyed_rows(fps: DataFrame) -> DataFrame:
+    """Fingerprints (fp) under their composite keys, sorted within the tasks that hold a key."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,18 +278,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN_ROWS) ->
                 key, row = composite_keys(fp[s : s + 2000].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[s : s + 2000][row])], ["key", "fp"])
 
-    dealt = fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    found = materialize(dealt.mapInArrow(lambda it: link_sorted(it, max_bits, run_rows), "a long, b long").distinct(), "links")
-    crowded = found.filter("b is null").select(F.col("a").alias("fp"))
-    masks = F.array(*[F.lit(m).cast("long") for m in flips(max_bits // 2)])
-    middle = crowded.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("middle"))
-    least = middle.groupBy("middle").agg(F.min("fp").alias("first"))
-    dense = middle.join(least, "middle").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
-    return found.filter("b is not null").unionByName(dense)
+    return fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link, root the least node reachable: alternating large and small stars."""
+    """(node, root) of every node with a link, roots included, root the least node reachable: alternating large and small stars."""
     edges, folder = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     state = None
     while True:
@@ -269,7 +297,7 @@ def components(edges: DataFrame) -> DataFrame:
         remove(edges.sparkSession, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         state = now
 
 
@@ -292,14 +320,105 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return _grouped(docs, max_bits).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprints(docs: DataFrame, size: int, rounds: int) -> DataFrame:
+    """(doc_id, h, set, fps): set hashes the set of shingles, fps are its fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in pieces(batches):
+            sets, fps = [], []
+            for t in batch.column("text").to_pylist():
+                own = np.unique(shingle_hashes(t, size))
+                sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                fps.append(np.array([majority(own * np.uint64(salt) ^ (own * np.uint64(salt) >> np.uint64(32))) for salt in ROUND_SALTS[:rounds]], dtype=np.uint64).view(np.int64).tolist())
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(sets, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "set", "fps"])
+
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, set long, fps array<long>")
+
+
+def candidates(nodes: DataFrame, rounds: int, max_bits: int) -> DataFrame:
+    """Links (a, b) to verify between ``nodes`` (set, fps): sets with one fingerprint to the least of them, and the least of
+    fingerprints that share a key at ``max_bits`` differing bits or fewer."""
+    parts = []
+    for r in range(rounds):
+        own = nodes.select("set", F.col("fps")[r].alias("fp"))
+        least = materialize(own.groupBy("fp").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("n")), "round")
+        near = keyed_rows(least).mapInArrow(lambda it: link_sorted(it, max_bits, 1 << 62), "a long, b long").distinct()
+        one, two = (least.select(F.col("fp").alias(x), F.col("first").alias(f"set_{x}")) for x in ("a", "b"))
+        parts.append(near.join(one, "a").join(two, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+        parts.append(salted(own, least.filter("n > 1").select("fp", "first"), "fp", "set").filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose shingles have at least the similarity in common. Only texts in a pair are read again,
+    one for each set."""
+    named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    wanted = nodes.join(named, "set").select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("h"), "text")
+    same = F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.h") == F.col("w.h"))
+    texts = rows.alias("r").join(wanted.alias("w"), same).select("set", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            own = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(own, pa.binary())], ["set", "own"])
+
+    # Rows that repeat the id and the text give one set several times.
+    sets = materialize(texts.mapInArrow(hashed, "set long, own binary").groupBy("set").agg(F.min("own").alias("own")), "shingles")
+    one, two = (sets.select(F.col("set").alias(x), F.col("own").alias(f"own_{x}")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            good = []
+            for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
+                p, q = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(shared >= similarity * (len(p) + len(q) - shared))
+            kept = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+
+    return both.select("a", "b", "own_a", "own_b").mapInArrow(compared, "a long, b long")
+
+
+def similar(docs: DataFrame, *, size: int = WIDE_SHINGLE, similarity: float = SIMILARITY, rounds: int = ROUNDS, max_bits: int = WIDE_BITS) -> DataFrame:
+    """(doc_id, h, lead) of every row: lead is the first (no_id, doc_id, h) of its group, texts that similarities connect."""
+    lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    marked = materialize(wide_fingerprints(docs, size, rounds), "fingerprints")
+    nodes = materialize(marked.groupBy("set").agg(F.min(lead).alias("lead"), F.min("fps").alias("fps")), "sets")
+    pairs = materialize(candidates(nodes, rounds, max_bits), "candidates")
+    roots = components(verified(pairs, docs, nodes, size, similarity))
+    rooted = materialize(nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "lead", "root"), "rooted")
+    linked = rooted.filter("root is not null")
+    lowest = linked.groupBy("root").agg(F.min("lead").alias("least"))
+    by_set = salted(linked, lowest, "root", "set").select("set", F.col("least").alias("lead")).unionByName(rooted.filter("root is null").select("set", "lead"))
+    return marked.join(by_set, "set").select("doc_id", "h", "lead")
+
+
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: that of the smallest id, or without any id of the text that
-    hashes lowest.
+    """One row of each component of :func:`near_duplicates`, with the columns of ``docs``: that of the smallest id, or without
+    any id of the text that hashes lowest.
 
     Rows are told apart by id and text, so rows with one id and different texts are kept or dropped each by its own
     component, and rows that repeat both count once.
     """
-    kept = _grouped(docs, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("h") == F.col("lead.h"))).select(F.col("doc_id").alias("id"), "h").distinct()
+    return _leading(docs, _grouped(docs, max_bits))
+
+
+def keep_one_similar(docs: DataFrame, **params) -> DataFrame:
+    """As :func:`keep_one`, of the groups of :func:`similar`."""
+    return _leading(docs, similar(docs, **params))
+
+
+def _leading(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("h") == F.col("lead.h"))).select(F.col("doc_id").alias("id"), "h").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("h"))
     same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.h") == F.col("k.h"))
     found = rows.alias("r").join(kept.alias("k"), same, "left_semi")

@@ -486,3 +486,125 @@ def test_ann_visits_few_cells_of_clustered_vectors_and_breaks_ties(spark):
         hits += len(set(want) & {m[1] for m in mine})
     assert [v for _, v, _ in sorted(got[100])] == list(range(101, 111)) and hits >= 0.9 * 800
     assert ann.search(empty(df), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_lm_score_matches_plain_counts(spark):
+    import math
+    from collections import Counter
+
+    from curatrix.llm.lm_score import LAMBDA, count_of, levels_of, score
+
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(rng.randint(0, 40))) for i in range(80)}
+    texts[80], texts[81] = None, "ax zz unseen AX"
+    single, joint = Counter(), Counter()
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    toks = {i: [*WORD.findall((t or "").lower()), None] for i, t in texts.items()}
+    for i, ts in toks.items():
+        if not held[i]:
+            single.update(ts)
+            joint.update(zip([None, *ts], ts, strict=False))
+    n, v = sum(single.values()), len(single)
+    about = lambda c: float(count_of(levels_of(np.array([c])))[0]) if c else 0.0
+    want = {}
+    for i, ts in toks.items():
+        total = 0.0
+        for before, w in zip([None, *ts], ts, strict=False):
+            s, h = about(single[w]), about(single[before])
+            j = min(about(joint[before, w]) if s else 0.0, h) / max(h, 1)
+            total += math.log10(LAMBDA * j + (1 - LAMBDA * (h > 0)) * min(1.0, (s + 1) / (n + v + 1)))
+        want[i] = total
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    # A probe may find a level too many, about once in a thousand.
+    assert sum(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want) >= 0.9 * len(want)
+    assert all(abs(got[i] - want[i]) <= 0.02 * abs(want[i]) + 0.2 for i in want)
+
+
+def test_lm_takes_rows_without_id(spark):
+    from curatrix.llm.lm_score import score
+
+    rows = score(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a")], "doc_id long, text string")).collect()
+    assert len(rows) == 3 and sorted(r.held_out for r in rows if r.doc_id is None) == [False, False]
+
+
+def test_chat_and_warc_take_repeated_rows_and_clashing_columns(spark):
+    from curatrix.llm import chat
+    from curatrix.llm.warc import round_trip
+
+    rows = [(1, 0, "user", "a", "x", 1), (1, 0, "user", "a", "x", 1), (1, 1, "assistant", "b", "y", 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string, loss int")
+    got = chat.read_back(chat.format_chats(df)).collect()
+    assert len(got) == 1 and got[0].n_turns == 3 and got[0].turns_sha256 == hashlib.sha256(b"user\na\nuser\na\nassistant\nb\n").hexdigest()
+    pages = spark.createDataFrame([(None, "u", "x" * 200, "k"), (2, "u", "x" * 200, "k"), (None, "u", "y", "k")], "page_id long, url string, html string, digest string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in round_trip(spark, pages).collect()), key=repr)
+    assert got == [(2, "response", None), (None, "response", None), (None, "revisit", 2)]
+    assert round_trip(spark, empty(pages)).count() == 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_sentencepiece_replaces_its_own_columns(spark):
+    from curatrix.llm.sentencepiece_codec import decode, default_model, encode
+
+    df = spark.createDataFrame([("a b", 1, "old", "k")], "text string, ids int, decoded string, kept string")
+    row = decode(encode(df, default_model()), default_model()).first()
+    assert row.decoded == "a b" and row.kept == "k" and isinstance(row.ids, list)
+
+
+def groups_of(items, linked):
+    """The least reachable item of each, by comparing all pairs."""
+    parent = {x: x for x in items}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in items:
+        for y in items:
+            if x < y and linked(x, y):
+                a, b = root(x), root(y)
+                parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in items}
+
+
+def near_copies():
+    """Documents with copies, near copies that change some words, chains of them, and unrelated ones."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
+    docs = []
+    for _ in range(12):
+        text = [word() for _ in range(rng.randint(80, 300))]
+        docs.append(text)
+        for edits in (0, 1, 1, 2, 3, 5, 12, 40):
+            copy = list(docs[-1] if edits == 3 else text)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            docs.append(copy)
+    docs += [["short", "text"], ["short", "text"], [], [], ["a"] * 40]
+    return [(1000 - i, " ".join(ws)) for i, ws in enumerate(docs)]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    from curatrix.llm import simhash
+
+    rows = near_copies()
+    fp = {i: simhash.fingerprint(t) for i, t in rows}
+    want = groups_of(list(fp), lambda x, y: bin(fp[x] ^ fp[y]).count("1") <= 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.fingerprint) for r in simhash.near_duplicates(df).collect()}
+    assert {i: g[0] for i, g in got.items()} == want and all(int(g[1], 16) == fp[i] for i, g in got.items())
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(want.values())
+
+
+def test_similar_texts_are_found_and_no_others(spark):
+    from curatrix.llm import simhash
+
+    rows = near_copies()
+    own = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    alike = lambda x, y: own[x] == own[y] or len(own[x] & own[y]) >= 0.8 * len(own[x] | own[y])
+    want = groups_of(list(own), alike)
+    got = {r.doc_id: r.lead.doc_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = [(x, y) for x in own for y in own if x < y and alike(x, y)]
+    assert sum(got[x] == got[y] for x, y in links) >= 0.97 * len(links)
+    assert all(want[i] == want[g] for i, g in got.items())
+    kept = simhash.keep_one_similar(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, h string"))
+    assert kept.columns == ["doc_id", "text", "h"] and len(set(want.values())) <= kept.count() <= len(set(want.values())) + 2
