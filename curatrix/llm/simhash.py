@@ -418,8 +418,10 @@ def keep_one_similar(docs: DataFrame, **params) -> DataFrame:
 
 
 def _leading(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("h") == F.col("lead.h"))).select(F.col("doc_id").alias("id"), "h").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("h"))
-    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.h") == F.col("k.h"))
-    found = rows.alias("r").join(kept.alias("k"), same, "left_semi")
-    return found.groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    """The rows of ``docs`` that lead a group, once each."""
+    # Ids as texts, so that rows without one join like any other and the last step needs no further shuffle.
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("id")
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("h") == F.col("lead.h"))
+    kept = groups.filter(leads).select(key(F.col("doc_id")), "h").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key(F.col("doc_id").cast("long")), text_hash().alias("h"))
+    return rows.join(kept, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
