@@ -35,7 +35,7 @@ def normalize_space(c: Column) -> Column:
 
 def mask_private(c: Column) -> Column:
     """Mobile numbers, e-mail addresses and messenger ids masked."""
-    c = F.regexp_replace(text_or_empty(c), r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[手机号]")
+    c = F.regexp_replace(text_or_empty(c), r"(?U)(?<!\d)1[3-9]\d{9}(?!\d)", "[手机号]")
     c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[邮箱]")
     return F.regexp_replace(c, r"(?i)(微信|VX|WeChat)[:：]?\s*[A-Za-z0-9_-]{5,}", "$1：[已脱敏]")
 
@@ -85,14 +85,24 @@ def fingerprint(c: Column) -> Column:
     return F.sha1(compact(c))
 
 
-def bucket_key(source: Column, text: Column, prefix: int = 32) -> Column:
-    """The blocking key of rows without title: source and the first characters of the similarity text."""
-    return F.concat_ws("|", title_key(source), F.substring(similarity_text(text), 1, prefix))
+def bucket_key(source: Column, text: Column, prefix: int = 32, company: Column | None = None, title: Column | None = None, place: Column | None = None) -> Column:
+    """The blocking key of a row: source, company, title and place; without a company source, title, place and the first
+    characters of the similarity text; without a title source and these characters."""
+    head = F.substring(similarity_text(text), 1, prefix)
+    part = lambda c: title_key(c) if c is not None else F.lit("")
+    s, c, t, p = title_key(source), part(company), part(title), part(place)
+    return F.when((t != "") & (c != ""), F.concat_ws("|", s, c, t, p)).when(t != "", F.concat_ws("|", s, t, p, head)).otherwise(F.concat_ws("|", s, head))
 
 
-def clean(c: Column) -> Column:
-    """The whole cleaning chain."""
-    return normalize_space(dedup_lines(remove_boilerplate(normalize_space(mask_private(c)))))
+def strip_furniture(c: Column) -> Column:
+    """The text of a page without scripts, styles, menus, headers and footers, a line a tag's text."""
+    c = F.regexp_replace(text_or_empty(c), r"(?is)<(script|style|noscript|nav|footer|header)\b.*?</\1\s*>", "\n")
+    return F.regexp_replace(c, r"<[^>]+>", "\n")
+
+
+def compact_hash(*texts: Column) -> Column:
+    """SHA-256 of lower-cased texts without blanks, one after the other."""
+    return F.sha2(F.regexp_replace(F.lower(F.concat_ws("\n", *(text_or_empty(t) for t in texts))), BLANKS, ""), 256)
 
 
 def language(c: Column) -> Column:

@@ -167,8 +167,11 @@ def quality_dataset(strict: DataFrame, candidates: DataFrame, vocabulary: dict[s
     Stages: strict rows, strict_plus, bootstrap rows with years (250 at most), quality_weak, and the other bootstrap rows.
     ``candidates`` are raw rows that are normalised again; external ones need leave.
     """
-    again = normalized(candidates.filter(tiers.training_allowed()), vocabulary)
-    clean = tiers.sanitized(again)
+    from curatrix.sources.store import shared_copy
+
+    # Written, since several stages read them and each would work out all fields again.
+    again = shared_copy(normalized(candidates.filter(tiers.training_allowed()), vocabulary), "normalized")
+    clean = shared_copy(tiers.sanitized(again), "sanitized")
     first = tiers.sanitized(strict.filter(tiers.is_strict()))
     names = ["id", "source", "job_title", "company", "location", "clean_text", "sections", "labels", "meta", "language", "sft_ready"]
     with_years = F.col("labels.experience") != ""
@@ -180,9 +183,10 @@ def quality_dataset(strict: DataFrame, candidates: DataFrame, vocabulary: dict[s
     for i, (df, tier) in enumerate(stages):
         part = df.select(*names, F.lit(i).alias("stage"), F.lit(tier).alias("tier"))
         every = part if every is None else every.unionByName(part)
+    every = shared_copy(every, "stages")
     asked = F.concat(F.lit(ADVERT_PROMPT), input_text(F.col("job_title"), F.col("company"), F.col("location"), F.col("clean_text")))
     every = every.withColumn("risk_reasons", tiers.risk_reasons(_answer_of_row(), asked, F.col("tier"), F.col("source")))
-    every = every.withColumns({"risk": tiers.risk_score(F.col("risk_reasons")), "experience": F.col("labels.experience"), "weak": F.lower(tiers.of_meta("intended_usage")) == tiers.WEAK_USAGE})
+    every = shared_copy(every, "risks").withColumns({"risk": tiers.risk_score(F.col("risk_reasons")), "experience": F.col("labels.experience"), "weak": F.lower(tiers.of_meta("intended_usage")) == tiers.WEAK_USAGE})
     chosen = tiers.select_tiers(every, total, max_weak_rate=max_weak_rate, excluded=excluded, stage_limits={2: 250}, seed=seed)
     return chosen.withColumn("quality", tiers.quality_score(F.col("tier"), F.col("risk"))).drop("experience", "stage")
 

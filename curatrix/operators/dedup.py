@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curatrix.sources.folders import shared_copy
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key; an aggregate, so equal keys meet pre-aggregated and none is a hot task."""
@@ -39,41 +40,39 @@ def shingle_counts(df: DataFrame, text: Column, id_col: str, size: int = 5) -> D
 def jaccard_pairs(df: DataFrame, id_col: str, bucket: str, text: str, threshold: float = 0.9, size: int = 5) -> DataFrame:
     """Pairs of distinct normalised texts in a bucket whose shingle sets have at least ``threshold`` in common.
 
-    Texts count once, by their least id. Candidates share one of the rarest-first prefix shingles that any such pair
-    must share, so pairs are few and buckets may be large.
+    Texts count once, by their least id, and those alone in their bucket not at all. Shingles are 64-bit hashes, made once a
+    text and kept in order. Two sets that alike share one of their first hashes (the prefixes that a pair must share), so
+    candidates are few and buckets may be large; they are compared on their whole sets.
     """
     texts = df.groupBy(bucket, text).agg(F.min(id_col).alias("id")).filter(F.col(text) != "")
+    many = texts.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(bucket)
+    texts = texts.join(many, bucket, "left_semi")
 
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for pdf in frames:
-            rows = []
-            for b, t, i in zip(pdf[bucket], pdf[text], pdf["id"], strict=True):
-                s = sorted(xxhash.xxh64_intdigest(x.encode()) >> 1 for x in shingles(t, size))
-                keep = len(s) - -(-int(threshold * len(s) * 1000) // 1000) + 1
-                rows += [(b, i, len(s), h) for h in s[: max(1, keep)]]
-            yield pd.DataFrame(rows, columns=["b", "id", "n", "h"])
-
-    prefix = texts.mapInPandas(explode, "b string, id long, n long, h long")
+            sets = [sorted(xxhash.xxh64_intdigest(x.encode()) >> 1 for x in shingles(t, size)) for t in pdf[text]]
+            yield pd.DataFrame({"b": pdf[bucket], "id": pdf["id"], "s": sets})
+
+    sets = shared_copy(texts.mapInPandas(hashed, "b string, id long, s array<long>"), "shingles")
+    keep = F.size("s") - F.ceil(F.size("s") * F.lit(threshold) - F.lit(1e-9)) + 1
+    prefix = sets.select("b", "id", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("h"))
     a, c = prefix.alias("a"), prefix.alias("c")
     near = a.join(c, (F.col("a.b") == F.col("c.b")) & (F.col("a.h") == F.col("c.h")) & (F.col("a.id") < F.col("c.id")) & (F.col("c.n") >= threshold * F.col("a.n")) & (F.col("a.n") >= threshold * F.col("c.n")))
     pairs = near.select(F.col("a.id").alias("left_id"), F.col("c.id").alias("right_id")).distinct()
-
-    @F.pandas_udf("double")
-    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            p, q = shingles(x, size), shingles(y, size)
-            return len(p & q) / len(p | q)
-
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)])
-
-    both = pairs.join(texts.select(F.col("id").alias("left_id"), F.col(text).alias("lt")), "left_id").join(texts.select(F.col("id").alias("right_id"), F.col(text).alias("rt")), "right_id")
-    return both.select("left_id", "right_id", jaccard("lt", "rt").alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    both = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("s").alias("p")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("s").alias("q")), "right_id")
+    shared = F.size(F.array_intersect("p", "q"))
+    both = both.withColumn("shared", shared).withColumn("jaccard", F.col("shared") / (F.size("p") + F.size("q") - F.col("shared")))
+    return both.select("left_id", "right_id", "jaccard").filter(F.col("jaccard") >= threshold)
 
 
 def greedy(df: DataFrame, bucket: str, order: str, text: str, threshold: float = 0.9, size: int = 5) -> DataFrame:
-    """Rows kept when compared, in order, with the rows kept before in their bucket."""
+    """Rows kept when compared, in order, with the rows kept before in their bucket.
+
+    The order decides what is kept, so a bucket is one task; buckets are titles, companies and places or beginnings of
+    texts, not sources. Equal texts should be dropped before.
+    """
     names = df.columns
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +103,3 @@ def greedy(df: DataFrame, bucket: str, order: str, text: str, threshold: float =
 def latest(df: DataFrame, key: str, order: list) -> DataFrame:
     """The last row of each key: a keyed upsert."""
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")).select("row.*")
-
-
-def occurrences(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(key)))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curatrix.functions.text import lines, strip, text_or_empty
 
@@ -118,3 +119,21 @@ def summary(found: Column) -> Column:
 
     counts = F.map_filter(F.create_map(*(c for k in kinds for c in (F.lit(k), n(k)))), lambda k, c: c > 0)
     return F.struct((F.size(found) > 0).alias("has_pii"), F.size(found).alias("total"), counts.alias("counts"))
+
+
+#: The texts and file names of a résumé's row.
+TEXTS, FILE_NAMES = ("raw_text", "clean_text", "normalized_text", "text"), ("file_name", "file_path")
+
+
+def rows_for_training(rows: DataFrame) -> DataFrame:
+    """``rows`` with private findings taken out of all their texts, sections and file names, and ``privacy``, what was found."""
+    own = [c for c in TEXTS if c in rows.columns]
+    found = findings(F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in own)))
+    out = rows.withColumn("privacy", summary(found)).withColumns({c: for_training(F.col(c)) for c in own})
+    out = out.withColumns({c: file_redacted(F.col(c)) for c in FILE_NAMES if c in rows.columns})
+    if "sections" not in rows.columns:
+        return out
+    kind = rows.schema["sections"].dataType
+    if isinstance(kind, StructType):
+        return out.withColumn("sections", F.struct(*(for_training(F.col(f"sections.{n}")).alias(n) for n in kind.names)))
+    return out.withColumn("sections", F.transform_values("sections", lambda _, v: for_training(v)))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import json_text, values
 from curatrix.functions import text as T
-from curatrix.operators import dedup, matching, pairing, privacy, sections, selection
+from curatrix.operators import audits, dedup, matching, pairing, privacy, sections, selection, statistics
+from curatrix.plans import fixtures
 from curatrix.session import table
-from curatrix.sources.store import shared_copy, shared_folder
+from curatrix.sources.folders import shared_copy, shared_folder
 from curatrix.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,10 +61,12 @@ select r.source, count(*) as n_rows, count(*) filter (rn = 1) as kept, count(*)
   round(avg(length(text)), 4) as mean_chars, count(l.doc_id) as n_labelled
 from r left join labels l using (doc_id) group by r.source""")
 def curation_summary(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "source", F.length("text").alias("n"), T.fingerprint(F.col("text")).alias("fp"))
-    firsts = d.groupBy("source", "fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(1).alias("first"))
-    joined = d.join(firsts, "doc_id", "left").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("has")), "doc_id", "left")
-    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.count("first").alias("kept"), F.count_if(F.col("first").isNull()).alias("dropped"), F.round(F.avg("n"), 4).alias("mean_chars"), F.count("has").alias("n_labelled"))
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("marks"))
+    d = docs(spark, sf_dir).select("doc_id", "source", F.length("text").alias("chars"), T.fingerprint(F.col("text")).alias("fp")).join(marks, "doc_id", "left")
+    # By text first, so that texts kept are counted as rows.
+    texts = d.groupBy("source", "fp").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.count("chars").alias("with_text"), F.sum(F.coalesce("marks", F.lit(0))).alias("marks"))
+    n, kept = F.sum("n"), F.count(F.lit(1))
+    return texts.groupBy("source").agg(n.alias("n_rows"), kept.alias("kept"), (n - kept).alias("dropped"), F.round(F.sum("chars") / F.sum("with_text"), 4).alias("mean_chars"), F.sum("marks").alias("n_labelled"))
 
 
 @query(f"""select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, '　', ' '), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n|[\\x1c-\\x1e]|\\x{{85}}|\\x{{2028}}|\\x{{2029}}'), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda x: x <> ''), chr(10)) as clean from documents""")
@@ -253,13 +256,13 @@ def q29_split_sizes_hash_order(spark, sf_dir):
 
 
 def document_links(spark, sf_dir) -> DataFrame:
-    """Links of documents that share a fingerprint or their first 200 characters, to the least id with the same key."""
+    """Links of documents that share a fingerprint or a similarity text, to the least id with the same key."""
     d = docs(spark, sf_dir)
-    keys = d.select("doc_id", T.fingerprint(F.col("text")).alias("k")).unionByName(d.select("doc_id", F.sha1(F.substring("text", 1, 200)).alias("k")))
+    keys = d.select("doc_id", T.fingerprint(F.col("text")).alias("k")).unionByName(d.select("doc_id", F.sha1(T.similarity_text(F.col("text"))).alias("k")))
     return keys.join(keys.groupBy("k").agg(F.min("doc_id").alias("a")), "k").select("a", F.col("doc_id").alias("b"))
 
 
-@query(f"""with recursive k as (select doc_id, sha1({COMPACT}) as k from documents union all select doc_id, sha1(substr(text, 1, 200)) from documents),
+@query(f"""with recursive k as (select doc_id, sha1({COMPACT}) as k from documents union all select doc_id, sha1({SIMILAR}) from documents),
 e as (select distinct a.doc_id as a, b.doc_id as b from k a join k b using (k)),
 r as (select a as node, a as root from e union select e.b, r.root from r join e on e.a = r.node where r.root < e.b),
 c as (select node as doc_id, min(root) as component from r group by node)
@@ -294,23 +297,27 @@ def q32_first_seen_split_leakage(spark, sf_dir):
     return m.join(f, "g").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") != F.col("first")).alias("leaked"))
 
 
-@query("""with b as (select distinct sha1(regexp_replace(lower(text), '\\s+', '', 'g')) as h from benchmark),
-l as (select doc_id, unnest(string_split(text, chr(10))) as x from documents)
-select doc_id, count(*) as n_hits from l where sha1(regexp_replace(lower(x), '\\s+', '', 'g')) in (select h from b) group by doc_id""")
+@query("""select lang, count(*) as n_held from documents where doc_id in (select doc_id from labels) group by lang""")
 def q33_holdout_overlap(spark, sf_dir):
-    held = table(spark, sf_dir, "benchmark").select(T.fingerprint(F.col("text")).alias("h")).distinct()
-    found = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", T.fingerprint(F.col("x")).alias("h"))
-    return found.join(held, "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    """Samples whose source is held out; the labelled documents play the holdout."""
+    samples = docs(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit("_jd_parse")).alias("id"), "lang")
+    held = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return audits.held_out(samples, held).groupBy("lang").agg(F.count(F.lit(1)).alias("n_held"))
 
 
-@query()
+SHINGLES = "list_distinct(list_transform(range(1, greatest(2, length(t) - 3)), lambda i: substr(t, i, 5)))"
+
+
+@query(f"select doc_id, cast(case when t = '' then 0 else len({SHINGLES}) end as bigint) as n_shingles from (select doc_id, {SIMILAR} as t from documents)")
 def q34_shingle_counts(spark, sf_dir):
     return dedup.shingle_counts(docs(spark, sf_dir), T.similarity_text(F.col("text")), "doc_id")
 
 
-@query()
+@query(f"""with d as (select source as b, {SIMILAR} as t, min(doc_id) as id from documents group by 1, 2), s as (select b, id, {SHINGLES} as s from d where t <> ''),
+p as (select a.id as left_id, c.id as right_id, len(list_intersect(a.s, c.s)) as k, len(a.s) as m, len(c.s) as n from s a join s c on a.b = c.b and a.id < c.id and len(c.s) >= 0.9 * len(a.s) and len(a.s) >= 0.9 * len(c.s))
+select left_id, right_id, k / (m + n - k) as jaccard from p where k / (m + n - k) >= 0.9""")
 def q35_near_dup_pairs_jaccard(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", T.bucket_key(F.col("source"), F.col("text")).alias("bucket"), T.similarity_text(F.col("text")).alias("t"))
+    d = docs(spark, sf_dir).select("doc_id", F.col("source").alias("bucket"), T.similarity_text(F.col("text")).alias("t"))
     return dedup.jaccard_pairs(d, "doc_id", "bucket", "t")
 
 
@@ -339,22 +346,18 @@ def q38_keyword_argmax(spark, sf_dir):
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    """Each labelled document with the first other one of its language, and with that of the next language, in hash order."""
+    """Each labelled document with the next two of its language and the next one of another, in hash order."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", F.length("text").alias("n"), "quality", "toxic")
-    order = F.struct(selection.hash_order("p", F.col("doc_id")).alias("h"), F.col("doc_id").alias("doc_id"))
-    best = d.groupBy("lang").agg(F.min_by(F.struct("doc_id", "n", "quality", "toxic"), order).alias("r"))
-    left = d.alias("a").join(best.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.doc_id") != F.col("b.r.doc_id")))
-    nearest = best.select(F.col("lang").alias("to"), "r").join(best.select(F.col("lang").alias("from")), F.col("from") < F.col("to")).groupBy("from").agg(F.min_by("r", "to").alias("r"))
-    other = d.alias("a").join(nearest.alias("b"), F.col("a.lang") == F.col("b.from"))
-    pick = [F.col("a.doc_id").alias("left_id"), F.col("b.r.doc_id").alias("right_id"), F.col("a.n").alias("ln"), F.col("b.r.n").alias("rn"), F.col("a.quality").alias("lq"), F.col("b.r.quality").alias("rq"), F.col("a.toxic").alias("lt"), F.col("b.r.toxic").alias("rt")]
-    return left.select(*pick, F.lit("positive").alias("kind")).unionByName(other.select(*pick, F.lit("negative").alias("kind")))
+    side = lambda s: [F.col(f"{s}.{c}").alias(f"{s[0]}{n}") for c, n in (("n", "n"), ("quality", "q"), ("toxic", "t"))]
+    return selection.partners(d, "doc_id", "lang", "p", 2, 1).select(F.col("left.doc_id").alias("left_id"), F.col("right.doc_id").alias("right_id"), *side("left"), *side("right"), "kind")
 
 
 PAIRS = """with d as (select doc_id, lang, length(text) as n, quality, toxic, sha1('p:' || doc_id) as h from documents join labels using (doc_id)),
-best as (select * from (select *, row_number() over (partition by lang order by h, doc_id) as rn from d) where rn = 1),
-nxt as (select * from (select b.*, a.lang as src, row_number() over (partition by a.lang order by b.lang) as k from best a join best b on a.lang < b.lang) where k = 1),
-p as (select a.doc_id as left_id, b.doc_id as right_id, a.n as ln, b.n as rn, a.quality as lq, b.quality as rq, a.toxic as lt, b.toxic as rt, 'positive' as kind from d a join best b on a.lang = b.lang and a.doc_id <> b.doc_id
-union all select a.doc_id, b.doc_id, a.n, b.n, a.quality, b.quality, a.toxic, b.toxic, 'negative' from d a join nxt b on a.lang = b.src)
+r as (select *, row_number() over (order by lang, h, doc_id) - 1 as place, count(*) over (partition by lang) as c, count(*) over () as total from d),
+m as (select *, min(place) over (partition by lang) as beg from r),
+o as (select m.*, beg + (place - beg + i) % c as "to", 'positive' as kind from m, range(1, 3) as t(i) where i <= c - 1
+union all select m.*, case when (place - beg) % (total - c) < beg then (place - beg) % (total - c) else (place - beg) % (total - c) + c end, 'negative' from m where total > c),
+p as (select a.doc_id as left_id, b.doc_id as right_id, a.n as ln, b.n as rn, a.quality as lq, b.quality as rq, a.toxic as lt, b.toxic as rt, a.kind from o a join m b on a."to" = b.place)
 """
 
 
@@ -396,10 +399,10 @@ def q43_preference_strategy_pick(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.element_at(names, (n + 1).cast("int")).alias("strategy"))
 
 
-@query("select doc_id, unnest(['plain', 'compact', 'ocr']) as variant, unnest([substr(text, 1, 80), regexp_replace(substr(text, 1, 80), '\\s+', '', 'g'), translate(substr(text, 1, 80), 'lO', '10')]) as x from documents")
+@query(f"select doc_id, unnest(['plain', 'compact', 'ocr']) as variant, unnest([text, regexp_replace(text, '{BLANK}+', '', 'g'), translate(text, 'lO', '10')]) as x from documents")
 def q44_variant_explode(spark, sf_dir):
-    head = F.substring("text", 1, 80)
-    v = F.array(F.struct(F.lit("plain").alias("variant"), head.alias("x")), F.struct(F.lit("compact").alias("variant"), F.regexp_replace(head, T.BLANKS, "").alias("x")), F.struct(F.lit("ocr").alias("variant"), F.translate(head, "lO", "10").alias("x")))
+    text = F.col("text")
+    v = F.array(F.struct(F.lit("plain").alias("variant"), text.alias("x")), F.struct(F.lit("compact").alias("variant"), F.regexp_replace(text, T.BLANKS, "").alias("x")), F.struct(F.lit("ocr").alias("variant"), F.translate(text, "lO", "10").alias("x")))
     return docs(spark, sf_dir).select("doc_id", F.inline(v))
 
 
@@ -414,8 +417,10 @@ def q45_set_prf1_by_group(spark, sf_dir):
 
 @query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as highest, round(avg(value), 6) as mean from events group by event_type")
 def q46_latency_percentiles(spark, sf_dir):
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.max("value").alias("highest"), F.round(F.avg("value"), 6).alias("mean"))
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    ranks = statistics.percentiles(events, "event_type", "value", {"p50": 0.5, "p95": 0.95}).drop("n")
+    whole = events.groupBy("event_type").agg(F.max("value").alias("highest"), F.round(F.avg("value"), 6).alias("mean"))
+    return ranks.join(whole, "event_type")
 
 
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")
@@ -517,3 +522,7 @@ def g02_revenue_by_nation(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("r"), 2).alias("revenue"))
+
+
+QUERIES.update(fixtures.QUERIES)
+ORACLES.update(fixtures.ORACLES)
