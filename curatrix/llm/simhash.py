@@ -22,9 +22,11 @@ one.
 :data:`SIMILARITY` or more of their sets of :data:`WIDE_SHINGLE`-word shingles.
 Such pairs differ in more bits than four (about ten of 64 at 0.8), so each set has
 :data:`ROUNDS` independent fingerprints, pairs of one key are candidates up to
-:data:`WIDE_BITS` differing bits, and candidates are verified on their whole sets.
-Keys still hold any pair with two segments of two or fewer differing bits each;
-what that finds depends on the similarity and is stated in the README.
+:data:`WIDE_BITS` differing bits if all fingerprints together agree as much as the
+similarity lets expect, and candidates are verified on their whole sets, first the
+closest of each set and then those that these did not connect. Keys still hold any
+pair with two segments of two or fewer differing bits each; what that finds depends
+on the similarity and is stated in the README.
 
 Defined results: null and empty texts have the fingerprint zero and link like
 any other; texts under four words are one shingle; repeated rows come back as
@@ -42,6 +44,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import bound_batches, materialize, pieces, written
@@ -55,7 +58,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most distinct fingerprints of a key that are compared with each other.
 RUN_ROWS = 4096
 #: Words of a shingle, least similarity, fingerprints and differing bits of candidates of :func:`similar`.
-WIDE_SHINGLE, SIMILARITY, ROUNDS, WIDE_BITS = 5, 0.8, 3, 17
+WIDE_SHINGLE, SIMILARITY, ROUNDS, WIDE_BITS = 5, 0.8, 4, 17
+#: Closest fingerprints that one of a key with over 32 is a candidate with; candidates of a set verified first; how many
+#: standard deviations more bits than its similarity lets expect a candidate may differ in.
+NEAREST, FIRST, DEVIATIONS = 3, 2, 3.0
 #: Odd numbers that make further fingerprints from one hash of a shingle.
 ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Tasks to which the rows of one key of a join are dealt.
@@ -180,10 +186,8 @@ def forest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
 
     left, right = [], []
     for s in range(0, n, step):
-        bits = np.bitwise_count(fp[s : s + step, None] ^ fp[None, :])
-        x, y = np.nonzero(bits <= max_bits)
-        # The nearest first, so that the forest holds the closest links.
-        for x, y in zip(*(v[np.argsort(bits[x, y], kind="stable")].tolist() for v in (x, y)), strict=True):
+        near = np.bitwise_count(fp[s : s + step, None] ^ fp[None, :]) <= max_bits
+        for x, y in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
             if s + x < y:
                 a, b = root(s + x), root(y)
                 if a != b:
@@ -193,7 +197,25 @@ def forest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, run_rows: int) -> Iterator[pa.RecordBatch]:
+def nearest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
+    """Links of each fingerprint of one key to the NEAREST closest before it, within ``max_bits``; in very large runs those
+    before it in its own block of :data:`RUN_ROWS` and in the first one."""
+    left, right = [], []
+    for s in range(0, len(fp), 512):
+        own = np.arange(s, min(s + 512, len(fp)))
+        block = s // RUN_ROWS * RUN_ROWS
+        before = np.concatenate((np.arange(min(block, RUN_ROWS)), np.arange(block, own[-1] + 1)))
+        bits = np.bitwise_count(fp[own, None] ^ fp[None, before]).astype(np.int16)
+        bits[before[None, :] >= own[:, None]] = 999
+        k = min(NEAREST, len(before))
+        pick = np.argpartition(bits, k - 1, axis=1)[:, :k]
+        x, y = np.nonzero(np.take_along_axis(bits, pick, axis=1) <= max_bits)
+        left += before[pick[x, y]].tolist()
+        right += own[x].tolist()
+    return left, right
+
+
+def link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, run_rows: int, among=forest) -> Iterator[pa.RecordBatch]:
     """Links (a, b) within the runs of equal keys of rows sorted by (key, fp); a row (fp, null) for each one of a run over ``run_rows``."""
 
     def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
@@ -216,7 +238,7 @@ def link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, run_rows: int)
             left.append(fp[at])
             right.append(fp[at + k])
         for h, n in zip(heads[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-            a, b = forest(fp[h : h + n], max_bits)
+            a, b = among(fp[h : h + n], max_bits)
             left.append(fp[h : h + n][a])
             right.append(fp[h : h + n][b])
         if left and sum(map(len, left)):
@@ -339,21 +361,43 @@ def wide_fingerprints(docs: DataFrame, size: int, rounds: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, set long, fps array<long>")
 
 
-def candidates(nodes: DataFrame, rounds: int, max_bits: int) -> DataFrame:
-    """Links (a, b) to verify between ``nodes`` (set, fps): sets with one fingerprint to the least of them, and the least of
-    fingerprints that share a key at ``max_bits`` differing bits or fewer."""
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits of ``bits`` that sets of a similarity hardly exceed."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.ceil(p * bits + DEVIATIONS * (p * (1 - p) * bits) ** 0.5))
+
+
+def candidates(nodes: DataFrame, rounds: int, max_bits: int, similarity: float) -> DataFrame:
+    """Pairs (a, b, bits) of ``nodes`` (set, fps) to verify, a < b: sets with one fingerprint and the least of them, and the
+    least of fingerprints that share a key; bits counts those that differ over all fingerprints."""
     parts = []
     for r in range(rounds):
         own = nodes.select("set", F.col("fps")[r].alias("fp"))
         least = materialize(own.groupBy("fp").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("n")), "round")
-        near = keyed_rows(least).mapInArrow(lambda it: link_sorted(it, max_bits, 1 << 62), "a long, b long").distinct()
+        near = keyed_rows(least).mapInArrow(lambda it: link_sorted(it, max_bits, 1 << 62, nearest), "a long, b long").distinct()
         one, two = (least.select(F.col("fp").alias(x), F.col("first").alias(f"set_{x}")) for x in ("a", "b"))
         parts.append(near.join(one, "a").join(two, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
         parts.append(salted(own, least.filter("n > 1").select("fp", "first"), "fp", "set").filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (nodes.select(F.col("set").alias(x), F.col("fps").alias(f"fps_{x}")) for x in ("a", "b"))
+    bits = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return out.join(one, "a").join(two, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= most_bits(similarity, 64 * rounds))
+
+
+def verified_in_turn(pairs: DataFrame, check) -> DataFrame:
+    """The pairs that ``check`` keeps, as far as they connect: the closest of each set first, then those between sets that
+    these leave apart. Groups of near copies have many pairs, most of which connect nothing new."""
+    rank = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
+    ranked = materialize(pairs.withColumn("rank", rank), "pairs")
+    first = materialize(check(ranked.filter(F.col("rank") <= FIRST).select("a", "b")), "first")
+    roots = components(first)
+    one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    rest = ranked.filter(F.col("rank") > FIRST).join(one, "a", "left").join(two, "b", "left")
+    apart = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return first.unionByName(check(apart))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -393,8 +437,8 @@ def similar(docs: DataFrame, *, size: int = WIDE_SHINGLE, similarity: float = SI
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     marked = materialize(wide_fingerprints(docs, size, rounds), "fingerprints")
     nodes = materialize(marked.groupBy("set").agg(F.min(lead).alias("lead"), F.min("fps").alias("fps")), "sets")
-    pairs = materialize(candidates(nodes, rounds, max_bits), "candidates")
-    roots = components(verified(pairs, docs, nodes, size, similarity))
+    pairs = candidates(nodes, rounds, max_bits, similarity)
+    roots = components(verified_in_turn(pairs, lambda p: verified(p, docs, nodes, size, similarity)))
     rooted = materialize(nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "lead", "root"), "rooted")
     linked = rooted.filter("root is not null")
     lowest = linked.groupBy("root").agg(F.min("lead").alias("least"))
