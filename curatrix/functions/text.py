@@ -94,6 +94,15 @@ def bucket_key(source: Column, text: Column, prefix: int = 32, company: Column |
     return F.when((t != "") & (c != ""), F.concat_ws("|", s, c, t, p)).when(t != "", F.concat_ws("|", s, t, p, head)).otherwise(F.concat_ws("|", s, head))
 
 
+def clean(c: Column, markup: bool = False) -> Column:
+    """The whole cleaning chain; of a page with ``markup`` its text without furniture. Character references are decoded in
+    Python, in one batch a row before all other steps."""
+    from curatrix.functions.values import unescaped_once
+
+    plain = unescaped_once(strip_furniture(c) if markup else c)
+    return normalize_space(dedup_lines(remove_boilerplate(normalize_space(mask_private(plain)))))
+
+
 def strip_furniture(c: Column) -> Column:
     """The text of a page without scripts, styles, menus, headers and footers, a line a tag's text."""
     c = F.regexp_replace(text_or_empty(c), r"(?is)<(script|style|noscript|nav|footer|header)\b.*?</\1\s*>", "\n")

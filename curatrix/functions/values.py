@@ -23,6 +23,11 @@ def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape)
 
 
+#: Called once a row and never moved: rules over a cleaned text refer to it many times, and filters over it would be
+#: evaluated below it again.
+_unescaped_once = F.pandas_udf(lambda s: s.map(html.unescape), StringType()).asNondeterministic()
+
+
 @F.pandas_udf(StringType())
 def _compatible(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x))
@@ -33,6 +38,11 @@ def unescaped(c: Column) -> Column:
     return _unescaped(text_or_empty(c))
 
 
+def unescaped_once(c: Column) -> Column:
+    """As :func:`unescaped`, for texts that much is built upon."""
+    return _unescaped_once(text_or_empty(c))
+
+
 def compatible(c: Column) -> Column:
     """In Unicode's compatibility form NFKC, which Spark lacks."""
     return _compatible(text_or_empty(c))
