@@ -23,10 +23,9 @@ one.
 Such pairs differ in more bits than four (about ten of 64 at 0.8), so each set has
 :data:`ROUNDS` independent fingerprints, pairs of one key are candidates up to
 :data:`WIDE_BITS` differing bits if all fingerprints together agree as much as the
-similarity lets expect, and candidates are verified on their whole sets, first the
-closest of each set and then those that these did not connect. Keys still hold any
-pair with two segments of two or fewer differing bits each; what that finds depends
-on the similarity and is stated in the README.
+similarity lets expect, and the closest candidates of each set are verified on their
+whole sets. Keys still hold any pair with two segments of two or fewer differing bits
+each; what that finds depends on the similarity and is stated in the README.
 
 Defined results: null and empty texts have the fingerprint zero and link like
 any other; texts under four words are one shingle; repeated rows come back as
@@ -58,10 +57,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most distinct fingerprints of a key that are compared with each other.
 RUN_ROWS = 4096
 #: Words of a shingle, least similarity, fingerprints and differing bits of candidates of :func:`similar`.
-WIDE_SHINGLE, SIMILARITY, ROUNDS, WIDE_BITS = 5, 0.8, 4, 17
-#: Closest fingerprints that one of a key with over 32 is a candidate with; candidates of a set verified first; how many
-#: standard deviations more bits than its similarity lets expect a candidate may differ in.
-NEAREST, FIRST, DEVIATIONS = 3, 2, 3.0
+WIDE_SHINGLE, SIMILARITY, ROUNDS, WIDE_BITS = 5, 0.8, 2, 12
+#: Closest earlier fingerprints or sets that one is a candidate with (groups of near copies have many pairs, most of which
+#: connect nothing new); how many standard deviations more bits than its similarity lets expect a candidate may differ in.
+NEAREST, DEVIATIONS = 3, 3.0
 #: Odd numbers that make further fingerprints from one hash of a shingle.
 ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Tasks to which the rows of one key of a join are dealt.
@@ -368,8 +367,9 @@ def most_bits(similarity: float, bits: int) -> int:
 
 
 def candidates(nodes: DataFrame, rounds: int, max_bits: int, similarity: float) -> DataFrame:
-    """Pairs (a, b, bits) of ``nodes`` (set, fps) to verify, a < b: sets with one fingerprint and the least of them, and the
-    least of fingerprints that share a key; bits counts those that differ over all fingerprints."""
+    """Pairs (a, b) of ``nodes`` (set, fps) to verify, a < b: sets with one fingerprint and the least of them, and the least of
+    fingerprints that share a key, if all fingerprints agree as much as the similarity lets expect; of each b the NEAREST
+    closest a."""
     parts = []
     for r in range(rounds):
         own = nodes.select("set", F.col("fps")[r].alias("fp"))
@@ -384,20 +384,9 @@ def candidates(nodes: DataFrame, rounds: int, max_bits: int, similarity: float)
     out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one, two = (nodes.select(F.col("set").alias(x), F.col("fps").alias(f"fps_{x}")) for x in ("a", "b"))
     bits = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return out.join(one, "a").join(two, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= most_bits(similarity, 64 * rounds))
-
-
-def verified_in_turn(pairs: DataFrame, check) -> DataFrame:
-    """The pairs that ``check`` keeps, as far as they connect: the closest of each set first, then those between sets that
-    these leave apart. Groups of near copies have many pairs, most of which connect nothing new."""
+    near = out.join(one, "a").join(two, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= most_bits(similarity, 64 * rounds))
     rank = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
-    ranked = materialize(pairs.withColumn("rank", rank), "pairs")
-    first = materialize(check(ranked.filter(F.col("rank") <= FIRST).select("a", "b")), "first")
-    roots = components(first)
-    one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
-    rest = ranked.filter(F.col("rank") > FIRST).join(one, "a", "left").join(two, "b", "left")
-    apart = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return first.unionByName(check(apart))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -437,8 +426,8 @@ def similar(docs: DataFrame, *, size: int = WIDE_SHINGLE, similarity: float = SI
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     marked = materialize(wide_fingerprints(docs, size, rounds), "fingerprints")
     nodes = materialize(marked.groupBy("set").agg(F.min(lead).alias("lead"), F.min("fps").alias("fps")), "sets")
-    pairs = candidates(nodes, rounds, max_bits, similarity)
-    roots = components(verified_in_turn(pairs, lambda p: verified(p, docs, nodes, size, similarity)))
+    pairs = materialize(candidates(nodes, rounds, max_bits, similarity), "candidates")
+    roots = components(verified(pairs, docs, nodes, size, similarity))
     rooted = materialize(nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "lead", "root"), "rooted")
     linked = rooted.filter("root is not null")
     lowest = linked.groupBy("root").agg(F.min("lead").alias("least"))
