@@ -81,7 +81,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Index:
     """Coarse centroids, codebooks, and the number of cells that a query visits."""
 
-    def __init__(self, sample: np.ndarray, cells: int, subspaces: int = SUBSPACES, codes: int = CODES, rounds: int = ROUNDS, seed: int = 7, reach: float = REACH, k: int = 10):
+    def __init__(
+        self, sample: np.ndarray, cells: int, subspaces: int = SUBSPACES, codes: int = CODES, rounds: int = ROUNDS, seed: int = 7,
+        reach: float = REACH, k: int = 10
+    ):
         x = sample.astype(np.float64)
         self.coarse = kmeans(x, max(1, min(cells, len(x) // 8)), rounds, seed)
         rest = x - self.coarse[self.nearest(x, 1)[:, 0]]
@@ -125,7 +128,9 @@ class Index:
 
     def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = x - self.coarse[cell]
-        return np.stack([((k * k).sum(1)[None, :] - 2 * rest[:, a:b] @ k.T).argmin(1) for (a, b), k in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
+        return np.stack(
+            [((k * k).sum(1)[None, :] - 2 * rest[:, a:b] @ k.T).argmin(1) for (a, b), k in zip(self.parts, self.books, strict=True)], axis=1
+        ).astype(np.uint8)
 
     def distances(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of one query to coded rows of a cell, by tables."""
@@ -152,15 +157,24 @@ def _visit(index_rows: DataFrame, entries: DataFrame, queries: DataFrame, shared
                 q = np.array(pdf["v"].tolist())
                 near = shared.value.nearest(q, probes)
                 cut = np.full(len(q), np.inf) if share is None else shared.value.cutoff(q, share)
-                yield pd.DataFrame({"cell": near.ravel(), "query_id": np.repeat(pdf["vec_id"].to_numpy(), near.shape[1]), "cut": np.repeat(cut, near.shape[1]), "q": [v for v in q.astype(np.float32) for _ in range(near.shape[1])]})
+                yield pd.DataFrame(
+                    {
+                        "cell": near.ravel(), "query_id": np.repeat(pdf["vec_id"].to_numpy(), near.shape[1]), "cut": np.repeat(cut, near.shape[1]),
+                        "q": [v for v in q.astype(np.float32) for _ in range(near.shape[1])]
+                    }
+                )
 
     asked = queries.mapInPandas(probe, "cell int, query_id long, cut double, q array<float>")
     # Block numbers of both sides; the counts have one row a cell.
     blocks = index_rows.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("row_blocks"))
     rounds = asked.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK_QUERIES) + 1).cast("int").alias("query_blocks"))
     sizes = materialize(blocks.join(rounds, "cell"), "cells")
-    left = index_rows.join(F.broadcast(sizes), "cell").withColumn("row_block", F.pmod(F.xxhash64("entry"), "row_blocks").cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-    right = asked.join(F.broadcast(sizes), "cell").withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
+    left = index_rows.join(F.broadcast(sizes), "cell").withColumn("row_block", F.pmod(F.xxhash64("entry"), "row_blocks").cast("int")).withColumn(
+        "query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))
+    )
+    right = asked.join(F.broadcast(sizes), "cell").withColumn(
+        "query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int")
+    ).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
 
     def rank(rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         who, what, near = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
@@ -180,15 +194,22 @@ def _visit(index_rows: DataFrame, entries: DataFrame, queries: DataFrame, shared
         return pd.DataFrame({"query_id": np.concatenate(who), "entry": np.concatenate(what), "near": np.concatenate(near)})
 
     keys = ["cell", "row_block", "query_block"]
-    found = left.select(*keys, "entry", "codes").groupBy(*keys).cogroup(right.select(*keys, "query_id", "cut", "q").groupBy(*keys)).applyInPandas(rank, "query_id long, entry long, near double")
+    found = left.select(*keys, "entry", "codes").groupBy(*keys).cogroup(
+        right.select(*keys, "query_id", "cut", "q").groupBy(*keys)
+    ).applyInPandas(rank, "query_id long, entry long, near double")
     first = found.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("near", "entry"))).filter(F.col("rn") <= rerank)
-    measured = first.select("query_id", "entry").join(entries, "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    measured = first.select("query_id", "entry").join(entries, "entry").join(
+        queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id"
+    )
     gaps = F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
     each = measured.select("query_id", F.explode("ids").alias("vec_id"), F.sqrt(gaps).alias("score")).filter("vec_id <> query_id")
     return each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int | None = None, rerank: int = RERANK, subspaces: int = SUBSPACES, most_cells: int = MOST_CELLS) -> DataFrame:
+def search(
+    rows: DataFrame, queries: Column, *, k: int = 10, probes: int | None = None, rerank: int = RERANK, subspaces: int = SUBSPACES,
+    most_cells: int = MOST_CELLS
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest of all other rows, for the rows where ``queries`` (on vec_id) holds."""
     spark = rows.sparkSession
     vectors = materialize(usable(rows), "vectors")
@@ -199,7 +220,9 @@ def search(rows: DataFrame, queries: Column, *, k: int = 10, probes: int | None
     vectors = vectors.filter(F.size("v") == lengths[0]["n"])
     # Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query but themselves.
     ids = vectors.withColumn("rn", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
-    entries = materialize(ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("entry"), "ids", "v"), "entries")
+    entries = materialize(
+        ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("entry"), "ids", "v"), "entries"
+    )
     size = entries.count()
     shared = spark.sparkContext.broadcast(fit(entries, size, subspaces=subspaces, most_cells=most_cells, k=k))
 

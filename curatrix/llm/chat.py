@@ -228,7 +228,10 @@ def _compute(node: tuple, names: dict):
         left = _compute(node[1], names)
         return _compute(node[2], names) if bool(left) == (kind == "and") else left
     a, b = _compute(node[2], names), _compute(node[3], names)
-    return {"==": lambda: a == b, "!=": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b, "<=": lambda: a <= b, ">=": lambda: a >= b, "in": lambda: a in b}[node[1]]()
+    return {
+        "==": lambda: a == b, "!=": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b, "<=": lambda: a <= b, ">=": lambda: a >= b,
+        "in": lambda: a in b
+    }[node[1]]()
 
 
 def fold_expression(node: tuple) -> tuple:
@@ -377,7 +380,13 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE, piece_chars: int = 1
 
         def flush() -> pa.RecordBatch:
             nonlocal columns, held
-            out = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.list_(pa.list_(pa.int64())))], ["conv_id", "part", "formatted", "loss"])
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()),
+                    pa.array(columns[3], pa.list_(pa.list_(pa.int64())))
+                ],
+                ["conv_id", "part", "formatted", "loss"]
+            )
             columns, held = [[], [], [], []], 0
             return out
 
@@ -410,7 +419,9 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE, piece_chars: int = 1
         if columns[0]:
             yield flush()
 
-    sorted_rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    sorted_rows = rows.select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
+    ).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return sorted_rows.mapInArrow(render, "conv_id long, part long, formatted string, loss array<array<long>>")
 
 

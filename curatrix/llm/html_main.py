@@ -48,10 +48,15 @@ CONTENT_WEIGHT = 0.9
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 FURNITURE = frozenset("nav footer aside menu button select label fieldset dialog head option object".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-CLASSES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|disqus|replies|related|recommended|share|sharing|social|subscribe|newsletter|popup|modal|login|signup|widget|pagination|pager|toolbar|copyright)(?:$|[\s_-])", re.I)
+CLASSES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|comments?|disqus|replies|related|recommended|share|sharing|social|subscribe|newsletter|popup|modal|login|signup|widget|pagination|pager|toolbar|copyright)(?:$|[\s_-])",
+    re.I
+)
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 #: What a start tag closes first, if it is open.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -257,7 +262,9 @@ def style_tree(pages: DataFrame, content_weight: float = CONTENT_WEIGHT, prior:
     once = features.distinct()
     # Written, since both branches read it and each would parse all pages again.
     counts = materialize(once.groupBy("host", "node", "parent", "content", "feature").agg(F.count(F.lit(1)).alias("c")), "features")
-    nodes = counts.groupBy("host", "node", "parent", "content").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("c").alias("most"))
+    nodes = counts.groupBy("host", "node", "parent", "content").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("c").alias("most")
+    )
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).otherwise(1.0)
     nodes = nodes.withColumn("entropy", entropy)
     styles = nodes.filter("not content").select("host", F.col("node").alias("parent"), F.col("entropy").alias("style"))

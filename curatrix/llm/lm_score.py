@@ -203,7 +203,9 @@ def ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBat
         train = np.repeat([not r["held_out"] for r in rows], block.sizes)
         out = [(number, shard, kind, k, c) for kind, keys in ((1, block.words), (2, block.pairs)) for shard, k, c in block.asked(keys, train)]
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "shard", "kind", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "shard", "kind", "keys", "counts"]
+        )
 
 
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,9 @@ def targets(cells: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     # Reckoned as if all before it were full, a later one's level is never above that of the first that isn't.
     by_cap = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_cap.rowsBetween(W.unboundedPreceding, -1)
-    rest = F.sum("source_size").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
+    rest = F.sum("source_size").over(
+        W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
     sums = sums.withColumn("level", rest / F.sum("weight").over(by_cap.rowsBetween(0, W.unboundedFollowing)))
     sums = sums.withColumn("open", F.col("level") * F.col("weight") <= most * F.col("source_size"))
     level = F.max(F.when(F.col("open"), F.col("level"))).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -84,10 +86,18 @@ def balanced(cells: DataFrame, goals: DataFrame, *, tilt: float, most: int, step
     for _ in range(steps):
         at = used.alias("c").join(state.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & ~F.col("s.full"))
         at = at.select(F.col("s.source").alias("source"), "size", "n", "mean", "a").withColumn("x", x).withColumn("r", rate_of(F.col("a"), F.col("x"), most))
-        sums = at.groupBy("source").agg(F.sum(F.col("n") * F.col("size") * F.col("r")).alias("words"), F.sum(F.col("n") * F.col("size") * F.col("x") * F.col("r") * (1 - F.col("r") / most)).alias("slope"))
+        sums = at.groupBy("source").agg(
+            F.sum(F.col("n") * F.col("size") * F.col("r")).alias("words"),
+            F.sum(F.col("n") * F.col("size") * F.col("x") * F.col("r") * (1 - F.col("r") / most)).alias("slope")
+        )
         new = state.alias("s").join(sums.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", "words", "slope")
         gap = F.col("words") - F.col("target")
-        new = new.withColumns({"lo": F.when(gap < 0, F.col("a")).otherwise(F.col("lo")), "hi": F.when(gap > 0, F.col("a")).otherwise(F.col("hi")), "off": F.coalesce(F.abs(gap) / F.col("target"), F.lit(0.0))})
+        new = new.withColumns(
+            {
+                "lo": F.when(gap < 0, F.col("a")).otherwise(F.col("lo")), "hi": F.when(gap > 0, F.col("a")).otherwise(F.col("hi")),
+                "off": F.coalesce(F.abs(gap) / F.col("target"), F.lit(0.0))
+            }
+        )
         newton = F.try_divide(gap, F.col("slope"))
         step = F.col("a") - newton
         inside = F.coalesce((step > F.col("lo")) & (step < F.col("hi")), F.lit(False))
@@ -107,7 +117,9 @@ def rounded(cells: DataFrame, duals: DataFrame, *, tilt: float, most: int, passe
     """Cells (source, size, part, n) with ``rate`` and the whole number ``k`` of copies over the cell."""
     x = F.pow(F.col("size") / F.col("mean"), F.lit(tilt))
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.coalesce(rate_of(F.col("a"), x, most), F.lit(float(most))))
-    out = cells.alias("c").join(duals.alias("d"), F.col("c.source").eqNullSafe(F.col("d.source"))).select("c.*", "source_size", "target", "mean", "a").withColumn("rate", rate)
+    out = cells.alias("c").join(
+        duals.alias("d"), F.col("c.source").eqNullSafe(F.col("d.source"))
+    ).select("c.*", "source_size", "target", "mean", "a").withColumn("rate", rate)
     falling = W.partitionBy("source").orderBy(F.col("size").desc(), "part")
     total = W.partitionBy("source")
     upto = F.floor(F.sum(F.col("n") * F.col("rate")).over(falling.rowsBetween(W.unboundedPreceding, 0)) + 0.5)
@@ -122,7 +134,10 @@ def rounded(cells: DataFrame, duals: DataFrame, *, tilt: float, most: int, passe
     return out.select("source", "size", "part", "n", "source_size", "target", "rate", "k")
 
 
-def mix(docs: DataFrame, *, tilt: float = TILT, most: int = MOST, cell_rows: int = CELL_ROWS, steps: int = STEPS, tolerance: float = TOLERANCE, passes: int = PASSES) -> DataFrame:
+def mix(
+    docs: DataFrame, *, tilt: float = TILT, most: int = MOST, cell_rows: int = CELL_ROWS, steps: int = STEPS, tolerance: float = TOLERANCE,
+    passes: int = PASSES
+) -> DataFrame:
     """(doc_id, h, source, size, source_size, target, rate, copies, taken) of every row of ``docs`` (doc_id, source, text)."""
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     rows = materialize(sized(docs).select("doc_id", key.alias("h"), "source", "size"), "sizes")
@@ -135,9 +150,13 @@ def mix(docs: DataFrame, *, tilt: float = TILT, most: int = MOST, cell_rows: int
     cells = rounded(dealt.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), duals, tilt=tilt, most=most, passes=passes)
     rank = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("h", "doc_id")) - 1
     ranked = dealt.withColumn("rank", rank)
-    out = ranked.alias("r").join(cells.alias("c"), same("r", "c") & (F.col("r.part") == F.col("c.part"))).select("r.*", "n", "source_size", "target", "rate", "k")
+    out = ranked.alias("r").join(
+        cells.alias("c"), same("r", "c") & (F.col("r.part") == F.col("c.part"))
+    ).select("r.*", "n", "source_size", "target", "rate", "k")
     copies = (F.floor(F.col("k") / F.col("n")) + F.when(F.col("rank") < F.col("k") % F.col("n"), 1).otherwise(0)).cast("long")
-    return out.withColumn("copies", copies).select("doc_id", "h", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies).select(
+        "doc_id", "h", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
 
 
 def remix(docs: DataFrame, **params) -> DataFrame:
@@ -146,7 +165,9 @@ def remix(docs: DataFrame, **params) -> DataFrame:
     Rows that repeat id, source and text share what the mix takes of them all, as evenly as whole copies allow.
     """
     names = docs.columns
-    taken = mix(docs.select("doc_id", "source", "text"), **params).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("m"))
+    taken = mix(docs.select("doc_id", "source", "text"), **params).groupBy("doc_id", "source", "h").agg(
+        F.sum("copies").alias("all"), F.count(F.lit(1)).alias("m")
+    )
     rows = docs.select(F.struct(*names).alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), "doc_id", "source")
     same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.h") == F.col("t.h"))
     joined = rows.alias("r").join(taken.alias("t"), same).select("r.*", "all", "m")

@@ -40,7 +40,10 @@ GENERATORS = (
     ("ip", "quad", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"),
     ("card", "chain", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", "plus", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    ("email", "spelled", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]\x20?dot\x20?[\])]|\.)\x20?[A-Za-z0-9-]{1,63}){1,4}"),
+    (
+        "email", "spelled",
+        r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]\x20?dot\x20?[\])]|\.)\x20?[A-Za-z0-9-]{1,63}){1,4}"
+    ),
     ("phone", "local", r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("secret", "hex", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"),
 )
@@ -66,12 +69,32 @@ PRECISION = 0.9
 EXAMPLES = (
     ("spelled", 1, ("mail {x} soon", "{x}", "reach me at {x}.", "I am {x}, thanks", "contact: {x}", "by {x} (author)"), ("named", "mixed")),
     ("spelled", 0, ("see {x} for it", "price {x} there", "we met {x}", "look {x}, please"), ("numbered", "spaced")),
-    ("local", 1, ("call {x} now", "phone: {x}", "tel. {x}", "fax {x}", "my number is {x}", "reach me at {x}!", "Contact us on {x}"), ("dashes", "dots", "blanks", "bracket", "trunk")),
+    (
+        "local", 1, ("call {x} now", "phone: {x}", "tel. {x}", "fax {x}", "my number is {x}", "reach me at {x}!", "Contact us on {x}"),
+        ("dashes", "dots", "blanks", "bracket", "trunk")
+    ),
     ("local", 1, ("{x}", "and {x} is hers", "J. Doe, {x}, Main St", "she wrote {x}."), ("dashes", "bracket", "trunk")),
-    ("local", 0, ("order {x} x", "invoice no. {x}", "part {x} fits", "ref {x}", "version {x} is out", "SKU: {x}", "item {x}", "isbn {x}", "pages {x}", "id={x}", "serial {x}"), ("dashes", "dots", "blanks", "trunk")),
+    (
+        "local", 0,
+        (
+            "order {x} x", "invoice no. {x}", "part {x} fits", "ref {x}", "version {x} is out", "SKU: {x}", "item {x}", "isbn {x}", "pages {x}",
+            "id={x}", "serial {x}"
+        ),
+        ("dashes", "dots", "blanks", "trunk")
+    ),
     ("local", 0, ("the values {x} and more", "{x}", "5 {x} 7", "sums of {x},", "run {x} again"), ("blanks", "dots")),
-    ("hex", 1, ("token = \"{x}\"", "api_key: {x}", "secret={x}", "password '{x}'", "Authorization: Bearer {x}", "the key is {x}", "auth {x} ok"), ("hex32", "hex40", "hex64")),
-    ("hex", 0, ("commit {x}", "sha1 {x}", "sha256: {x}", "md5 = {x}", "checksum \"{x}\"", "revision {x}", "hash={x}", "etag: \"{x}\"", "{x}", "see {x} there", "blob {x} a", "digest {x}", "({x})"), ("hex32", "hex40", "hex64")),
+    (
+        "hex", 1, ("token = \"{x}\"", "api_key: {x}", "secret={x}", "password '{x}'", "Authorization: Bearer {x}", "the key is {x}", "auth {x} ok"),
+        ("hex32", "hex40", "hex64")
+    ),
+    (
+        "hex", 0,
+        (
+            "commit {x}", "sha1 {x}", "sha256: {x}", "md5 = {x}", "checksum \"{x}\"", "revision {x}", "hash={x}", "etag: \"{x}\"", "{x}",
+            "see {x} there", "blob {x} a", "digest {x}", "({x})"
+        ),
+        ("hex32", "hex40", "hex64")
+    ),
     ("hex", 0, ("number {x}", "{x}", "total {x} of", "see {x}"), ("numeral",)),
 )
 #: What fills each form, made from numbers 0 .. FILLS - 1.
@@ -82,7 +105,9 @@ def filled(form: str, i: int) -> str:
     """The i-th text of a form."""
     import hashlib
 
-    name, host, end = ("bob", "ann.lee", "j_doe", "info", "m.mueller", "sales+x")[i % 6], ("mail", "example", "post-x", "uni")[i % 4], ("com", "org", "de", "co.uk", "net")[i % 5]
+    name, host, end = (
+        "bob", "ann.lee", "j_doe", "info", "m.mueller", "sales+x"
+    )[i % 6], ("mail", "example", "post-x", "uni")[i % 4], ("com", "org", "de", "co.uk", "net")[i % 5]
     at, dot = ("[at]", "(at)", " [at] ", " (at) ", "[ AT ]")[i % 5], ("[dot]", " (dot) ", " [dot] ", "(DOT)")[i % 4]
     area, mid, last = 201 + 61 * i, 220 + 47 * i, 1000 + 733 * i
     digest = hashlib.sha256(f"{form}{i}".encode()).hexdigest()
@@ -107,13 +132,25 @@ def proposed(text: Column, kind: str, shape: str, pattern: str) -> Column:
     def add(acc: Column, i: Column, ms: Column, gs: Column) -> Column:
         start = acc["at"] + F.length(F.get(gs, i))
         stop = start + F.length(F.get(ms, i))
-        span = F.struct(start.alias("start"), stop.alias("stop"), F.get(ms, i).alias("match"), F.right(F.get(gs, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gs, i + 1), F.lit(2)).alias("after"))
+        span = F.struct(
+            start.alias("start"), stop.alias("stop"), F.get(ms, i).alias("match"), F.right(F.get(gs, i), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get(gs, i + 1), F.lit(2)).alias("after")
+        )
         return F.struct(stop.alias("at"), F.concat(acc["all"], F.array(span)).alias("all"))
 
     # The matches and gaps are bound once, as the elements of a one-element array.
-    bound = F.transform(F.array(F.struct(found.alias("ms"), gaps.alias("gs"))), lambda b: F.aggregate(F.sequence(F.lit(0), F.size(b["ms"]) - 1), begin, lambda acc, i: add(acc, i, b["ms"], b["gs"]), lambda acc: acc["all"]))
+    bound = F.transform(
+        F.array(F.struct(found.alias("ms"), gaps.alias("gs"))),
+        lambda b: F.aggregate(F.sequence(F.lit(0), F.size(b["ms"]) - 1), begin, lambda acc, i: add(acc, i, b["ms"], b["gs"]), lambda acc: acc["all"])
+    )
     spans = F.when(text.rlike(pattern), F.get(bound, 0)).otherwise(F.array().cast("array<struct<start:int,stop:int,match:string,before:string,after:string>>"))
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(shape).alias("shape"), s["start"].alias("start"), s["stop"].alias("stop"), s["match"].alias("match"), s["before"].alias("before"), s["after"].alias("after")))
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            F.lit(kind).alias("kind"), F.lit(shape).alias("shape"), s["start"].alias("start"), s["stop"].alias("stop"), s["match"].alias("match"),
+            s["before"].alias("before"), s["after"].alias("after")
+        )
+    )
 
 
 def digits_of(match: Column) -> Column:
@@ -150,7 +187,9 @@ def features(c: Column) -> dict[str, Column]:
     shape = F.lit(len(JUDGED) - 1)
     for i, name in reversed(list(enumerate(JUDGED))):
         shape = F.when(c["shape"] == name, i).otherwise(shape)
-    spelled = F.when(m.rlike("(?i)[\\])]\\x20?[A-Za-z0-9-]+.*\\.\\x20"), 0).when(m.rlike("[\\x20.\\])][A-Za-z]{2,}$"), F.when(m.rlike("(?i)[\\[(]\\x20?dot"), 1).otherwise(2)).otherwise(3)
+    spelled = F.when(m.rlike("(?i)[\\])]\\x20?[A-Za-z0-9-]+.*\\.\\x20"), 0).when(
+        m.rlike("[\\x20.\\])][A-Za-z]{2,}$"), F.when(m.rlike("(?i)[\\[(]\\x20?dot"), 1).otherwise(2)
+    ).otherwise(3)
     local = F.when(m.startswith("("), 0).when(m.rlike("^0"), 1).when(m.rlike("^[0-9]+-[0-9]+-"), 2).when(m.rlike("^[0-9]+\\.[0-9]+\\."), 3).when(m.rlike("^[0-9]+\\x20[0-9]+\\x20"), 4).otherwise(5)
     hexed = F.when(m.rlike("^[0-9]+$"), 0).when(m.rlike("^[A-Fa-f]+$"), 1).when(F.length(m) == 32, 2).when(F.length(m) == 40, 3).when(F.length(m) == 64, 4).otherwise(5)
     cue = F.lit(0)
@@ -169,7 +208,9 @@ def features(c: Column) -> dict[str, Column]:
 
 def masked(c: Column) -> Column:
     """A base span as the judged shape that is left when what its rule relies on is taken away; null where there is none."""
-    like = lambda kind, shape, match: F.struct(F.lit(kind).alias("kind"), F.lit(shape).alias("shape"), match.alias("match"), c["before"].alias("before"), c["after"].alias("after"))
+    like = lambda kind, shape, match: F.struct(
+        F.lit(kind).alias("kind"), F.lit(shape).alias("shape"), match.alias("match"), c["before"].alias("before"), c["after"].alias("after")
+    )
     local = F.regexp_replace(c["match"], "^\\+[0-9]{1,3}[\\x20.-]?", "")
     spelled = F.regexp_replace(F.regexp_replace(c["match"], "@", " [at] "), "\\.([A-Za-z]+)$", " [dot] $1")
     pattern = {g[1]: g[2] for g in GENERATORS}
@@ -197,7 +238,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def examples(spark: SparkSession) -> DataFrame:
     """Cells (features, fold, pos, neg) of the examples; the fold is by what fills the example."""
-    rows = [(shape, good, around.replace("{x}", filled(form, i)), around.index("{x}")) for shape, good, arounds, forms in EXAMPLES for around in arounds for form in forms for i in range(FILLS)]
+    rows = [
+        (shape, good, around.replace("{x}", filled(form, i)), around.index("{x}")) for shape, good, arounds,
+        forms in EXAMPLES for around in arounds for form in forms for i in range(FILLS)
+    ]
     listed = F.array(*[F.struct(F.lit(s).alias("want"), F.lit(g).alias("good"), F.lit(t).alias("text"), F.lit(at).alias("at")) for s, g, t, at in rows])
     found = candidates(spark.range(1).select(F.inline(listed))).select("want", "good", "at", F.explode("found").alias("c"))
     mine = found.filter((F.col("c.shape") == F.col("want")) & (F.col("c.start") <= F.col("at") + 6) & (F.col("c.stop") > F.col("at")))
@@ -327,19 +371,29 @@ def find_pii(docs: DataFrame, *, precision: float = PRECISION, keep_text: bool =
 
     limit = lambda c: F.when(c["shape"] == "spelled", limits["spelled"]).when(c["shape"] == "local", limits["local"]).otherwise(limits["hex"])
     apart = lambda c, others: ~F.exists(others, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    marked = F.transform("found", lambda c: F.struct((-scored(trees, c["f"])).alias("cost"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"), c["shape"].alias("shape")))
+    marked = F.transform(
+        "found",
+        lambda c: F.struct(
+            (-scored(trees, c["f"])).alias("cost"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"),
+            c["shape"].alias("shape")
+        )
+    )
     chosen = F.array_sort(F.filter(marked, lambda c: (-c["cost"] >= limit(c)) & apart(c, F.col("sure"))))
     none = F.array().cast("array<struct<cost:double,start:int,stop:int,kind:string,shape:string>>")
     more = F.aggregate(chosen, none, lambda acc, c: F.when(apart(c, acc), F.concat(acc, F.array(c))).otherwise(acc))
     both = F.concat(F.transform("sure", lambda c: span(c, True)), F.transform(more, lambda c: span(c, False)))
     spans = F.when((F.size("sure") > 0) | (F.size("found") > 0), F.sort_array(F.array_distinct(both)))
-    return out.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int,base:boolean>>"))).drop("found", "sure")
+    return out.withColumn(
+        "spans", F.coalesce(spans, F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int,base:boolean>>"))
+    ).drop("found", "sure")
 
 
 def digests(found: DataFrame) -> DataFrame:
     """Counts and digests of the spans by document."""
     base = F.filter("spans", lambda s: s["base"])
-    joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    joined = lambda a: F.array_join(
+        F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","
+    )
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
@@ -352,7 +406,10 @@ def redact(docs: DataFrame, **params) -> DataFrame:
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def add(acc: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        piece = F.when(
+            s["start"] >= acc["at"],
+            F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        ).otherwise("")
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["parts"], F.array(piece)).alias("parts"))
 
     clean = F.aggregate("spans", begin, add, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))

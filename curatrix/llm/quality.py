@@ -55,7 +55,9 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int, rows: int, prior:
     counts = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     cells = every.join(counts, "bucket", "left").na.fill(0, ["raw", "good"])
-    whole = cells.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("cells"))
+    whole = cells.agg(
+        F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("cells")
+    )
     share = F.col("all_good") / F.col("all_raw")
     ratio = lambda c: F.log((c["good"] + prior * share) / ((c["raw"] + prior) * share))
     return whole.select(F.transform("cells", lambda c: F.when(F.col("all_good") > 0, ratio(c)).otherwise(0.0)).alias("w"))
@@ -74,9 +76,20 @@ def measured(docs: DataFrame) -> DataFrame:
     }).drop("ws", "lines")
     out = out.withColumn("n_words", F.size("h").cast("long")).withColumn("h2", pairs(F.col("h")))
     # Five words are two pairs and the last word.
-    out = out.withColumn("runs", F.transform(F.slice("h", F.lit(WINDOW), F.greatest(F.size("h"), F.lit(1))), lambda x, i: F.xxhash64(F.get(F.col("h2"), i), F.get(F.col("h2"), i + 2), x)))
-    out = out.withColumn("by_hash", F.when(F.size(F.array_distinct("runs")) < F.size("runs"), F.sort_array(F.transform("runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, i: F.coalesce(F.get(F.col("by_hash"), i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(F.col("by_hash"), i + 1)["h"] == x["h"], F.lit(False))
+    out = out.withColumn(
+        "runs",
+        F.transform(
+            F.slice("h", F.lit(WINDOW), F.greatest(F.size("h"), F.lit(1))), lambda x,
+            i: F.xxhash64(F.get(F.col("h2"), i), F.get(F.col("h2"), i + 2), x)
+        )
+    )
+    out = out.withColumn(
+        "by_hash",
+        F.when(F.size(F.array_distinct("runs")) < F.size("runs"), F.sort_array(F.transform("runs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    )
+    same = lambda x, i: F.coalesce(
+        F.get(F.col("by_hash"), i - 1)["h"] == x["h"], F.lit(False)
+    ) | F.coalesce(F.get(F.col("by_hash"), i + 1)["h"] == x["h"], F.lit(False))
     out = out.withColumn("at", F.sort_array(F.transform(F.filter("by_hash", same), lambda x: x["i"])))
     cover = F.transform("at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), i + 1) - x, F.lit(WINDOW))))
     repeated = F.coalesce(F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
@@ -87,7 +100,10 @@ def measured(docs: DataFrame) -> DataFrame:
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, min_score: float = MIN_SCORE, prior: float = PRIOR) -> DataFrame:
+def quality(
+    docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, min_score: float = MIN_SCORE,
+    prior: float = PRIOR
+) -> DataFrame:
     """The columns of ``docs``, which needs ``doc_id`` and ``text``, with those of :data:`ADDED`, which replace columns of the
     same names."""
     names = [c for c in docs.columns if c not in ADDED]
@@ -107,7 +123,10 @@ def _judged(docs: DataFrame, labels: DataFrame, buckets: int, trusted_rows: int,
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("h", "h2", "w")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, min_score: float = MIN_SCORE, prior: float = PRIOR) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, min_score: float = MIN_SCORE,
+    prior: float = PRIOR
+) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     inner = _judged(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), labels, buckets, trusted_rows, min_score, prior)
     # The optimizer moves no filter below a column that isn't deterministic; moved, it would repeat every count.

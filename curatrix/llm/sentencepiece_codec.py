@@ -72,7 +72,10 @@ class Codec:
         if "\n" in self.known:
             self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         # What an id is decoded to: plain text, or None for bytes.
-        self.surface = [proto.trainer_spec.unk_surface if t == UNKNOWN else "" if t == CONTROL else None if t == BYTE else p.replace(SPACE, " ") for p, t in zip(self.pieces, self.types, strict=True)]
+        self.surface = [
+            proto.trainer_spec.unk_surface if t == UNKNOWN else "" if t == CONTROL else None if t == BYTE else p.replace(SPACE, " ") for p,
+            t in zip(self.pieces, self.types, strict=True)
+        ]
         self.value = {i: v for v, i in enumerate(self.bytes)}
         self.stretches = _Memory(self.encode_stretch)
         self.pairs = _Memory(self._compatible)
@@ -354,7 +357,9 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "id
         c = codec(shared.value)
         for batch in pieces(batches):
             rows = [c.encode(t, end) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), _lists(rows), pa.array(map(c.decode, rows), pa.string())], [*kept, ids, decoded])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in kept), _lists(rows), pa.array(map(c.decode, rows), pa.string())], [*kept, ids, decoded]
+            )
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
@@ -364,4 +369,7 @@ def digests(docs: DataFrame, model: bytes) -> DataFrame:
     """Number of ids and digests of ids and decoded text, by document."""
     both = round_trip(docs.select("doc_id", "text"), model)
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256")
+    )

@@ -312,13 +312,17 @@ def components(edges: DataFrame) -> DataFrame:
         large = salted(both.filter("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = salted(large, low, "b", "a")
-        small = joined.filter("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
+        small = joined.filter("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(
+            low.select(F.col("m").alias("x"), F.col("b").alias("y"))
+        )
         old = folder
         edges, folder = written(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "edges")
         remove(edges.sparkSession, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
+                edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+            )
         state = now
 
 
@@ -352,12 +356,18 @@ def wide_fingerprints(docs: DataFrame, size: int, rounds: int) -> DataFrame:
             for t in batch.column("text").to_pylist():
                 own = np.unique(shingle_hashes(t, size))
                 sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                fps.append(np.array([majority(own * np.uint64(salt) ^ (own * np.uint64(salt) >> np.uint64(32))) for salt in ROUND_SALTS[:rounds]], dtype=np.uint64).view(np.int64).tolist())
+                fps.append(
+                    np.array(
+                        [majority(own * np.uint64(salt) ^ (own * np.uint64(salt) >> np.uint64(32))) for salt in ROUND_SALTS[:rounds]], dtype=np.uint64
+                    ).view(np.int64).tolist()
+                )
             columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(sets, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "set", "fps"])
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, set long, fps array<long>")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text"
+    ).mapInArrow(run, "doc_id long, h long, set long, fps array<long>")
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -377,7 +387,11 @@ def candidates(nodes: DataFrame, rounds: int, max_bits: int, similarity: float)
         near = keyed_rows(least).mapInArrow(lambda it: link_sorted(it, max_bits, 1 << 62, nearest), "a long, b long").distinct()
         one, two = (least.select(F.col("fp").alias(x), F.col("first").alias(f"set_{x}")) for x in ("a", "b"))
         parts.append(near.join(one, "a").join(two, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
-        parts.append(salted(own, least.filter("n > 1").select("fp", "first"), "fp", "set").filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")))
+        parts.append(
+            salted(
+                own, least.filter("n > 1").select("fp", "first"), "fp", "set"
+            ).filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+        )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -44,8 +44,13 @@ RECORD = "record_id string, record_type string, page_id long, refers_to long, or
 def classified(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(page_id, url, html, payload_bytes, digest, first): first is the page_id that responds for a repeated payload, else null."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("digest"))
-    found = pages.select("page_id", html.alias("html")).filter(F.octet_length("html") >= least_bytes).select(F.col("page_id").cast("long").alias("page_id"), F.sha2("html", 256).alias("digest"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"),
+        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("digest")
+    )
+    found = pages.select("page_id", html.alias("html")).filter(F.octet_length("html") >= least_bytes).select(
+        F.col("page_id").cast("long").alias("page_id"), F.sha2("html", 256).alias("digest")
+    )
     firsts = found.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "first")
     return rows.join(firsts, "digest", "left")
 
@@ -81,9 +86,15 @@ def records(row: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[tuple[b
     url = "".join(c if c > " " else "%20" for c in row["url"])
     common = [f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}"]
     page = "" if row["page_id"] is None else row["page_id"]
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {base}", *common, "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{row['digest']}", f"X-Payload-Length: {row['payload_bytes']}", f"X-Page-ID: {page}"]
+    head = [
+        f"WARC-Type: {kind}", f"WARC-Record-ID: {base}", *common, "Content-Type: application/http; msgtype=response",
+        f"WARC-Payload-Digest: sha256:{row['digest']}", f"X-Payload-Length: {row['payload_bytes']}", f"X-Page-ID: {page}"
+    ]
     if row["revisit"]:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {'' if row['first'] is None else row['first']}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"X-Refers-To-Page-ID: {'' if row['first'] is None else row['first']}"
+        ]
     pieces = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
     for n, piece in enumerate(pieces, 1):
         if n > 1:
@@ -99,7 +110,10 @@ def write_warc(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, s
     rows = classified(pages, least_bytes)
     rows = rows.withColumn("revisit", F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
     # A revisit's payload isn't written.
-    rows = rows.select("page_id", "url", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")).alias("html"), "payload_bytes", "digest", "first", "revisit", F.expr("uuid()").alias("record"))
+    rows = rows.select(
+        "page_id", "url", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")).alias("html"), "payload_bytes", "digest", "first", "revisit",
+        F.expr("uuid()").alias("record")
+    )
     names = rows.columns
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +154,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
+        schema = pa.schema(
+            [
+                ("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("origin", pa.string()),
+                ("segment", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())
+            ]
+        )
         number = lambda v: int(v) if v else None
         for batch in batches:
             for content in batch.column("content"):
@@ -154,7 +173,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     data = b"".join(members)
                 rows, held = [], 0
                 for f, block in parsed(data):
-                    rows.append((f["warc-record-id"], f["warc-type"], number(f.get("x-page-id")), number(f.get("x-refers-to-page-id")), f.get("warc-segment-origin-id"), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f.get("warc-payload-digest", "").removeprefix("sha256:"), number(f.get("x-payload-length")), block))
+                    rows.append(
+                        (
+                            f["warc-record-id"], f["warc-type"], number(f.get("x-page-id")), number(f.get("x-refers-to-page-id")),
+                            f.get("warc-segment-origin-id"), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")),
+                            f.get("warc-payload-digest", "").removeprefix("sha256:"), number(f.get("x-payload-length")), block
+                        )
+                    )
                     held += len(block)
                     if held > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -175,17 +200,25 @@ def payload_of(block: bytes) -> bytes:
 
 def reassembled(found: DataFrame) -> DataFrame:
     """(record_id, record_type, page_id, refers_to, digest, payload_bytes, payload): one row a page, its segments joined."""
-    whole = found.filter("segment is null").select("record_id", "record_type", "page_id", "refers_to", "digest", "payload_bytes", F.array("block").alias("blocks"), F.length("block").cast("long").alias("total"), F.lit(True).alias("complete"))
+    whole = found.filter("segment is null").select(
+        "record_id", "record_type", "page_id", "refers_to", "digest", "payload_bytes", F.array("block").alias("blocks"),
+        F.length("block").cast("long").alias("total"), F.lit(True).alias("complete")
+    )
     parts = found.filter("segment is not null").groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
         *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("record_type", "page_id", "refers_to", "digest", "payload_bytes")],
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
     )
-    parts = parts.select("record_id", "record_type", "page_id", "refers_to", "digest", "payload_bytes", F.col("parts.block").alias("blocks"), "total", F.forall(F.transform("parts", lambda p, i: p["segment"] == i + 1), lambda ok: ok).alias("complete"))
+    parts = parts.select(
+        "record_id", "record_type", "page_id", "refers_to", "digest", "payload_bytes", F.col("parts.block").alias("blocks"), "total",
+        F.forall(F.transform("parts", lambda p, i: p["segment"] == i + 1), lambda ok: ok).alias("complete")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             names, payloads = batch.schema.names, []
-            for record, kind, blocks, total, complete in zip(*(batch.column(c).to_pylist() for c in ("record_id", "record_type", "blocks", "total", "complete")), strict=True):
+            for record, kind, blocks, total, complete in zip(
+                *(batch.column(c).to_pylist() for c in ("record_id", "record_type", "blocks", "total", "complete")), strict=True
+            ):
                 block = b"".join(blocks)
                 if not complete or len(block) != total:
                     raise ValueError(f"record {record}: {len(block)} bytes of segments, declared are {total}")
@@ -193,7 +226,9 @@ def reassembled(found: DataFrame) -> DataFrame:
             keep = [c for c in names if c not in ("blocks", "total", "complete")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(payloads, pa.binary())], [*keep, "payload"])
 
-    return whole.unionByName(parts).mapInArrow(run, "record_id string, record_type string, page_id long, refers_to long, digest string, payload_bytes long, payload binary")
+    return whole.unionByName(parts).mapInArrow(
+        run, "record_id string, record_type string, page_id long, refers_to long, digest string, payload_bytes long, payload binary"
+    )
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -203,7 +238,10 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     write_warc(pages, path)
     out = reassembled(read_records(spark, path))
     own = F.col("record_type") == "response"
-    return out.select("page_id", F.when(own, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(own, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
+    return out.select(
+        "page_id", F.when(own, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to"
+    )
 
 
 ORACLE = f"""

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (2, None, None), (3, "", "b"), (4, "x" * 20000, "a"), (5, "w " * 5000, "b")]
+ODD = [
+    (1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (2, None, None), (3, "", "b"), (4, "x" * 20000, "a"),
+    (5, "w " * 5000, "b")
+]
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +56,10 @@ def test_sentencepiece_equals_the_library(spark, odd):
 def test_chat_round_trip(spark):
     from curatrix.llm import chat
 
-    rows = [(1, 0, "user", "</s>[INST] ok <|end|>\n"), (1, 1, "assistant", "a\\<s>\\"), (1, 2, "assistant", None), (2, None, None, "x" * 200000), (2, 1, "assistant", "y" * 70000)]
+    rows = [
+        (1, 0, "user", "</s>[INST] ok <|end|>\n"), (1, 1, "assistant", "a\\<s>\\"), (1, 2, "assistant", None), (2, None, None, "x" * 200000),
+        (2, 1, "assistant", "y" * 70000)
+    ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
     for conv in (1, 2):
@@ -76,7 +82,10 @@ def test_warc_round_trip(spark):
     rows = [(1, "http://a b/", long), (2, "u", long), (3, "u", "short"), (4, "u", "short"), (5, None, None), (2, "u", long), (6, "u", "WARC/1.1\r\n\r\n" * 20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted(round_trip(spark, df).collect(), key=lambda r: r.page_id)
-    assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [(1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None)]
+    assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [
+        (1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None),
+        (6, "response", None)
+    ]
     for r in got:
         data = next((h or "") for p, _, h in rows if p == r.page_id).encode()
         assert r.payload_bytes == len(data) and r.payload_digest == hashlib.sha256(data).hexdigest()
@@ -163,13 +172,19 @@ def test_simhash_links_match_brute_force(spark, odd):
 
 def base_spans(t: str) -> str:
     """The base rules with Python's regular expressions."""
-    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    patterns = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]"
+    )
     out = []
     for k, (kind, p) in enumerate(zip(("email", "ip", "card", "phone"), patterns, strict=True)):
         for m in re.finditer(p, t):
             d = [int(c) for c in m[0] if c.isdigit()]
             luhn = sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(d[::-1])) % 10 == 0
-            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+            ok = {
+                "email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn,
+                "phone": 9 <= len(d) <= 15
+            }[kind]
             if ok:
                 out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
     return ",".join(x[2] for x in sorted(out))
@@ -230,7 +245,9 @@ def test_main_text(spark):
 
     page = "<body><header>H</header><div class='menu-top'>m</div><main><h2>T &amp; x</h2><p>a<p>b <b>c</b>\n d<div class='ad'>no</div><script>var a='<p>';</script><section id=comments><p>bad</section>1 < 2</main><footer>f"
     assert text_of(page) == "T & x\n\na\n\nb c d\n\n1 < 2" and text_of(None) == ""
-    pages = [(i, "http://h/x", f"<body><div class='x1'>Same everywhere</div><div class='x2'><p>text {i} here</p></div></body>") for i in range(30)] + [(99, None, None)]
+    pages = [
+        (i, "http://h/x", f"<body><div class='x1'>Same everywhere</div><div class='x2'><p>text {i} here</p></div></body>") for i in range(30)
+    ] + [(99, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in main_text(df).collect()}
     assert all(got[i] == f"text {i} here" for i in range(30)) and got[99] == ""
@@ -361,7 +378,9 @@ def test_main_text_names_decide_nothing_on_articles_headings_and_inline_text():
 
     assert text_of('<div class="site no-sidebar"><p>Hello article text</p></div>') == "Hello article text"
     assert text_of('<article class="post comments-open related-none"><p>Hello</p></article><p>other text on the page</p>') == "Hello"
-    assert text_of('<div><h2 class="share">Share price</h2><p>it rose <span class="notice">today</span> again</p></div>') == "Share price\n\nit rose today again"
+    assert text_of(
+        '<div><h2 class="share">Share price</h2><p>it rose <span class="notice">today</span> again</p></div>'
+    ) == "Share price\n\nit rose today again"
     assert text_of("<article><p>the article itself</p><article class='comment'>bad</article></article>") == "the article itself"
 
 
@@ -400,7 +419,10 @@ def test_style_tree_matches_plain_loops(spark):
 
     page = lambda i: f"<body><div class=a><p>Same</p></div><div class=b>{'odd' if i % 4 else 'even'}</div><ul><li>x</li>{'<li>y</li>' * (i % 3)}</ul><div class=c><p>own {i}</p></div></body>"
     pages = [(f"http://H{i % 2}.org/x", page(i)) for i in range(24)] + [("http://h1.org/z", page(1)), (None, page(3)), (None, None), ("no url", "")]
-    df = spark.createDataFrame([(i, u, p, "k", 9) for i, (u, p) in enumerate(pages)] + [(99, None, None, "k", 9)] * 2, "page_id long, url string, html string, low string, host int")
+    df = spark.createDataFrame(
+        [(i, u, p, "k", 9) for i, (u, p) in enumerate(pages)] + [(99, None, None, "k", 9)] * 2,
+        "page_id long, url string, html string, low string, host int"
+    )
     want = brute_style_tree(pages)
     got = {(r.host, r.node): r.importance for r in style_tree(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
@@ -417,12 +439,16 @@ def test_style_tree_matches_plain_loops(spark):
 
 #: Planted texts, written apart from the examples that the trees learn from: the span that is private, or none.
 PRIVATE = [
-    ("Please email jane.roe [at] fastpost [dot] info about it", "jane.roe [at] fastpost [dot] info"), ("questions go to k_smith(at)lab.example.edu please", "k_smith(at)lab.example.edu"),
+    (
+        "Please email jane.roe [at] fastpost [dot] info about it", "jane.roe [at] fastpost [dot] info"
+    ), ("questions go to k_smith(at)lab.example.edu please", "k_smith(at)lab.example.edu"),
     ("team (at) firm (dot) co (dot) uk", "team (at) firm (dot) co (dot) uk"), ("Written by zoe [at] web [dot] de in May", "zoe [at] web [dot] de"),
     ("Mobile: 646-555-0187", "646-555-0187"), ("you can call me on 312.555.0143 after six", "312.555.0143"), ("her cell is 503 555 0171", "503 555 0171"),
     ("Dr. Lee (808) 555-0125 Honolulu", "(808) 555-0125"), ("fax 030-555-0199", "030-555-0199"), ("Phone number: 917-555-0110.", "917-555-0110"),
     ("text me at 720-555-0162!", "720-555-0162"), ("Mr. Poe, 205-555-0113, asked again", "205-555-0113"),
-    ("ACCESS_TOKEN: " + "3f" * 20, "3f" * 20), ("aws secret key = " + "0a9b8c7d" * 5, "0a9b8c7d" * 5), ("password=" + "e4d9" * 8, "e4d9" * 8), ("auth token '" + "c0ffee12" * 8 + "'", "c0ffee12" * 8),
+    ("ACCESS_TOKEN: " + "3f" * 20, "3f" * 20), ("aws secret key = " + "0a9b8c7d" * 5, "0a9b8c7d" * 5), ("password=" + "e4d9" * 8, "e4d9" * 8), (
+        "auth token '" + "c0ffee12" * 8 + "'", "c0ffee12" * 8
+    ),
 ]
 LOOKALIKES = [
     "order 100-200-3000 x", "invoice number 482-193-2201 is due", "part 771-204-9932 rev b", "isbn 978-316-1484", "version 12.204.1180 of it", "SKU 440.100.2000", "the row 100 200 3000 4000 5000",
@@ -535,7 +561,9 @@ def test_chat_and_warc_take_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string, loss int")
     got = chat.read_back(chat.format_chats(df)).collect()
     assert len(got) == 1 and got[0].n_turns == 3 and got[0].turns_sha256 == hashlib.sha256(b"user\na\nuser\na\nassistant\nb\n").hexdigest()
-    pages = spark.createDataFrame([(None, "u", "x" * 200, "k"), (2, "u", "x" * 200, "k"), (None, "u", "y", "k")], "page_id long, url string, html string, digest string")
+    pages = spark.createDataFrame(
+        [(None, "u", "x" * 200, "k"), (2, "u", "x" * 200, "k"), (None, "u", "y", "k")], "page_id long, url string, html string, digest string"
+    )
     got = sorted(((r.page_id, r.record_type, r.refers_to) for r in round_trip(spark, pages).collect()), key=repr)
     assert got == [(2, "response", None), (None, "response", None), (None, "revisit", 2)]
     assert round_trip(spark, empty(pages)).count() == 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
