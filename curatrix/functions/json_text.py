@@ -42,7 +42,9 @@ def parsed(c: Column, last_key: str = LAST_KEY) -> Column:
 
 def unique_items(c: Column) -> Column:
     """The first of equal texts of an array, compared trimmed; empty ones dropped, null gives an empty array."""
-    marked = F.array_sort(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct(strip(text_or_empty(x)).alias("k"), i.alias("i"), x.alias("x"))))
+    marked = F.array_sort(
+        F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct(strip(text_or_empty(x)).alias("k"), i.alias("i"), x.alias("x")))
+    )
     bound = F.transform(F.array(marked), lambda s: F.filter(s, lambda e, j: (e["k"] != "") & ((j == 0) | (F.get(s, j - 1)["k"] != e["k"]))))
     firsts = F.sort_array(F.transform(F.get(bound, 0), lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
     return F.transform(firsts, lambda e: e["x"])

@@ -85,7 +85,9 @@ def fingerprint(c: Column) -> Column:
     return F.sha1(compact(c))
 
 
-def bucket_key(source: Column, text: Column, prefix: int = 32, company: Column | None = None, title: Column | None = None, place: Column | None = None) -> Column:
+def bucket_key(
+    source: Column, text: Column, prefix: int = 32, company: Column | None = None, title: Column | None = None, place: Column | None = None
+) -> Column:
     """The blocking key of a row: source, company, title and place; without a company source, title, place and the first
     characters of the similarity text; without a title source and these characters."""
     head = F.substring(similarity_text(text), 1, prefix)

@@ -41,13 +41,18 @@ def normalized(rows: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
     )
     parts = sections.unswapped(sections.inline_sections(F.col("clean_text")), F.col("source").rlike(SWAPPED))
     ready = F.coalesce(F.get_json_object("meta", "$.sft_ready"), F.lit("true"))
-    return out.select("*", parts.alias("sections"), labels.alias("labels"), T.text_or_empty(F.get_json_object("meta", "$.language")).alias("language"), (~ready.isin("false", "0", "", "null")).alias("sft_ready")).drop("_former")
+    return out.select(
+        "*", parts.alias("sections"), labels.alias("labels"), T.text_or_empty(F.get_json_object("meta", "$.language")).alias("language"),
+        (~ready.isin("false", "0", "", "null")).alias("sft_ready")
+    ).drop("_former")
 
 
 def input_text(title: Column, company: Column, location: Column, text: Column) -> Column:
     """The text with title, company and place above it where its beginning does not name them."""
     x = T.strip(T.text_or_empty(text))
-    line = lambda label, value, word, n: F.when((T.strip(T.text_or_empty(value)) != "") & ~F.substring(x, 1, n).contains(word), F.concat(F.lit(label), T.strip(value)))
+    line = lambda label, value, word, n: F.when(
+        (T.strip(T.text_or_empty(value)) != "") & ~F.substring(x, 1, n).contains(word), F.concat(F.lit(label), T.strip(value))
+    )
     return F.concat_ws("\n", line("岗位名称：", title, "岗位名称", 80), line("公司：", company, "公司", 120), line("工作地点：", location, "工作地点", 120), F.when(x != "", x))
 
 
@@ -59,12 +64,16 @@ def messages(prompt: Column, answer: Column) -> Column:
 def prompt(task: Column, text: Column, resume: Column, result: Column) -> Column:
     """The prompt of a task; null for an unknown one."""
     match = F.concat(F.lit(MATCH_PROMPT + "JD：\n"), text, F.lit("\n\n简历：\n"), resume, F.lit("\n\n规则评分结果：\n"), result)
-    return F.when(task == "jd_parse", F.concat(F.lit(ADVERT_PROMPT), text)).when(task == "resume_parse", F.concat(F.lit(RESUME_PROMPT), text)).when(task == "match", match)
+    return F.when(task == "jd_parse", F.concat(F.lit(ADVERT_PROMPT), text)).when(
+        task == "resume_parse", F.concat(F.lit(RESUME_PROMPT), text)
+    ).when(task == "match", match)
 
 
 def advert_answer(direction: Column, duties: Column, skills: Column, bonus: Column, years: Column, degree: Column) -> Column:
     """The JSON answer to an advert."""
-    return F.to_json(F.struct(direction.alias("岗位方向"), duties.alias("核心职责"), skills.alias("必备技能"), bonus.alias("加分项"), years.alias("经验要求"), degree.alias("学历要求")))
+    return F.to_json(
+        F.struct(direction.alias("岗位方向"), duties.alias("核心职责"), skills.alias("必备技能"), bonus.alias("加分项"), years.alias("经验要求"), degree.alias("学历要求"))
+    )
 
 
 def _else(a: Column, b: Column) -> Column:
@@ -76,9 +85,15 @@ def advert_samples(rows: DataFrame) -> DataFrame:
     x, answer = F.col("clean_text"), _answer_of_row()
     user = F.concat(F.lit(ADVERT_PROMPT), input_text(F.col("job_title"), F.col("company"), F.col("location"), x))
     added = {k: F.when((F.col(k) != "") & F.get_json_object("meta", f"$.{k}").isNull(), F.col(k)) for k in ("source", "company", "location")}
-    meta = F.map_concat(F.coalesce(F.from_json("meta", "map<string,string>"), F.create_map().cast("map<string,string>")), F.map_filter(F.create_map(*(x for k, v in added.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull()))
+    meta = F.map_concat(
+        F.coalesce(F.from_json("meta", "map<string,string>"), F.create_map().cast("map<string,string>")),
+        F.map_filter(F.create_map(*(x for k, v in added.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
+    )
     group = F.coalesce(F.col("source_group"), F.col("id")) if "source_group" in rows.columns else F.col("id")
-    return rows.select(F.concat("id", F.lit("_jd_parse")).alias("id"), F.lit("jd_parse").alias("task_type"), group.cast("string").alias("source_group"), F.to_json(meta).alias("meta"), messages(user, answer).alias("messages"))
+    return rows.select(
+        F.concat("id", F.lit("_jd_parse")).alias("id"), F.lit("jd_parse").alias("task_type"), group.cast("string").alias("source_group"),
+        F.to_json(meta).alias("meta"), messages(user, answer).alias("messages")
+    )
 
 
 def multilingual_samples(rows: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
@@ -92,7 +107,9 @@ def multilingual_samples(rows: DataFrame, vocabulary: dict[str, list[str]]) -> D
     none = F.array().cast("array<string>")
     answer = advert_answer(
         F.col("_named"), F.col("_duties"), F.when(english, known_skills(x, vocabulary)).otherwise(F.coalesce("labels.skills", none)), F.when(english, none).otherwise(head("bonus")),
-        F.when(english, fields.english_experience(x)).otherwise(_else(F.col("labels.experience"), fields.experience(x))), F.when(english, fields.english_degree(x)).otherwise(_else(F.col("labels.education"), fields.degree(x))),
+        F.when(english, fields.english_experience(x)).otherwise(
+            _else(F.col("labels.experience"), fields.experience(x))
+        ), F.when(english, fields.english_degree(x)).otherwise(_else(F.col("labels.education"), fields.degree(x))),
     )
     user = F.concat(F.lit(ADVERT_PROMPT), input_text(F.col("job_title"), F.col("company"), F.col("location"), x))
     return rows.select(F.concat("id", F.lit("_jd_parse")).alias("id"), F.lit("jd_parse").alias("task_type"), messages(user, answer).alias("messages"))
@@ -149,7 +166,10 @@ def once(rows: DataFrame, *order: str) -> DataFrame:
 
 def combined_pool(manual: DataFrame, public: DataFrame, supplemental: DataFrame | None = None, weak_structured: DataFrame | None = None) -> DataFrame:
     """Pools in order of trust; of the same rows that of the first pool stays. Rows of later pools name their origin."""
-    named = lambda df, origin, always: df.select(*POOL[:-1], with_meta(F.col("meta"), pool_origin=F.lit(origin) if always else F.coalesce(F.get_json_object("meta", "$.pool_origin"), F.lit(origin))).alias("meta"))
+    named = lambda df, origin, always: df.select(
+        *POOL[:-1],
+        with_meta(F.col("meta"), pool_origin=F.lit(origin) if always else F.coalesce(F.get_json_object("meta", "$.pool_origin"), F.lit(origin))).alias("meta")
+    )
     parts = [manual_pool(manual)]
     parts += [named(supplemental, "supplemental_candidate", False)] if supplemental is not None else []
     parts += [named(weak_structured, "weak_structured_candidate", False)] if weak_structured is not None else []
@@ -161,7 +181,10 @@ def combined_pool(manual: DataFrame, public: DataFrame, supplemental: DataFrame
     return once(out, "rank").drop("rank")
 
 
-def quality_dataset(strict: DataFrame, candidates: DataFrame, vocabulary: dict[str, list[str]], total: int, *, excluded: DataFrame | None = None, max_weak_rate: float = 0.4, seed: str = "42") -> DataFrame:
+def quality_dataset(
+    strict: DataFrame, candidates: DataFrame, vocabulary: dict[str, list[str]], total: int, *, excluded: DataFrame | None = None,
+    max_weak_rate: float = 0.4, seed: str = "42"
+) -> DataFrame:
     """Normalised rows of the tiers in turn, with ``tier``, ``risk_reasons``, ``risk`` and ``quality``.
 
     Stages: strict rows, strict_plus, bootstrap rows with years (250 at most), quality_weak, and the other bootstrap rows.
@@ -177,7 +200,9 @@ def quality_dataset(strict: DataFrame, candidates: DataFrame, vocabulary: dict[s
     with_years = F.col("labels.experience") != ""
     boot = again.filter(tiers.worth_bootstrapping())
     stages = [
-        (first, "strict"), (tiers.sanitized(again.filter(tiers.is_strict_plus())), "strict_plus"), (boot.filter(with_years), "bootstrap"), (clean.filter(tiers.is_quality_weak()), "quality_weak"), (boot.filter(~with_years), "bootstrap"),
+        (first, "strict"), (
+            tiers.sanitized(again.filter(tiers.is_strict_plus())), "strict_plus"
+        ), (boot.filter(with_years), "bootstrap"), (clean.filter(tiers.is_quality_weak()), "quality_weak"), (boot.filter(~with_years), "bootstrap"),
     ]
     every = None
     for i, (df, tier) in enumerate(stages):
@@ -186,7 +211,12 @@ def quality_dataset(strict: DataFrame, candidates: DataFrame, vocabulary: dict[s
     every = shared_copy(every, "stages")
     asked = F.concat(F.lit(ADVERT_PROMPT), input_text(F.col("job_title"), F.col("company"), F.col("location"), F.col("clean_text")))
     every = every.withColumn("risk_reasons", tiers.risk_reasons(_answer_of_row(), asked, F.col("tier"), F.col("source")))
-    every = shared_copy(every, "risks").withColumns({"risk": tiers.risk_score(F.col("risk_reasons")), "experience": F.col("labels.experience"), "weak": F.lower(tiers.of_meta("intended_usage")) == tiers.WEAK_USAGE})
+    every = shared_copy(every, "risks").withColumns(
+        {
+            "risk": tiers.risk_score(F.col("risk_reasons")), "experience": F.col("labels.experience"),
+            "weak": F.lower(tiers.of_meta("intended_usage")) == tiers.WEAK_USAGE
+        }
+    )
     chosen = tiers.select_tiers(every, total, max_weak_rate=max_weak_rate, excluded=excluded, stage_limits={2: 250}, seed=seed)
     return chosen.withColumn("quality", tiers.quality_score(F.col("tier"), F.col("risk"))).drop("experience", "stage")
 
@@ -195,4 +225,7 @@ def _answer_of_row() -> Column:
     x = F.col("clean_text")
     head = lambda s: F.slice(fields.duties(F.col(f"sections.{s}")), 1, fields.DUTIES)
     skills = F.when(tiers.has_skills(), F.col("labels.skills")).otherwise(known_skills(x, tiers.BASIC_SKILLS))
-    return advert_answer(tiers.row_direction(), head("responsibilities"), skills, head("bonus"), _else(F.col("labels.experience"), fields.experience(x)), _else(F.col("labels.education"), fields.degree(x)))
+    return advert_answer(
+        tiers.row_direction(), head("responsibilities"), skills, head("bonus"), _else(F.col("labels.experience"), fields.experience(x)),
+        _else(F.col("labels.education"), fields.degree(x))
+    )

@@ -19,7 +19,10 @@ AS_DEMAND, AS_BONUS, AS_YEARS, AS_DEGREE = "任职要求|岗位要求|职位要
 AFTER_DUTIES = r"\n(?:任职要求|岗位要求|职位要求|任职资格|经验要求|工作经验|学历要求|学历)[：:]"
 NUMBERED = r"^[0-9]+\.|^[一二三四五六七八九十]+[、.]"
 RENAMED = {"ai开发": "AI应用开发", "ai应用": "AI应用开发", "ai应用开发": "AI应用开发", "大模型开发": "大模型应用开发", "大模型应用": "大模型应用开发", "大模型应用开发": "大模型应用开发"}
-DIRECTIONS = ("AI应用开发", "大模型应用开发", "后端开发", "算法工程", "数据开发", "前端开发", "客户端开发", "嵌入式开发", "硬件研发", "网络与基础设施", "AI Infra", "高性能计算", "汽车软件/智驾研发", "运维开发", "安全工程", "测试开发", "产品经理")
+DIRECTIONS = (
+    "AI应用开发", "大模型应用开发", "后端开发", "算法工程", "数据开发", "前端开发", "客户端开发", "嵌入式开发", "硬件研发", "网络与基础设施", "AI Infra", "高性能计算", "汽车软件/智驾研发", "运维开发", "安全工程",
+    "测试开发", "产品经理"
+)
 #: What stands around a tag.
 TAG_PARTS, TAG_START, TAG_END = "[、,，]|和|与", "^(?:熟悉|具备|擅长|关注|有|能独立完成)", "(?:能力强|能力|覆盖全面|[。！？.!?])+$"
 ENDED = "[。！？.!?]$"
@@ -44,7 +47,9 @@ def _one(raw: Column, kind: Column) -> Column:
     each, any other as it is."""
     values = F.filter(F.transform(F.map_values(F.from_json(raw, "map<string,string>")), squeezed), lambda x: x != "")
     inside = F.transform(F.from_json(raw, _NONE), squeezed)
-    return F.when(kind.startswith("OBJECT"), F.array(F.array_join(values, "，"))).when(kind.startswith("ARRAY"), inside).when(kind == "VOID", none()).otherwise(F.array(squeezed(raw)))
+    return F.when(
+        kind.startswith("OBJECT"), F.array(F.array_join(values, "，"))
+    ).when(kind.startswith("ARRAY"), inside).when(kind == "VOID", none()).otherwise(F.array(squeezed(raw)))
 
 
 def texts(answer: Column, key: str) -> Column:
@@ -116,7 +121,9 @@ def advert(json: Column, context: Column, vocabulary: dict[str, list[str]]) -> C
         years = _or(s["years"], _first(not_demand(AS_YEARS), fields.experience), _first(demands, fields.experience))
         degree = _or(s["degree"], _first(not_demand(AS_DEGREE), fields.degree), _first(demands, fields.degree))
         return F.struct(
-            with_missing(own, s["context"]).alias("duties"), demands.alias("demands"), F.concat(s["bonus"], F.transform(not_demand(AS_BONUS), rest(AS_BONUS))).alias("bonus"), s["skills"].alias("skills"),
+            with_missing(own, s["context"]).alias("duties"), demands.alias("demands"), F.concat(
+                s["bonus"], F.transform(not_demand(AS_BONUS), rest(AS_BONUS))
+            ).alias("bonus"), s["skills"].alias("skills"),
             years.alias("years"), degree.alias("degree"), s["direction"].alias("direction"), s["context"].alias("context"),
         )
 
@@ -185,4 +192,6 @@ def normalized(said: Column, context: Column, vocabulary: dict[str, list[str]],
     """What a model said, repaired and normalised by its kind, as JSON; null where it can't be read."""
     json = repaired(said)
     kind = task_of(json)
-    return F.when(kind == "resume_parse", F.to_json(resume(json, context, vocabulary, aliases))).when(kind == "match", F.to_json(match(json))).when(kind == "jd_parse", F.to_json(advert(json, context, vocabulary)))
+    return F.when(
+        kind == "resume_parse", F.to_json(resume(json, context, vocabulary, aliases))
+    ).when(kind == "match", F.to_json(match(json))).when(kind == "jd_parse", F.to_json(advert(json, context, vocabulary)))

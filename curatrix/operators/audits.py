@@ -41,7 +41,9 @@ def distributions(rows: DataFrame, columns: dict[str, Column], top: int | dict[s
     typed = rows.select(*(c.alias(n) for n, c in columns.items()))
     lists = {n: F.col(n).cast("array<string>") if isinstance(typed.schema[n].dataType, T.ArrayType) else F.array(F.col(n).cast("string")) for n in columns}
     named = lambda name: lambda v: F.struct(F.lit(name).alias("name"), text_or_empty(v).alias("value"))
-    each = typed.select(F.explode(F.concat(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), named(n)) for n, c in lists.items()))).alias("x")).select("x.*")
+    each = typed.select(
+        F.explode(F.concat(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), named(n)) for n, c in lists.items()))).alias("x")
+    ).select("x.*")
     counts = (each if blanks else each.filter("value <> ''")).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     if top is None:
         return counts
@@ -60,8 +62,12 @@ def advert_report(rows: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return rows.agg(
         n.alias("total_rows"), F.count_if(meta("training_eligible") == "true").alias("training_eligible_rows"), F.count_if(meta("holdout_eligible") == "true").alias("holdout_eligible_rows"),
-        F.count_if((meta("source_revision") != "") & (meta("artifact_sha256") != "")).alias("pinned_artifact_rows"), _mean_length(F.col("job_title")).alias("avg_title_length"), _mean_length(F.col("raw_text")).alias("avg_raw_text_length"),
-        share(F.count_if(told("education", label="学历要求：")), n, None).alias("education_coverage"), share(F.count_if(told("experience", "work_year", label="经验要求：")), n, None).alias("experience_coverage"),
+        F.count_if(
+            (meta("source_revision") != "") & (meta("artifact_sha256") != "")
+        ).alias("pinned_artifact_rows"), _mean_length(F.col("job_title")).alias("avg_title_length"), _mean_length(F.col("raw_text")).alias("avg_raw_text_length"),
+        share(F.count_if(told("education", label="学历要求：")), n, None).alias("education_coverage"), share(
+            F.count_if(told("experience", "work_year", label="经验要求：")), n, None
+        ).alias("experience_coverage"),
         share(F.count_if((text_or_empty(F.col("salary")) != "") | raw.contains("薪资范围：")), n, None).alias("salary_coverage"),
     )
 
@@ -81,13 +87,20 @@ def _scored(label: str = "label") -> Column:
 def pair_report(rows: DataFrame) -> DataFrame:
     """One row about imported pairs (jd_text, resume_text, label, meta)."""
     lower = lambda k, d: F.lower(stated(k, d))
-    usable = (lower("license_status", "unconfirmed") == "confirmed") & lower("intended_usage", "audit_only").isin(*USABLE_FOR) & ~lower("provenance_status", "undocumented").isin("undocumented", "unknown")
+    usable = (
+        lower("license_status", "unconfirmed") == "confirmed"
+    ) & lower("intended_usage", "audit_only").isin(*USABLE_FOR) & ~lower("provenance_status", "undocumented").isin("undocumented", "unknown")
     judged = (text_or_empty(F.col("label.raw_label")) != "") | _scored()
     key = F.sha1(F.concat(strip(text_or_empty(F.col("jd_text"))), F.lit("\n---\n"), strip(text_or_empty(F.col("resume_text")))))
     marked = rows.withColumns({"_key": key, "_usable": usable & judged})
-    sums = lambda c, n: (F.sum(F.when(text_or_empty(F.col(c)) != "", F.length(c))).alias(f"{n}_chars"), F.count_if(text_or_empty(F.col(c)) != "").alias(f"{n}_n"))
+    sums = lambda c, n: (
+        F.sum(F.when(text_or_empty(F.col(c)) != "", F.length(c))).alias(f"{n}_chars"), F.count_if(text_or_empty(F.col(c)) != "").alias(f"{n}_n")
+    )
     # Sums by pair first, so that the distinct count is a count of rows.
-    pairs = marked.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), *sums("jd_text", "jd"), *sums("resume_text", "resume"), F.count_if(_scored()).alias("s"), F.count_if("_usable").alias("u"))
+    pairs = marked.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("n"), *sums("jd_text", "jd"), *sums("resume_text", "resume"), F.count_if(_scored()).alias("s"),
+        F.count_if("_usable").alias("u")
+    )
     out = pairs.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), share(F.sum("jd_chars"), F.sum("jd_n"), None).alias("avg_jd_length"), share(F.sum("resume_chars"), F.sum("resume_n"), None).alias("avg_resume_length"),
         share(F.sum("s"), F.sum("n"), None).alias("score_coverage"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_pair_rows"), F.coalesce(F.sum("u"), F.lit(0)).alias("training_eligible_rows"),
@@ -97,7 +110,9 @@ def pair_report(rows: DataFrame) -> DataFrame:
 
 def pair_distributions(rows: DataFrame) -> DataFrame:
     columns = {
-        "source": meta("source_name"), "language": meta("language"), "source_type": F.col("source_type"), "raw_label": F.array_compact(F.array(F.nullif(F.col("label.raw_label"), F.lit("")))),
+        "source": meta("source_name"), "language": meta("language"), "source_type": F.col("source_type"), "raw_label": F.array_compact(
+            F.array(F.nullif(F.col("label.raw_label"), F.lit("")))
+        ),
         "license_status": F.lower(stated("license_status", "unconfirmed")), "intended_usage": F.lower(stated("intended_usage", "audit_only")), "provenance_status": F.lower(stated("provenance_status", "undocumented")),
     }
     return distributions(rows, columns, {"raw_label": 20})
@@ -124,13 +139,19 @@ def resume_report(rows: DataFrame) -> DataFrame:
     """One row about imported résumés (task, text, label, ner_tags, meta)."""
     parsed, tagged = F.col("task") == "resume_parse", F.col("task") == "resume_ner"
     covered = (share(F.count_if(parsed & _has(F.col("label"), n)), F.count_if(parsed), None).alias(f"{k}_coverage") for k, n in CORE.items())
-    out = rows.agg(F.count(F.lit(1)).alias("total_rows"), _mean_length(F.col("text")).alias("avg_text_length"), *covered, F.count_if(tagged & sensitive_tags(F.col("ner_tags"))).alias("rows_with_sensitive_entities"))
+    out = rows.agg(
+        F.count(F.lit(1)).alias("total_rows"), _mean_length(F.col("text")).alias("avg_text_length"), *covered,
+        F.count_if(tagged & sensitive_tags(F.col("ner_tags"))).alias("rows_with_sensitive_entities")
+    )
     return out.withColumn("resume_ner_training_ready", F.col("rows_with_sensitive_entities") == 0)
 
 
 def resume_distributions(rows: DataFrame) -> DataFrame:
     tags = F.when(F.col("task") == "resume_ner", F.col("ner_tags"))
-    return distributions(rows, {"task": F.col("task"), "source": meta("source_name"), "language": meta("language"), "source_type": F.col("source_type"), "ner_tag": tags})
+    return distributions(
+        rows,
+        {"task": F.col("task"), "source": meta("source_name"), "language": meta("language"), "source_type": F.col("source_type"), "ner_tag": tags}
+    )
 
 
 def answer(kinds: str) -> Column:
@@ -152,7 +173,10 @@ def sample_report(rows: DataFrame) -> DataFrame:
     n, there = F.count(F.lit(1)), F.col("a").isNotNull()
     size = lambda k: F.coalesce(F.avg(F.when(there, F.greatest(F.coalesce(F.size(F.col("a")[k]), F.lit(0)), F.lit(0)))), F.lit(0.0))
     told = lambda k: share(F.count_if(text_or_empty(F.col("a")[k]) != ""), n, None)
-    return marked.agg(n.alias("total_samples"), share(F.count_if(there), n, None).alias("json_valid_rate"), size("核心职责").alias("avg_responsibility_count"), size("必备技能").alias("avg_skill_count"), told("学历要求").alias("education_coverage"), told("经验要求").alias("experience_coverage"))
+    return marked.agg(
+        n.alias("total_samples"), share(F.count_if(there), n, None).alias("json_valid_rate"), size("核心职责").alias("avg_responsibility_count"),
+        size("必备技能").alias("avg_skill_count"), told("学历要求").alias("education_coverage"), told("经验要求").alias("experience_coverage")
+    )
 
 
 def sample_distributions(rows: DataFrame) -> DataFrame:
@@ -162,11 +186,17 @@ def sample_distributions(rows: DataFrame) -> DataFrame:
 
 
 def advert_pool_profile(rows: DataFrame) -> DataFrame:
-    return distributions(rows, {"sources": F.col("source"), "titles": F.col("job_title"), "languages": meta("language"), "companies": F.col("company")}, {"sources": 10, "titles": 15, "languages": 10, "companies": 15}, blanks=False)
+    return distributions(
+        rows, {"sources": F.col("source"), "titles": F.col("job_title"), "languages": meta("language"), "companies": F.col("company")},
+        {"sources": 10, "titles": 15, "languages": 10, "companies": 15}, blanks=False
+    )
 
 
 def resume_pool_profile(rows: DataFrame) -> DataFrame:
-    return distributions(rows, {"source_types": F.col("source_type"), "target_jobs": F.col("label")["目标岗位"], "skills": F.col("label")["核心技能"]}, {"source_types": 10, "target_jobs": 10, "skills": 20}, blanks=False)
+    return distributions(
+        rows, {"source_types": F.col("source_type"), "target_jobs": F.col("label")["目标岗位"], "skills": F.col("label")["核心技能"]},
+        {"source_types": 10, "target_jobs": 10, "skills": 20}, blanks=False
+    )
 
 
 def pair_pool_profile(rows: DataFrame) -> DataFrame:
@@ -179,7 +209,10 @@ def rejected_technical(rows: DataFrame) -> DataFrame:
     """(name, value, n) of trusted rows with technical titles that the strict tier rejects; rows have ``reason``."""
     kept = rows.filter(F.col("source").isin(*tiers.TRUSTED_SOURCES) & tiers.like_tech(F.col("job_title")) & (F.col("reason") != "accepted"))
     direction = F.when(tiers.row_direction() == "", "<empty>").otherwise(tiers.row_direction())
-    return distributions(kept, {"reasons": F.col("reason"), "sources": F.col("source"), "titles": F.col("job_title"), "directions": direction}, {"reasons": 20, "sources": 20, "titles": 30, "directions": 20})
+    return distributions(
+        kept, {"reasons": F.col("reason"), "sources": F.col("source"), "titles": F.col("job_title"), "directions": direction},
+        {"reasons": 20, "sources": 20, "titles": 30, "directions": 20}
+    )
 
 
 def with_risks(samples: DataFrame) -> DataFrame:
@@ -193,7 +226,10 @@ def with_risks(samples: DataFrame) -> DataFrame:
 def risk_report(samples: DataFrame, threshold: int = tiers.HIGH_RISK) -> DataFrame:
     """One row about samples with risks."""
     high, n = F.col("risk_score") >= threshold, F.count(F.lit(1))
-    return samples.agg(n.alias("total"), F.count_if(F.size("risk_reasons") > 0).alias("risky"), F.count_if(high).alias("high_risk"), share(F.count_if(F.size("risk_reasons") > 0), n).alias("risk_rate"), share(F.count_if(high), n).alias("high_risk_rate"))
+    return samples.agg(
+        n.alias("total"), F.count_if(F.size("risk_reasons") > 0).alias("risky"), F.count_if(high).alias("high_risk"),
+        share(F.count_if(F.size("risk_reasons") > 0), n).alias("risk_rate"), share(F.count_if(high), n).alias("high_risk_rate")
+    )
 
 
 def risk_distributions(samples: DataFrame) -> DataFrame:
@@ -208,12 +244,20 @@ def risk_samples(samples: DataFrame, n: int = 100) -> DataFrame:
 def quality_report(rows: DataFrame, max_weak_rate: float = 0.4) -> DataFrame:
     """One row about chosen rows (tier, risk, quality, weak, labels)."""
     n = F.count(F.lit(1))
-    return rows.agg(n.alias("total"), F.coalesce(F.round(F.avg("quality"), 2), F.lit(0.0)).alias("quality_score_avg"), F.count_if("weak").alias("weak_external_rows"), share(F.count_if("weak"), n).alias("weak_external_rate"), F.lit(max_weak_rate).alias("max_weak_external_ratio"))
+    return rows.agg(
+        n.alias("total"), F.coalesce(F.round(F.avg("quality"), 2), F.lit(0.0)).alias("quality_score_avg"),
+        F.count_if("weak").alias("weak_external_rows"), share(F.count_if("weak"), n).alias("weak_external_rate"),
+        F.lit(max_weak_rate).alias("max_weak_external_ratio")
+    )
 
 
 def quality_distributions(rows: DataFrame) -> DataFrame:
     empty = lambda c: F.when(text_or_empty(c) == "", "yes")
-    columns = {"tier": F.col("tier"), "source": F.col("source"), "direction": F.col("labels.direction"), "risk": F.col("risk"), "bucket": F.floor(F.col("quality") / 10) * 10, "empty_education": F.array_compact(F.array(empty(F.col("labels.education")))), "empty_experience": F.array_compact(F.array(empty(F.col("labels.experience")))), "reason": F.col("risk_reasons")}
+    columns = {
+        "tier": F.col("tier"), "source": F.col("source"), "direction": F.col("labels.direction"), "risk": F.col("risk"),
+        "bucket": F.floor(F.col("quality") / 10) * 10, "empty_education": F.array_compact(F.array(empty(F.col("labels.education")))),
+        "empty_experience": F.array_compact(F.array(empty(F.col("labels.experience")))), "reason": F.col("risk_reasons")
+    }
     return distributions(rows, columns, {"source": 20})
 
 
@@ -225,13 +269,19 @@ def pair_origins(rows: DataFrame, most_educational: float = 0.4) -> DataFrame:
     n = F.count(F.lit(1))
     one = rows.agg(
         n.alias("total_rows"), F.count_if(synthetic).alias("synthetic_rows"), F.count_if(reviewed).alias("human_reviewed_pairs"), F.count_if(observed).alias("real_observed_pairs"),
-        F.count_if(~synthetic & ~reviewed & ~observed).alias("unknown_pairs"), F.count_if(F.col("id").contains("synthetic_match_hf_job_educational_")).alias("educational_source_rows"),
+        F.count_if(~synthetic & ~reviewed & ~observed).alias("unknown_pairs"), F.count_if(
+            F.col("id").contains("synthetic_match_hf_job_educational_")
+        ).alias("educational_source_rows"),
     )
-    origin = F.when(F.col("total_rows") == 0, "empty").when(F.col("synthetic_rows") == F.col("total_rows"), "synthetic_only").when(F.col("synthetic_rows") > 0, "mixed").otherwise("non_synthetic_only")
+    origin = F.when(F.col("total_rows") == 0, "empty").when(
+        F.col("synthetic_rows") == F.col("total_rows"), "synthetic_only"
+    ).when(F.col("synthetic_rows") > 0, "mixed").otherwise("non_synthetic_only")
     rate = lambda k: share(F.col(k), F.col("total_rows"))
     return one.withColumns({
         "synthetic_rate": rate("synthetic_rows"), "human_reviewed_pair_ratio": rate("human_reviewed_pairs"), "real_pair_ratio": rate("real_observed_pairs"), "educational_source_rate": rate("educational_source_rows"),
-        "source_concentration_ready": (F.col("total_rows") > 0) & (F.col("educational_source_rows") <= most_educational * F.col("total_rows")), "training_origin": origin, "supports_real_pair_quality_claim": F.col("human_reviewed_pairs") > 0,
+        "source_concentration_ready": (F.col("total_rows") > 0) & (
+            F.col("educational_source_rows") <= most_educational * F.col("total_rows")
+        ), "training_origin": origin, "supports_real_pair_quality_claim": F.col("human_reviewed_pairs") > 0,
     })
 
 
@@ -239,7 +289,9 @@ def privacy_report(rows: DataFrame, text: str, *by: str, most: float = 0.0) -> D
     """(by..., row_count, rows_with_findings, rate, ready) of private findings in a text."""
     marked = rows.withColumn("_n", F.size(findings(F.col(text))))
     out = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("_n") > 0).alias("rows_with_findings"))
-    return out.withColumn("rate", share(F.col("rows_with_findings"), F.col("row_count"))).withColumn("ready", (F.col("row_count") > 0) & (F.col("rows_with_findings") <= most * F.col("row_count")))
+    return out.withColumn("rate", share(F.col("rows_with_findings"), F.col("row_count"))).withColumn(
+        "ready", (F.col("row_count") > 0) & (F.col("rows_with_findings") <= most * F.col("row_count"))
+    )
 
 
 def privacy_kinds(rows: DataFrame, text: str) -> DataFrame:
@@ -321,20 +373,33 @@ def sample_audit(rows: DataFrame, task: str) -> DataFrame:
     said = F.element_at("messages", -1)["content"]
     good = F.coalesce(F.try_parse_json(said).isNotNull() & (F.size("messages") > 1), F.lit(False))
     linked = F.col("linked_source_groups") if "linked_source_groups" in rows.columns else F.lit(None).cast("array<string>")
-    marked = rows.select("split", F.col("id").cast("string").alias("id"), "task_type", good.alias("good"), asked().alias("u"), said.alias("a"), linked.alias("linked"))
+    marked = rows.select(
+        "split", F.col("id").cast("string").alias("id"), "task_type", good.alias("good"), asked().alias("u"), said.alias("a"), linked.alias("linked")
+    )
     v = F.try_parse_json("a")
     empty = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")).isin("", "[]", "{}")
     roles = F.from_json(F.get_json_object("a", "$.推荐投递岗位方向"), "array<string>")
     is_match = F.col("good") & (F.col("task_type") == "match")
     n = F.count(F.lit(1))
     one = marked.agg(
-        n.alias("total"), F.count_if(~F.col("good")).alias("invalid_json"), (F.count_if("good") - F.countDistinct(F.when(F.col("good"), F.col("id")))).alias("duplicate_ids"), *(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS),
-        F.count_if(is_match & F.coalesce(F.arrays_overlap(roles, F.array(*map(F.lit, PLACEHOLDERS))), F.lit(False))).alias("placeholder_rows"), F.count_if(is_match & ~F.col("u").contains('"命中项目"')).alias("rows_without_project_field"),
+        n.alias("total"), F.count_if(~F.col("good")).alias("invalid_json"), (
+            F.count_if("good") - F.countDistinct(F.when(F.col("good"), F.col("id")))
+        ).alias("duplicate_ids"), *(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS),
+        F.count_if(
+            is_match & F.coalesce(F.arrays_overlap(roles, F.array(*map(F.lit, PLACEHOLDERS))), F.lit(False))
+        ).alias("placeholder_rows"), F.count_if(is_match & ~F.col("u").contains('"命中项目"')).alias("rows_without_project_field"),
         *(share(F.count_if(F.col("good") & empty(k)), n).alias(f"empty_{k}") for k in REQUIRED[task]),
     )
-    kept = marked.filter("good").select("split", F.sha1(F.concat("u", F.lit("\n---\n"), "a")).alias("content"), normalized_hash(F.col("u")).alias("input"), "linked")
+    kept = marked.filter("good").select(
+        "split", F.sha1(F.concat("u", F.lit("\n---\n"), "a")).alias("content"), normalized_hash(F.col("u")).alias("input"), "linked"
+    )
     groups = kept.select("split", F.explode("linked").alias("g"))
-    one = one.withColumns({"cross_split_duplicates": crossing_rows(kept, "content").scalar(), "cross_split_inputs": crossing_rows(kept, "input").scalar(), "cross_split_linked_groups": crossing_groups(groups, "g").scalar()})
+    one = one.withColumns(
+        {
+            "cross_split_duplicates": crossing_rows(kept, "content").scalar(), "cross_split_inputs": crossing_rows(kept, "input").scalar(),
+            "cross_split_linked_groups": crossing_groups(groups, "g").scalar()
+        }
+    )
     fine = reduce(lambda a, k: a & (F.col(f"empty_{k}") <= REQUIRED[task][k]), REQUIRED[task], F.lit(True))
     zero = ("invalid_json", "cross_split_duplicates", "cross_split_inputs", "cross_split_linked_groups", "placeholder_rows", "rows_without_project_field")
     return one.withColumns({"field_quality_ok": fine, "format_ready": reduce(lambda a, k: a & (F.col(k) == 0), zero, F.lit(True))})
@@ -355,21 +420,37 @@ def source_group() -> Column:
 def task_mix(rows: DataFrame) -> DataFrame:
     """(split, task, rows, unique_source_groups, source_group_ratio, enough) of multi-task samples (split, source_group,
     source_id, id, task_type, meta)."""
-    marked = rows.select("split", F.when(meta("dataset_task") != "", meta("dataset_task")).otherwise(F.col("task_type")).alias("task"), source_group().alias("g"))
+    marked = rows.select(
+        "split", F.when(meta("dataset_task") != "", meta("dataset_task")).otherwise(F.col("task_type")).alias("task"), source_group().alias("g")
+    )
     groups = marked.groupBy("split", "task", "g").agg(F.count(F.lit(1)).alias("n"))
-    out = groups.groupBy("split", "task").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("unique_source_groups")).withColumn("source_group_ratio", share(F.col("unique_source_groups"), F.col("rows")))
-    return out.withColumn("enough", F.col("source_group_ratio") >= fields.cascade([(F.col("task") == k, F.lit(v)) for k, v in LEAST_GROUPS.items()], F.lit(0.0)))
+    out = groups.groupBy("split", "task").agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("unique_source_groups")
+    ).withColumn("source_group_ratio", share(F.col("unique_source_groups"), F.col("rows")))
+    return out.withColumn(
+        "enough", F.col("source_group_ratio") >= fields.cascade([(F.col("task") == k, F.lit(v)) for k, v in LEAST_GROUPS.items()], F.lit(0.0))
+    )
 
 
 def multitask_gate(rows: DataFrame) -> DataFrame:
     """One row: :func:`sample_audit` of multi-task samples with the mix of tasks, source groups in two splits and readiness."""
     audit, mix = sample_audit(rows, "multitask"), task_mix(rows)
-    marked = rows.select("split", F.struct(F.when(meta("dataset_task") != "", meta("dataset_task")).otherwise(F.col("task_type")).alias("t"), source_group().alias("g")).alias("g"))
+    marked = rows.select(
+        "split",
+        F.struct(F.when(meta("dataset_task") != "", meta("dataset_task")).otherwise(F.col("task_type")).alias("t"), source_group().alias("g")).alias("g")
+    )
     wanted = mix.filter(F.col("task").isin(*LEAST_GROUPS) & F.col("split").isin("train", "valid"))
     whole = wanted.agg((F.count(F.lit(1)) == 2 * len(LEAST_GROUPS)).alias("mix"), F.coalesce(F.bool_and("enough"), F.lit(False)).alias("diverse"))
-    out = audit.withColumns({"cross_split_source_groups": crossing_groups(marked, "g").scalar(), "has_required_mix": whole.select("mix").scalar(), "source_diversity_ready": whole.select(F.col("mix") & F.col("diverse")).scalar()})
+    out = audit.withColumns(
+        {
+            "cross_split_source_groups": crossing_groups(marked, "g").scalar(), "has_required_mix": whole.select("mix").scalar(),
+            "source_diversity_ready": whole.select(F.col("mix") & F.col("diverse")).scalar()
+        }
+    )
     train, valid, *_ = SIZES["multitask"]
-    out = out.withColumn("count_ready", (F.col("n_train") >= train) & (F.col("n_valid") >= valid)).withColumn("format_ready", F.col("format_ready") & (F.col("duplicate_ids") == 0) & (F.col("cross_split_source_groups") == 0))
+    out = out.withColumn("count_ready", (F.col("n_train") >= train) & (F.col("n_valid") >= valid)).withColumn(
+        "format_ready", F.col("format_ready") & (F.col("duplicate_ids") == 0) & (F.col("cross_split_source_groups") == 0)
+    )
     return out.withColumn("ready_for_sft", F.col("count_ready") & F.col("format_ready") & F.col("has_required_mix") & F.col("source_diversity_ready"))
 
 
@@ -379,8 +460,12 @@ def roll_up(gates: dict[str, DataFrame], further: dict[str, dict[str, bool]] | N
     for task, gate in gates.items():
         extra = (further or {}).get(task, {})
         flags = [c for c in ("count_ready", "format_ready", "field_quality_ok", "has_required_mix", "source_diversity_ready") if c in gate.columns]
-        blockers = F.array_compact(F.array(*(F.when(~F.col(c), F.lit(c)) for c in flags), *(F.lit(k if not ok else None).cast("string") for k, ok in extra.items())))
-        parts.append(gate.select(F.lit(task).alias("task"), (F.col("ready_for_sft") & F.lit(all(extra.values()))).alias("ready_for_sft"), blockers.alias("blockers")))
+        blockers = F.array_compact(
+            F.array(*(F.when(~F.col(c), F.lit(c)) for c in flags), *(F.lit(k if not ok else None).cast("string") for k, ok in extra.items()))
+        )
+        parts.append(
+            gate.select(F.lit(task).alias("task"), (F.col("ready_for_sft") & F.lit(all(extra.values()))).alias("ready_for_sft"), blockers.alias("blockers"))
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -394,7 +479,9 @@ def require_ready(report: DataFrame, tasks: list[str]) -> None:
 
 def held_out(samples: DataFrame, holdout: DataFrame) -> DataFrame:
     """Samples whose source is held out; ids are compared without the ending of samples."""
-    key = lambda df: F.regexp_replace(F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("source_id", "id") if c in df.columns)), "_jd_parse$", "")
+    key = lambda df: F.regexp_replace(
+        F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("source_id", "id") if c in df.columns)), "_jd_parse$", ""
+    )
     return samples.join(holdout.select(key(holdout).alias("_held")).distinct(), key(samples) == F.col("_held"), "left_semi")
 
 
@@ -405,19 +492,30 @@ def resume_sample_report(rows: DataFrame) -> DataFrame:
     marked = rows.select(group.alias("g"), "id", "split").withColumn("variant", variant)
     groups = marked.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     made = F.col("g").contains("bootstrap")
-    one = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("unique_source_groups"), F.coalesce(F.max("n"), F.lit(0)).alias("max_source_group_size"), F.coalesce(F.sum(F.when(made, F.col("n"))), F.lit(0)).alias("bootstrap_samples"), F.count_if(made).alias("bootstrap_source_groups"))
+    one = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("unique_source_groups"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("max_source_group_size"),
+        F.coalesce(F.sum(F.when(made, F.col("n"))), F.lit(0)).alias("bootstrap_samples"), F.count_if(made).alias("bootstrap_source_groups")
+    )
     most = marked.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
     out = one.withColumns({
         "expansion_ratio": share(F.col("total"), F.col("unique_source_groups")), "bootstrap_rate": share(F.col("bootstrap_samples"), F.col("total")),
-        "bootstrap_source_group_rate": share(F.col("bootstrap_source_groups"), F.col("unique_source_groups")), "max_variant_rate": share(most.scalar(), F.col("total")),
+        "bootstrap_source_group_rate": share(
+            F.col("bootstrap_source_groups"), F.col("unique_source_groups")
+        ), "max_variant_rate": share(most.scalar(), F.col("total")),
     })
-    return out.withColumn("profile_ready", (F.col("unique_source_groups") >= 3000) & (F.col("expansion_ratio") <= 20) & (F.col("max_source_group_size") <= 7) & (F.col("max_variant_rate") <= 0.25) & (F.col("bootstrap_source_group_rate") <= 0.8))
+    return out.withColumn(
+        "profile_ready",
+        (F.col("unique_source_groups") >= 3000) & (F.col("expansion_ratio") <= 20) & (F.col("max_source_group_size") <= 7) & (F.col("max_variant_rate") <= 0.25) & (F.col("bootstrap_source_group_rate") <= 0.8)
+    )
 
 
 def resume_groups(rows: DataFrame) -> DataFrame:
     """(split, category, groups): distinct source groups by where they come from."""
     g = F.coalesce(F.nullif(F.col("source_group"), F.lit("")), F.col("id"))
-    category = F.when(g.startswith("resume_bootstrap_"), "bootstrap_from_jd").when(g.startswith("resume_eval_"), "repository_curated_seed").otherwise(F.split_part(g, F.lit("_"), F.lit(1)))
+    category = F.when(g.startswith("resume_bootstrap_"), "bootstrap_from_jd").when(
+        g.startswith("resume_eval_"), "repository_curated_seed"
+    ).otherwise(F.split_part(g, F.lit("_"), F.lit(1)))
     return rows.select("split", category.alias("category"), g.alias("g")).distinct().groupBy("split", "category").agg(F.count(F.lit(1)).alias("groups"))
 
 
@@ -430,7 +528,11 @@ def source_admission(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     admission_decision, min_unique_content_groups, max_duplicate_template_ratio): what its imported rows (task, text, label,
     ner_tags, meta.source_name) hold, which gates they pass, and the decision."""
     tagged = (F.col("task") == "resume_ner") & sensitive_tags(F.col("ner_tags"))
-    marked = rows.select(meta("source_name").alias("name"), (F.size(findings(F.col("text"))) > 0).alias("private"), tagged.alias("tagged"), strip(for_training(F.col("text"))).alias("clean"), (F.col("task") == "resume_parse").alias("parsed"), F.coalesce(signals(F.col("label")) >= 3, F.lit(False)).alias("usable"))
+    marked = rows.select(
+        meta("source_name").alias("name"), (F.size(findings(F.col("text"))) > 0).alias("private"), tagged.alias("tagged"),
+        strip(for_training(F.col("text"))).alias("clean"), (F.col("task") == "resume_parse").alias("parsed"),
+        F.coalesce(signals(F.col("label")) >= 3, F.lit(False)).alias("usable")
+    )
     marked = marked.withColumn("left", F.coalesce(F.size(findings(F.col("clean"))) > 0, F.lit(False)))
     fit = ~F.col("tagged") & (F.col("clean") != "") & ~F.col("left")
     marked = marked.withColumns({"fit": fit, "group": normalized_hash(F.col("clean")), "exact": F.sha2("clean", 256)})
@@ -440,12 +542,16 @@ def source_admission(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     )
     numbers = [c for c in sums.columns if c != "name"]
     out = manifest.join(sums, "name", "left").na.fill(0, numbers)
-    out = out.withColumn("duplicate_template_ratio", share(F.col("after_privacy") - F.col("unique_content_groups"), F.col("after_privacy"))).withColumn("usable_rate", share(F.col("usable_rows"), F.col("parsed_rows")))
+    out = out.withColumn(
+        "duplicate_template_ratio", share(F.col("after_privacy") - F.col("unique_content_groups"), F.col("after_privacy"))
+    ).withColumn("usable_rate", share(F.col("usable_rows"), F.col("parsed_rows")))
     said = lambda c, d="": F.lower(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d)))
     gates = {
         "license_ready": said("license_status") == "confirmed", "allowed_usage_ready": said("intended_usage").isin(*USABLE_FOR), "provenance_ready": ~said("provenance_status", "undocumented").isin(*UNKNOWN_ORIGIN),
         "privacy_ready": (F.col("residual_rows") == 0) & (F.col("after_privacy") > 0), "schema_ready": (F.col("schema") == "resume_parse_rows") & (F.col("usable_rate") >= 0.9),
-        "content_diversity_ready": (F.col("unique_content_groups") >= F.coalesce("min_unique_content_groups", F.lit(20))) & (F.col("duplicate_template_ratio") <= F.coalesce("max_duplicate_template_ratio", F.lit(0.8))),
+        "content_diversity_ready": (F.col("unique_content_groups") >= F.coalesce("min_unique_content_groups", F.lit(20))) & (
+            F.col("duplicate_template_ratio") <= F.coalesce("max_duplicate_template_ratio", F.lit(0.8))
+        ),
         "independent_real_content_ready": ~said("collection_method").contains("template"),
     }
     out = out.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in gates.items()})
@@ -483,13 +589,19 @@ def expected_direction(title: Column) -> Column:
 def direction_conflicts(samples: DataFrame) -> DataFrame:
     """Samples whose title shows one direction, with it, their own and whether they differ."""
     own = answer(_ADVERT)
-    out = samples.select("id", title_of(asked()).alias("title"), F.when(own.isNull(), "<invalid>").otherwise(text_or_empty(own["岗位方向"])).alias("actual"), stated("quality_tier", "unknown").alias("quality_tier"), stated("source", "unknown").alias("source"))
+    out = samples.select(
+        "id", title_of(asked()).alias("title"), F.when(own.isNull(), "<invalid>").otherwise(text_or_empty(own["岗位方向"])).alias("actual"),
+        stated("quality_tier", "unknown").alias("quality_tier"), stated("source", "unknown").alias("source")
+    )
     out = out.withColumn("expected", expected_direction(F.col("title"))).filter("expected <> ''")
     return out.withColumn("conflict", F.col("expected") != F.col("actual"))
 
 
 def conflict_report(conflicts: DataFrame) -> DataFrame:
-    return conflicts.agg(F.count(F.lit(1)).alias("signaled_rows"), F.count_if("conflict").alias("conflict_rows"), share(F.count_if("conflict"), F.count(F.lit(1))).alias("conflict_rate"))
+    return conflicts.agg(
+        F.count(F.lit(1)).alias("signaled_rows"), F.count_if("conflict").alias("conflict_rows"),
+        share(F.count_if("conflict"), F.count(F.lit(1))).alias("conflict_rate")
+    )
 
 
 def conflict_groups(conflicts: DataFrame) -> DataFrame:
@@ -499,23 +611,36 @@ def conflict_groups(conflicts: DataFrame) -> DataFrame:
 def experience_gaps(samples: DataFrame) -> DataFrame:
     """Samples without years, with those that their prompt tells."""
     own = answer(_ADVERT)
-    out = samples.select("id", title_of(asked()).alias("title"), fields.experience(asked()).alias("recoverable"), stated("quality_tier", "unknown").alias("quality_tier"), own.isNotNull().alias("good"), strip(text_or_empty(own["经验要求"])).alias("years"))
+    out = samples.select(
+        "id", title_of(asked()).alias("title"), fields.experience(asked()).alias("recoverable"),
+        stated("quality_tier", "unknown").alias("quality_tier"), own.isNotNull().alias("good"), strip(text_or_empty(own["经验要求"])).alias("years")
+    )
     return out.filter("good and years = ''").drop("good", "years")
 
 
 def gap_report(gaps: DataFrame) -> DataFrame:
     found = F.col("recoverable") != ""
-    return gaps.agg(F.count(F.lit(1)).alias("empty_rows"), F.count_if(found).alias("recoverable_rows"), share(F.count_if(found), F.count(F.lit(1))).alias("recoverable_rate"))
+    return gaps.agg(
+        F.count(F.lit(1)).alias("empty_rows"), F.count_if(found).alias("recoverable_rows"),
+        share(F.count_if(found), F.count(F.lit(1))).alias("recoverable_rate")
+    )
 
 
 def samples_profile(rows: DataFrame) -> DataFrame:
     """One row about samples (id, source_group, source_id, meta): rows and distinct source groups."""
     groups = rows.select(source_group().alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("g").alias("unique_source_groups")).withColumn("source_group_ratio", share(F.col("unique_source_groups"), F.col("rows")))
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("g").alias("unique_source_groups")
+    ).withColumn("source_group_ratio", share(F.col("unique_source_groups"), F.col("rows")))
 
 
 def resume_file_checks(rows: DataFrame, required: tuple[str, ...] = ("education", "skills", "internships", "projects"), least_chars: int = 800) -> DataFrame:
     """``rows`` of read résumés (parse_ok, needs_ocr, clean_text, sections) with the names of the checks that fail."""
     missing = F.array_compact(F.array(*(F.when(text_or_empty(F.col(f"sections.{s}")) == "", F.lit(s)) for s in required)))
-    checks = {"parse_ok": F.coalesce("parse_ok", F.lit(False)), "does_not_need_ocr": ~F.coalesce("needs_ocr", F.lit(False)), "min_text_chars": F.length(text_or_empty(F.col("clean_text"))) >= least_chars, "required_sections": F.size(missing) == 0}
-    return rows.withColumn("missing_sections", missing).withColumn("failed_checks", F.array_compact(F.array(*(F.when(~ok, F.lit(n)) for n, ok in checks.items()))))
+    checks = {
+        "parse_ok": F.coalesce("parse_ok", F.lit(False)), "does_not_need_ocr": ~F.coalesce("needs_ocr", F.lit(False)),
+        "min_text_chars": F.length(text_or_empty(F.col("clean_text"))) >= least_chars, "required_sections": F.size(missing) == 0
+    }
+    return rows.withColumn("missing_sections", missing).withColumn(
+        "failed_checks", F.array_compact(F.array(*(F.when(~ok, F.lit(n)) for n, ok in checks.items())))
+    )

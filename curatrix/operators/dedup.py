@@ -18,7 +18,9 @@ def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def surplus(df: DataFrame, key: str) -> DataFrame:
     """How many rows are more than one of their key."""
-    return df.groupBy(key).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("surplus_rows"), F.count_if(F.col("count") > 1).alias("duplicated_keys"))
+    return df.groupBy(key).count().agg(
+        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("surplus_rows"), F.count_if(F.col("count") > 1).alias("duplicated_keys")
+    )
 
 
 def shingles(text: str, size: int) -> set[str]:
@@ -59,9 +61,14 @@ def jaccard_pairs(df: DataFrame, id_col: str, bucket: str, text: str, threshold:
     keep = F.size("s") - F.ceil(F.size("s") * F.lit(threshold) - F.lit(1e-9)) + 1
     prefix = sets.select("b", "id", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("h"))
     a, c = prefix.alias("a"), prefix.alias("c")
-    near = a.join(c, (F.col("a.b") == F.col("c.b")) & (F.col("a.h") == F.col("c.h")) & (F.col("a.id") < F.col("c.id")) & (F.col("c.n") >= threshold * F.col("a.n")) & (F.col("a.n") >= threshold * F.col("c.n")))
+    near = a.join(
+        c,
+        (F.col("a.b") == F.col("c.b")) & (F.col("a.h") == F.col("c.h")) & (F.col("a.id") < F.col("c.id")) & (F.col("c.n") >= threshold * F.col("a.n")) & (F.col("a.n") >= threshold * F.col("c.n"))
+    )
     pairs = near.select(F.col("a.id").alias("left_id"), F.col("c.id").alias("right_id")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("s").alias("p")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("s").alias("q")), "right_id")
+    both = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("s").alias("p")), "left_id").join(
+        sets.select(F.col("id").alias("right_id"), F.col("s").alias("q")), "right_id"
+    )
     shared = F.size(F.array_intersect("p", "q"))
     both = both.withColumn("shared", shared).withColumn("jaccard", F.col("shared") / (F.size("p") + F.size("q") - F.col("shared")))
     return both.select("left_id", "right_id", "jaccard").filter(F.col("jaccard") >= threshold)

@@ -41,7 +41,9 @@ ALIKE = 0.999
 
 def items(c: Column) -> Column:
     """The set of trimmed lower-case items."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(strip(text_or_empty(x)))), lambda x: x != ""))
+    return F.array_distinct(
+        F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(strip(text_or_empty(x)))), lambda x: x != "")
+    )
 
 
 def set_scores(found: Column, gold: Column) -> Column:
@@ -71,11 +73,18 @@ def scored(rows: DataFrame, spec: Spec, found: str = "parsed", gold: str = "labe
     p, g, none = F.col("_p"), F.col("_g"), F.lit(None).cast("double")
     ok = F.coalesce(F.col("ok") if usable is None else usable, F.lit(False))
     lists = {f: set_scores(p[f], g[f]) for f in spec.lists}
-    others = {f: exact(p[f], g[f]) for f in spec.texts} | {f: (F.coalesce(p[f], F.lit(False)) == F.coalesce(g[f], F.lit(False))).cast("double") for f in spec.flags}
-    cells = [(f, F.struct(s["precision"].alias("precision"), s["recall"].alias("recall"), s["f1"].alias("f1"), none.alias("exact_match"))) for f, s in lists.items()]
+    others = {f: exact(p[f], g[f]) for f in spec.texts} | {
+        f: (F.coalesce(p[f], F.lit(False)) == F.coalesce(g[f], F.lit(False))).cast("double") for f in spec.flags
+    }
+    cells = [
+        (f, F.struct(s["precision"].alias("precision"), s["recall"].alias("recall"), s["f1"].alias("f1"), none.alias("exact_match"))) for f,
+        s in lists.items()
+    ]
     cells += [(f, F.struct(none.alias("precision"), none.alias("recall"), none.alias("f1"), s.alias("exact_match"))) for f, s in others.items()]
     scores = F.create_map(*(x for f, c in cells for x in (F.lit(f), c)))
-    out = rows.withColumns({"_p": _parsed(F.col(found), spec), "_g": _parsed(F.col(gold), spec), "usable": ok}).withColumn("scores", F.when(F.col("usable"), scores))
+    out = rows.withColumns(
+        {"_p": _parsed(F.col(found), spec), "_g": _parsed(F.col(gold), spec), "usable": ok}
+    ).withColumn("scores", F.when(F.col("usable"), scores))
     differ = F.map_keys(F.map_filter("scores", lambda _, s: F.coalesce(s["f1"], s["exact_match"]) < ALIKE))
     return out.withColumn("mismatched", F.coalesce(differ, F.array().cast("array<string>"))).drop("_p", "_g")
 
@@ -88,7 +97,10 @@ def metrics(rows: DataFrame, *by: str) -> DataFrame:
 
 def rates(rows: DataFrame, *by: str) -> DataFrame:
     """(by..., num_samples, valid_rate, num_mismatch_samples); unusable rows aren't mismatches here."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("num_samples"), F.coalesce(F.avg(F.col("usable").cast("double")), F.lit(0.0)).alias("valid_rate"), F.count_if(F.size("mismatched") > 0).alias("num_mismatch_samples"))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("num_samples"), F.coalesce(F.avg(F.col("usable").cast("double")), F.lit(0.0)).alias("valid_rate"),
+        F.count_if(F.size("mismatched") > 0).alias("num_mismatch_samples")
+    )
 
 
 def evaluated(rows: DataFrame, *by: str) -> DataFrame:
@@ -116,7 +128,10 @@ def layers(rows: DataFrame) -> DataFrame:
     """Predicted matches (id, label, jd_ok, resume_ok, rule_result, raw_model, normalized; the last two structs of rule_result
     and structured_result_available) once a layer, scored."""
     rows = rows.withColumn("parsed_ok", F.col("jd_ok") & F.col("resume_ok"))
-    parts = [scored(rows.withColumn("_found", F.col(path)), SPECS["match"], "_found", "label", F.col(there)).withColumn("layer", F.lit(name)) for name, (path, there) in LAYERS.items()]
+    parts = [
+        scored(rows.withColumn("_found", F.col(path)), SPECS["match"], "_found", "label", F.col(there)).withColumn("layer", F.lit(name)) for name,
+        (path, there) in LAYERS.items()
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -131,7 +146,9 @@ def error_types(gold: Column, found: Column, tags: Column, format_ok: Column, co
     tagged = lambda t: F.array_contains(F.coalesce(tags, none), t)
     rules = (
         (~F.coalesce(format_ok, F.lit(False)), "输出格式错误"), (beyond(*hit), "技能漏召回"), (beyond(*hit[::-1]), "技能误识别"), (skills & tagged("技能同义词"), "同义表达错误"), (skills & tagged("可迁移技能"), "可迁移技能错误"),
-        (flag("岗位方向匹配"), "岗位方向错误"), (~found["匹配等级"].eqNullSafe(gold["匹配等级"]), "匹配等级错误"), (flag("学历匹配"), "学历判断错误"), (flag("经验匹配"), "经验判断错误"), (contradicted, "模型解释与结构矛盾"),
+        (flag("岗位方向匹配"), "岗位方向错误"), (
+            ~found["匹配等级"].eqNullSafe(gold["匹配等级"]), "匹配等级错误"
+        ), (flag("学历匹配"), "学历判断错误"), (flag("经验匹配"), "经验判断错误"), (contradicted, "模型解释与结构矛盾"),
     )
     return F.array_compact(F.array(*(F.when(F.coalesce(ok, F.lit(False)), F.lit(code)) for ok, code in rules)))
 
@@ -173,9 +190,15 @@ MOST_REGRESSION = 0.005
 def long_metrics(report: str, by_field: DataFrame, whole: DataFrame) -> DataFrame:
     """(report, field, key, value) of :func:`metrics` and :func:`rates`."""
     keys = ("precision", "recall", "f1", "exact_match")
-    each = by_field.select(F.lit(report).alias("report"), "field", F.inline(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys))))
+    each = by_field.select(
+        F.lit(report).alias("report"), "field",
+        F.inline(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys)))
+    )
     names = [c for c in whole.columns if c.endswith("rate")]
-    rest = whole.select(F.lit(report).alias("report"), F.lit("").alias("field"), F.inline(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in names))))
+    rest = whole.select(
+        F.lit(report).alias("report"), F.lit("").alias("field"),
+        F.inline(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in names)))
+    )
     return each.unionByName(rest).filter("value is not null")
 
 
@@ -189,13 +212,17 @@ def readiness(spark: SparkSession, measured: DataFrame, limits: dict[str, float]
 
 def regressions(candidate: DataFrame, baseline: DataFrame, most: float = MOST_REGRESSION) -> DataFrame:
     """(name, candidate, baseline, delta, passed) of two readiness tables."""
-    both = candidate.select("name", F.col("actual").alias("candidate")).join(baseline.select("name", F.col("actual").alias("baseline")), "name", "left").na.fill(0.0, ["baseline"])
+    both = candidate.select("name", F.col("actual").alias("candidate")).join(
+        baseline.select("name", F.col("actual").alias("baseline")), "name", "left"
+    ).na.fill(0.0, ["baseline"])
     return both.withColumn("delta", F.col("candidate") - F.col("baseline")).withColumn("passed", F.col("delta") + 1e-12 >= -most)
 
 
 def deltas(base: DataFrame, other: DataFrame) -> DataFrame:
     """(key, base, other, delta) of two one-row reports."""
-    long = lambda df, name: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias(name)) for c in df.columns))))
+    long = lambda df, name: df.select(
+        F.inline(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias(name)) for c in df.columns)))
+    )
     return long(base, "base").join(long(other, "other"), "key").withColumn("delta", F.col("other") - F.col("base"))
 
 
@@ -222,8 +249,12 @@ def review_queue(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     rules = (
         ((F.col("jd_required_years") > 0) & (flag(g, "经验匹配") != (F.col("resume_explicit_years") >= F.col("jd_required_years"))), "经验标签与原文明示年限矛盾", 4),
         ((F.col("jd_education_rank") > 0) & (flag(g, "学历匹配") != (F.col("resume_education_rank") >= F.col("jd_education_rank"))), "学历标签与原文明示学历矛盾", 4),
-        (any_of("label_missing_but_evidenced"), "标签判缺失但评分器找到双侧技能证据", 4), (any_of("label_omitted_evidence"), "标签未覆盖评分器找到的技能证据", 3), (any_of("product_missed_gold"), "评分器漏掉标签声明命中的技能", 3),
-        (found & (flag(p, "岗位方向匹配") != flag(g, "岗位方向匹配")), "岗位方向标签与产品结果不一致", 2), (found & ~p["匹配等级"].eqNullSafe(g["匹配等级"]), "匹配等级标签与产品结果不一致", 1), (F.col("_there").isNull(), "缺少对应预测结果", 2),
+        (
+            any_of("label_missing_but_evidenced"), "标签判缺失但评分器找到双侧技能证据", 4
+        ), (any_of("label_omitted_evidence"), "标签未覆盖评分器找到的技能证据", 3), (any_of("product_missed_gold"), "评分器漏掉标签声明命中的技能", 3),
+        (
+            found & (flag(p, "岗位方向匹配") != flag(g, "岗位方向匹配")), "岗位方向标签与产品结果不一致", 2
+        ), (found & ~p["匹配等级"].eqNullSafe(g["匹配等级"]), "匹配等级标签与产品结果不一致", 1), (F.col("_there").isNull(), "缺少对应预测结果", 2),
     )
     reasons = F.array_compact(F.array(*(F.when(ok, F.lit(t)) for ok, t, _ in rules)))
     score = sum((F.when(ok, n).otherwise(0) for ok, _, n in rules), F.lit(0))
@@ -259,7 +290,10 @@ def gold_rows(gold: DataFrame, training: DataFrame, adverts: DataFrame | None =
     tags = F.coalesce(F.from_json(F.get_json_object("meta", "$.difficulty_tags"), "array<string>"), F.array().cast("array<string>"))
     status = F.when(meta("annotation_status") == "", "missing").otherwise(meta("annotation_status"))
     verified = status == VERIFIED
-    rules = [(text_or_empty(F.col("id")) == "", "missing_id"), (text_or_empty(F.col("source_group")) == "", "missing_source_group"), (text("jd_text") == "", "missing_jd_text"), (text("resume_text") == "", "missing_resume_text"), (~verified, "not_human_verified")]
+    rules = [
+        (text_or_empty(F.col("id")) == "", "missing_id"), (text_or_empty(F.col("source_group")) == "", "missing_source_group"),
+        (text("jd_text") == "", "missing_jd_text"), (text("resume_text") == "", "missing_resume_text"), (~verified, "not_human_verified")
+    ]
     rules += [(verified & (meta(k) == ""), f"missing_annotation_field:{k}") for k in ANNOTATION]
     rules += [(F.size(tags) == 0, "missing_difficulty_tags"), (F.exists(tags, lambda t: ~t.isin(*TAGS)), "unknown_difficulty_tag")]
     errors = F.concat(label_errors(F.col("label")), F.array_compact(F.array(*(F.when(ok, F.lit(code)) for ok, code in rules))))
@@ -268,7 +302,11 @@ def gold_rows(gold: DataFrame, training: DataFrame, adverts: DataFrame | None =
     out = gold.withColumns({"errors": errors, "status": status, "tags": tags, **keys})
     trained = training.select(*(c.alias(k) for k, c in keys.items()))
     one = lambda df, c: None if df is None else df.select(normalized_hash(F.col(c)).alias("k"))
-    known = {"pair_hash": ("in_training", trained.select(F.col("pair_hash").alias("k"))), "jd_hash": ("jd_in_training", trained.select(F.col("jd_hash").alias("k"))), "resume_hash": ("resume_in_training", trained.select(F.col("resume_hash").alias("k")))}
+    known = {
+        "pair_hash": ("in_training", trained.select(F.col("pair_hash").alias("k"))),
+        "jd_hash": ("jd_in_training", trained.select(F.col("jd_hash").alias("k"))),
+        "resume_hash": ("resume_in_training", trained.select(F.col("resume_hash").alias("k")))
+    }
     tasks = [("jd_hash", "jd_in_task", one(adverts, "raw_text")), ("resume_hash", "resume_in_task", one(resumes, "text"))]
     for key, name, seen in [(k, n, s) for k, (n, s) in known.items()] + tasks:
         if seen is None:
@@ -282,11 +320,15 @@ def gold_rows(gold: DataFrame, training: DataFrame, adverts: DataFrame | None =
 def gold_report(rows: DataFrame, least: int = 20) -> DataFrame:
     """One row about :func:`gold_rows`, with ``gold_ready``."""
     flags = ("in_training", "jd_in_training", "resume_in_training", "jd_in_task", "resume_in_task")
-    surplus = lambda c, named=True: F.count_if(F.col(c) != "" if named else F.lit(True)) - F.countDistinct(F.when(F.col(c) != "", F.col(c)) if named else F.col(c))
+    surplus = lambda c, named=True: F.count_if(F.col(c) != "" if named else F.lit(True)) - F.countDistinct(
+        F.when(F.col(c) != "", F.col(c)) if named else F.col(c)
+    )
     one = rows.agg(
         F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("status") == VERIFIED).alias("human_verified_rows"), F.count_if(F.size("errors") > 0).alias("invalid_rows"), surplus("id").alias("repeated_ids"),
         surplus("source_group").alias("repeated_source_groups"), surplus("pair_hash", False).alias("duplicate_pair_count"), *(F.count_if(f).alias(f"{f}_count") for f in flags),
-        F.size(F.array_intersect(F.array_distinct(F.flatten(F.collect_set(F.filter("tags", lambda t: t.isin(*TAGS))))), F.array(*map(F.lit, TAGS)))).alias("tags_seen"),
+        F.size(
+            F.array_intersect(F.array_distinct(F.flatten(F.collect_set(F.filter("tags", lambda t: t.isin(*TAGS))))), F.array(*map(F.lit, TAGS)))
+        ).alias("tags_seen"),
     )
     clean = ["invalid_rows", "repeated_ids", "repeated_source_groups", "duplicate_pair_count", *(f"{f}_count" for f in flags)]
     ok = (F.col("total_rows") >= least) & (F.col("human_verified_rows") == F.col("total_rows")) & (F.col("tags_seen") == len(TAGS))
@@ -297,7 +339,10 @@ def with_review_fields(rows: DataFrame, origin: str) -> DataFrame:
     """Rows of a candidate set, marked as not yet reviewed."""
     more = {"annotation_status": F.lit("pending_human_review"), "candidate_origin": F.lit(origin), "training_eligible": F.lit("false")}
     own = F.coalesce(F.from_json("meta", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return rows.withColumn("meta", F.to_json(F.map_concat(F.map_filter(own, lambda k, _: ~k.isin(*more)), F.create_map(*(x for k, c in more.items() for x in (F.lit(k), c))))))
+    return rows.withColumn(
+        "meta",
+        F.to_json(F.map_concat(F.map_filter(own, lambda k, _: ~k.isin(*more)), F.create_map(*(x for k, c in more.items() for x in (F.lit(k), c)))))
+    )
 
 
 def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:

@@ -128,7 +128,10 @@ ENGLISH = {
 #: Characters of an English advert that tell its direction: the title and what comes first.
 ENGLISH_CHARS = 1200
 ENGLISH_DEGREES = {"博士": (r"ph\.?d\.?|doctor(?:ate)?", "ph"), "硕士": (r"master(?:'s)?", "master"), "本科": (r"bachelor(?:'s)?", "bachelor")}
-ENGLISH_YEARS = (r"\b([0-9]{1,2}\+?\s*(?:years?|yrs?)\s+of\s+experience)\b", r"\b(minimum\s+[0-9]{1,2}\+?\s*(?:years?|yrs?)\b[^.;\n]*)", r"\b([0-9]{1,2}\+?\s*(?:years?|yrs?)\s+in\b[^.;\n]*)")
+ENGLISH_YEARS = (
+    r"\b([0-9]{1,2}\+?\s*(?:years?|yrs?)\s+of\s+experience)\b", r"\b(minimum\s+[0-9]{1,2}\+?\s*(?:years?|yrs?)\b[^.;\n]*)",
+    r"\b([0-9]{1,2}\+?\s*(?:years?|yrs?)\s+in\b[^.;\n]*)"
+)
 
 #: What stands around a line of a list, and headings that aren't duties; fixed values.
 EDGES, NOT_DUTIES = " -•\t", "经验要求|学历要求|任职要求|岗位要求"
@@ -210,7 +213,10 @@ def direction(title: Column, text: Column) -> Column:
         votes = {name: sum((whole.rlike(word_pattern(w)).cast("int") for w in words.split("|")), F.lit(0)) for name, words in VOTES.items()}
         return cascade(rules, argmax(votes))
 
-    both = F.struct(F.lower(squeezed(title)).alias("t"), F.lower(squeezed(text)).alias("x"), F.lower(F.concat(text_or_empty(title), F.lit("\n"), text_or_empty(text))).alias("whole"))
+    both = F.struct(
+        F.lower(squeezed(title)).alias("t"), F.lower(squeezed(text)).alias("x"),
+        F.lower(F.concat(text_or_empty(title), F.lit("\n"), text_or_empty(text))).alias("whole")
+    )
     # Bound to a variable, else each rule would squeeze both texts again.
     return F.get(F.transform(F.array(both), of), 0)
 
@@ -221,7 +227,9 @@ def canonical_direction(named: Column, context: Column) -> Column:
     stated = strip(F.regexp_extract(text_or_empty(context), r"(?U)岗位名称[：:]\s*([^\n]+)", 1))
     title = F.when(name == "", "").when(stated != "", stated).otherwise(name)
     first = direction(title, context)
-    rest = F.when((F.lower(name) == RENAMED) & has(context, ALGORITHM_AROUND), "算法工程").otherwise(direction(title, F.concat(name, F.lit("\n"), text_or_empty(context))))
+    rest = F.when((F.lower(name) == RENAMED) & has(context, ALGORITHM_AROUND), "算法工程").otherwise(
+        direction(title, F.concat(name, F.lit("\n"), text_or_empty(context)))
+    )
     return F.get(F.transform(F.array(first), lambda d: F.when((name == "") | (d != ""), d).otherwise(rest)), 0)
 
 
@@ -246,7 +254,10 @@ def duties(text: Column) -> Column:
 def unique_texts(items: Column) -> Column:
     """Squeezed texts, the first of those equal but for case."""
     plain = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), squeezed), lambda x: x != "")
-    bound = F.transform(F.array(F.struct(plain.alias("p"), F.transform(plain, F.lower).alias("k"))), lambda s: F.filter(s["p"], lambda x, i: F.array_position(s["k"], F.lower(x)) == i + 1))
+    bound = F.transform(
+        F.array(F.struct(plain.alias("p"), F.transform(plain, F.lower).alias("k"))),
+        lambda s: F.filter(s["p"], lambda x, i: F.array_position(s["k"], F.lower(x)) == i + 1)
+    )
     return F.get(bound, 0)
 
 

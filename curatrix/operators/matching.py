@@ -34,7 +34,9 @@ class Policy:
         """The sum of points; halves round to even."""
         skill = F.when(required > 0, F.bround(self.skills * matched / required)).otherwise(self.no_skills).cast("int")
         points = lambda ok, n: F.when(ok, n).otherwise(0)
-        return points(direction, self.direction) + skill + points(education, self.education) + points(experience, self.experience) + F.least(F.lit(self.projects), projects * self.project_points)
+        return points(direction, self.direction) + skill + points(education, self.education) + points(experience, self.experience) + F.least(
+            F.lit(self.projects), projects * self.project_points
+        )
 
     def level(self, score: Column) -> Column:
         out = F.lit(self.lowest)

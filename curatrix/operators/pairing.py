@@ -114,11 +114,15 @@ def canonical_skills(items: Column, vocabulary: dict[str, list[str]], keep_unkno
 
     def name_of(x: Column) -> Column:
         x = squeezed(narrow(x))
-        return F.coalesce(look(exact, F.lower(x)), look(near, F.lower(F.regexp_replace(x, r"(?U)[\s-]+", ""))), x if keep_unknown else F.lit(None).cast("string"))
+        return F.coalesce(
+            look(exact, F.lower(x)), look(near, F.lower(F.regexp_replace(x, r"(?U)[\s-]+", ""))), x if keep_unknown else F.lit(None).cast("string")
+        )
 
     names = F.filter(F.transform(_listed(items), name_of), lambda x: x.isNotNull())
     keys = F.transform(names, F.lower)
-    firsts = F.transform(F.array(F.struct(names.alias("n"), keys.alias("k"))), lambda s: F.filter(s["n"], lambda x, i: F.array_position(s["k"], F.lower(x)) == i + 1))
+    firsts = F.transform(
+        F.array(F.struct(names.alias("n"), keys.alias("k"))), lambda s: F.filter(s["n"], lambda x, i: F.array_position(s["k"], F.lower(x)) == i + 1)
+    )
     return F.get(firsts, 0)
 
 
@@ -131,7 +135,10 @@ def segments(text: Column) -> Column:
         out = F.concat(x, F.lit("\n"))
         for kind, words in reversed(HEADINGS.items()):
             spaced = "|".join(r"\s*".join(w) for w in words)
-            out = F.when(x.rlike(f"(?U)^(?:{spaced})"), F.concat(F.lit(f"{START}{kind}{END}"), strip(F.regexp_replace(x, rf"(?U)^(?:{every})\s*[：:]?\s*", "")), F.lit("\n"))).otherwise(out)
+            out = F.when(
+                x.rlike(f"(?U)^(?:{spaced})"),
+                F.concat(F.lit(f"{START}{kind}{END}"), strip(F.regexp_replace(x, rf"(?U)^(?:{every})\s*[：:]?\s*", "")), F.lit("\n"))
+            ).otherwise(out)
         return out
 
     trimmed = F.transform(lines(cut), lambda x: F.regexp_replace(x, "^[ \t\\-•]+|[ \t\\-•]+$", ""))
@@ -140,7 +147,10 @@ def segments(text: Column) -> Column:
     def of_part(part: Column) -> Column:
         kind, body = F.substring_index(part, END, 1), F.regexp_replace(part, f"(?s)^[^{END}]*{END}", "")
         by_cue = lambda x: first_rule([(x.rlike(p), k) for k, p in CUES.items()], "other")
-        return F.transform(F.filter(F.split(body, "\n"), lambda x: x != ""), lambda x: F.struct(F.when(kind != "", kind).otherwise(by_cue(x)).alias("kind"), x.alias("line")))
+        return F.transform(
+            F.filter(F.split(body, "\n"), lambda x: x != ""),
+            lambda x: F.struct(F.when(kind != "", kind).otherwise(by_cue(x)).alias("kind"), x.alias("line"))
+        )
 
     parts = F.filter(F.split(marked, START), lambda p: p != "")
     return F.flatten(F.transform(parts, of_part))
@@ -151,14 +161,18 @@ def skill_evidence(vocabulary: dict[str, list[str]], requirements: Column, respo
     come last and are not required by being listed."""
     given = [F.transform(_listed(c), _of_kind(kind)) for kind, c in zip(KINDS, (requirements, responsibilities, bonus), strict=False)]
     every = F.concat(*given, segments(text), F.transform(_listed(candidates), _of_kind("")))
-    hits = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), squeezed(s["line"]).alias("line"), known_skills(s["line"], vocabulary).alias("skills")))
+    hits = F.transform(
+        every, lambda s: F.struct(s["kind"].alias("kind"), squeezed(s["line"]).alias("line"), known_skills(s["line"], vocabulary).alias("skills"))
+    )
 
     def of_skill(hits: Column, skill: Column) -> Column:
         naming = lambda kind: F.filter(hits, lambda h: (h["kind"] == kind) & F.array_contains(h["skills"], skill))
         excerpts = (F.array_distinct(F.transform(naming(k), lambda h: h["line"])).alias(k) for k in KINDS)
         return F.struct(skill.alias("skill"), (F.size(naming("requirement")) > 0).alias("required"), *excerpts)
 
-    bound = F.transform(F.array(hits), lambda hs: F.transform(F.array_distinct(F.flatten(F.transform(hs, lambda h: h["skills"]))), lambda skill: of_skill(hs, skill)))
+    bound = F.transform(
+        F.array(hits), lambda hs: F.transform(F.array_distinct(F.flatten(F.transform(hs, lambda h: h["skills"]))), lambda skill: of_skill(hs, skill))
+    )
     return F.get(bound, 0)
 
 
@@ -174,7 +188,9 @@ def direction_leaf(direction: Column, context: Column) -> Column:
     for leaf, words in reversed(DIRECTIONS.items()):
         name = F.lit(leaf)
         if leaf in ("algorithm", "backend"):
-            name = F.when(around.rlike(PLATFORM) & F.contains(text, F.lit("算法")), "algorithm_platform").when(around.rlike(PLATFORM) & around.rlike("模型|ai|推理"), "ai_backend").otherwise(leaf)
+            name = F.when(
+                around.rlike(PLATFORM) & F.contains(text, F.lit("算法")), "algorithm_platform"
+            ).when(around.rlike(PLATFORM) & around.rlike("模型|ai|推理"), "ai_backend").otherwise(leaf)
         out = F.when(has(words), name).otherwise(out)
     return out
 
@@ -210,9 +226,15 @@ def score_pairs(pairs: DataFrame, vocabulary: dict[str, list[str]], policy: Poli
     joined = lambda *parts: F.array_join(F.concat(*parts), "\n")
     text = lambda c: F.array(text_or_empty(c))
     work = F.concat(_listed(r("projects")), _listed(r("internships")))
-    out = pairs.withColumn("_evidence", F.when(strip(text_or_empty(a("text"))) != "", skill_evidence(vocabulary, a("requirements"), a("responsibilities"), none, a("text"), a("skills"))))
+    out = pairs.withColumn(
+        "_evidence",
+        F.when(strip(text_or_empty(a("text"))) != "", skill_evidence(vocabulary, a("requirements"), a("responsibilities"), none, a("text"), a("skills")))
+    )
     out = out.withColumns({
-        "_required": F.coalesce(F.transform(F.filter("_evidence", lambda e: e["required"]), lambda e: e["skill"]), canonical_skills(a("skills"), vocabulary, keep_unknown=True)),
+        "_required": F.coalesce(
+            F.transform(F.filter("_evidence", lambda e: e["required"]), lambda e: e["skill"]),
+            canonical_skills(a("skills"), vocabulary, keep_unknown=True)
+        ),
         "_has": F.transform(F.concat(_listed(r("skills")), known_skills(joined(_listed(r("skills")), work, text(r("text"))), vocabulary)), key),
         "_work": work,
     })
@@ -233,7 +255,10 @@ def score_pairs(pairs: DataFrame, vocabulary: dict[str, list[str]], policy: Poli
         "_experience": (wanted == 0) | (worked >= wanted),
     })
     exact, compatible = F.col("_why") == "same_direction_leaf", F.col("_why").endswith("_skill_overlap")
-    out = out.withColumn("_score", policy.score(exact | compatible, F.size("_required"), F.size("_matched"), F.col("_education"), F.col("_experience"), F.size("_projects")).cast("int"))
+    out = out.withColumn(
+        "_score",
+        policy.score(exact | compatible, F.size("_required"), F.size("_matched"), F.col("_education"), F.col("_experience"), F.size("_projects")).cast("int")
+    )
     match = F.struct(
         F.col("_score").alias("score"), policy.level(F.col("_score")).alias("level"),
         F.when(exact, "exact").when(compatible, "compatible").otherwise("mismatch").alias("relation"), F.col("_why").alias("relation_evidence"),
@@ -243,12 +268,17 @@ def score_pairs(pairs: DataFrame, vocabulary: dict[str, list[str]], policy: Poli
     return out.select(*(F.col(c) for c in pairs.columns), match.alias("match"))
 
 
-def contradictions(direction: Column, education: Column, experience: Column, missing: Column, level: Column, strengths: Column, gaps: Column, conclusion: Column) -> Column:
+def contradictions(
+    direction: Column, education: Column, experience: Column, missing: Column, level: Column, strengths: Column, gaps: Column, conclusion: Column
+) -> Column:
     """Codes of what an explanation says against the rules' result, in order."""
     says = lambda c, *words: text_or_empty(c).rlike("|".join(words))
     checks = []
     for name, flag, good, bad in (("岗位方向匹配", direction, "方向一致", "方向不一致"), ("学历匹配", education, "学历背景满足", "学历条件"), ("经验匹配", experience, "经验背景满足", "经验条件")):
-        checks += [(~flag & says(strengths, good), f"{name}:false_but_strength_positive"), (flag & says(gaps, bad) & says(gaps, "差距"), f"{name}:true_but_gap_negative")]
+        checks += [
+            (~flag & says(strengths, good), f"{name}:false_but_strength_positive"),
+            (flag & says(gaps, bad) & says(gaps, "差距"), f"{name}:true_but_gap_negative")
+        ]
     checks += [
         ((F.size(missing) > 0) & says(gaps, "暂无明显硬性短板"), "missing_skills_but_no_hard_gap"),
         ((level == "高匹配") & says(conclusion, "匹配度有限", "低匹配", "不匹配"), "high_level_but_negative_conclusion"),
@@ -257,7 +287,10 @@ def contradictions(direction: Column, education: Column, experience: Column, mis
     return F.array_compact(F.array(*(F.when(ok, F.lit(code)) for ok, code in checks)))
 
 
-def ungrounded(vocabulary: dict[str, list[str]], matched: Column, missing: Column, education: Column, experience: Column, strengths: Column, gaps: Column, advice: Column) -> Column:
+def ungrounded(
+    vocabulary: dict[str, list[str]], matched: Column, missing: Column, education: Column, experience: Column, strengths: Column, gaps: Column,
+    advice: Column
+) -> Column:
     """Codes of claims in an explanation that the rules' result doesn't support, distinct and in order."""
     matched, missing = F.coalesce(matched, F.array().cast("array<string>")), F.coalesce(missing, F.array().cast("array<string>"))
 
@@ -277,6 +310,9 @@ def ungrounded(vocabulary: dict[str, list[str]], matched: Column, missing: Colum
 
     claims = []
     for name, flag, good, bad in (("学历", education, "学历满足", "学历不满足"), ("经验", experience, "经验满足", "经验不足")):
-        claims += [F.when(~flag & F.contains(strengths, F.lit(good)), f"{name}:unsupported_positive_claim"), F.when(flag & F.contains(gaps, F.lit(bad)), f"{name}:unsupported_negative_claim")]
+        claims += [
+            F.when(~flag & F.contains(strengths, F.lit(good)), f"{name}:unsupported_positive_claim"),
+            F.when(flag & F.contains(gaps, F.lit(bad)), f"{name}:unsupported_negative_claim")
+        ]
     fields = [of_field(f, c) for f, c in (("匹配优势", strengths), ("主要短板", gaps), ("简历优化建议", advice))]
     return F.array_distinct(F.concat(*fields, F.array_compact(F.array(*claims))))

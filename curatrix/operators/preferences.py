@@ -151,8 +151,12 @@ def explanation(label: Column, advert_direction: Column, resume_direction: Colum
     flags = [F.coalesce(label[k], F.lit(False)) for k in ("岗位方向匹配", "学历匹配", "经验匹配")]
     matched, missing, projects = (F.coalesce(label[k], none) for k in ("命中技能", "缺失技能", "命中项目"))
     told = lambda text, items, n, by: F.when(F.size(items) > 0, F.concat(F.lit(text), F.array_join(F.slice(items, 1, n), by)))
-    some = lambda parts, otherwise: F.get(F.transform(F.array(F.array_compact(F.array(*parts))), lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(otherwise)))), 0)
-    good = [F.when(ok, F.lit(t)) for ok, t in zip(flags, GOOD_POINTS, strict=True)] + [told(HAS_SKILLS, matched, MOST_SKILLS, "、"), told(HAS_PROJECTS, projects, MOST_PROJECTS, "；")]
+    some = lambda parts, otherwise: F.get(
+        F.transform(F.array(F.array_compact(F.array(*parts))), lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(otherwise)))), 0
+    )
+    good = [F.when(ok, F.lit(t)) for ok, t in zip(flags, GOOD_POINTS, strict=True)] + [
+        told(HAS_SKILLS, matched, MOST_SKILLS, "、"), told(HAS_PROJECTS, projects, MOST_PROJECTS, "；")
+    ]
     bad = [F.when(~ok, F.lit(t)) for ok, t in zip(flags, BAD_POINTS, strict=True)] + [told(LACKS_SKILLS, missing, MOST_SKILLS, "、")]
     advice = [told(ADD_SKILLS, missing, MOST_SKILLS, "、"), F.when(~flags[2], F.lit(ADD_WORK)), F.when(~flags[0], F.lit(ADD_TARGET))]
     wanted, aimed = text_or_empty(advert_direction), text_or_empty(resume_direction)
@@ -168,13 +172,21 @@ def match_samples(rows: DataFrame, normalized_hash: Callable[[Column], Column])
     the groups of their texts."""
     meta = lambda k: text_or_empty(F.get_json_object("meta", f"$.{k}"))
     answer = as_json_in_order(explanation(F.col("label"), meta("jd_direction"), meta("resume_direction")))
-    group = F.when(F.col("id").endswith("_ocr"), F.regexp_replace("id", "_ocr$", "")).when(F.col("id").rlike("^synthetic_match_.*_[0-9]+$"), F.regexp_replace("id", "_[0-9]+$", "")).otherwise(F.col("id"))
+    group = F.when(F.col("id").endswith("_ocr"), F.regexp_replace("id", "_ocr$", "")).when(
+        F.col("id").rlike("^synthetic_match_.*_[0-9]+$"), F.regexp_replace("id", "_[0-9]+$", "")
+    ).otherwise(F.col("id"))
     if "source_group" in rows.columns:
         group = F.when(text_or_empty(F.col("source_group")) != "", F.col("source_group")).otherwise(group)
     entity = lambda k, c: F.when(meta(k) != "", meta(k)).otherwise(normalized_hash(F.col(c)))
     asked = prompt(F.lit("match"), F.col("jd_text"), F.col("resume_text"), F.to_json("label"))
-    linked = F.array(F.concat(F.lit("match_jd:"), entity("jd_entity_hash", "jd_text")), F.concat(F.lit("match_resume:"), entity("resume_entity_hash", "resume_text")))
-    return rows.select("id", F.lit("match").alias("task_type"), group.alias("source_group"), linked.alias("linked_source_groups"), F.to_json(F.struct(meta("entity_split").alias("entity_split"))).alias("meta"), messages(asked, answer).alias("messages"))
+    linked = F.array(
+        F.concat(F.lit("match_jd:"), entity("jd_entity_hash", "jd_text")),
+        F.concat(F.lit("match_resume:"), entity("resume_entity_hash", "resume_text"))
+    )
+    return rows.select(
+        "id", F.lit("match").alias("task_type"), group.alias("source_group"), linked.alias("linked_source_groups"),
+        F.to_json(F.struct(meta("entity_split").alias("entity_split"))).alias("meta"), messages(asked, answer).alias("messages")
+    )
 
 
 def as_json_in_order(answer: Answer) -> Column:
@@ -190,26 +202,41 @@ def mismatch_preferences(rows: DataFrame) -> DataFrame:
     own = lambda n: text_or_empty(F.col(n)) if n in rows.columns else F.lit("")
     is_match = F.col("task") == "match"
     of_label = lambda c: as_json(explanation(F.from_json(c, LABEL), F.lit(""), F.lit("")))
-    chosen = F.when(is_match, of_label(own("label"))).when(F.col("task") == "resume_parse", canonical(own("label"), "resume_parse")).otherwise(canonical(own("label"), "jd_parse"))
+    chosen = F.when(is_match, of_label(own("label"))).when(
+        F.col("task") == "resume_parse", canonical(own("label"), "resume_parse")
+    ).otherwise(canonical(own("label"), "jd_parse"))
     plain = F.when(F.col("task") == "resume_parse", canonical(own("parsed"), "resume_parse")).otherwise(canonical(own("parsed"), "jd_parse"))
-    rejected = F.when(is_match, F.coalesce(canonical(own("analysis"), "match"), F.when(own("rule_result") != "", of_label(own("rule_result"))))).otherwise(F.coalesce(plain, F.nullif(strip(own("prediction")), F.lit(""))))
+    rejected = F.when(
+        is_match, F.coalesce(canonical(own("analysis"), "match"), F.when(own("rule_result") != "", of_label(own("rule_result"))))
+    ).otherwise(F.coalesce(plain, F.nullif(strip(own("prediction")), F.lit(""))))
     out = rows.withColumns({"_chosen": chosen, "_rejected": rejected}).filter("_chosen is not null and _rejected is not null and _chosen <> _rejected")
     asked = prompt(F.col("task"), own("text"), own("resume_text"), own("label"))
-    meta = F.struct(F.when(is_match, "match_eval_prediction_mismatch").otherwise("eval_prediction_mismatch").alias("provenance"), F.when(is_match, "match_analysis_mismatch").otherwise("prediction_mismatch").alias("rejection_strategy"))
-    return out.select("id", F.col("task").alias("task_type"), F.slice(messages(asked, F.lit("")), 1, 2).alias("prompt"), said(F.col("_chosen")).alias("chosen"), said(F.col("_rejected")).alias("rejected"), meta.alias("meta"))
+    meta = F.struct(
+        F.when(is_match, "match_eval_prediction_mismatch").otherwise("eval_prediction_mismatch").alias("provenance"),
+        F.when(is_match, "match_analysis_mismatch").otherwise("prediction_mismatch").alias("rejection_strategy")
+    )
+    return out.select(
+        "id", F.col("task").alias("task_type"), F.slice(messages(asked, F.lit("")), 1, 2).alias("prompt"), said(F.col("_chosen")).alias("chosen"),
+        said(F.col("_rejected")).alias("rejected"), meta.alias("meta")
+    )
 
 
 def audit(rows: DataFrame, holdout: DataFrame) -> DataFrame:
     """One row about preferences (split, id, source_id, prompt, chosen, rejected, meta) and held-out ids: counts of splits,
     rows that are invalid, ids that repeat, pairs that are equal, prompts in both splits, held-out sources, and origin."""
     content = lambda c: F.when(F.size(c) == 1, strip(text_or_empty(F.get(c, 0)["content"]))).otherwise("")
-    marked = rows.select("split", "id", F.coalesce("source_id", "id").alias("source_id"), F.sha1(F.to_json("prompt")).alias("p"), content(F.col("chosen")).alias("c"), content(F.col("rejected")).alias("r"), F.size("prompt").alias("n"), "meta")
+    marked = rows.select(
+        "split", "id", F.coalesce("source_id", "id").alias("source_id"), F.sha1(F.to_json("prompt")).alias("p"), content(F.col("chosen")).alias("c"),
+        content(F.col("rejected")).alias("r"), F.size("prompt").alias("n"), "meta"
+    )
     good = (F.col("n") > 0) & F.try_parse_json("c").isNotNull() & F.try_parse_json("r").isNotNull() & (F.col("c") != "") & (F.col("r") != "")
     marked = marked.withColumn("good", F.coalesce(good & F.col("id").isNotNull(), F.lit(False)))
     held = marked.join(holdout.select(F.col("id").alias("source_id"), F.lit(1).alias("held")).distinct(), "source_id", "left")
     one = held.agg(
         F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "valid").alias("valid"), F.count_if(~F.col("good")).alias("invalid_rows"),
-        (F.count_if("good") - F.countDistinct(F.when(F.col("good"), F.col("id")))).alias("duplicate_ids"), F.count_if(F.col("good") & (F.col("c") == F.col("r"))).alias("chosen_equals_rejected"),
+        (
+            F.count_if("good") - F.countDistinct(F.when(F.col("good"), F.col("id")))
+        ).alias("duplicate_ids"), F.count_if(F.col("good") & (F.col("c") == F.col("r"))).alias("chosen_equals_rejected"),
         F.count_if(F.col("good") & (F.col("held") == 1)).alias("holdout_overlap"), F.countDistinct(F.when(F.col("good"), F.col("p"))).alias("unique_prompts"),
         F.count_if(F.col("good") & F.col("meta.provenance").contains("synthetic")).alias("synthetic_rows"), F.count_if("good").alias("good_rows"),
     )
@@ -218,7 +245,9 @@ def audit(rows: DataFrame, holdout: DataFrame) -> DataFrame:
     crossing = first.agg(F.coalesce(F.sum(F.when((F.col("t") > 0), F.col("v")).otherwise(0)), F.lit(0)).cast("long").alias("x"))
     out = one.withColumn("cross_split_prompt_hashes", crossing.scalar())
     share = F.coalesce(F.round(F.try_divide(F.col("synthetic_rows"), F.col("good_rows")), 4), F.lit(0.0))
-    origin = F.when((F.col("good_rows") > 0) & (F.col("synthetic_rows") == F.col("good_rows")), "synthetic_only").when(F.col("synthetic_rows") > 0, "mixed").otherwise("non_synthetic_or_unknown")
+    origin = F.when(
+        (F.col("good_rows") > 0) & (F.col("synthetic_rows") == F.col("good_rows")), "synthetic_only"
+    ).when(F.col("synthetic_rows") > 0, "mixed").otherwise("non_synthetic_or_unknown")
     ready = (F.col("invalid_rows") == 0) & (F.col("duplicate_ids") == 0) & (F.col("chosen_equals_rejected") == 0) & (F.col("cross_split_prompt_hashes") == 0) & (F.col("holdout_overlap") == 0)
     out = out.withColumns({"synthetic_preference_rate": share, "preference_origin": origin, "format_ready": ready})
     reach = lambda t, v: F.col("format_ready") & (F.col("train") >= t) & (F.col("valid") >= v)

@@ -37,7 +37,9 @@ def _by_line(text: Column, f) -> Column:
     """``f(line, its neighbours' text)`` for each line."""
     # The lines are bound to a variable, else each line would split the text again.
     bound = F.array(lines(text))
-    return F.flatten(F.transform(bound, lambda every: F.transform(every, lambda x, i: f(x, F.concat_ws("\n", F.when(i > 0, F.get(every, i - 1)), F.get(every, i + 1))))))
+    return F.flatten(
+        F.transform(bound, lambda every: F.transform(every, lambda x, i: f(x, F.concat_ws("\n", F.when(i > 0, F.get(every, i - 1)), F.get(every, i + 1)))))
+    )
 
 
 def _name(line: Column, beside: Column) -> Column:
@@ -55,7 +57,10 @@ def findings(text: Column) -> Column:
     text = text_or_empty(text)
 
     def all_of(kind: str, pattern: str, group: int) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(False).alias("once")))
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
+            lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(False).alias("once"))
+        )
 
     kinds = F.create_map(*(F.lit(x) for pair in FIELDS.items() for x in pair))
 
@@ -75,7 +80,12 @@ def findings(text: Column) -> Column:
 
     every = F.flatten(F.array(*(all_of(k, p, g) for k, p, g, _ in PATTERNS), F.flatten(_by_line(text, of_line))))
     ranked = F.array_sort(F.transform(every, lambda e, i: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), i.alias("i"), e["once"].alias("once"))))
-    new = F.flatten(F.transform(F.array(ranked), lambda s: F.filter(s, lambda e, j: ~e["once"] | (j == 0) | (F.get(s, j - 1)["kind"] != e["kind"]) | (F.get(s, j - 1)["value"] != e["value"]))))
+    new = F.flatten(
+        F.transform(
+            F.array(ranked),
+            lambda s: F.filter(s, lambda e, j: ~e["once"] | (j == 0) | (F.get(s, j - 1)["kind"] != e["kind"]) | (F.get(s, j - 1)["value"] != e["value"]))
+        )
+    )
     in_order = F.array_sort(F.transform(new, lambda e: F.struct(e["i"].alias("i"), e["kind"].alias("kind"), e["value"].alias("value"))))
     return F.transform(in_order, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"))).cast(FOUND)
 

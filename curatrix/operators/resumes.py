@@ -16,7 +16,10 @@ from curatrix.operators.sections import RESUME, line_sections
 from curatrix.operators.selection import hash_order
 
 #: Titles of sections in the order in which they are rendered; the first has none.
-TITLES = {"header": "基础信息", "education": "教育背景", "skills": "核心技能", "internships": "实习经历", "projects": "项目经历", "work": "工作经历", "awards": "奖项证书", "profile": "个人优势"}
+TITLES = {
+    "header": "基础信息", "education": "教育背景", "skills": "核心技能", "internships": "实习经历", "projects": "项目经历", "work": "工作经历", "awards": "奖项证书",
+    "profile": "个人优势"
+}
 #: A résumé's label; the names are fixed values.
 LABEL = "struct<`目标岗位`:string,`教育背景`:array<string>,`核心技能`:array<string>,`实习经历`:array<string>,`项目经历`:array<string>,`优势标签`:array<string>>"
 #: How a noisy form differs, in order.
@@ -71,7 +74,10 @@ def card(label: Column) -> Column:
     """A profile card."""
     block = lambda title, name: F.when(F.size(_listed(label, name)) > 0, F.concat(F.lit(title + "：\n"), _items(label, name, "1. ")))
     strengths = F.when(F.size(_listed(label, "优势标签")) > 0, _head("优势标签：", _joined(label, "优势标签", "、")))
-    return F.concat_ws("\n", F.lit("候选人简历"), _head("目标岗位：", label["目标岗位"]), _head("教育背景：", _joined(label, "教育背景", "; ")), _head("核心技能：", _joined(label, "核心技能", "、")), block("实习经历", "实习经历"), block("项目经历", "项目经历"), strengths)
+    return F.concat_ws(
+        "\n", F.lit("候选人简历"), _head("目标岗位：", label["目标岗位"]), _head("教育背景：", _joined(label, "教育背景", "; ")),
+        _head("核心技能：", _joined(label, "核心技能", "、")), block("实习经历", "实习经历"), block("项目经历", "项目经历"), strengths
+    )
 
 
 def bulleted(label: Column) -> Column:
@@ -134,14 +140,20 @@ def synthetic_pool(rows: DataFrame) -> DataFrame:
     """Renderings as rows of a pool."""
     meta = F.to_json(F.struct(F.lit("zh").alias("language"), F.lit("resume_variant_render_v1").alias("generator")))
     kind = F.when(F.col("variant") == "ocr_like", "synthetic_ocr_like").otherwise("synthetic_text")
-    return renderings(rows).select(F.concat_ws("_", "id", "variant").alias("id"), F.lit("resume_parse").alias("task"), kind.alias("source_type"), _group(rows).alias("source_group"), F.col("rendered").alias("text"), "label", meta.alias("meta"))
+    return renderings(rows).select(
+        F.concat_ws("_", "id", "variant").alias("id"), F.lit("resume_parse").alias("task"), kind.alias("source_type"),
+        _group(rows).alias("source_group"), F.col("rendered").alias("text"), "label", meta.alias("meta")
+    )
 
 
 def samples(rows: DataFrame) -> DataFrame:
     """Chat samples of all renderings; those of one source and its noisy form share a group."""
     user = F.concat(F.lit(RESUME_PROMPT), F.col("rendered"))
     group = F.regexp_replace(_group(rows), "_ocr$", "")
-    out = renderings(rows).select(F.concat_ws("_", "id", "variant").alias("id"), F.lit("resume_parse").alias("task_type"), group.alias("source_group"), messages(user, F.to_json("label")).alias("messages"))
+    out = renderings(rows).select(
+        F.concat_ws("_", "id", "variant").alias("id"), F.lit("resume_parse").alias("task_type"), group.alias("source_group"),
+        messages(user, F.to_json("label")).alias("messages")
+    )
     return once_by_content(out)
 
 
@@ -158,7 +170,10 @@ def samples_to_pool(rows: DataFrame) -> DataFrame:
     said = F.filter("messages", lambda m: (m["role"] == "assistant") & (strip(text_or_empty(m["content"])) != ""))
     label = F.from_json(F.get(F.reverse(said), 0)["content"], LABEL)
     meta = F.to_json(F.struct(F.lit("zh").alias("language"), F.lit("resume_sft_projection_v1").alias("generator")))
-    out = rows.select("id", F.lit("resume_parse").alias("task"), F.lit("sft_materialized").alias("source_type"), text.alias("text"), label.alias("label"), meta.alias("meta"))
+    out = rows.select(
+        "id", F.lit("resume_parse").alias("task"), F.lit("sft_materialized").alias("source_type"), text.alias("text"), label.alias("label"),
+        meta.alias("meta")
+    )
     return out.filter("text <> '' and label is not null")
 
 
@@ -179,14 +194,22 @@ def _meta(key: str) -> Column:
 def is_usable_public_resume() -> Column:
     tongue = F.when(_meta("language") == "", "zh").otherwise(_meta("language"))
     licensed = (_meta("license_status") == "confirmed") & _meta("intended_usage").isin(*USABLE_FOR)
-    return F.coalesce((F.col("task") == "resume_parse") & licensed & tongue.startswith("zh") & (F.length(strip(text_or_empty(F.col("text")))) >= 80) & (signals(F.col("label")) >= 3), F.lit(False))
+    return F.coalesce(
+        (F.col("task") == "resume_parse") & licensed & tongue.startswith("zh") & (
+            F.length(strip(text_or_empty(F.col("text")))) >= 80
+        ) & (signals(F.col("label")) >= 3),
+        F.lit(False)
+    )
 
 
 def is_usable_public_pair() -> Column:
     licensed = (_meta("license_status") == "confirmed") & _meta("intended_usage").isin(*USABLE_FOR) & ~_meta("provenance_status").isin("", "undocumented", "unknown")
     long = lambda c: F.length(strip(text_or_empty(F.col(c)))) >= 80
     judged = (text_or_empty(F.col("label.raw_label")) != "") | (text_or_empty(F.col("label.raw_score").cast("string")) != "")
-    return F.coalesce((F.col("task") == "match") & licensed & _meta("language").isin("", "zh", "zh-cn", "en") & long("jd_text") & long("resume_text") & judged, F.lit(False))
+    return F.coalesce(
+        (F.col("task") == "match") & licensed & _meta("language").isin("", "zh", "zh-cn", "en") & long("jd_text") & long("resume_text") & judged,
+        F.lit(False)
+    )
 
 
 POOL = ("id", "task", "source_type", "text", "label", "meta")
@@ -226,7 +249,9 @@ MAJOR, TASKS, SOLID, ANY_DEGREE, ANY_SKILLS, ANY_COMPANY = "，计算机相关
 def from_adverts(rows: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
     """Résumés made from raw adverts (id, index, job_title, company, raw_text) with a direction and two skills."""
     t, c, x = (strip(text_or_empty(F.col(n))) for n in ("job_title", "company", "raw_text"))
-    out = rows.select("id", "index", t.alias("t"), c.alias("c"), x.alias("x")).withColumns({"d": fields.direction(F.col("t"), F.col("x")), "e": fields.degree(F.col("x")), "s": known_skills(F.col("x"), vocabulary)})
+    out = rows.select("id", "index", t.alias("t"), c.alias("c"), x.alias("x")).withColumns(
+        {"d": fields.direction(F.col("t"), F.col("x")), "e": fields.degree(F.col("x")), "s": known_skills(F.col("x"), vocabulary)}
+    )
     out = out.filter("d <> '' and size(s) >= 2")
     named = F.when(F.col("t") != "", F.col("t")).otherwise(F.col("d"))
     project = F.concat(F.lit("围绕"), named, F.lit("相关场景完成核心模块开发与优化，重点使用"), F.array_join(F.slice("s", 1, 4), "、"), F.lit("支持业务落地。"))
@@ -234,11 +259,23 @@ def from_adverts(rows: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame
     intern = F.concat(F.lit("在"), F.col("d"), F.lit("方向团队参与"), named, F.lit("相关实习，" + TASKS))
     strengths = F.array(F.concat("d", F.lit("方向实践经验")), F.concat(F.lit("核心技能覆盖："), F.array_join(F.slice("s", 1, 3), "、")), F.lit(SOLID))
     school = F.concat(F.when(F.col("e") != "", F.col("e")).otherwise(ANY_DEGREE), F.lit(MAJOR))
-    label = F.struct(F.col("d").alias("目标岗位"), F.array(school).alias("教育背景"), F.slice("s", 1, 8).alias("核心技能"), F.array(intern).alias("实习经历"), F.array(project, other).alias("项目经历"), strengths.alias("优势标签"))
+    label = F.struct(
+        F.col("d").alias("目标岗位"), F.array(school).alias("教育背景"), F.slice("s", 1, 8).alias("核心技能"), F.array(intern).alias("实习经历"),
+        F.array(project, other).alias("项目经历"), strengths.alias("优势标签")
+    )
     out = out.withColumn("label", label)
-    text = F.concat_ws("\n", *(_head(f"{h}：", _joined(F.col("label"), n, by) if by else F.col("label")[n]) for h, n, by in (("目标岗位", "目标岗位", ""), ("教育背景", "教育背景", "、"), ("核心技能", "核心技能", "、"), ("实习经历", "实习经历", "；"), ("项目经历", "项目经历", "；"), ("优势", "优势标签", "、"))))
+    text = F.concat_ws(
+        "\n",
+        *(
+            _head(f"{h}：", _joined(F.col("label"), n, by) if by else F.col("label")[n]) for h, n,
+            by in (("目标岗位", "目标岗位", ""), ("教育背景", "教育背景", "、"), ("核心技能", "核心技能", "、"), ("实习经历", "实习经历", "；"), ("项目经历", "项目经历", "；"), ("优势", "优势标签", "、"))
+        )
+    )
     meta = F.to_json(F.struct(F.lit("zh").alias("language"), F.lit("resume_bootstrap_from_jd_v1").alias("generator"), F.col("id").alias("source_jd")))
-    return out.select(F.concat(F.lit("resume_bootstrap_"), F.col("index").cast("string"), F.lit("_"), "id").alias("id"), F.lit("resume_parse").alias("task"), F.lit("bootstrap_from_jd").alias("source_type"), text.alias("text"), "label", meta.alias("meta"))
+    return out.select(
+        F.concat(F.lit("resume_bootstrap_"), F.col("index").cast("string"), F.lit("_"), "id").alias("id"), F.lit("resume_parse").alias("task"),
+        F.lit("bootstrap_from_jd").alias("source_type"), text.alias("text"), "label", meta.alias("meta")
+    )
 
 
 def advert_for_matching(text: Column) -> Column:
@@ -263,7 +300,10 @@ def split_by_group(df: DataFrame, group: str, family: str, seed: str, train: flo
     return df.join(ranked.select(family, group, named.alias("split")), [family, group])
 
 
-def match_pool(adverts: DataFrame, resumes: DataFrame, vocabulary: dict[str, list[str]], *, positives: int = 2, negatives: int = 1, max_adverts: int = 300, max_rate: float = 0.4, seed: str = "42") -> DataFrame:
+def match_pool(
+    adverts: DataFrame, resumes: DataFrame, vocabulary: dict[str, list[str]], *, positives: int = 2, negatives: int = 1, max_adverts: int = 300,
+    max_rate: float = 0.4, seed: str = "42"
+) -> DataFrame:
     """Scored pairs of raw adverts (id, job_title, raw_text) and résumés (id, text, label).
 
     Adverts with a direction are taken in hash order, those of one family up to ``max_rate`` of ``max_adverts``. Both sides
@@ -274,14 +314,23 @@ def match_pool(adverts: DataFrame, resumes: DataFrame, vocabulary: dict[str, lis
     from curatrix.sources.store import shared_copy
 
     texts = adverts.select("id", F.col("job_title"), advert_for_matching(F.col("raw_text")).alias("jd_text"))
-    usable = texts.withColumn("direction", fields.direction(F.col("job_title"), F.col("jd_text"))).filter((strip(text_or_empty(F.col("job_title"))) != "") & (F.col("jd_text") != "") & (F.col("direction") != ""))
+    usable = texts.withColumn("direction", fields.direction(F.col("job_title"), F.col("jd_text"))).filter(
+        (strip(text_or_empty(F.col("job_title"))) != "") & (F.col("jd_text") != "") & (F.col("direction") != "")
+    )
     usable = usable.withColumns({"family": F.col("id").startswith(EDUCATIONAL), "h": hash_order(seed, F.concat_ws("\n", "id", "jd_text"))})
-    first = usable.withColumn("rn", F.row_number().over(W.partitionBy("family").orderBy("h", "id"))).filter(F.col("rn") <= F.when(F.col("family"), int(max_adverts * max_rate)).otherwise(max_adverts))
+    first = usable.withColumn("rn", F.row_number().over(W.partitionBy("family").orderBy("h", "id"))).filter(
+        F.col("rn") <= F.when(F.col("family"), int(max_adverts * max_rate)).otherwise(max_adverts)
+    )
     chosen = first.orderBy("h", "id").limit(max_adverts).withColumns({"entity": normalized_hash(F.col("jd_text")), "kind": F.col("family").cast("string")})
     # Both sides are written: the plan below reads each several times, and the digests come from Python.
     left = split_by_group(shared_copy(chosen, "adverts"), "entity", "kind", f"{seed}:jd")
-    ready = resumes.filter((strip(text_or_empty(F.col("label")["目标岗位"])) != "") & (F.size(_listed(F.col("label"), "核心技能")) > 0) & (strip(text_or_empty(F.col("text"))) != ""))
-    right = ready.select(F.col("id").alias("resume_id"), for_training(F.col("text")).alias("resume_text"), F.col("label").alias("r"), strip(F.col("label")["目标岗位"]).alias("target"))
+    ready = resumes.filter(
+        (strip(text_or_empty(F.col("label")["目标岗位"])) != "") & (F.size(_listed(F.col("label"), "核心技能")) > 0) & (strip(text_or_empty(F.col("text"))) != "")
+    )
+    right = ready.select(
+        F.col("id").alias("resume_id"), for_training(F.col("text")).alias("resume_text"), F.col("label").alias("r"),
+        strip(F.col("label")["目标岗位"]).alias("target")
+    )
     right = shared_copy(right.withColumn("resume_entity", normalized_hash(F.col("resume_text"))), "resumes")
     right = split_by_group(right, "resume_entity", "target", f"{seed}:resume")
     order = hash_order(f"{seed}:r", F.col("resume_id"))
@@ -295,19 +344,56 @@ def match_pool(adverts: DataFrame, resumes: DataFrame, vocabulary: dict[str, lis
     asked = left.join(sizes.select("split", F.col("target").alias("direction"), "n", "begin"), ["split", "direction"], "left").join(totals, "split")
     at = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40))
     own = F.coalesce("n", F.lit(0))
-    same = F.when(own > 0, F.transform(F.sequence(F.lit(1), F.least(F.lit(positives), own).cast("int")), lambda i: F.struct(i.alias("idx"), (F.col("begin") + (at + i) % own).alias("place"))))
+    same = F.when(
+        own > 0,
+        F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(positives), own).cast("int")),
+            lambda i: F.struct(i.alias("idx"), (F.col("begin") + (at + i) % own).alias("place"))
+        )
+    )
     # The others are those before and after the own target's numbers.
     rest = F.col("total") - own
-    other = F.when((rest > 0) & F.lit(negatives > 0), F.transform(F.sequence(F.lit(1), F.least(F.lit(max(negatives, 1)), rest).cast("int")), lambda i: F.struct((i + positives).alias("idx"), F.when((at + i) % rest < F.coalesce("begin", F.lit(0)), (at + i) % rest).otherwise((at + i) % rest + own).alias("place"))))
+    other = F.when(
+        (rest > 0) & F.lit(negatives > 0),
+        F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(max(negatives, 1)), rest).cast("int")),
+            lambda i: F.struct(
+                (i + positives).alias("idx"),
+                F.when((at + i) % rest < F.coalesce("begin", F.lit(0)), (at + i) % rest).otherwise((at + i) % rest + own).alias("place")
+            )
+        )
+    )
     none = F.array().cast("array<struct<idx:int,place:bigint>>")
     partners = asked.select("*", F.inline(F.concat(F.coalesce(same, none), F.coalesce(other, none))))
     both = partners.alias("a").join(numbered.alias("b"), (F.col("a.split") == F.col("b.split")) & (F.col("a.place") == F.col("b.place")))
     empty = F.lit(None).cast("array<string>")
-    advert = F.struct(F.col("direction"), known_skills(F.col("jd_text"), vocabulary).alias("skills"), fields.degree(F.col("jd_text")).alias("education"), fields.experience(F.col("jd_text")).alias("experience"), empty.alias("requirements"), empty.alias("responsibilities"), F.col("jd_text").alias("text"))
-    resume = F.struct(F.col("r")["目标岗位"].alias("target"), F.col("r")["教育背景"].alias("education"), F.col("r")["核心技能"].alias("skills"), F.col("r")["项目经历"].alias("projects"), F.col("r")["实习经历"].alias("internships"), F.col("resume_text").alias("text"))
-    pairs = both.select(F.concat_ws("_", F.lit("synthetic_match"), "id", "resume_id", F.col("idx").cast("string")).alias("id"), "jd_text", "resume_text", "direction", "target", F.col("a.split").alias("entity_split"), F.col("entity").alias("jd_entity_hash"), F.col("resume_entity").alias("resume_entity_hash"), advert.alias("advert"), resume.alias("resume"))
+    advert = F.struct(
+        F.col("direction"), known_skills(F.col("jd_text"), vocabulary).alias("skills"), fields.degree(F.col("jd_text")).alias("education"),
+        fields.experience(F.col("jd_text")).alias("experience"), empty.alias("requirements"), empty.alias("responsibilities"),
+        F.col("jd_text").alias("text")
+    )
+    resume = F.struct(
+        F.col("r")["目标岗位"].alias("target"), F.col("r")["教育背景"].alias("education"), F.col("r")["核心技能"].alias("skills"),
+        F.col("r")["项目经历"].alias("projects"), F.col("r")["实习经历"].alias("internships"), F.col("resume_text").alias("text")
+    )
+    pairs = both.select(
+        F.concat_ws("_", F.lit("synthetic_match"), "id", "resume_id", F.col("idx").cast("string")).alias("id"), "jd_text", "resume_text", "direction",
+        "target", F.col("a.split").alias("entity_split"), F.col("entity").alias("jd_entity_hash"), F.col("resume_entity").alias("resume_entity_hash"),
+        advert.alias("advert"), resume.alias("resume")
+    )
     scored = score_pairs(pairs, vocabulary)
     m = F.col("match")
-    label = F.struct(m["level"].alias("匹配等级"), (m["relation"] != "mismatch").alias("岗位方向匹配"), m["education"].alias("学历匹配"), m["experience"].alias("经验匹配"), m["matched"].alias("命中技能"), m["missing"].alias("缺失技能"), m["projects"].alias("命中项目"), m["score"].alias("raw_score"))
-    meta = F.to_json(F.struct(F.lit("zh").alias("language"), F.lit("jd_resume_rule_pairing_v1").alias("generator"), F.col("direction").alias("jd_direction"), F.col("target").alias("resume_direction"), "entity_split", "jd_entity_hash", "resume_entity_hash"))
-    return scored.select("id", F.lit("match").alias("task"), F.lit("synthetic_text").alias("source_type"), "jd_text", "resume_text", label.alias("label"), meta.alias("meta"))
+    label = F.struct(
+        m["level"].alias("匹配等级"), (m["relation"] != "mismatch").alias("岗位方向匹配"), m["education"].alias("学历匹配"), m["experience"].alias("经验匹配"),
+        m["matched"].alias("命中技能"), m["missing"].alias("缺失技能"), m["projects"].alias("命中项目"), m["score"].alias("raw_score")
+    )
+    meta = F.to_json(
+        F.struct(
+            F.lit("zh").alias("language"), F.lit("jd_resume_rule_pairing_v1").alias("generator"), F.col("direction").alias("jd_direction"),
+            F.col("target").alias("resume_direction"), "entity_split", "jd_entity_hash", "resume_entity_hash"
+        )
+    )
+    return scored.select(
+        "id", F.lit("match").alias("task"), F.lit("synthetic_text").alias("source_type"), "jd_text", "resume_text", label.alias("label"),
+        meta.alias("meta")
+    )

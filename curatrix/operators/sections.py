@@ -40,7 +40,10 @@ def _unmarked(text: Column) -> Column:
 
 def _gather(marked: Column, names: dict[str, tuple[str, ...]]) -> Column:
     """A struct by name: the trimmed text of all stretches whose mark holds one of the name's words."""
-    cut = F.transform(F.split(marked, START), lambda s: F.struct(F.substring_index(s, END, 1).alias("word"), F.regexp_replace(s, f"(?s)^[^{END}]*{END}?", "").alias("body")))
+    cut = F.transform(
+        F.split(marked, START),
+        lambda s: F.struct(F.substring_index(s, END, 1).alias("word"), F.regexp_replace(s, f"(?s)^[^{END}]*{END}?", "").alias("body"))
+    )
     later = F.slice(cut, F.lit(2), F.size(cut))
 
     def of(words: tuple[str, ...]) -> Column:
@@ -58,7 +61,10 @@ def inline_sections(text: Column, names: dict[str, tuple[str, ...]] = ADVERT) ->
     def line(x: Column) -> Column:
         found = F.regexp_replace(x, marker, f"{START}$1$2$3$4$5{END}")
         # Parts around marks are trimmed and end in a line feed if any is left; parts begin at a line's start or mark.
-        parts = F.transform(F.split(found, f"(?={START})"), lambda p: F.concat(F.regexp_extract(p, f"^({START}[^{END}]*{END})?", 0), strip(F.regexp_replace(p, f"^{START}[^{END}]*{END}", ""))))
+        parts = F.transform(
+            F.split(found, f"(?={START})"),
+            lambda p: F.concat(F.regexp_extract(p, f"^({START}[^{END}]*{END})?", 0), strip(F.regexp_replace(p, f"^{START}[^{END}]*{END}", "")))
+        )
         ended = F.transform(parts, lambda p: F.when((p == "") | p.endswith(END), p).otherwise(F.concat(p, F.lit("\n"))))
         bare = F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), "^[ ：:]+|[ ：:]+$", "")
         alone = F.concat(F.lit(START), bare, F.lit(END))
@@ -78,7 +84,9 @@ def unswapped(sections: Column, applies: Column) -> Column:
     swapped = mentions(duties, DEMANDS) + mentions(demands, DUTIES)
     straight = mentions(duties, DUTIES) + mentions(demands, DEMANDS)
     wrong = applies & (duties != "") & (demands != "") & (swapped >= straight + 3) & (mentions(duties, DEMANDS) >= 2) & (mentions(demands, DUTIES) >= 2)
-    return F.when(F.coalesce(wrong, F.lit(False)), F.struct(demands.alias("responsibilities"), duties.alias("requirements"), sections["bonus"].alias("bonus"))).otherwise(sections)
+    return F.when(
+        F.coalesce(wrong, F.lit(False)), F.struct(demands.alias("responsibilities"), duties.alias("requirements"), sections["bonus"].alias("bonus"))
+    ).otherwise(sections)
 
 
 def line_sections(text: Column, headings: dict[str, str] = RESUME, first: str = "header") -> Column:
@@ -103,7 +111,10 @@ def tagged_spans(tokens: Column, tags: Column, starts: Column, label: str) -> Co
 
     def span(b: Column, n: Column) -> Column:
         last = b + n - 1
-        return F.struct(F.get(starts, b).alias("start"), (F.get(starts, last) + F.length(F.get(tokens, last))).alias("end"), F.lit(label).alias("label"), F.array_join(F.slice(tokens, b + 1, n), " ").alias("text"))
+        return F.struct(
+            F.get(starts, b).alias("start"), (F.get(starts, last) + F.length(F.get(tokens, last))).alias("end"), F.lit(label).alias("label"),
+            F.array_join(F.slice(tokens, b + 1, n), " ").alias("text")
+        )
 
     good = (F.size(tokens) == F.size(tags)) & F.forall(tags, lambda t: t.isin("B", "I", "O")) & ~run.rlike("(^|O)I")
     return F.when(good, F.zip_with(begins, sizes, span))

@@ -60,7 +60,10 @@ def partners(df: DataFrame, key: str, group: str, seed: str, same: int, other: i
     Rows are numbered by group and hash, and partners are found by number, so every row is met about as often and no group
     is a task of its own.
     """
-    placed = ranked(df.select(F.struct(*df.columns).alias("row"), F.col(group).alias("g"), hash_order(seed, F.col(key)).alias("h"), F.col(key).alias("k")), ["g", "h", "k"], "place").select("row", "g", "place")
+    placed = ranked(
+        df.select(F.struct(*df.columns).alias("row"), F.col(group).alias("g"), hash_order(seed, F.col(key)).alias("h"), F.col(key).alias("k")),
+        ["g", "h", "k"], "place"
+    ).select("row", "g", "place")
     sizes = placed.groupBy("g").agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("n"))
     total = placed.agg(F.count(F.lit(1)).alias("n"))
     asked = placed.join(sizes, "g").withColumn("rest", total.scalar() - F.col("n"))
@@ -142,7 +145,9 @@ def review(df: DataFrame, tier: str, n: int, seed: str, strategy: str = "balance
     """``n`` rows (id, quality_score, quality_risk_score) of each tier: by a hash, or those of the lowest scores."""
     if strategy not in ("balanced", "lowest-score"):
         raise ValueError(f"unknown strategy {strategy}")
-    order = [hash_order(seed, F.col("id")), "id"] if strategy == "balanced" else [F.coalesce("quality_score", F.lit(0)), -F.coalesce("quality_risk_score", F.lit(0)), "id"]
+    order = [hash_order(seed, F.col("id")), "id"] if strategy == "balanced" else [
+        F.coalesce("quality_score", F.lit(0)), -F.coalesce("quality_risk_score", F.lit(0)), "id"
+    ]
     return quota(df, tier, n, order)
 
 

@@ -23,11 +23,20 @@ def marked_spans(text: Column, tagged: Column) -> Column:
     """The spans (start, end, label, text) of a marked-up sentence; null where the markup is malformed, a span is empty or
     the sentence without markup isn't the text."""
     tagged = text_or_empty(tagged)
-    parts = F.struct(F.regexp_extract_all(tagged, F.lit(MARKUP), F.lit(1)).alias("s"), F.regexp_extract_all(tagged, F.lit(MARKUP), F.lit(2)).alias("l"), F.split(tagged, MARKUP, -1).alias("g"), text_or_empty(text).alias("t"))
+    parts = F.struct(
+        F.regexp_extract_all(tagged, F.lit(MARKUP), F.lit(1)).alias("s"), F.regexp_extract_all(tagged, F.lit(MARKUP), F.lit(2)).alias("l"),
+        F.split(tagged, MARKUP, -1).alias("g"), text_or_empty(text).alias("t")
+    )
 
     def of(p: Column) -> Column:
         lengths = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-        spans = F.transform(p["s"], lambda s, i: F.struct((lengths(p["g"], i + 1) + lengths(p["s"], i)).alias("start"), (lengths(p["g"], i + 1) + lengths(p["s"], i + 1)).alias("end"), F.get(p["l"], i).alias("label"), s.alias("text")))
+        spans = F.transform(
+            p["s"], lambda s,
+            i: F.struct(
+                (lengths(p["g"], i + 1) + lengths(p["s"], i)).alias("start"), (lengths(p["g"], i + 1) + lengths(p["s"], i + 1)).alias("end"),
+                F.get(p["l"], i).alias("label"), s.alias("text")
+            )
+        )
         plain = F.concat(F.array_join(F.zip_with(F.slice(p["g"], F.lit(1), F.size(p["s"])), p["s"], lambda g, s: F.concat(g, s)), ""), F.element_at(p["g"], -1))
         good = ~F.exists(p["g"], lambda g: g.rlike(MARKS)) & ~F.exists(p["s"], lambda s: s == "") & (plain == p["t"]) & (p["t"] != "")
         return F.when(good, spans)
@@ -51,11 +60,23 @@ def marked_rows(rows: DataFrame, dataset: str, split: str, source: dict) -> Data
     job = F.coalesce(told("job_id", "global_id"), ident)
     spans = marked_spans(F.col("input"), F.col("output"))
     empty = (text_or_empty(F.col("input")) == "") | (text_or_empty(F.col("output")) == "")
-    kept = {"language": source.get("language"), "annotation": source.get("annotation"), "license_status": source.get("license_status"), "intended_usage": source.get("intended_usage")}
-    meta = F.to_json(F.struct(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), *(F.lit(v).cast("string").alias(k) for k, v in kept.items()), ident.alias("upstream_id"), job.alias("job_id"), F.coalesce(told("source_domain", "source_main"), F.lit("")).alias("source_domain")))
+    kept = {
+        "language": source.get("language"), "annotation": source.get("annotation"), "license_status": source.get("license_status"),
+        "intended_usage": source.get("intended_usage")
+    }
+    meta = F.to_json(
+        F.struct(
+            F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), *(F.lit(v).cast("string").alias(k) for k, v in kept.items()),
+            ident.alias("upstream_id"), job.alias("job_id"), F.coalesce(told("source_domain", "source_main"), F.lit("")).alias("source_domain")
+        )
+    )
     out = rows.withColumn("spans", spans)
     error = F.when(empty, "missing input or output").when(F.col("spans").isNull(), "malformed markup")
-    return out.select(F.concat_ws("_", F.lit(dataset), F.lit(split), ident).alias("id"), F.lit("jd_skill_extract").alias("task"), F.concat_ws(":", F.lit(dataset), job).alias("source_group"), F.lit(split).alias("split"), F.col("pos"), F.col("input").alias("text"), "spans", by_label(F.col("spans"), LABELS).alias("label"), meta.alias("meta"), error.alias("error"))
+    return out.select(
+        F.concat_ws("_", F.lit(dataset), F.lit(split), ident).alias("id"), F.lit("jd_skill_extract").alias("task"),
+        F.concat_ws(":", F.lit(dataset), job).alias("source_group"), F.lit(split).alias("split"), F.col("pos"), F.col("input").alias("text"), "spans",
+        by_label(F.col("spans"), LABELS).alias("label"), meta.alias("meta"), error.alias("error")
+    )
 
 
 def token_rows(rows: DataFrame, dataset: str, split: str, source: dict) -> DataFrame:
@@ -66,15 +87,27 @@ def token_rows(rows: DataFrame, dataset: str, split: str, source: dict) -> DataF
     starts = F.transform("tokens", lambda t, i: F.aggregate(F.slice("tokens", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
     out = rows.withColumns({"_n": number, "_s": starts})
     soft, known = (tagged_spans(F.col("tokens"), F.col(c), F.col("_s"), label) for c, label in (("tags_skill", "soft_skill"), ("tags_knowledge", "knowledge")))
-    ordered = F.transform(F.array_sort(F.transform(F.concat(soft, known), lambda s: F.struct(s["start"], s["end"], s["label"], s["text"]))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["text"].alias("text")))
+    ordered = F.transform(
+        F.array_sort(F.transform(F.concat(soft, known), lambda s: F.struct(s["start"], s["end"], s["label"], s["text"]))),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["text"].alias("text"))
+    )
     none = F.coalesce(F.size("tokens") <= 0, F.lit(True))
     out = out.withColumn("spans", F.when(~none, ordered))
     kept = ("language", "annotation", "license", "license_status", "intended_usage")
-    meta = F.to_json(F.struct(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), *(F.lit(source.get(k)).cast("string").alias(k) for k in kept), F.lit(bool(source.get("deidentified"))).alias("deidentified"), posting.alias("posting_id"), origin.alias("source_domain")))
+    meta = F.to_json(
+        F.struct(
+            F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), *(F.lit(source.get(k)).cast("string").alias(k) for k in kept),
+            F.lit(bool(source.get("deidentified"))).alias("deidentified"), posting.alias("posting_id"), origin.alias("source_domain")
+        )
+    )
     error = F.when(none, "missing tokens").when(F.col("spans").isNull(), "invalid tags")
     return out.select(
-        F.concat_ws("_", F.lit(dataset), F.lit(split), origin, posting, F.col("_n").cast("string")).alias("id"), F.lit("jd_skill_extract").alias("task"), F.concat_ws(":", F.lit(dataset), F.lit(split), origin, posting).alias("source_group"),
-        F.lit(split).alias("split"), "pos", F.array_join("tokens", " ").alias("text"), "spans", by_label(F.col("spans"), {"soft_skill": "软技能", "knowledge": "知识技能"}, distinct=False).alias("label"), meta.alias("meta"), error.alias("error"),
+        F.concat_ws(
+            "_", F.lit(dataset), F.lit(split), origin, posting, F.col("_n").cast("string")
+        ).alias("id"), F.lit("jd_skill_extract").alias("task"), F.concat_ws(":", F.lit(dataset), F.lit(split), origin, posting).alias("source_group"),
+        F.lit(split).alias("split"), "pos", F.array_join("tokens", " ").alias("text"), "spans", by_label(
+            F.col("spans"), {"soft_skill": "软技能", "knowledge": "知识技能"}, distinct=False
+        ).alias("label"), meta.alias("meta"), error.alias("error"),
     )
 
 
@@ -103,7 +136,9 @@ def isolate(rows: DataFrame, priority: tuple[str, ...] = PRIORITY) -> DataFrame:
         early = F.when(F.col("_g"), "cross_split_source_group").when(F.col("_t"), "cross_split_text")
         part = part.withColumn("_early", early)
         first = part.filter("_early is null").groupBy("_k").agg(F.min("pos").alias("_first"))
-        part = part.join(first, "_k", "left").withColumn("outcome", F.coalesce("_early", F.when(F.col("pos") == F.col("_first"), "kept").otherwise("within_split_text")))
+        part = part.join(first, "_k", "left").withColumn(
+            "outcome", F.coalesce("_early", F.when(F.col("pos") == F.col("_first"), "kept").otherwise("within_split_text"))
+        )
         done.append(part.select(*rows.columns, "_k", "outcome"))
     return reduce(DataFrame.unionByName, done).drop("_k")
 
@@ -115,10 +150,17 @@ def dataset_report(isolated: DataFrame, invalid: DataFrame, source: dict) -> Dat
         F.count(F.lit(1)).alias("total_processed"), F.count_if(F.col("split") == "test").alias("test_rows"), F.countDistinct("source_group").alias("unique_source_groups"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("span_count"),
         F.count_if(F.size("spans") == 0).alias("negative_rows"),
     )
-    crossing = lambda key: kept.groupBy(key.alias("k")).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("n"))
+    crossing = lambda key: kept.groupBy(key.alias("k")).agg(
+        F.min("split").alias("a"), F.max("split").alias("b")
+    ).agg(F.count_if(F.col("a") != F.col("b")).alias("n"))
     drops = isolated.agg(F.count_if(F.col("outcome") != "kept").alias("n"))
     bad = invalid.agg(F.count(F.lit(1)).alias("n"))
-    out = one.withColumns({"cross_split_source_groups": crossing(F.col("source_group")).scalar(), "cross_split_texts": crossing(text_key(F.col("text"))).scalar(), "isolation_drops": drops.scalar(), "invalid_rows": bad.scalar()})
+    out = one.withColumns(
+        {
+            "cross_split_source_groups": crossing(F.col("source_group")).scalar(), "cross_split_texts": crossing(text_key(F.col("text"))).scalar(),
+            "isolation_drops": drops.scalar(), "invalid_rows": bad.scalar()
+        }
+    )
     whole = F.col("total_processed") + F.col("isolation_drops") + F.col("invalid_rows")
     out = out.withColumn("invalid_source_rate", F.coalesce(F.round(F.try_divide(F.col("invalid_rows"), whole), 4), F.lit(0.0)))
     ready = (F.col("cross_split_source_groups") == 0) & (F.col("cross_split_texts") == 0) & (F.col("invalid_rows") <= MOST_INVALID * whole)

@@ -23,8 +23,13 @@ def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float],
     counts = rows.groupBy(group, "v").agg(F.count(F.lit(1)).alias("c")).join(edges, group).select(group, "v", "c", cell.alias("cell"))
     sizes = counts.groupBy(group, "cell").agg(F.sum("c").alias("c"))
     by_cell = W.partitionBy(group).orderBy("cell")
-    sizes = sizes.select(group, "cell", (F.sum("c").over(by_cell) - F.col("c")).alias("before"), F.sum("c").over(W.partitionBy(group)).alias("n"), F.col("c").alias("held"))
-    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p) - F.lit(1e-9))).alias("k")) for name, p in shares.items()))
+    sizes = sizes.select(
+        group, "cell", (F.sum("c").over(by_cell) - F.col("c")).alias("before"), F.sum("c").over(W.partitionBy(group)).alias("n"),
+        F.col("c").alias("held")
+    )
+    wanted = F.array(
+        *(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p) - F.lit(1e-9))).alias("k")) for name, p in shares.items())
+    )
     asked = sizes.select("*", F.inline(wanted)).filter((F.col("k") > F.col("before")) & (F.col("k") <= F.col("before") + F.col("held")))
     inside = counts.join(asked.select(group, "cell").distinct(), [group, "cell"]).withColumn("upto", F.sum("c").over(W.partitionBy(group, "cell").orderBy("v")))
     found = asked.join(inside, [group, "cell"]).filter(F.col("before") + F.col("upto") >= F.col("k")).groupBy(group, "n", "name").agg(F.min("v").alias("v"))

@@ -19,7 +19,10 @@ from curatrix.operators.pairing import known_skills
 from curatrix.operators.selection import hash_order
 
 #: Sources by how far they are trusted.
-WEAK_SOURCES = ("hf_job_educational_train_2026_05_17", "hf_job_educational_validation_2026_05_17", "hf_job_educational_test_2026_05_17", "github_jhcoco_bosszp", "github_workaggregation_test")
+WEAK_SOURCES = (
+    "hf_job_educational_train_2026_05_17", "hf_job_educational_validation_2026_05_17", "hf_job_educational_test_2026_05_17", "github_jhcoco_bosszp",
+    "github_workaggregation_test"
+)
 TRUSTED_SOURCES = (
     "zhaopin.jd.com", "careers.tencent.com", "talent.baidu.com", "careers.ctrip.com", "hr.xiaomi.com", "zhaopin.meituan.com", "talent.didiglobal.com",
     "moka_voyah", "moka_se", "moka_eastmoney", "moka_supcon", "moka_baai", "moka_hq", "moka_threatbook", "moka_sina", "moka_bosssoft", "moka_ztgame", "moka_transwarp",
@@ -259,7 +262,9 @@ def is_strict_plus() -> Column:
 
     def of(r: Column) -> Column:
         long = (F.length(r["duties"]) >= 40) | (F.length(r["demands"]) >= 40)
-        signals = F.when(r["source"].rlike("^(?:hf_|github_)"), (r["skills"] >= 1) & (r["worked"] | (r["skills"] >= 2))).otherwise(r["worked"] | (r["skills"] >= 1))
+        signals = F.when(
+            r["source"].rlike("^(?:hf_|github_)"), (r["skills"] >= 1) & (r["worked"] | (r["skills"] >= 2))
+        ).otherwise(r["worked"] | (r["skills"] >= 1))
         return (r["label"] != "") & r["school"] & ~any_of(r["title"], LOW_TITLE) & (~any_of(r["text"], LOW_TEXT) | r["worked"]) & long & signals
 
     return of_row("title text label duties demands skills school worked source", of)
@@ -271,7 +276,9 @@ def is_bootstrap() -> Column:
     def of(r: Column) -> Column:
         duties, demands, n, years = r["duties"], r["demands"], r["skills"], r["worked"]
         some = ((duties != "") | (demands != "")) & ((r["lines"] > 0) | (F.length(duties) >= 60))
-        weak = ~any_of(r["title"], LOW_TITLE_SHORT) & (~any_of(r["text"], LOW_TEXT) | years) & (n >= 1) & some & (years | ((n >= 2) & (F.length(r["text"]) >= 220)))
+        weak = ~any_of(r["title"], LOW_TITLE_SHORT) & (~any_of(r["text"], LOW_TEXT) | years) & (n >= 1) & some & (
+            years | ((n >= 2) & (F.length(r["text"]) >= 220))
+        )
         signals = sum((c.cast("int") for c in (duties != "", demands != "", r["bonus"], n > 0, years)), F.lit(0))
         return r["school"] & F.when(r["source"].isin(*WEAK_SOURCES), weak).otherwise(signals >= 2)
 
@@ -343,7 +350,9 @@ def is_usable_public() -> Column:
         raw.contains("岗位职责：") | raw.contains("职位描述："),
     ]
     allowed = (of_meta("training_eligible") == "true") & F.lower(of_meta("intended_usage")).isin(*USABLE_FOR) & ((said == "") | said.startswith("zh"))
-    return allowed & (F.length(t) >= 2) & (F.length(raw) >= 120) & any_of(t, STRONG_FOR) & ~any_of(t, STRONG_AGAINST) & (sum((s.cast("int") for s in signals), F.lit(0)) >= 2)
+    return allowed & (F.length(t) >= 2) & (F.length(raw) >= 120) & any_of(t, STRONG_FOR) & ~any_of(t, STRONG_AGAINST) & (
+        sum((s.cast("int") for s in signals), F.lit(0)) >= 2
+    )
 
 
 def is_candidate() -> Column:
@@ -355,7 +364,9 @@ def direction_of_title(named: Column, current: Column) -> Column:
     """The direction that a title of a weak source names, else the current one."""
     t = F.lower(text_or_empty(named))
     algorithm = has(t, ALGORITHM_ROLE) & ~has(t, APPLIED_ALGORITHM)
-    rules = [(any_of(t, w), d) for d, w in NAMED_FIRST.items()] + [(algorithm, "算法工程"), (has(t, SECURITY_ROLE), "安全工程")] + [(any_of(t, w), d) for d, w in NAMED_LAST.items()]
+    rules = [(any_of(t, w), d) for d, w in NAMED_FIRST.items()] + [
+        (algorithm, "算法工程"), (has(t, SECURITY_ROLE), "安全工程")
+    ] + [(any_of(t, w), d) for d, w in NAMED_LAST.items()]
     return cascade(rules, text_or_empty(current))
 
 
@@ -386,8 +397,13 @@ def separated(sections: Column) -> Column:
 
 def sanitized(rows: DataFrame) -> DataFrame:
     """Rows without degrees as years, with directions of weak sources by title, and with separated sections."""
-    d = F.when(source_is_external(), direction_of_title(strip(text_or_empty(F.col("job_title"))), filled("labels.direction"))).otherwise(F.col("labels.direction"))
-    labels = F.struct(d.alias("direction"), F.col("labels.skills").alias("skills"), clean_experience().alias("experience"), F.col("labels.education").alias("education"))
+    d = F.when(
+        source_is_external(), direction_of_title(strip(text_or_empty(F.col("job_title"))), filled("labels.direction"))
+    ).otherwise(F.col("labels.direction"))
+    labels = F.struct(
+        d.alias("direction"), F.col("labels.skills").alias("skills"), clean_experience().alias("experience"),
+        F.col("labels.education").alias("education")
+    )
     return rows.withColumns({"labels": labels, "sections": separated(F.col("sections"))})
 
 
@@ -434,7 +450,10 @@ def sample_source(meta_source: Column, row_id: Column) -> Column:
     """The source of a sample, else what its id begins with."""
     own = text_or_empty(row_id)
     plain = F.split_part(F.regexp_replace(own, "_jd_parse", ""), F.lit("_"), F.lit(1))
-    rules = [(text_or_empty(meta_source) != "", meta_source), (own.startswith("hf_job_educational_train"), WEAK_SOURCES[0]), (own.startswith("hf_job_educational_validation"), WEAK_SOURCES[1]), (own.startswith("github_workaggregation_test"), WEAK_SOURCES[4])]
+    rules = [
+        (text_or_empty(meta_source) != "", meta_source), (own.startswith("hf_job_educational_train"), WEAK_SOURCES[0]),
+        (own.startswith("hf_job_educational_validation"), WEAK_SOURCES[1]), (own.startswith("github_workaggregation_test"), WEAK_SOURCES[4])
+    ]
     return cascade(rules, plain)
 
 
@@ -444,7 +463,10 @@ def quality_score(tier: Column, risk: Column) -> Column:
     return F.greatest(F.lit(0), points - risk * RISK_POINTS)
 
 
-def select_tiers(rows: DataFrame, total: int, *, max_risk: int = HIGH_RISK - 1, max_weak_rate: float = 0.4, excluded: DataFrame | None = None, stage_limits: dict[int, int] | None = None, seed: str = "42") -> DataFrame:
+def select_tiers(
+    rows: DataFrame, total: int, *, max_risk: int = HIGH_RISK - 1, max_weak_rate: float = 0.4, excluded: DataFrame | None = None,
+    stage_limits: dict[int, int] | None = None, seed: str = "42"
+) -> DataFrame:
     """At most ``total`` rows of ``rows`` (id, stage, risk, experience, weak boolean), the stages in turn.
 
     A row counts by its first stage only; risky ones and those of ``excluded`` (id) are left out. Within a stage rows with
@@ -459,7 +481,11 @@ def select_tiers(rows: DataFrame, total: int, *, max_risk: int = HIGH_RISK - 1,
     if excluded is not None:
         gone = excluded.select(F.regexp_replace("id", "_jd_parse$", "").alias("gone")).distinct()
         fit = fit.join(gone, key == F.col("gone"), "left_anti")
-    order = F.struct("stage", F.when(F.col("stage") > 0, F.col("experience") == "").otherwise(False).alias("bare"), F.when(F.col("stage") > 0, F.col("risk")).otherwise(0).alias("r"), F.when(F.col("stage") > 0, hash_order(seed, F.col("id"))).otherwise("").alias("h"), F.col("id").alias("i"))
+    order = F.struct(
+        "stage", F.when(F.col("stage") > 0, F.col("experience") == "").otherwise(False).alias("bare"),
+        F.when(F.col("stage") > 0, F.col("risk")).otherwise(0).alias("r"),
+        F.when(F.col("stage") > 0, hash_order(seed, F.col("id"))).otherwise("").alias("h"), F.col("id").alias("i")
+    )
     once = fit.withColumn("order", order).groupBy("id").agg(F.min_by(F.struct(*fit.columns, "order"), "order").alias("row")).select("row.*")
     few = once.withColumn("rn", F.row_number().over(W.partitionBy("stage", "weak").orderBy("order"))).filter(F.col("rn") <= total)
     limits = cascade([(F.col("stage") == s, F.lit(n)) for s, n in (stage_limits or {}).items()], F.lit(total))
@@ -474,7 +500,9 @@ def rejection_summary(rows: DataFrame, by: str, groups: int = 20, reasons: int =
     bad = rows.filter("reason <> 'accepted'")
     pairs = bad.groupBy(by, "reason").agg(F.count(F.lit(1)).alias("n"))
     totals = pairs.groupBy(by).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), by).limit(groups)
-    ranked = pairs.join(F.broadcast(totals), by).withColumn("rn", F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "reason"))).filter(F.col("rn") <= reasons)
+    ranked = pairs.join(F.broadcast(totals), by).withColumn(
+        "rn", F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "reason"))
+    ).filter(F.col("rn") <= reasons)
     return ranked.select(by, "total", "reason", "n")
 
 

@@ -64,22 +64,34 @@ def curation_summary(spark, sf_dir):
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("marks"))
     d = docs(spark, sf_dir).select("doc_id", "source", F.length("text").alias("chars"), T.fingerprint(F.col("text")).alias("fp")).join(marks, "doc_id", "left")
     # By text first, so that texts kept are counted as rows.
-    texts = d.groupBy("source", "fp").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.count("chars").alias("with_text"), F.sum(F.coalesce("marks", F.lit(0))).alias("marks"))
+    texts = d.groupBy("source", "fp").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.count("chars").alias("with_text"),
+        F.sum(F.coalesce("marks", F.lit(0))).alias("marks")
+    )
     n, kept = F.sum("n"), F.count(F.lit(1))
-    return texts.groupBy("source").agg(n.alias("n_rows"), kept.alias("kept"), (n - kept).alias("dropped"), F.round(F.sum("chars") / F.sum("with_text"), 4).alias("mean_chars"), F.sum("marks").alias("n_labelled"))
+    return texts.groupBy("source").agg(
+        n.alias("n_rows"), kept.alias("kept"), (n - kept).alias("dropped"), F.round(F.sum("chars") / F.sum("with_text"), 4).alias("mean_chars"),
+        F.sum("marks").alias("n_labelled")
+    )
 
 
-@query(f"""select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, '　', ' '), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n|[\\x1c-\\x1e]|\\x{{85}}|\\x{{2028}}|\\x{{2029}}'), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda x: x <> ''), chr(10)) as clean from documents""")
+@query(
+    f"""select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, '　', ' '), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n|[\\x1c-\\x1e]|\\x{{85}}|\\x{{2028}}|\\x{{2029}}'), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda x: x <> ''), chr(10)) as clean from documents"""
+)
 def q01_normalize_space(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.normalize_space(F.col("text")).alias("clean"))
 
 
-@query(r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[手机号]\2', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[邮箱]', 'g'), '(微信|VX|WeChat)[:：]?\s*[A-Za-z0-9_-]{5,}', '\1：[已脱敏]', 'gi') as masked from documents""")
+@query(
+    r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[手机号]\2', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[邮箱]', 'g'), '(微信|VX|WeChat)[:：]?\s*[A-Za-z0-9_-]{5,}', '\1：[已脱敏]', 'gi') as masked from documents"""
+)
 def q02_mask_private(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.mask_private(F.col("text")).alias("masked"))
 
 
-@query(f"select doc_id, array_to_string(list_filter({LINES}, lambda x: not contains(x, 'Licensed under') and not contains(x, 'Copyright')), chr(10)) as kept from documents")
+@query(
+    f"select doc_id, array_to_string(list_filter({LINES}, lambda x: not contains(x, 'Licensed under') and not contains(x, 'Copyright')), chr(10)) as kept from documents"
+)
 def q03_remove_boilerplate(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.remove_boilerplate(F.col("text"), PHRASES, ()).alias("kept"))
 
@@ -92,15 +104,21 @@ def q04_dedup_lines(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.dedup_lines(F.col("text")).alias("kept"))
 
 
-@query(r"select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') as plain from pages")
+@query(
+    r"select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') as plain from pages"
+)
 def q05_strip_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
 
 
-@query(r"select page_id, case when h <> '' then h else regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) end as title from (select *, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) as h from pages)")
+@query(
+    r"select page_id, case when h <> '' then h else regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) end as title from (select *, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) as h from pages)"
+)
 def q06_page_title(spark, sf_dir):
     h = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.when(h != "", h).otherwise(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.when(h != "", h).otherwise(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title")
+    )
 
 
 @query("select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as host, count(*) as n from pages group by 1")
@@ -123,7 +141,9 @@ def q10_bucket_key(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.bucket_key(F.col("source"), F.col("text")).alias("bucket"))
 
 
-@query(f"select doc_id, source, lang from (select *, row_number() over (partition by source, sha1({COMPACT}) order by doc_id) as rn from documents) where rn = 1")
+@query(
+    f"select doc_id, source, lang from (select *, row_number() over (partition by source, sha1({COMPACT}) order by doc_id) as rn from documents) where rn = 1"
+)
 def q11_exact_dedup_first_wins(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "source", "lang", T.fingerprint(F.col("text")).alias("fp"))
     return dedup.first_wins(d, ["source", "fp"], ["doc_id"]).select("doc_id", "source", "lang")
@@ -135,17 +155,23 @@ def q12_pool_dedup_key_500(spark, sf_dir):
     return docs(spark, sf_dir).groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query(f"select cast(sum(c - 1) as bigint) as surplus_rows, count(*) filter (c > 1) as duplicated_keys from (select count(*) as c from documents group by sha1({COMPACT}))")
+@query(
+    f"select cast(sum(c - 1) as bigint) as surplus_rows, count(*) filter (c > 1) as duplicated_keys from (select count(*) as c from documents group by sha1({COMPACT}))"
+)
 def q13_duplicate_surplus(spark, sf_dir):
     return dedup.surplus(docs(spark, sf_dir).select(T.fingerprint(F.col("text")).alias("fp")), "fp")
 
 
 @query("select source, count(*) as n, cast(sum(length(text)) as bigint) as chars from documents group by source order by n desc, source limit 10")
 def q14_source_distribution_topk(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "source").limit(10)
+    return docs(spark, sf_dir).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")
+    ).orderBy(F.desc("n"), "source").limit(10)
 
 
-@query("select lang, source, n from (select lang, source, count(*) as n, row_number() over (partition by lang order by count(*) desc, source) as rn from documents group by lang, source) where rn <= 3")
+@query(
+    "select lang, source, n from (select lang, source, count(*) as n, row_number() over (partition by lang order by count(*) desc, source) as rn from documents group by lang, source) where rn <= 3"
+)
 def q15_lang_source_two_level_top(spark, sf_dir):
     counts = docs(spark, sf_dir).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     return selection.quota(counts, "lang", 3, [F.desc("n"), "source"])
@@ -162,17 +188,26 @@ def q16_corpus_audit(spark, sf_dir):
         rate(F.count_if(F.col("quality") == 1), F.count("quality")).alias("good_rate"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
 
 
-@query("select event_type, count(*) as n, cast(max(ts) as varchar) as last_ts, cast(sum(length(props)) as bigint) as prop_chars from events group by event_type")
+@query(
+    "select event_type, count(*) as n, cast(max(ts) as varchar) as last_ts, cast(sum(length(props)) as bigint) as prop_chars from events group by event_type"
+)
 def q17_raw_state(spark, sf_dir):
-    out = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("m"), F.sum(F.length("props")).alias("prop_chars"))
+    out = table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("m"), F.sum(F.length("props")).alias("prop_chars")
+    )
     # A fraction only where there is one, as the other engine prints it.
     return out.select("event_type", "n", F.regexp_replace(F.col("m").cast("string"), r"\.0*$", "").alias("last_ts"), "prop_chars")
 
 
-@query("select event_id, length(props) as n_props, json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.v') as bigint) as v, json_valid(props) as ok from events")
+@query(
+    "select event_id, length(props) as n_props, json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.v') as bigint) as v, json_valid(props) as ok from events"
+)
 def q18_meta_json_extract(spark, sf_dir):
     v = F.try_variant_get(F.try_parse_json("props"), "$.v", "string")
-    return table(spark, sf_dir, "events").select("event_id", F.length("props").cast("long").alias("n_props"), F.get_json_object("props", "$.k").alias("k"), v.try_cast("bigint").alias("v"), F.try_parse_json("props").isNotNull().alias("ok"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.length("props").cast("long").alias("n_props"), F.get_json_object("props", "$.k").alias("k"), v.try_cast("bigint").alias("v"),
+        F.try_parse_json("props").isNotNull().alias("ok")
+    )
 
 
 SCORE = "(case when length(text) >= 500 then 40 else 10 end + case when coalesce(quality, 0) = 1 then 40 else 0 end + case when coalesce(toxic, 0) = 0 then 15 else 0 end)"
@@ -192,7 +227,10 @@ REASONS = "list_filter([case when quality = 0 then 'low_quality' end, case when
 
 
 def reasons() -> Column:
-    named = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "short_text": F.length("text") < 200, "unlabelled": F.col("quality").isNull(), "contact": F.contains("text", F.lit("@"))}
+    named = {
+        "low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "short_text": F.length("text") < 200,
+        "unlabelled": F.col("quality").isNull(), "contact": F.contains("text", F.lit("@"))
+    }
     return F.array_compact(F.array(*[F.when(ok, name) for name, ok in named.items()]))
 
 
@@ -201,21 +239,34 @@ def q20_risk_reason_counts(spark, sf_dir):
     return labelled(spark, sf_dir).select(F.explode(reasons()).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select source, count(*) as n, count(*) filter (len({REASONS}) >= 2) as n_high, round(count(*) filter (len({REASONS}) >= 2) / count(*), 4) as high_rate from documents left join labels using (doc_id) group by source")
+@query(
+    f"select source, count(*) as n, count(*) filter (len({REASONS}) >= 2) as n_high, round(count(*) filter (len({REASONS}) >= 2) / count(*), 4) as high_rate from documents left join labels using (doc_id) group by source"
+)
 def q21_high_risk_rate(spark, sf_dir):
     high = F.size(reasons()) >= 2
-    return labelled(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(high).alias("n_high"), rate(F.count_if(high), F.count(F.lit(1))).alias("high_rate"))
+    return labelled(spark, sf_dir).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(high).alias("n_high"), rate(F.count_if(high), F.count(F.lit(1))).alias("high_rate")
+    )
 
 
-@query("select case when length(text) < 200 then 'short' when quality = 0 then 'quality' when toxic = 1 then 'toxic' when lang not in ('en', 'de') then 'language' when quality is null then 'unlabelled' else 'kept' end as outcome, count(*) as n from documents left join labels using (doc_id) group by 1")
+@query(
+    "select case when length(text) < 200 then 'short' when quality = 0 then 'quality' when toxic = 1 then 'toxic' when lang not in ('en', 'de') then 'language' when quality is null then 'unlabelled' else 'kept' end as outcome, count(*) as n from documents left join labels using (doc_id) group by 1"
+)
 def q22_rejection_waterfall(spark, sf_dir):
-    rules = [(F.length("text") < 200, "short"), (F.col("quality") == 0, "quality"), (F.col("toxic") == 1, "toxic"), (~F.col("lang").isin("en", "de"), "language"), (F.col("quality").isNull(), "unlabelled")]
+    rules = [
+        (F.length("text") < 200, "short"), (F.col("quality") == 0, "quality"), (F.col("toxic") == 1, "toxic"),
+        (~F.col("lang").isin("en", "de"), "language"), (F.col("quality").isNull(), "unlabelled")
+    ]
     return labelled(spark, sf_dir).groupBy(matching.first_rule(rules, "kept").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select doc_id, source from documents left join labels using (doc_id) where quality = 1 and coalesce(toxic, 0) = 0 and length(text) between 200 and 20000")
+@query(
+    "select doc_id, source from documents left join labels using (doc_id) where quality = 1 and coalesce(toxic, 0) = 0 and length(text) between 200 and 20000"
+)
 def q23_strict_tier_filter(spark, sf_dir):
-    return labelled(spark, sf_dir).filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.length("text").between(200, 20000)).select("doc_id", "source")
+    return labelled(spark, sf_dir).filter(
+        (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.length("text").between(200, 20000)
+    ).select("doc_id", "source")
 
 
 @query(f"""with t as (select doc_id, sha1({COMPACT}) as fp, case when quality = 1 then 0 when quality is null then 1 else 2 end as tier from documents left join labels using (doc_id)),
@@ -226,7 +277,9 @@ def q24_tier_priority_union(spark, sf_dir):
     return dedup.first_wins(t, ["fp"], ["tier", "doc_id"]).select("doc_id", "tier")
 
 
-@query("select doc_id, source from (select doc_id, source, row_number() over (partition by source order by sha1('42:' || doc_id), doc_id) as rn from documents) where rn <= 5")
+@query(
+    "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by sha1('42:' || doc_id), doc_id) as rn from documents) where rn <= 5"
+)
 def q25_family_quota(spark, sf_dir):
     return selection.quota(docs(spark, sf_dir).select("doc_id", "source"), "source", 5, [selection.hash_order("42", F.col("doc_id")), "doc_id"])
 
@@ -237,12 +290,16 @@ def q26_family_rate_cap(spark, sf_dir):
     return selection.rate_cap(docs(spark, sf_dir).select("doc_id", "lang"), F.col("lang") == "en", 0.4, ["doc_id"])
 
 
-@query("select conv_id, turn from (select conv_id, turn, row_number() over (partition by conv_id order by conv_id, turn) as depth from conversations) order by depth, conv_id, turn limit 50")
+@query(
+    "select conv_id, turn from (select conv_id, turn, row_number() over (partition by conv_id order by conv_id, turn) as depth from conversations) order by depth, conv_id, turn limit 50"
+)
 def q27_round_robin_sample(spark, sf_dir):
     return selection.round_robin(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", ["conv_id", "turn"], 50).select("conv_id", "turn")
 
 
-@query(f"select tier, doc_id, score from (select coalesce(cast(quality as varchar), 'none') as tier, doc_id, cast({SCORE} as integer) as score, row_number() over (partition by quality order by {SCORE}, doc_id) as rn from documents left join labels using (doc_id)) where rn <= 4")
+@query(
+    f"select tier, doc_id, score from (select coalesce(cast(quality as varchar), 'none') as tier, doc_id, cast({SCORE} as integer) as score, row_number() over (partition by quality order by {SCORE}, doc_id) as rn from documents left join labels using (doc_id)) where rn <= 4"
+)
 def q28_per_tier_lowest_score(spark, sf_dir):
     t = labelled(spark, sf_dir).select(F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("tier"), "doc_id", quality_score().alias("score"))
     return selection.quota(t, "tier", 4, ["score", "doc_id"])
@@ -270,7 +327,10 @@ select doc_id, component, case cast('0x' || substr(sha1('c:' || component), 1, 2
 def q30_component_split(spark, sf_dir):
     roots = selection.components(document_links(spark, sf_dir), lambda df: shared_copy(df, "components"))
     bucket = F.conv(F.substring(selection.hash_order("c", F.col("root")), 1, 2), 16, 10).cast("int") % 10
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component"), F.when(bucket == 0, "valid").when(bucket == 1, "test").otherwise("train").alias("split"))
+    return roots.select(
+        F.col("node").alias("doc_id"), F.col("root").alias("component"),
+        F.when(bucket == 0, "valid").when(bucket == 1, "test").otherwise("train").alias("split")
+    )
 
 
 def raw_split() -> Column:
@@ -332,7 +392,9 @@ def _hits(name: str, aliases: list[str]) -> str:
     return f"case when regexp_matches(lower(text), '(^|[^a-z0-9])({'|'.join(aliases)})([^a-z0-9]|$)') then '{name}' end"
 
 
-@query("select doc_id, array_to_string(list_filter([" + ", ".join(_hits(n, a) for n, a in VOCABULARY.items()) + "], lambda x: x is not null), ',') as found from documents")
+@query(
+    "select doc_id, array_to_string(list_filter([" + ", ".join(_hits(n, a) for n, a in VOCABULARY.items()) + "], lambda x: x is not null), ',') as found from documents"
+)
 def q37_dictionary_match(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(matching.dictionary_hits(F.col("text"), VOCABULARY), ",").alias("found"))
 
@@ -347,9 +409,13 @@ def q38_keyword_argmax(spark, sf_dir):
 
 def pairs(spark, sf_dir) -> DataFrame:
     """Each labelled document with the next two of its language and the next one of another, in hash order."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", F.length("text").alias("n"), "quality", "toxic")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
+        "doc_id", "lang", F.length("text").alias("n"), "quality", "toxic"
+    )
     side = lambda s: [F.col(f"{s}.{c}").alias(f"{s[0]}{n}") for c, n in (("n", "n"), ("quality", "q"), ("toxic", "t"))]
-    return selection.partners(d, "doc_id", "lang", "p", 2, 1).select(F.col("left.doc_id").alias("left_id"), F.col("right.doc_id").alias("right_id"), *side("left"), *side("right"), "kind")
+    return selection.partners(d, "doc_id", "lang", "p", 2, 1).select(
+        F.col("left.doc_id").alias("left_id"), F.col("right.doc_id").alias("right_id"), *side("left"), *side("right"), "kind"
+    )
 
 
 PAIRS = """with d as (select doc_id, lang, length(text) as n, quality, toxic, sha1('p:' || doc_id) as h from documents join labels using (doc_id)),
@@ -373,7 +439,10 @@ def q40_pair_rule_score(spark, sf_dir):
     policy = matching.Policy()
     p = pairs(spark, sf_dir)
     required = F.col("ln") % 7
-    score = policy.score(F.col("kind") == "positive", required, F.least(required, F.col("rn") % 7), F.col("lq") == F.col("rq"), F.col("lt") == F.col("rt"), F.col("rn") % 4)
+    score = policy.score(
+        F.col("kind") == "positive", required, F.least(required, F.col("rn") % 7), F.col("lq") == F.col("rq"), F.col("lt") == F.col("rt"),
+        F.col("rn") % 4
+    )
     scored = p.select("left_id", "right_id", score.cast("int").alias("score"))
     return scored.withColumn("level", policy.level(F.col("score")))
 
@@ -381,28 +450,40 @@ def q40_pair_rule_score(spark, sf_dir):
 @query("select conv_id, count(*) as n, string_agg('<' || role || '>' || text, chr(10) order by turn) as chat from conversations group by conv_id")
 def q41_render_chat_samples(spark, sf_dir):
     line = F.struct("turn", F.concat(F.lit("<"), "role", F.lit(">"), "text").alias("x"))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda s: s["x"]), "\n").alias("chat"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda s: s["x"]), "\n").alias("chat")
+    )
 
 
 @query("""with c as (select conv_id, arg_min(text, turn) filter (role = 'user') as u, arg_min(text, turn) filter (role = 'assistant') as a from conversations group by conv_id)
 select min(conv_id) as conv_id, sha1(coalesce(u, '') || '---' || coalesce(a, '')) as h from c group by 2""")
 def q42_content_hash_dedup(spark, sf_dir):
-    first = lambda role: F.coalesce(F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn"))), F.lit(""))
+    first = lambda role: F.coalesce(
+        F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn"))), F.lit("")
+    )
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(first("user").alias("u"), first("assistant").alias("a"))
     return c.groupBy(F.sha1(F.concat("u", F.lit("---"), "a")).alias("h")).agg(F.min("conv_id").alias("conv_id"))
 
 
-@query("select conv_id, ['drop_field', 'swap_value', 'truncate', 'wrong_type'][cast('0x' || substr(sha1('s:' || conv_id), 1, 7) as bigint) % 4 + 1] as strategy from (select distinct conv_id from conversations)")
+@query(
+    "select conv_id, ['drop_field', 'swap_value', 'truncate', 'wrong_type'][cast('0x' || substr(sha1('s:' || conv_id), 1, 7) as bigint) % 4 + 1] as strategy from (select distinct conv_id from conversations)"
+)
 def q43_preference_strategy_pick(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("drop_field", "swap_value", "truncate", "wrong_type")])
     n = F.conv(F.substring(selection.hash_order("s", F.col("conv_id")), 1, 7), 16, 10).cast("bigint") % 4
     return table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.element_at(names, (n + 1).cast("int")).alias("strategy"))
 
 
-@query(f"select doc_id, unnest(['plain', 'compact', 'ocr']) as variant, unnest([text, regexp_replace(text, '{BLANK}+', '', 'g'), translate(text, 'lO', '10')]) as x from documents")
+@query(
+    f"select doc_id, unnest(['plain', 'compact', 'ocr']) as variant, unnest([text, regexp_replace(text, '{BLANK}+', '', 'g'), translate(text, 'lO', '10')]) as x from documents"
+)
 def q44_variant_explode(spark, sf_dir):
     text = F.col("text")
-    v = F.array(F.struct(F.lit("plain").alias("variant"), text.alias("x")), F.struct(F.lit("compact").alias("variant"), F.regexp_replace(text, T.BLANKS, "").alias("x")), F.struct(F.lit("ocr").alias("variant"), F.translate(text, "lO", "10").alias("x")))
+    v = F.array(
+        F.struct(F.lit("plain").alias("variant"), text.alias("x")),
+        F.struct(F.lit("compact").alias("variant"), F.regexp_replace(text, T.BLANKS, "").alias("x")),
+        F.struct(F.lit("ocr").alias("variant"), F.translate(text, "lO", "10").alias("x"))
+    )
     return docs(spark, sf_dir).select("doc_id", F.inline(v))
 
 
@@ -410,12 +491,22 @@ def q44_variant_explode(spark, sf_dir):
 c as (select lang, count(*) filter (gold and pred) as tp, count(*) filter (pred and not gold) as fp, count(*) filter (gold and not pred) as fn from p group by lang)
 select lang, tp, fp, fn, coalesce(round(tp / nullif(tp + fp, 0), 4), 0) as precision, coalesce(round(tp / nullif(tp + fn, 0), 4), 0) as recall, coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 4), 0) as f1 from c""")
 def q45_set_prf1_by_group(spark, sf_dir):
-    p = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select("lang", (F.col("quality") == 1).alias("gold"), (F.length("text") >= 800).alias("pred"))
-    c = p.groupBy("lang").agg(F.count_if(F.col("gold") & F.col("pred")).alias("tp"), F.count_if(F.col("pred") & ~F.col("gold")).alias("fp"), F.count_if(F.col("gold") & ~F.col("pred")).alias("fn"))
-    return c.select("*", rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), rate(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), rate(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
-
-
-@query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as highest, round(avg(value), 6) as mean from events group by event_type")
+    p = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(
+        "lang", (F.col("quality") == 1).alias("gold"), (F.length("text") >= 800).alias("pred")
+    )
+    c = p.groupBy("lang").agg(
+        F.count_if(F.col("gold") & F.col("pred")).alias("tp"), F.count_if(F.col("pred") & ~F.col("gold")).alias("fp"),
+        F.count_if(F.col("gold") & ~F.col("pred")).alias("fn")
+    )
+    return c.select(
+        "*", rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), rate(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
+        rate(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1")
+    )
+
+
+@query(
+    "select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as highest, round(avg(value), 6) as mean from events group by event_type"
+)
 def q46_latency_percentiles(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_type", "value")
     ranks = statistics.percentiles(events, "event_type", "value", {"p50": 0.5, "p95": 0.95}).drop("n")
@@ -423,17 +514,26 @@ def q46_latency_percentiles(spark, sf_dir):
     return ranks.join(whole, "event_type")
 
 
-@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")
+@query(
+    "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1"
+)
 def q47_upsert_last_write_wins(spark, sf_dir):
-    return dedup.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    return dedup.latest(
+        table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]
+    ).select("user_id", "event_id", "event_type")
 
 
 @query(r"""with m as (select doc_id, unnest(list_concat(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: 'email'), list_transform(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}'), lambda x: 'ip'), list_transform(regexp_extract_all(text, '\+[0-9]+ \([0-9]{3}\) [0-9]{3}-[0-9]{4}'), lambda x: 'phone'))) as kind from documents)
 select kind, count(*) as n, count(distinct doc_id) as n_docs from m group by kind""")
 def q48_pii_findings_by_kind(spark, sf_dir):
-    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "phone": r"\+[0-9]+ \([0-9]{3}\) [0-9]{3}-[0-9]{4}"}
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+        "phone": r"\+[0-9]+ \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+    }
     found = F.concat(*[F.array_repeat(F.lit(kind), F.regexp_count("text", F.lit(p))) for kind, p in patterns.items()])
-    return docs(spark, sf_dir).select("doc_id", F.explode(found).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return docs(spark, sf_dir).select("doc_id", F.explode(found).alias("kind")).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")
+    )
 
 
 @query("select event_id, false as strict, true as ok, props as json from events")
@@ -478,14 +578,21 @@ def q52_line_sections(spark, sf_dir):
 @query()
 def q53_private_findings(spark, sf_dir):
     found = docs(spark, sf_dir).select("doc_id", "text", privacy.findings(F.col("text")).alias("found"))
-    return found.select("doc_id", F.size("found").alias("n_found"), F.concat_ws(",", F.transform("found", lambda f: f["kind"])).alias("kinds"), F.sha2(privacy.for_training(F.col("text")), 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", F.size("found").alias("n_found"), F.concat_ws(",", F.transform("found", lambda f: f["kind"])).alias("kinds"),
+        F.sha2(privacy.for_training(F.col("text")), 256).alias("kept_sha256")
+    )
 
 
 def _skill(name: str, aliases: list[str]) -> str:
-    return "case when " + " or ".join(f"regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9]){a}($|[^A-Za-z0-9-])', 'i')" for a in (name, *aliases)) + f" then '{name}' end"
+    return "case when " + " or ".join(
+        f"regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9]){a}($|[^A-Za-z0-9-])', 'i')" for a in (name, *aliases)
+    ) + f" then '{name}' end"
 
 
-@query("select doc_id, array_to_string(list_filter([" + ", ".join(_skill(n, a) for n, a in VOCABULARY.items()) + "], lambda x: x is not null), ',') as skills from documents")
+@query(
+    "select doc_id, array_to_string(list_filter([" + ", ".join(_skill(n, a) for n, a in VOCABULARY.items()) + "], lambda x: x is not null), ',') as skills from documents"
+)
 def q54_known_skills(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(pairing.known_skills(F.col("text"), VOCABULARY), ",").alias("skills"))
 
@@ -495,29 +602,52 @@ def q55_pair_match(spark, sf_dir):
     """Whole scores of pairs of documents, which play adverts and résumés with their language as direction."""
     d = docs(spark, sf_dir)
     none, words = F.lit(None), F.array(*(F.lit(w) for w in VOCABULARY))
-    advert = F.struct(F.col("lang").alias("direction"), words.alias("skills"), none.cast("string").alias("education"), none.cast("string").alias("experience"), none.cast("array<string>").alias("requirements"), none.cast("array<string>").alias("responsibilities"), F.concat(F.lit("任职要求："), F.col("text")).alias("text"))
-    resume = F.struct(F.col("lang").alias("target"), none.cast("array<string>").alias("education"), none.cast("array<string>").alias("skills"), none.cast("array<string>").alias("projects"), none.cast("array<string>").alias("internships"), F.col("text").alias("text"))
-    both = pairs(spark, sf_dir).select("left_id", "right_id").join(d.select(F.col("doc_id").alias("left_id"), advert.alias("advert")), "left_id").join(d.select(F.col("doc_id").alias("right_id"), resume.alias("resume")), "right_id")
+    advert = F.struct(
+        F.col("lang").alias("direction"), words.alias("skills"), none.cast("string").alias("education"), none.cast("string").alias("experience"),
+        none.cast("array<string>").alias("requirements"), none.cast("array<string>").alias("responsibilities"),
+        F.concat(F.lit("任职要求："), F.col("text")).alias("text")
+    )
+    resume = F.struct(
+        F.col("lang").alias("target"), none.cast("array<string>").alias("education"), none.cast("array<string>").alias("skills"),
+        none.cast("array<string>").alias("projects"), none.cast("array<string>").alias("internships"), F.col("text").alias("text")
+    )
+    both = pairs(spark, sf_dir).select("left_id", "right_id").join(d.select(F.col("doc_id").alias("left_id"), advert.alias("advert")), "left_id").join(
+        d.select(F.col("doc_id").alias("right_id"), resume.alias("resume")), "right_id"
+    )
     out = pairing.score_pairs(both, VOCABULARY).select("left_id", "right_id", "match.*")
-    return out.select("left_id", "right_id", "score", "level", "relation", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
+    return out.select(
+        "left_id", "right_id", "score", "level", "relation", F.array_join("matched", ",").alias("matched"),
+        F.array_join("missing", ",").alias("missing")
+    )
 
 
 @query(f"""with t as (select page_id, html, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1), '^{BLANK}+|{BLANK}+$', '', 'g') as t from pages)
 select page_id, case when lower(t) = 'none' then '' else t end as title, not contains(lower(coalesce(html, '')), 'cookie') and (contains(lower(coalesce(html, '')), '<article') or contains(lower(coalesce(html, '')), '<main')) as wanted from t""")
 def q56_page_values(spark, sf_dir):
     page = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", values.tagged(page, "title").alias("title"), values.wanted(page, ["<article", "<main"], ["cookie"]).alias("wanted"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", values.tagged(page, "title").alias("title"), values.wanted(page, ["<article", "<main"], ["cookie"]).alias("wanted")
+    )
 
 
-@query("""select l_returnflag, l_linestatus, cast(sum(l_quantity) as double) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
+@query(
+    """select l_returnflag, l_linestatus, cast(sum(l_quantity) as double) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all"""
+)
 def g01_pricing_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
+        F.count(F.lit(1)).alias("n")
+    )
 
 
-@query("""select n_name, count(distinct o_orderkey) as n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name""")
+@query(
+    """select n_name, count(distinct o_orderkey) as n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name"""
+)
 def g02_revenue_by_nation(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r")).groupBy("l_orderkey").agg(F.sum("r").alias("r"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r")
+    ).groupBy("l_orderkey").agg(F.sum("r").alias("r"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))

@@ -29,14 +29,20 @@ def folder_digest(spark: SparkSession, path: str) -> tuple[int, str]:
     """(bytes, SHA-256) of a file or of the data files of a folder."""
     files = spark.read.format("binaryFile").load(path).filter(~F.regexp_extract("path", "([^/]+)$", 1).rlike("^[_.]"))
     one = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("d"))
-    row = one.agg(F.coalesce(F.sum("length"), F.lit(0)), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "d"))), lambda s: s["d"]), ""), 256)).first()
+    row = one.agg(
+        F.coalesce(F.sum("length"), F.lit(0)),
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "d"))), lambda s: s["d"]), ""), 256)
+    ).first()
     return int(row[0]), row[1]
 
 
 def raw_state(rows: DataFrame) -> dict:
     """Number of rows, the last crawl and the characters of texts and other data."""
     meta_column = "meta_json" if "meta_json" in rows.columns else "meta"
-    row = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("crawl_time").cast("string"), F.lit("")), F.coalesce(F.sum(F.length("raw_text")), F.lit(0)), F.coalesce(F.sum(F.length(meta_column)), F.lit(0))).first()
+    row = rows.agg(
+        F.count(F.lit(1)), F.coalesce(F.max("crawl_time").cast("string"), F.lit("")), F.coalesce(F.sum(F.length("raw_text")), F.lit(0)),
+        F.coalesce(F.sum(F.length(meta_column)), F.lit(0))
+    ).first()
     return dict(zip(("row_count", "max_crawl_time", "raw_text_chars", "meta_chars"), row, strict=True))
 
 
@@ -60,7 +66,10 @@ def read_json(spark: SparkSession, path: str) -> dict:
 def write_manifest(spark: SparkSession, rows: DataFrame, output: str, manifest: str, transform: str) -> dict:
     """Record what ``output`` was made from: the state of the raw rows, the digest of the transform and that of the output."""
     size, digest = folder_digest(spark, output)
-    value = {"schema_version": 1, "created_at": datetime.now(timezone.utc).isoformat(), "transform_sha256": transform, "raw_state": raw_state(rows), "output": {"path": output, "bytes": size, "sha256": digest}}
+    value = {
+        "schema_version": 1, "created_at": datetime.now(timezone.utc).isoformat(), "transform_sha256": transform, "raw_state": raw_state(rows),
+        "output": {"path": output, "bytes": size, "sha256": digest}
+    }
     write_json(spark, value, manifest)
     return value
 
@@ -137,12 +146,20 @@ def samples_manifest(spark: SparkSession, path: str, rows: DataFrame) -> dict:
     task = F.coalesce(F.nullif(meta("dataset_task"), F.lit("")), F.col("task_type"), F.lit("unknown"))
     one = samples_profile(rows).first()
     counts = {r["task"]: r["n"] for r in rows.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {"path": path, "exists": True, "rows": int(one["rows"]), "sha256": folder_digest(spark, path)[1], "task_counts": counts, "unique_source_groups": int(one["unique_source_groups"]), "source_group_ratio": one["source_group_ratio"]}
+    return {
+        "path": path, "exists": True, "rows": int(one["rows"]), "sha256": folder_digest(spark, path)[1], "task_counts": counts,
+        "unique_source_groups": int(one["unique_source_groups"]), "source_group_ratio": one["source_group_ratio"]
+    }
 
 
-def run_manifest(spark: SparkSession, stage: str, parameters: dict, datasets: dict[str, tuple[str, DataFrame]], output: str, readiness: dict | None = None) -> dict:
+def run_manifest(
+    spark: SparkSession, stage: str, parameters: dict, datasets: dict[str, tuple[str, DataFrame]], output: str, readiness: dict | None = None
+) -> dict:
     """What a run was started with, written beside its output."""
-    value = {"stage": stage, "parameters": parameters, "parameters_sha256": transform_digest((), parameters), "datasets": {n: samples_manifest(spark, p, df) for n, (p, df) in datasets.items()}, "readiness": readiness or {}, "output_dir": output}
+    value = {
+        "stage": stage, "parameters": parameters, "parameters_sha256": transform_digest((), parameters),
+        "datasets": {n: samples_manifest(spark, p, df) for n, (p, df) in datasets.items()}, "readiness": readiness or {}, "output_dir": output
+    }
     write_json(spark, value, f"{output.rstrip('/')}/run_manifest")
     return value
 
@@ -156,7 +173,13 @@ def multitask(spark: SparkSession, tasks: dict[str, DataFrame], sizes: dict[str,
 
     parts = []
     for name, rows in tasks.items():
-        marked = rows.select("id", "source_group", "messages", F.coalesce("meta", F.lit("{}")).alias("meta")).withColumn("h", hash_order(f"{seed}:{name}:{split}", F.col("id")))
-        chosen = round_robin(marked.withColumn("g", hash_order(f"{seed}:{name}:{split}:g", F.col("source_group"))), "source_group", ["g", "h", "id"], sizes[name])
-        parts.append(chosen.select("id", "source_group", "messages", with_meta(F.col("meta"), dataset_task=F.lit(name), dataset_split=F.lit(split)).alias("meta")))
+        marked = rows.select(
+            "id", "source_group", "messages", F.coalesce("meta", F.lit("{}")).alias("meta")
+        ).withColumn("h", hash_order(f"{seed}:{name}:{split}", F.col("id")))
+        chosen = round_robin(
+            marked.withColumn("g", hash_order(f"{seed}:{name}:{split}:g", F.col("source_group"))), "source_group", ["g", "h", "id"], sizes[name]
+        )
+        parts.append(
+            chosen.select("id", "source_group", "messages", with_meta(F.col("meta"), dataset_task=F.lit(name), dataset_split=F.lit(split)).alias("meta"))
+        )
     return once_by_content(reduce(DataFrame.unionByName, parts)).orderBy(hash_order(f"{seed}:shuffle:{split}", F.col("id")))

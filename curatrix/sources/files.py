@@ -47,7 +47,11 @@ def docx_text(data: bytes) -> str:
             raise ValueError("the document is too large")
         root = ET.fromstring(archive.read("word/document.xml"))  # noqa: S314
     body = root.find(f"{_W}body")
-    paragraphs = ("".join((t.text or "") if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else "" for t in p.iter()) for p in (body if body is not None else root).findall(f"{_W}p"))
+    paragraphs = (
+        "".join(
+            (t.text or "") if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else "" for t in p.iter()
+        ) for p in (body if body is not None else root).findall(f"{_W}p")
+    )
     return "\n".join(x.strip() for x in paragraphs if x.strip())
 
 
@@ -115,34 +119,51 @@ def read_resumes(spark: SparkSession, path: str, sidecars: str | None = None) ->
     every = files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), "content")
     # A text that is a sidecar is no résumé.
     own = every.filter(~F.lower("file_name").endswith(SIDECAR)).withColumn("kind", kind_of(F.col("file_name")))
-    packed = own.filter(F.col("kind").isin("docx", "pdf")).select("path", "kind", "content").mapInPandas(_opened, "path string, opened string, page_count int, open_error string")
+    packed = own.filter(F.col("kind").isin("docx", "pdf")).select("path", "kind", "content").mapInPandas(
+        _opened, "path string, opened string, page_count int, open_error string"
+    )
     rows = own.select("path", "file_name", "kind", F.when(F.col("kind") == "text", F.decode("content", "UTF-8")).alias("plain")).join(packed, "path", "left")
     folder = lambda c: F.regexp_replace(c, "[^/]+$", "")
     beside = every.filter(F.lower("file_name").endswith(SIDECAR)).select("path", F.decode("content", "UTF-8").alias("said"), F.lit(1).alias("far"))
     if sidecars:
         there = spark.read.format("binaryFile").load(sidecars).select("path", F.decode("content", "UTF-8").alias("said"), F.lit(0).alias("far"))
         beside = beside.unionByName(there.filter(F.lower("path").endswith(SIDECAR)))
-    named = beside.select(folder("path").alias("folder"), F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"(?i)\.ocr\.txt$", "").alias("stem"), "said", "far")
+    named = beside.select(
+        folder("path").alias("folder"), F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"(?i)\.ocr\.txt$", "").alias("stem"), "said", "far"
+    )
     stem = F.regexp_replace("file_name", r"\.[^.]+$", "")
-    cand = rows.filter(F.col("kind").isin("pdf", "image")).select("path", F.explode(F.array(F.struct(F.col("file_name").alias("stem"), F.lit(0).alias("order")), F.struct(stem.alias("stem"), F.lit(1).alias("order")))).alias("c")).select("path", "c.*")
+    cand = rows.filter(F.col("kind").isin("pdf", "image")).select(
+        "path",
+        F.explode(
+            F.array(F.struct(F.col("file_name").alias("stem"), F.lit(0).alias("order")), F.struct(stem.alias("stem"), F.lit(1).alias("order")))
+        ).alias("c")
+    ).select("path", "c.*")
     hits = cand.join(named, "stem").filter((F.col("far") == 0) | (folder("path") == F.col("folder")))
     best = hits.groupBy("path").agg(F.min_by("said", F.struct("far", "order")).alias("sidecar"))
     rows = rows.join(best, "path", "left").withColumn("sidecar", strip(text_or_empty(F.col("sidecar"))))
     chars = F.length(text_or_empty(F.col("opened")))
-    pdf_kind = F.when(F.col("kind") != "pdf", "").when(chars == 0, "scanned_pdf").when((chars < LEAST_CHARS) | (chars / F.col("page_count") < LEAST_PAGE_CHARS), "weak_text_pdf").otherwise("text_pdf")
+    pdf_kind = F.when(F.col("kind") != "pdf", "").when(chars == 0, "scanned_pdf").when(
+        (chars < LEAST_CHARS) | (chars / F.col("page_count") < LEAST_PAGE_CHARS), "weak_text_pdf"
+    ).otherwise("text_pdf")
     rows = rows.withColumn("pdf_kind", pdf_kind)
     wants = (F.col("kind") == "image") | F.col("pdf_kind").isin("scanned_pdf", "weak_text_pdf")
     used = wants & (F.col("sidecar") != "")
     raw = F.when(used, F.col("sidecar")).when(wants, "").otherwise(text_or_empty(F.coalesce("plain", "opened")))
     out = rows.withColumns({"raw_text": raw, "ocr_used": used, "needs_ocr": wants & ~used}).withColumn("clean_text", normalized_text(F.col("raw_text")))
     error = (
-        F.when(F.col("kind") == "unknown", "unsupported_file_type").when(F.col("needs_ocr") & (F.col("kind") == "image"), "image_resume_requires_ocr").when(F.col("needs_ocr") & (F.col("pdf_kind") == "scanned_pdf"), "scanned_pdf_requires_ocr")
-        .when(F.col("needs_ocr"), "weak_text_pdf_requires_ocr_review").when(F.col("open_error").isNotNull(), F.col("open_error")).when(F.col("clean_text") == "", "empty_text_after_extraction")
+        F.when(F.col("kind") == "unknown", "unsupported_file_type").when(F.col("needs_ocr") & (F.col("kind") == "image"), "image_resume_requires_ocr").when(
+            F.col("needs_ocr") & (F.col("pdf_kind") == "scanned_pdf"), "scanned_pdf_requires_ocr"
+        )
+        .when(F.col("needs_ocr"), "weak_text_pdf_requires_ocr_review").when(F.col("open_error").isNotNull(), F.col("open_error")).when(
+            F.col("clean_text") == "", "empty_text_after_extraction"
+        )
     )
     method = F.when(F.col("ocr_used"), "sidecar_ocr").otherwise(F.col("kind"))
     return out.select(
         F.substring(F.sha1("path"), 1, 16).alias("id"), "file_name", F.col("path").alias("file_path"), F.col("kind").alias("source_type"), "pdf_kind", "ocr_used", F.when(F.col("ocr_used"), "sidecar").otherwise("").alias("ocr_source"),
-        method.alias("extraction_method"), "needs_ocr", ((F.col("clean_text") != "") & (F.col("kind") != "unknown")).alias("parse_ok"), error.alias("parse_error"), F.coalesce("page_count", F.lit(1)).alias("page_count"),
+        method.alias("extraction_method"), "needs_ocr", (
+            (F.col("clean_text") != "") & (F.col("kind") != "unknown")
+        ).alias("parse_ok"), error.alias("parse_error"), F.coalesce("page_count", F.lit(1)).alias("page_count"),
         F.when(F.col("kind") == "pdf", chars).otherwise(F.length("clean_text")).alias("text_char_count"), "raw_text", "clean_text", line_sections(F.col("clean_text"), RESUME).alias("sections"),
     )
 
@@ -162,4 +183,6 @@ def upload_error(name: Column, content: Column, most: int = MOST_UPLOAD) -> Colu
     webp = (suffix == "webp") & ~(begins(b"RIFF") & (F.hex(F.substring(content, 9, 4)) == b"WEBP".hex().upper()))
     text = suffix.isin(*KINDS["text"]) & F.coalesce(F.is_valid_utf8(content) == F.lit(False), F.lit(True))
     n = F.octet_length(content)
-    return F.when(kind_of(name) == "unknown", "unsupported_file_type").when(F.coalesce(n, F.lit(0)) == 0, "empty_file").when(n > most, "file_too_large").when(wrong | webp, "content_does_not_match_type").when(text, "text_is_not_utf8")
+    return F.when(
+        kind_of(name) == "unknown", "unsupported_file_type"
+    ).when(F.coalesce(n, F.lit(0)) == 0, "empty_file").when(n > most, "file_too_large").when(wrong | webp, "content_does_not_match_type").when(text, "text_is_not_utf8")

@@ -52,13 +52,18 @@ def area(place: Column) -> Column:
     parts = F.filter(F.transform(F.split(text_or_empty(place), "·"), strip), lambda x: x != "")
     dotted = F.contains(text_or_empty(place), F.lit("·"))
     rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), " / ")
-    return F.struct(F.when(dotted, F.coalesce(F.get(parts, 0), F.lit(""))).otherwise(text_or_empty(place)).alias("city"), F.when(dotted, rest).otherwise("").alias("detail"))
+    return F.struct(
+        F.when(dotted, F.coalesce(F.get(parts, 0), F.lit(""))).otherwise(text_or_empty(place)).alias("city"),
+        F.when(dotted, rest).otherwise("").alias("detail")
+    )
 
 
 def span(low: Column, high: Column, unit: str, above: str, below: str) -> Column:
     """A range with its unit, open at one end where that is missing, empty where both are."""
     has = lambda c: text_or_empty(c) != ""
-    return F.when(has(low) & has(high), F.concat(low, F.lit("-"), high, F.lit(unit))).when(has(low), F.concat(low, F.lit(unit + above))).when(has(high), F.concat(high, F.lit(unit + below))).otherwise("")
+    return F.when(
+        has(low) & has(high), F.concat(low, F.lit("-"), high, F.lit(unit))
+    ).when(has(low), F.concat(low, F.lit(unit + above))).when(has(high), F.concat(high, F.lit(unit + below))).otherwise("")
 
 
 def salary(low: Column, high: Column, currency: Column, period: Column) -> Column:
@@ -69,7 +74,10 @@ def salary(low: Column, high: Column, currency: Column, period: Column) -> Colum
 
 
 def raw_rows(df: DataFrame, *, source: Column, url: Column, crawl_time: str, meta: dict[str, Column], **columns: Column) -> DataFrame:
-    every = {"source": source, "url": url, "crawl_time": F.lit(crawl_time), "html": F.lit(None).cast("string"), "meta": F.to_json(F.struct(*(c.alias(k) for k, c in meta.items())), {"ignoreNullFields": "false"}), **columns}
+    every = {
+        "source": source, "url": url, "crawl_time": F.lit(crawl_time), "html": F.lit(None).cast("string"),
+        "meta": F.to_json(F.struct(*(c.alias(k) for k, c in meta.items())), {"ignoreNullFields": "false"}), **columns
+    }
     return df.select(*(every[n].alias(n) for n in RAW))
 
 
@@ -85,14 +93,23 @@ def job_site_rows(df: DataFrame, source: str, url: str, crawl_time: str) -> Data
     """Rows of a table of job offers (job_name, job_area, job_salary, com_name, com_type, com_size, finance_stage, work_year,
     education, job_benefits); those without a name are dropped."""
     v = _columns(df)
-    text = labelled(("岗位名称", v("job_name")), ("公司名称", v("com_name")), ("工作地点", v("job_area")), ("薪资范围", v("job_salary")), ("公司行业", v("com_type")), ("公司规模", v("com_size")), ("融资阶段", v("finance_stage")), ("经验要求", v("work_year")), ("学历要求", v("education")), ("福利标签", v("job_benefits")))
-    key = digest(job_title=v("job_name"), company=v("com_name"), location=v("job_area"), salary=v("job_salary"), work_year=v("work_year"), education=v("education"))
+    text = labelled(
+        ("岗位名称", v("job_name")), ("公司名称", v("com_name")), ("工作地点", v("job_area")), ("薪资范围", v("job_salary")), ("公司行业", v("com_type")),
+        ("公司规模", v("com_size")), ("融资阶段", v("finance_stage")), ("经验要求", v("work_year")), ("学历要求", v("education")), ("福利标签", v("job_benefits"))
+    )
+    key = digest(
+        job_title=v("job_name"), company=v("com_name"), location=v("job_area"), salary=v("job_salary"), work_year=v("work_year"),
+        education=v("education")
+    )
     meta = {
         "schema": F.lit("bosszp_csv_v1"), "language": F.lit("zh"), "sft_ready": F.lit(False), "job_area_city": area(v("job_area"))["city"], "job_area_detail": area(v("job_area"))["detail"],
         "company_type": v("com_type"), "company_size": v("com_size"), "finance_stage": v("finance_stage"), "work_year": v("work_year"), "education": v("education"), "job_benefits": v("job_benefits"),
         "source_file": F.lit(url), "raw_columns": _whole(df),
     }
-    rows = raw_rows(df, source=F.lit(source), url=F.lit(url), crawl_time=crawl_time, meta=meta, id=F.concat(F.lit(source + "_"), key), job_title=v("job_name"), company=v("com_name"), location=v("job_area"), salary=v("job_salary"), raw_text=text)
+    rows = raw_rows(
+        df, source=F.lit(source), url=F.lit(url), crawl_time=crawl_time, meta=meta, id=F.concat(F.lit(source + "_"), key), job_title=v("job_name"),
+        company=v("com_name"), location=v("job_area"), salary=v("job_salary"), raw_text=text
+    )
     return rows.filter("job_title <> '' and raw_text <> ''")
 
 
@@ -100,13 +117,19 @@ def aggregated_rows(df: DataFrame, source: str, url: str, crawl_time: str) -> Da
     """Rows of a table of collected offers (title, place, salary, experience, education, companytype, industry, provider,
     keyword, description); those without a title are dropped."""
     v = _columns(df)
-    text = labelled(("岗位名称", v("title")), ("来源站点", v("provider")), ("关键词", v("keyword")), ("工作地点", v("place")), ("薪资范围", v("salary")), ("经验要求", v("experience")), ("学历要求", v("education")), ("公司性质", v("companytype")), ("行业标签", v("industry")), ("职位描述", v("description")))
+    text = labelled(
+        ("岗位名称", v("title")), ("来源站点", v("provider")), ("关键词", v("keyword")), ("工作地点", v("place")), ("薪资范围", v("salary")), ("经验要求", v("experience")),
+        ("学历要求", v("education")), ("公司性质", v("companytype")), ("行业标签", v("industry")), ("职位描述", v("description"))
+    )
     key = digest(job_title=v("title"), provider=v("provider"), location=v("place"), salary=v("salary"), experience=v("experience"), education=v("education"))
     meta = {
         "schema": F.lit("workaggregation_csv_v1"), "language": F.lit("zh"), "sft_ready": F.lit(False), "keyword": v("keyword"), "experience": v("experience"), "education": v("education"),
         "company_type": v("companytype"), "industry": v("industry"), "description": v("description"), "source_file": F.lit(url), "raw_columns": _whole(df),
     }
-    rows = raw_rows(df, source=F.lit(source), url=F.lit(url), crawl_time=crawl_time, meta=meta, id=F.concat(F.lit(source + "_"), key), job_title=v("title"), company=v("provider"), location=v("place"), salary=v("salary"), raw_text=text)
+    rows = raw_rows(
+        df, source=F.lit(source), url=F.lit(url), crawl_time=crawl_time, meta=meta, id=F.concat(F.lit(source + "_"), key), job_title=v("title"),
+        company=v("provider"), location=v("place"), salary=v("salary"), raw_text=text
+    )
     return rows.filter("job_title <> '' and raw_text <> ''")
 
 
@@ -125,7 +148,10 @@ def degree_task_rows(df: DataFrame, source: str, url: str, crawl_time: str, *, m
     text = labelled(("岗位名称", name), "任务类型：从岗位中提取学历", "岗位描述：", told, ("学历提示", hint))
     kept = df.filter((F.length(told) >= min_chars) & (v("assistant") != "") & (name != ""))
     ident = F.concat(F.lit(source + "_"), F.when(v("job_id") != "", v("job_id")).otherwise(key))
-    return raw_rows(kept, source=F.lit(source), url=F.lit(url), crawl_time=crawl_time, meta=meta, id=ident, job_title=name, company=F.lit(""), location=F.lit(""), salary=F.lit(""), raw_text=text)
+    return raw_rows(
+        kept, source=F.lit(source), url=F.lit(url), crawl_time=crawl_time, meta=meta, id=ident, job_title=name, company=F.lit(""), location=F.lit(""),
+        salary=F.lit(""), raw_text=text
+    )
 
 
 #: Words that open offers are kept for and dropped for.
@@ -133,32 +159,55 @@ OPEN_FOR = (
     "software", "engineer", "engineering", "developer", "backend", "back-end", "frontend", "front-end", "full stack", "fullstack", "android", "ios", "mobile", "platform", "devops", "sre", "site reliability",
     "cloud", "infrastructure", "data", "machine learning", "ml", "ai ", " ai", "llm", "genai", "security", "qa", "test", "automation",
 )
-OPEN_AGAINST = ("sales", "account executive", "recruiter", "marketing", "designer", "finance", "legal", "operations", "customer support", "talent", "hr ", "human resources")
+OPEN_AGAINST = (
+    "sales", "account executive", "recruiter", "marketing", "designer", "finance", "legal", "operations", "customer support", "talent", "hr ",
+    "human resources"
+)
 
 
-def open_offer_rows(df: DataFrame, source: str, url: str, crawl_time: str, *, include: list[str] | None = None, exclude: list[str] | None = None, min_chars: int = 600) -> DataFrame:
+def open_offer_rows(
+    df: DataFrame, source: str, url: str, crawl_time: str, *, include: list[str] | None = None, exclude: list[str] | None = None, min_chars: int = 600
+) -> DataFrame:
     """Rows of a table of open offers with markup; those with a short description or other work are dropped."""
     v = _columns(df)
     places = F.col("locations") if isinstance(df.schema["locations"].dataType, T.ArrayType) else F.array(F.col("locations").cast("string"))
-    place = F.array_join(F.filter(F.transform(F.coalesce(places, F.array().cast("array<string>")), lambda x: strip(text_or_empty(x))), lambda x: x != ""), " | ")
+    place = F.array_join(
+        F.filter(F.transform(F.coalesce(places, F.array().cast("array<string>")), lambda x: strip(text_or_empty(x))), lambda x: x != ""), " | "
+    )
     remote = F.coalesce(F.col("remote").cast("boolean"), F.lit(False)) if "remote" in df.columns else F.lit(False)
     pay = salary(*(F.col(c).cast("string") if c in df.columns else F.lit("") for c in ("salary_min", "salary_max", "salary_currency", "salary_period")))
     # Decoding entities runs in Python once; later steps read its column.
     df = df.withColumn("_described", markup_text(F.col("description_html")))
-    text = labelled(("岗位名称", v("title")), ("公司标识", v("source_slug")), ("部门", v("department")), ("工作地点", place), ("雇佣类型", v("employment_type")), ("远程", F.when(remote, "是").otherwise("否")), ("薪资范围", pay), "职位描述：", F.col("_described"))
+    text = labelled(
+        ("岗位名称", v("title")), ("公司标识", v("source_slug")), ("部门", v("department")), ("工作地点", place), ("雇佣类型", v("employment_type")),
+        ("远程", F.when(remote, "是").otherwise("否")), ("薪资范围", pay), "职位描述：", F.col("_described")
+    )
     meta = {
         "schema": F.lit("open_apply_jobs_parquet_v1"), "language": F.lit("en"), "sft_ready": F.lit(False), "platform": v("platform"), "source_slug": v("source_slug"), "department": v("department"), "employment_type": v("employment_type"),
         "remote": remote, "posted_at": v("posted_at"), "updated_at": v("updated_at"), "locations": places, "source_file": F.lit(url),
     }
     ident = F.when(v("id") != "", v("id")).otherwise(F.sha1(F.to_json(F.struct(*sorted(c for c in df.columns if c != "_described")))))
     about = F.concat(v("title"), F.lit("\n"), v("department"), F.lit("\n"), F.substring("_described", 1, 400))
-    kept = df.filter((F.length("_described") >= min_chars) & (v("title") != "") & wanted(about, list(OPEN_FOR) if include is None else include, list(OPEN_AGAINST) if exclude is None else exclude))
-    return raw_rows(kept, source=F.lit(source), url=F.when(v("apply_url") != "", v("apply_url")).otherwise(url), crawl_time=crawl_time, meta=meta, id=ident, job_title=v("title"), company=v("source_slug"), location=place, salary=pay, raw_text=text)
+    kept = df.filter(
+        (F.length("_described") >= min_chars) & (v("title") != "") & wanted(
+            about, list(OPEN_FOR) if include is None else include, list(OPEN_AGAINST) if exclude is None else exclude
+        )
+    )
+    return raw_rows(
+        kept, source=F.lit(source), url=F.when(v("apply_url") != "", v("apply_url")).otherwise(url), crawl_time=crawl_time, meta=meta, id=ident,
+        job_title=v("title"), company=v("source_slug"), location=place, salary=pay, raw_text=text
+    )
 
 
-TYPES = {"bosszp_csv": job_site_rows, "workaggregation_csv": aggregated_rows, "job_educational_parquet": degree_task_rows, "open_apply_jobs_parquet": open_offer_rows}
+TYPES = {
+    "bosszp_csv": job_site_rows, "workaggregation_csv": aggregated_rows, "job_educational_parquet": degree_task_rows,
+    "open_apply_jobs_parquet": open_offer_rows
+}
 #: What a manifest says of a source and every row of it carries on.
-GOVERNANCE = ("source_revision", "artifact_sha256", "package_license_status", "content_rights_status", "provenance_status", "intended_usage", "training_eligible", "holdout_eligible")
+GOVERNANCE = (
+    "source_revision", "artifact_sha256", "package_license_status", "content_rights_status", "provenance_status", "intended_usage",
+    "training_eligible", "holdout_eligible"
+)
 
 
 def import_source(spark: SparkSession, source: dict, crawl_time: str) -> DataFrame:
@@ -166,8 +215,14 @@ def import_source(spark: SparkSession, source: dict, crawl_time: str) -> DataFra
     make = TYPES.get(source.get("type"))
     if make is None or not source.get("local_path"):
         raise ValueError(f"a source needs a known type and a local_path: {source}")
-    more = {"include": source.get("include_keywords"), "exclude": source.get("exclude_keywords"), "min_chars": int(source.get("min_description_chars") or 600)} if make is open_offer_rows else {}
-    rows = make(read_rows(spark, source["local_path"]), source.get("name") or "public_dataset", source.get("source_url") or source["local_path"], crawl_time, **more)
+    more = {
+        "include": source.get("include_keywords"), "exclude": source.get("exclude_keywords"),
+        "min_chars": int(source.get("min_description_chars") or 600)
+    } if make is open_offer_rows else {}
+    rows = make(
+        read_rows(spark, source["local_path"]), source.get("name") or "public_dataset", source.get("source_url") or source["local_path"], crawl_time,
+        **more
+    )
     said = json.dumps({k: source[k] for k in GOVERNANCE if k in source}, ensure_ascii=False)
     return rows.withColumn("meta", F.concat(F.lit(said[:-1] + ", "), F.substring("meta", 2, 1 << 30))) if said != "{}" else rows
 
@@ -205,7 +260,10 @@ def at(post: Column, *paths: str) -> Column:
 def names(post: Column, path: str) -> Column:
     """The names of a list of objects."""
     every = F.from_json(F.get_json_object(post, f"$.{path}"), "array<struct<name:string>>")
-    return F.array_join(F.filter(F.transform(F.coalesce(every, F.array().cast("array<struct<name:string>>")), lambda x: strip(text_or_empty(x["name"]))), lambda x: x != ""), " / ")
+    return F.array_join(
+        F.filter(F.transform(F.coalesce(every, F.array().cast("array<struct<name:string>>")), lambda x: strip(text_or_empty(x["name"]))), lambda x: x != ""),
+        " / "
+    )
 
 
 def any_part(c: Column, words: str) -> Column:
@@ -217,7 +275,9 @@ def _said(post: Column, *paths: str) -> Column:
 
 
 def _research_code(p: Portal, post: Column) -> Column:
-    return (F.upper(at(post, "jobTypeCode")) == "YANFA") | any_part(F.concat_ws("\n", at(post, *p.title), _said(post, "workContent", "qualification")), p.tech_words)
+    return (F.upper(at(post, "jobTypeCode")) == "YANFA") | any_part(
+        F.concat_ws("\n", at(post, *p.title), _said(post, "workContent", "qualification")), p.tech_words
+    )
 
 
 def _family(p: Portal, post: Column) -> Column:
@@ -249,20 +309,53 @@ PORTALS = {
         (("岗位名称", "RecruitPostName"), ("工作地点", "LocationName"), ("事业群", "BGName"), "岗位职责：", ("", "Responsibility"), ("经验要求", "RequireWorkYearsName")),
         meta={"category": "CategoryName", "product": "ProductName", "last_update_time": "LastUpdateTime"}),
     "baidu": Portal("baidu", "talent.baidu.com", "百度", "https://talent.baidu.com/jobs/detail/SOCIAL/{id}", ("postId",), ("name",), "workPlace",
-        (("岗位名称", "name"), "公司名称：百度", ("工作地点", "workPlace"), ("职位类别", "postType"), ("业务线", "bgShortName"), ("招聘人数", "recruitNum"), ("发布日期", "publishDate"), ("更新时间", "updateDate"), "岗位职责：", ("", "workContent"), "任职要求：", ("", "serviceCondition")),
-        meta={"job_id": "jobId", "post_type": "postType", "publish_date": "publishDate", "update_date": "updateDate", "recruit_num": "recruitNum", "work_years": "workYears", "education": "education", "project_type": "projectType", "bg_short_name": "bgShortName"}),
+        (
+            ("岗位名称", "name"), "公司名称：百度", ("工作地点", "workPlace"), ("职位类别", "postType"), ("业务线", "bgShortName"), ("招聘人数", "recruitNum"),
+            ("发布日期", "publishDate"), ("更新时间", "updateDate"), "岗位职责：", ("", "workContent"), "任职要求：", ("", "serviceCondition")
+        ),
+        meta={
+            "job_id": "jobId", "post_type": "postType", "publish_date": "publishDate", "update_date": "updateDate", "recruit_num": "recruitNum",
+            "work_years": "workYears", "education": "education", "project_type": "projectType", "bg_short_name": "bgShortName"
+        }),
     "jd": Portal("jd_careers", "zhaopin.jd.com", "京东", "https://zhaopin.jd.com/web/job_info_detail?recruitType=2&positionId={positionId}&requirementId={id}", ("requirementId",), ("positionNameOpen", "positionName"), "workCity",
-        (("岗位名称", "positionNameOpen positionName"), "公司名称：京东", ("所属业务", "positionDeptName"), ("职位类别", "jobType"), ("工作地点", "workCity"), ("职位编号", "reqNumber"), ("发布日期", "formatPublishTime"), "岗位职责：", ("", "workContent"), "任职要求：", ("", "qualification")),
-        _SHORT, _research_code, {"job_type": "jobType", "job_type_code": "jobTypeCode", "position_id": "positionId", "position_code": "positionCode", "position_dept_name": "positionDeptName", "publish_time": "publishTime", "work_city_code": "workCityCode", "req_number": "reqNumber"}),
+        (
+            ("岗位名称", "positionNameOpen positionName"), "公司名称：京东", ("所属业务", "positionDeptName"), ("职位类别", "jobType"), ("工作地点", "workCity"),
+            ("职位编号", "reqNumber"), ("发布日期", "formatPublishTime"), "岗位职责：", ("", "workContent"), "任职要求：", ("", "qualification")
+        ),
+        _SHORT, _research_code, {
+            "job_type": "jobType", "job_type_code": "jobTypeCode", "position_id": "positionId", "position_code": "positionCode",
+            "position_dept_name": "positionDeptName", "publish_time": "publishTime", "work_city_code": "workCityCode", "req_number": "reqNumber"
+        }),
     "meituan": Portal("meituan", "zhaopin.meituan.com", "美团", "https://zhaopin.meituan.com/web/position/detail?jobUnionId={id}", ("jobUnionId",), ("name",), lambda p: names(p, "cityList"),
-        (("岗位名称", "name"), "公司名称：美团", ("职位类别", "jobFamily"), ("职位子类", "jobFamilyGroup"), ("工作地点", lambda p: names(p, "cityList")), ("经验要求", "workYear"), ("所属部门", lambda p: names(p, "department")), "部门介绍：", ("", "departmentIntro"), "岗位职责：", ("", "jobDuty"), "任职要求：", ("", "jobRequirement"), "优先条件：", ("", "precedence"), "职位亮点：", ("", "highLight")),
-        _MIDDLE, _family, {"job_family": "jobFamily", "job_family_group": "jobFamilyGroup", "work_year": "workYear", "job_duty": "jobDuty", "job_requirement": "jobRequirement", "precedence": "precedence", "highlight": "highLight"}),
+        (
+            ("岗位名称", "name"), "公司名称：美团", ("职位类别", "jobFamily"), ("职位子类", "jobFamilyGroup"), ("工作地点", lambda p: names(p, "cityList")),
+            ("经验要求", "workYear"), ("所属部门", lambda p: names(p, "department")), "部门介绍：", ("", "departmentIntro"), "岗位职责：", ("", "jobDuty"), "任职要求：",
+            ("", "jobRequirement"), "优先条件：", ("", "precedence"), "职位亮点：", ("", "highLight")
+        ),
+        _MIDDLE, _family, {
+            "job_family": "jobFamily", "job_family_group": "jobFamilyGroup", "work_year": "workYear", "job_duty": "jobDuty",
+            "job_requirement": "jobRequirement", "precedence": "precedence", "highlight": "highLight"
+        }),
     "didi": Portal("didi", "talent.didiglobal.com", "滴滴", "https://talent.didiglobal.com/social/p/{id}", ("jdId",), ("jobName",), "workArea",
-        (("岗位名称", "jobName"), "公司名称：滴滴", ("所属部门", "deptName"), ("工作地点", "workArea"), ("职位类别", "jobTypeName jobType"), ("招聘类型", "recruitType"), ("职位编号", "jdNo"), ("招聘人数", "recruitNum"), ("发布时间", "publishTime"), ("刷新时间", "refreshTime"), "岗位职责：", ("", "jobDesc"), "任职要求：", ("", "qualification")),
-        _LONG, _job_type, {"jd_no": "jdNo", "dept_name": "deptName", "publish_time": "publishTime", "refresh_time": "refreshTime", "recruit_type": "recruitType", "recruit_num": "recruitNum", "job_type": "jobType", "record_id": "recordId"}),
+        (
+            ("岗位名称", "jobName"), "公司名称：滴滴", ("所属部门", "deptName"), ("工作地点", "workArea"), ("职位类别", "jobTypeName jobType"), ("招聘类型", "recruitType"),
+            ("职位编号", "jdNo"), ("招聘人数", "recruitNum"), ("发布时间", "publishTime"), ("刷新时间", "refreshTime"), "岗位职责：", ("", "jobDesc"), "任职要求：",
+            ("", "qualification")
+        ),
+        _LONG, _job_type, {
+            "jd_no": "jdNo", "dept_name": "deptName", "publish_time": "publishTime", "refresh_time": "refreshTime", "recruit_type": "recruitType",
+            "recruit_num": "recruitNum", "job_type": "jobType", "record_id": "recordId"
+        }),
     "ctrip": Portal("ctrip", "careers.ctrip.com", "携程", "https://careers.ctrip.com/#/experienced/job-detail/{jobId id}", ("id",), ("jobTitle",), "cityName",
-        (("岗位名称", "jobTitle"), "公司名称：携程", ("业务线", "buName"), ("工作地点", "cityName"), ("职位类别", "jobFamilyGroupName"), ("职位类别编码", "jobFamilyGroupCode"), ("招聘类型", "kindName kind"), ("发布时间", "publishDate"), ("职位外部编号", "fromId"), ("职位内部编号", "jobId"), "职位描述：", ("", "requirements")),
-        _LONG, _family_code, {"from_id": "fromId", "job_id": "jobId", "publish_date": "publishDate", "job_family_group_code": "jobFamilyGroupCode", "job_family_group_name": "jobFamilyGroupName", "bu_name": "buName", "kind": "kind", "city_name": "cityName"}),
+        (
+            ("岗位名称", "jobTitle"), "公司名称：携程", ("业务线", "buName"), ("工作地点", "cityName"), ("职位类别", "jobFamilyGroupName"),
+            ("职位类别编码", "jobFamilyGroupCode"), ("招聘类型", "kindName kind"), ("发布时间", "publishDate"), ("职位外部编号", "fromId"), ("职位内部编号", "jobId"), "职位描述：",
+            ("", "requirements")
+        ),
+        _LONG, _family_code, {
+            "from_id": "fromId", "job_id": "jobId", "publish_date": "publishDate", "job_family_group_code": "jobFamilyGroupCode",
+            "job_family_group_name": "jobFamilyGroupName", "bu_name": "buName", "kind": "kind", "city_name": "cityName"
+        }),
 }
 
 
@@ -287,20 +380,30 @@ def post_rows(df: DataFrame, portal: Portal, crawl_time: str, post: str = "post"
         url = F.concat(url, F.lit(before), ident if name == "id" else at(c, *name.split()))
     url = F.concat(url, F.lit(rest))
     text = labelled(*parts)
-    meta = {"language": F.when(text.rlike("[一-鿿]"), "zh").otherwise("en"), "sft_ready": probably_technical(portal, c), "post_id": ident, **{k: F.get_json_object(c, f"$.{p}") for k, p in portal.meta.items()}, **more}
+    meta = {
+        "language": F.when(text.rlike("[一-鿿]"), "zh").otherwise("en"), "sft_ready": probably_technical(portal, c), "post_id": ident,
+        **{k: F.get_json_object(c, f"$.{p}") for k, p in portal.meta.items()}, **more
+    }
     kept = df.filter(ident != "")
-    return raw_rows(kept, source=F.lit(portal.source), url=url, crawl_time=crawl_time, meta=meta, id=F.concat(F.lit(portal.prefix + "_"), ident), job_title=at(c, *portal.title), company=F.lit(portal.company), location=_path(c, portal.place), salary=F.lit(""), raw_text=text)
+    return raw_rows(
+        kept, source=F.lit(portal.source), url=url, crawl_time=crawl_time, meta=meta, id=F.concat(F.lit(portal.prefix + "_"), ident),
+        job_title=at(c, *portal.title), company=F.lit(portal.company), location=_path(c, portal.place), salary=F.lit(""), raw_text=text
+    )
 
 
 def places(post: Column, path: str = "locations") -> Column:
     """The distinct places of a list of objects with country, province, city, area and address."""
     kind = "array<struct<country:string,province:string,city:string,area:string,address:string>>"
     every = F.coalesce(F.from_json(F.get_json_object(post, f"$.{path}"), kind), F.array().cast(kind))
-    one = lambda x: F.concat_ws(" / ", *(F.nullif(strip(text_or_empty(x[k])), F.lit("")) for k in ("country", "province", "city", "area", "address")))
+    one = lambda x: F.concat_ws(
+        " / ", *(F.nullif(strip(text_or_empty(x[k])), F.lit("")) for k in ("country", "province", "city", "area", "address"))
+    )
     return F.array_join(F.array_distinct(F.filter(F.transform(every, one), lambda x: x != "")), " | ")
 
 
-def board_rows(df: DataFrame, org: str, company: str, mode: str, source: str, url: str, crawl_time: str, site: int | None = None, post: str = "post") -> DataFrame:
+def board_rows(
+    df: DataFrame, org: str, company: str, mode: str, source: str, url: str, crawl_time: str, site: int | None = None, post: str = "post"
+) -> DataFrame:
     """Raw adverts of the posts of one organisation's board; posts without an id are dropped."""
     c = F.col(post)
     df = df.filter(at(c, "id") != "").withColumn("_described", markup_text(F.get_json_object(c, "$.description")))
@@ -312,13 +415,20 @@ def board_rows(df: DataFrame, org: str, company: str, mode: str, source: str, ur
     )
     tongue = language(text)
     technical = any_part(F.concat_ws("\n", text, at(c, "department.name"), at(c, "zhineng.name")), BOARD_WORDS)
-    kept = {"status": "status", "education": "education", "min_experience": "minExperience", "max_experience": "maxExperience", "commitment": "commitment", "published_at": "publishedAt", "updated_at": "updatedAt", "opened_at": "openedAt", "closed_at": "closedAt", "hire_mode": "hireMode", "number": "number"}
+    kept = {
+        "status": "status", "education": "education", "min_experience": "minExperience", "max_experience": "maxExperience",
+        "commitment": "commitment", "published_at": "publishedAt", "updated_at": "updatedAt", "opened_at": "openedAt", "closed_at": "closedAt",
+        "hire_mode": "hireMode", "number": "number"
+    }
     meta = {
         "schema": F.lit("moka_jobs_v1"), "language": tongue, "sft_ready": (tongue == "zh") & technical, "org_id": F.lit(org), "job_id": at(c, "id"), "mode": F.lit(mode), "site_id": F.lit(site).cast("int"),
         **{k: F.get_json_object(c, f"$.{p}") for k, p in kept.items()}, "source_url": F.lit(url),
     }
     page = f"https://app.mokahr.com/{'social' if mode == 'social' else 'campus'}-recruitment/{org}{'' if site is None else f'/{site}'}#/"
-    return raw_rows(df, source=F.lit(source), url=F.lit(page), crawl_time=crawl_time, meta=meta, id=F.concat(F.lit(f"moka_{org}_{mode}_"), at(c, "id")), job_title=at(c, "title"), company=F.lit(company), location=places(c), salary=pay, raw_text=text)
+    return raw_rows(
+        df, source=F.lit(source), url=F.lit(page), crawl_time=crawl_time, meta=meta, id=F.concat(F.lit(f"moka_{org}_{mode}_"), at(c, "id")),
+        job_title=at(c, "title"), company=F.lit(company), location=places(c), salary=pay, raw_text=text
+    )
 
 
 #: How a portal's list and detail pages are written, and places that it names in Latin letters.
@@ -344,13 +454,23 @@ def list_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """(href, job_id, title, category, location, publish_date) of the rows of list pages."""
     df = pages.withColumn("_page", unescaped(F.col(html)))
     each = [F.regexp_extract_all("_page", F.lit(LIST_ROW), F.lit(g)) for g in range(1, 7)]
-    r = df.select(F.explode(F.arrays_zip(*(c.alias(n) for c, n in zip(each, ("href", "job_id", "title", "category", "location", "publish_date"), strict=True)))).alias("r")).select("r.*")
-    return r.select("href", "job_id", _plain(F.col("title")).alias("title"), _plain(F.col("category")).alias("category"), known_place(_plain(F.col("location"))).alias("location"), _plain(F.col("publish_date")).alias("publish_date"))
+    r = df.select(
+        F.explode(
+            F.arrays_zip(*(c.alias(n) for c, n in zip(each, ("href", "job_id", "title", "category", "location", "publish_date"), strict=True)))
+        ).alias("r")
+    ).select("r.*")
+    return r.select(
+        "href", "job_id", _plain(F.col("title")).alias("title"), _plain(F.col("category")).alias("category"),
+        known_place(_plain(F.col("location"))).alias("location"), _plain(F.col("publish_date")).alias("publish_date")
+    )
 
 
 def detail_fields(page: Column) -> Column:
     """A map from the labels of a detail page to their values; of labels that repeat the last counts."""
-    both = F.arrays_zip(F.regexp_extract_all(text_or_empty(page), F.lit(DETAIL_FIELD), F.lit(1)).alias("k"), F.regexp_extract_all(text_or_empty(page), F.lit(DETAIL_FIELD), F.lit(2)).alias("v"))
+    both = F.arrays_zip(
+        F.regexp_extract_all(text_or_empty(page), F.lit(DETAIL_FIELD), F.lit(1)).alias("k"),
+        F.regexp_extract_all(text_or_empty(page), F.lit(DETAIL_FIELD), F.lit(2)).alias("v")
+    )
     clean = F.filter(F.transform(both, lambda x: F.struct(_plain(x["k"]).alias("k"), _plain(x["v"]).alias("v"))), lambda x: (x["k"] != "") & (x["v"] != ""))
     last = lambda xs: F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, i + 2, F.size(xs) + 1), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(F.get(F.transform(F.array(clean), last), 0))
@@ -362,12 +482,18 @@ def detail_rows(rows: DataFrame, crawl_time: str, list_path: str) -> DataFrame:
     name, category = F.coalesce(F.nullif(f("职位名称"), F.lit("")), "title"), F.coalesce(F.nullif(f("职位类别"), F.lit("")), "category")
     place = known_place(F.coalesce(F.nullif(f("工作地点"), F.lit("")), F.col("location")))
     does, needs = f("工作职责", "岗位职责"), f("工作要求", "任职要求", "任职资格")
-    text = labelled(("岗位名称", name), "公司名称：小米", ("工作地点", place), ("职位类别", category), ("招聘渠道", f("招聘渠道")), ("发布日期", F.col("publish_date")), "岗位职责：", does, "任职要求：", needs)
+    text = labelled(
+        ("岗位名称", name), "公司名称：小米", ("工作地点", place), ("职位类别", category), ("招聘渠道", f("招聘渠道")), ("发布日期", F.col("publish_date")), "岗位职责：", does, "任职要求：",
+        needs
+    )
     meta = {
         "language": F.lit("zh"), "sft_ready": any_part(F.concat_ws("\n", name, text), DETAIL_WORDS), "job_id": F.col("job_id"), "category": category, "publish_date": F.col("publish_date"),
         "channel": f("招聘渠道"), "duties": does, "requirements": needs, "list_path": F.lit(list_path), "detail_fields": F.col("fields"),
     }
-    return raw_rows(rows, source=F.lit("hr.xiaomi.com"), url=F.col("href"), crawl_time=crawl_time, meta=meta, id=F.concat(F.lit("xiaomi_"), "job_id"), job_title=name, company=F.lit("小米"), location=place, salary=F.lit(""), raw_text=text)
+    return raw_rows(
+        rows, source=F.lit("hr.xiaomi.com"), url=F.col("href"), crawl_time=crawl_time, meta=meta, id=F.concat(F.lit("xiaomi_"), "job_id"),
+        job_title=name, company=F.lit("小米"), location=place, salary=F.lit(""), raw_text=text
+    )
 
 
 #: Signs of pages that hold no advert, and of those that do.
@@ -422,10 +548,17 @@ def resume_rows(df: DataFrame, source: dict, index: str = "index") -> DataFrame:
     target = _mapped(df, m, "target_job")
     label = F.struct(
         (value(target.cast("string")) if target is not None else F.lit("")).alias("目标岗位"),
-        *(_listed(df, m, k).alias(n) for k, n in (("education", "教育背景"), ("skills", "核心技能"), ("internships", "实习经历"), ("projects", "项目经历"), ("strengths", "优势标签"))),
+        *(
+            _listed(df, m, k).alias(n) for k,
+            n in (("education", "教育背景"), ("skills", "核心技能"), ("internships", "实习经历"), ("projects", "项目经历"), ("strengths", "优势标签"))
+        ),
     )
     meta = _origin(source, "resume_parse_rows", language="zh", source_path="", license="", license_status="unconfirmed", intended_usage="audit_only")
-    out = df.select(_numbered(df, source, index, text).alias("id"), F.lit("resume_parse").alias("task"), F.lit(source.get("source_type") or "public_text").alias("source_type"), text.alias("text"), label.alias("label"), F.struct(*(c.alias(k) for k, c in meta.items())).alias("meta"))
+    out = df.select(
+        _numbered(df, source, index, text).alias("id"), F.lit("resume_parse").alias("task"),
+        F.lit(source.get("source_type") or "public_text").alias("source_type"), text.alias("text"), label.alias("label"),
+        F.struct(*(c.alias(k) for k, c in meta.items())).alias("meta")
+    )
     return out.filter("text <> ''")
 
 
@@ -436,8 +569,15 @@ def resume_tag_rows(df: DataFrame, source: dict, index: str = "index") -> DataFr
     tags = _mapped(df, m, "tags")
     tags = F.coalesce(tags.cast("array<string>"), F.array().cast("array<string>")) if tags is not None else F.array().cast("array<string>")
     text = F.array_join(tokens, "")
-    meta = _origin(source, "resume_ner_rows", language="zh", tag_scheme="BIO", source_path="", license="", license_status="unconfirmed", intended_usage="audit_only")
-    out = df.select(_numbered(df, source, index, text).alias("id"), F.lit("resume_ner").alias("task"), F.lit(source.get("source_type") or "public_text").alias("source_type"), text.alias("text"), tokens.alias("tokens"), tag_names(tags, source.get("tag_names") or {}).alias("ner_tags"), F.struct(*(c.alias(k) for k, c in meta.items())).alias("meta"))
+    meta = _origin(
+        source, "resume_ner_rows", language="zh", tag_scheme="BIO", source_path="", license="", license_status="unconfirmed",
+        intended_usage="audit_only"
+    )
+    out = df.select(
+        _numbered(df, source, index, text).alias("id"), F.lit("resume_ner").alias("task"),
+        F.lit(source.get("source_type") or "public_text").alias("source_type"), text.alias("text"), tokens.alias("tokens"),
+        tag_names(tags, source.get("tag_names") or {}).alias("ner_tags"), F.struct(*(c.alias(k) for k, c in meta.items())).alias("meta")
+    )
     return out.filter(F.size("tokens") > 0)
 
 
@@ -456,8 +596,15 @@ def pair_rows(df: DataFrame, source: dict, index: str = "index") -> DataFrame:
     of = lambda k: _mapped(df, m, k).cast("string") if _mapped(df, m, k) is not None else F.lit("")
     left, right = value(of("jd_text")), value(of("resume_text"))
     label = F.struct(of("label").alias("raw_label"), of("score").alias("raw_score"))
-    meta = _origin(source, "match_pair_rows", language="unknown", source_path="", source_url="", source_revision="", provenance_status="undocumented", license_status="unconfirmed", intended_usage="audit_only")
-    out = df.select(_numbered(df, source, index, left, right).alias("id"), F.lit("match").alias("task"), F.lit(source.get("source_type") or "public_pair").alias("source_type"), left.alias("jd_text"), right.alias("resume_text"), label.alias("label"), F.struct(*(c.alias(k) for k, c in meta.items())).alias("meta"))
+    meta = _origin(
+        source, "match_pair_rows", language="unknown", source_path="", source_url="", source_revision="", provenance_status="undocumented",
+        license_status="unconfirmed", intended_usage="audit_only"
+    )
+    out = df.select(
+        _numbered(df, source, index, left, right).alias("id"), F.lit("match").alias("task"),
+        F.lit(source.get("source_type") or "public_pair").alias("source_type"), left.alias("jd_text"), right.alias("resume_text"),
+        label.alias("label"), F.struct(*(c.alias(k) for k, c in meta.items())).alias("meta")
+    )
     return out.filter("jd_text <> '' and resume_text <> ''")
 
 
@@ -472,13 +619,19 @@ def convert_rows(df: DataFrame, source: dict, index: str = "index") -> DataFrame
 
 
 #: Headings of written résumés; a heading is a short line that holds one of the words.
-RESUME_HEADINGS = {"education": ("教育背景", "教育经历"), "skills": ("专业技能", "核心技能", "技能"), "internships": ("实习经历", "工作经历"), "projects": ("项目经验", "项目经历"), "strengths": ("其他亮点", "优势", "自我评价")}
+RESUME_HEADINGS = {
+    "education": ("教育背景", "教育经历"), "skills": ("专业技能", "核心技能", "技能"), "internships": ("实习经历", "工作经历"), "projects": ("项目经验", "项目经历"),
+    "strengths": ("其他亮点", "优势", "自我评价")
+}
 HEADING_CHARS, SECTION_LINES = 24, 12
 
 
 def written_sections(text: Column, headings: dict[str, tuple[str, ...]] = RESUME_HEADINGS) -> Column:
     """A struct of the first lines below each heading of a marked-up résumé."""
-    plain = F.filter(F.transform(lines(text), lambda x: strip(F.regexp_replace(F.regexp_replace(x, r"(?U)^[\s#>*-]+", ""), r"\*\*", ""))), lambda x: (x != "") & (x != "---"))
+    plain = F.filter(
+        F.transform(lines(text), lambda x: strip(F.regexp_replace(F.regexp_replace(x, r"(?U)^[\s#>*-]+", ""), r"\*\*", ""))),
+        lambda x: (x != "") & (x != "---")
+    )
 
     def heading(x: Column) -> Column:
         out = F.lit("")
@@ -488,8 +641,28 @@ def written_sections(text: Column, headings: dict[str, tuple[str, ...]] = RESUME
 
     marked = F.transform(plain, lambda x: F.concat(heading(x), F.lit("\x01"), x))
     # A heading cuts the text; what follows it up to the next belongs to it.
-    cut = F.slice(F.split(F.array_join(F.transform(marked, lambda m: F.when(m.startswith("\x01"), m).otherwise(F.concat(F.lit("\x02"), F.substring_index(m, "\x01", 1)))), "\n"), "\x02"), F.lit(2), F.lit(1 << 30))
-    of = lambda name: F.slice(F.flatten(F.transform(F.filter(cut, lambda p: F.substring_index(p, "\n", 1) == name), lambda p: F.filter(F.transform(F.slice(F.split(p, "\n"), F.lit(2), F.lit(1 << 30)), lambda x: F.regexp_replace(x, "\x01", "")), lambda x: F.length(x) >= 2))), 1, SECTION_LINES)
+    cut = F.slice(
+        F.split(
+            F.array_join(
+                F.transform(marked, lambda m: F.when(m.startswith("\x01"), m).otherwise(F.concat(F.lit("\x02"), F.substring_index(m, "\x01", 1)))),
+                "\n"
+            ),
+            "\x02"
+        ),
+        F.lit(2), F.lit(1 << 30)
+    )
+    of = lambda name: F.slice(
+        F.flatten(
+            F.transform(
+                F.filter(cut, lambda p: F.substring_index(p, "\n", 1) == name),
+                lambda p: F.filter(
+                    F.transform(F.slice(F.split(p, "\n"), F.lit(2), F.lit(1 << 30)), lambda x: F.regexp_replace(x, "\x01", "")),
+                    lambda x: F.length(x) >= 2
+                )
+            )
+        ),
+        1, SECTION_LINES
+    )
     return F.struct(*(of(n).alias(n) for n in headings))
 
 
@@ -497,5 +670,14 @@ def written_resumes(df: DataFrame, source_name: str) -> DataFrame:
     """(text, label, meta) of marked-up résumés (content, metadata.position); those without content are dropped."""
     text = strip(text_or_empty(F.col("content")))
     found = df.filter(text != "").withColumn("_s", written_sections(text))
-    label = F.struct(strip(text_or_empty(F.col("metadata.position"))).alias("目标岗位"), *(F.col(f"_s.{k}").alias(n) for k, n in (("education", "教育背景"), ("skills", "核心技能"), ("internships", "实习经历"), ("projects", "项目经历"), ("strengths", "优势标签"))))
-    return found.select(text.alias("text"), label.alias("label"), F.struct(F.lit(source_name).alias("source_name"), F.lit("public_synthetic_resume").alias("source_kind")).alias("meta"))
+    label = F.struct(
+        strip(text_or_empty(F.col("metadata.position"))).alias("目标岗位"),
+        *(
+            F.col(f"_s.{k}").alias(n) for k,
+            n in (("education", "教育背景"), ("skills", "核心技能"), ("internships", "实习经历"), ("projects", "项目经历"), ("strengths", "优势标签"))
+        )
+    )
+    return found.select(
+        text.alias("text"), label.alias("label"),
+        F.struct(F.lit(source_name).alias("source_name"), F.lit("public_synthetic_resume").alias("source_kind")).alias("meta")
+    )

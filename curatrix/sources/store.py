@@ -54,7 +54,9 @@ def sources(spark: SparkSession, manifest: list[dict]) -> DataFrame:
         rows = read_rows(spark, m["local_path"])
         if m.get("mapping"):
             rows = rows.select(*[F.col(path).alias(name) for name, path in m["mapping"].items()])
-        rows = rows.withColumns({k: F.lit(m.get(k)) for k in ("license_status", "intended_usage", "provenance_status", "training_eligible")}).withColumn("source_name", F.lit(m["name"]))
+        rows = rows.withColumns(
+            {k: F.lit(m.get(k)) for k in ("license_status", "intended_usage", "provenance_status", "training_eligible")}
+        ).withColumn("source_name", F.lit(m["name"]))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError("the manifest has no enabled source")

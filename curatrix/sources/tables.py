@@ -55,7 +55,9 @@ class Tables:
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Add rows by id; those there are replaced. Structs, maps and lists are kept as JSON, columns named meta, sections,
         labels and messages under their names with ``_json``."""
-        packed = rows.select(*((F.to_json(F.col(c)) if not rows.schema[c].dataType.simpleString().startswith("string") and rows.schema[c].dataType.simpleString().startswith(("struct", "array", "map")) else F.col(c).cast("string")).alias(c) for c in rows.columns))
+        packed = rows.select(
+            *((F.to_json(F.col(c)) if not rows.schema[c].dataType.simpleString().startswith("string") and rows.schema[c].dataType.simpleString().startswith(("struct", "array", "map")) else F.col(c).cast("string")).alias(c) for c in rows.columns)
+        )
         for c in ("meta", "sections", "labels", "messages"):
             if c in packed.columns:
                 packed = packed.withColumnRenamed(c, f"{c}_json")

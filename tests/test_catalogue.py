@@ -63,7 +63,9 @@ def test_greedy_dedup_keeps_bucket_borders(spark):
 def test_jaccard_pairs_match_brute_force(spark):
     base = "abcdefghijklmnopqrstuvwxyz0123456789" * 4
     texts = [base, base + "q", base[:80] + "zzzz" + base[84:], "short", "", "0" * 40]
-    got = dedup.jaccard_pairs(spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)], "doc_id long, bucket string, t string"), "doc_id", "bucket", "t", 0.8)
+    got = dedup.jaccard_pairs(
+        spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)], "doc_id long, bucket string, t string"), "doc_id", "bucket", "t", 0.8
+    )
     want = set()
     for i, x in enumerate(texts):
         for j in range(i):

@@ -21,7 +21,10 @@ def test_experience(spark):
         "任职资格：1-2024年10月1日至2025年9月30日期间毕业，本科及以上学历": "", "经验要求：3年以上，其他": "3年以上", "经验不限": "经验不限", "": "", "1-3年经验优先": "1-3年经验",
     }
     assert values(spark, fields.experience, *((k,) for k in cases)) == list(cases.values())
-    metas = {'{"experience": "不限"}': "经验不限", '{"experience": "", "work_year": "3-5年"}': "3-5年", '{"experience": "abc", "workYear": "5年及以上"}': "5年及以上", "{}": "", "x": ""}
+    metas = {
+        '{"experience": "不限"}': "经验不限", '{"experience": "", "work_year": "3-5年"}': "3-5年", '{"experience": "abc", "workYear": "5年及以上"}': "5年及以上",
+        "{}": "", "x": ""
+    }
     assert values(spark, fields.experience_of_meta, *((k,) for k in metas)) == list(metas.values())
 
 
@@ -87,7 +90,9 @@ def test_english_adverts(spark):
     got = values(spark, fields.english_direction, ("Frontend Developer", "React work"), ("Data Engineer", "etl with android"), ("Clerk", "files"))
     assert got == ["前端开发", "", ""]
     assert values(spark, fields.english_degree, ("A PhD or master's degree",), ("a doctorate, else a Bachelor's degree",), ("none",)) == ["博士", "本科", ""]
-    assert values(spark, fields.english_experience, ("5+ years  of experience; x",), ("minimum 3 years working. y",), ("0",)) == ["5+ years of experience", "minimum 3 years working", ""]
+    assert values(
+        spark, fields.english_experience, ("5+ years  of experience; x",), ("minimum 3 years working. y",), ("0",)
+    ) == ["5+ years of experience", "minimum 3 years working", ""]
 
 
 def test_lists(spark):
@@ -108,7 +113,10 @@ def clean(spark):
         ("c", "x.com", "后端开发工程师", "", "", "", BODY, '{"language": "zh"}'),
         ("d", "zhaopin.jd.com", "后端开发工程师", "", "", "", "短文本", '{"language": "zh"}'),
         ("e", "zhaopin.jd.com", "后端开发工程师", "", "", "", BODY, '{"language": "en"}'),
-        ("f", "hf_job_educational_train_2026_05_17", "python开发工程师", "", "", "", BODY, '{"language": "zh", "training_eligible": true, "intended_usage": "weak_supervision_only"}'),
+        (
+            "f", "hf_job_educational_train_2026_05_17", "python开发工程师", "", "", "", BODY,
+            '{"language": "zh", "training_eligible": true, "intended_usage": "weak_supervision_only"}'
+        ),
         ("g", "zhaopin.jd.com", "后端开发工程师", None, None, None, None, "no json"),
         ("h", "zhaopin.jd.com", "后端开发工程师", "", "", "", BODY, '{"language": "zh", "sft_ready": false}'),
     ]
@@ -124,12 +132,19 @@ def test_normalized_adverts(clean):
 
 
 def test_tiers(clean):
-    got = {r.id: (r.s, r.w, r.why) for r in clean.select("id", tiers.is_strict().alias("s"), tiers.is_weak().alias("w"), tiers.rejection().alias("why")).collect()}
+    got = {
+        r.id: (r.s, r.w, r.why) for r in clean.select("id", tiers.is_strict().alias("s"), tiers.is_weak().alias("w"), tiers.rejection().alias("why")).collect()
+    }
     assert got == {
         "a": (True, False, "accepted"), "b": (False, False, "excluded_title"), "c": (False, False, "source_not_high_trust"), "d": (False, False, "missing_sections"),
         "e": (False, False, "language_not_zh"), "f": (False, True, "source_not_high_trust"), "g": (False, False, "language_not_zh"), "h": (False, False, "sft_not_ready"),
     }
-    more = {r.id: (r.p, r.b, r.q, r.u, r.t) for r in clean.select("id", tiers.is_strict_plus().alias("p"), tiers.is_bootstrap().alias("b"), tiers.is_quality_weak().alias("q"), tiers.is_weak_structured().alias("u"), tiers.training_allowed().alias("t")).collect()}
+    more = {
+        r.id: (r.p, r.b, r.q, r.u, r.t) for r in clean.select(
+            "id", tiers.is_strict_plus().alias("p"), tiers.is_bootstrap().alias("b"), tiers.is_quality_weak().alias("q"),
+            tiers.is_weak_structured().alias("u"), tiers.training_allowed().alias("t")
+        ).collect()
+    }
     assert more["a"] == (True, True, True, False, True) and more["d"] == (False, False, False, False, True) and more["f"] == (True, True, True, True, True)
     samples = tiers.rejection_samples(clean.select("id", "source", "job_title", tiers.rejection().alias("reason")), 1).collect()
     assert len(samples) == len({r.reason for r in samples}) == 5
@@ -138,11 +153,20 @@ def test_tiers(clean):
 
 
 def test_repairs(spark, clean):
-    assert values(spark, lambda t: tiers.direction_of_title(t, F.lit("x")), ("训练平台研发",), ("数据安全岗",), ("web前端",), ("文员",), ("C# 岗",)) == ["AI Infra", "安全工程", "前端开发", "x", "后端开发"]
+    assert values(
+        spark, lambda t: tiers.direction_of_title(t, F.lit("x")), ("训练平台研发",), ("数据安全岗",), ("web前端",), ("文员",), ("C# 岗",)
+    ) == ["AI Infra", "安全工程", "前端开发", "x", "后端开发"]
     both = F.struct(F.lit("写代码；任职要求：本科").alias("responsibilities"), F.lit("会写").alias("requirements"), F.lit("").alias("bonus"))
     assert values(spark, lambda _: tiers.separated(both), ("",))[0].asDict() == {"responsibilities": "写代码", "requirements": "会写\n任职要求：本科", "bonus": ""}
-    short = clean.filter("id = 'd'").withColumn("clean_text", F.lit("岗位职责：负责后端开发，本科及以上学历，熟悉 Python" + "，保障系统稳定" * 16)).withColumn("sections", F.struct(F.lit("负责").alias("responsibilities"), F.lit("").alias("requirements"), F.lit("").alias("bonus")))
-    row = adverts.repairable_pool(short.withColumn("labels", F.struct(F.lit("").alias("direction"), F.array(F.lit("Python")).alias("skills"), F.lit("").alias("experience"), F.lit("本科").alias("education")))).first()
+    short = clean.filter("id = 'd'").withColumn("clean_text", F.lit("岗位职责：负责后端开发，本科及以上学历，熟悉 Python" + "，保障系统稳定" * 16)).withColumn(
+        "sections", F.struct(F.lit("负责").alias("responsibilities"), F.lit("").alias("requirements"), F.lit("").alias("bonus"))
+    )
+    row = adverts.repairable_pool(
+        short.withColumn(
+            "labels",
+            F.struct(F.lit("").alias("direction"), F.array(F.lit("Python")).alias("skills"), F.lit("").alias("experience"), F.lit("本科").alias("education"))
+        )
+    ).first()
     assert json.loads(row.meta)["repair_reason"] == "missing_direction" and json.loads(row.meta)["repaired_direction"] == "后端开发"
 
 
@@ -150,12 +174,24 @@ def test_risks(spark):
     good = json.dumps({"核心职责": ["a", "b"], "必备技能": ["x"], "学历要求": "本科", "经验要求": "3年"}, ensure_ascii=False)
     cases = [
         ("{", "", "", "", ["invalid_assistant_json"], 5), (good, "岗位名称：工程师", "strict", "x", [], 0),
-        (json.dumps({"核心职责": ["任职要求" + "x" * 500]}, ensure_ascii=False), "岗位名称：讲师\n", "quality_weak", "hf_x", ["quality_weak_tier", "weak_public_source", "suspicious_title_keyword", "empty_skills", "empty_education", "empty_experience", "responsibility_contains_requirement_marker", "oversized_single_responsibility", "quality_weak_missing_core_field"], 16),
+        (
+            json.dumps({"核心职责": ["任职要求" + "x" * 500]}, ensure_ascii=False), "岗位名称：讲师\n", "quality_weak", "hf_x",
+            [
+                "quality_weak_tier", "weak_public_source", "suspicious_title_keyword", "empty_skills", "empty_education", "empty_experience",
+                "responsibility_contains_requirement_marker", "oversized_single_responsibility", "quality_weak_missing_core_field"
+            ],
+            16
+        ),
     ]
-    got = values(spark, lambda a, p, t, s: F.struct(tiers.risk_reasons(a, p, t, s).alias("r"), tiers.risk_score(tiers.risk_reasons(a, p, t, s)).alias("n")), *(c[:4] for c in cases))
+    got = values(
+        spark, lambda a, p, t, s: F.struct(tiers.risk_reasons(a, p, t, s).alias("r"), tiers.risk_score(tiers.risk_reasons(a, p, t, s)).alias("n")),
+        *(c[:4] for c in cases)
+    )
     assert [(g.r, g.n) for g in got] == [(c[4], c[5]) for c in cases]
     assert values(spark, lambda t: tiers.quality_score(t, F.lit(3)), ("strict",), ("?",), ("bootstrap",)) == [70, 20, 30]
-    assert values(spark, tiers.sample_source, ("m", "x"), ("", "hf_job_educational_train_9"), (None, "jd_1_jd_parse")) == ["m", "hf_job_educational_train_2026_05_17", "jd"]
+    assert values(
+        spark, tiers.sample_source, ("m", "x"), ("", "hf_job_educational_train_9"), (None, "jd_1_jd_parse")
+    ) == ["m", "hf_job_educational_train_2026_05_17", "jd"]
 
 
 def test_samples_and_pools(spark, clean):
@@ -173,7 +209,10 @@ def test_samples_and_pools(spark, clean):
 
 
 def test_selection_by_tiers(spark):
-    rows = [("a", 0, 0, "", False), ("b", 1, 1, "3年", True), ("b", 2, 1, "3年", True), ("c_jd_parse", 1, 0, "", False), ("d", 1, 9, "", False), ("e", 2, 0, "", False), ("f", 2, 2, "1年", True), ("", 0, 0, "", False)]
+    rows = [
+        ("a", 0, 0, "", False), ("b", 1, 1, "3年", True), ("b", 2, 1, "3年", True), ("c_jd_parse", 1, 0, "", False), ("d", 1, 9, "", False),
+        ("e", 2, 0, "", False), ("f", 2, 2, "1年", True), ("", 0, 0, "", False)
+    ]
     df = spark.createDataFrame(rows, "id string, stage int, risk int, experience string, weak boolean")
     out = lambda *a, **k: [r.id for r in tiers.select_tiers(df, *a, **k).collect()]
     assert out(10) == ["a", "b", "c_jd_parse", "f", "e"] and out(10, max_weak_rate=0.1) == ["a", "b", "c_jd_parse", "e"] and out(2) == ["a", "c_jd_parse"]

@@ -18,7 +18,10 @@ def docx(*paragraphs):
     body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        z.writestr(
+            "word/document.xml",
+            f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'
+        )
     return data.getvalue()
 
 
@@ -51,7 +54,11 @@ def test_resume_files(spark, tmp_path):
 
 
 def test_uploads(spark):
-    cases = [("a.pdf", b"%PDF-1", None), ("a.pdf", b"PK", "content_does_not_match_type"), ("a.docx", b"PK\x03\x04x", None), ("a.txt", "é".encode(), None), ("a.txt", b"\xff\xfe", "text_is_not_utf8"), ("a.exe", b"x", "unsupported_file_type"), ("a.txt", b"", "empty_file"), ("a.txt", b"x" * 99, "file_too_large"), ("a.webp", b"RIFF1234WEBP", None)]
+    cases = [
+        ("a.pdf", b"%PDF-1", None), ("a.pdf", b"PK", "content_does_not_match_type"), ("a.docx", b"PK\x03\x04x", None), ("a.txt", "é".encode(), None),
+        ("a.txt", b"\xff\xfe", "text_is_not_utf8"), ("a.exe", b"x", "unsupported_file_type"), ("a.txt", b"", "empty_file"),
+        ("a.txt", b"x" * 99, "file_too_large"), ("a.webp", b"RIFF1234WEBP", None)
+    ]
     df = spark.createDataFrame([(i, n, c) for i, (n, c, _) in enumerate(cases)], "i int, n string, c binary")
     got = [r.e for r in df.select("i", files.upload_error(F.col("n"), F.col("c"), 50).alias("e")).orderBy("i").collect()]
     assert got == [e for *_, e in cases]
@@ -97,7 +104,9 @@ def test_manifests(spark, tmp_path):
 
 
 def test_multitask_and_run_manifests(spark, tmp_path):
-    rows = lambda t, n: spark.createDataFrame([(f"{t}{i}", f"{t}g{i // 2}", f"q{t}{i}", "{}") for i in range(n)], "id string, source_group string, q string, meta string").select("id", "source_group", messages(F.col("q"), F.lit("a")).alias("messages"), "meta")
+    rows = lambda t, n: spark.createDataFrame(
+        [(f"{t}{i}", f"{t}g{i // 2}", f"q{t}{i}", "{}") for i in range(n)], "id string, source_group string, q string, meta string"
+    ).select("id", "source_group", messages(F.col("q"), F.lit("a")).alias("messages"), "meta")
     out = manifests.multitask(spark, {"jd": rows("j", 10), "match": rows("m", 4)}, {"jd": 5, "match": 9}, "train")
     got = out.collect()
     assert len(got) == 9 and len({r.source_group for r in got if r.id[0] == "j"}) == 5 and out.select(F.get_json_object("meta", "$.dataset_task")).distinct().count() == 2

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from curatrix.operators import pairing
 
-VOCABULARY = {"Python": ["Py thon"], "FastAPI": [], "RAG": ["检索增强问答"], "MySQL": ["My SOL"], "Redis": [], "Java": [], "C": ["C语言"], "C++": ["C + +"], "Docker": [], "Kubernetes": ["Kubernet es"], "PyTorch": []}
+VOCABULARY = {
+    "Python": ["Py thon"], "FastAPI": [], "RAG": ["检索增强问答"], "MySQL": ["My SOL"], "Redis": [], "Java": [], "C": ["C语言"], "C++": ["C + +"],
+    "Docker": [], "Kubernetes": ["Kubernet es"], "PyTorch": []
+}
 SCHEMA = """id int, advert struct<direction:string, skills:array<string>, education:string, experience:string, requirements:array<string>, responsibilities:array<string>, text:string>,
 resume struct<target:string, education:array<string>, skills:array<string>, projects:array<string>, internships:array<string>, text:string>"""
 
@@ -49,7 +52,10 @@ def test_skill_evidence(spark):
 
 STRONG = (
     ("AI应用开发", ["Python", "FastAPI", "RAG"], "本科及以上", "3年以上开发经验", None, None, None),
-    ("AI应用开发工程师", ["本科，计算机科学与技术"], ["Python", "FastAPI", "RAG", "MySQL"], ["负责企业知识库问答系统开发，完成 RAG 链路、FastAPI 接口和 Python 服务开发"], ["3年后端与 AI 应用开发经验"], "本科，3年开发经验，技能包括 Python / FastAPI / RAG"),
+    (
+        "AI应用开发工程师", ["本科，计算机科学与技术"], ["Python", "FastAPI", "RAG", "MySQL"], ["负责企业知识库问答系统开发，完成 RAG 链路、FastAPI 接口和 Python 服务开发"], ["3年后端与 AI 应用开发经验"],
+        "本科，3年开发经验，技能包括 Python / FastAPI / RAG"
+    ),
 )
 GAP = (
     ("后端开发", ["Java", "MySQL", "Redis"], "本科及以上", "5年以上开发经验", None, None, None),
@@ -86,12 +92,21 @@ def test_pair_scores(spark):
 def test_directions(spark, left, right, around, shared, want):
     df = spark.createDataFrame([(left, right, around, shared)], "l string, r string, c string, s array<string>")
     c = F.col("c")
-    assert df.select(pairing.direction_relation(pairing.direction_leaf(F.col("l"), c), pairing.direction_leaf(F.col("r"), c), c, c, F.col("s"))).first()[0] == want
+    assert df.select(
+        pairing.direction_relation(pairing.direction_leaf(F.col("l"), c), pairing.direction_leaf(F.col("r"), c), c, c, F.col("s"))
+    ).first()[0] == want
 
 
 def test_explanations(spark):
-    df = spark.createDataFrame([(False, True, ["Java"], ["Redis"], "高匹配", "方向一致，熟悉 Redis 和 Docker", "学历条件有差距，缺失 Java，暂无明显硬性短板", "匹配度有限")], "no boolean, yes boolean, has array<string>, lacks array<string>, level string, s string, g string, c string")
+    df = spark.createDataFrame(
+        [(False, True, ["Java"], ["Redis"], "高匹配", "方向一致，熟悉 Redis 和 Docker", "学历条件有差距，缺失 Java，暂无明显硬性短板", "匹配度有限")],
+        "no boolean, yes boolean, has array<string>, lacks array<string>, level string, s string, g string, c string"
+    )
     codes = pairing.contradictions(F.col("no"), F.col("yes"), F.col("yes"), F.col("lacks"), F.col("level"), F.col("s"), F.col("g"), F.col("c"))
-    assert df.select(codes).first()[0] == ["岗位方向匹配:false_but_strength_positive", "学历匹配:true_but_gap_negative", "missing_skills_but_no_hard_gap", "high_level_but_negative_conclusion"]
+    assert df.select(codes).first()[0] == [
+        "岗位方向匹配:false_but_strength_positive", "学历匹配:true_but_gap_negative", "missing_skills_but_no_hard_gap", "high_level_but_negative_conclusion"
+    ]
     claims = pairing.ungrounded(VOCABULARY, F.col("has"), F.col("lacks"), F.col("yes"), F.col("yes"), F.col("s"), F.col("g"), F.lit(None).cast("string"))
-    assert df.select(claims).first()[0] == ["匹配优势:claims_missing_skill_as_strength:Redis", "匹配优势:unsupported_skill:Docker", "主要短板:claims_matched_skill_as_missing:Java"]
+    assert df.select(claims).first()[0] == [
+        "匹配优势:claims_missing_skill_as_strength:Redis", "匹配优势:unsupported_skill:Docker", "主要短板:claims_matched_skill_as_missing:Java"
+    ]

@@ -36,7 +36,9 @@ def test_ways_to_make_answers_worse(spark):
 
 
 def test_bootstrap_preferences(spark):
-    rows = spark.createDataFrame([(f"r{i}", "jd_parse", dumped(ADVERT)) for i in range(20)] + [("m", None, dumped({"匹配结论": "c"}))], "id string, task_type string, a string")
+    rows = spark.createDataFrame(
+        [(f"r{i}", "jd_parse", dumped(ADVERT)) for i in range(20)] + [("m", None, dumped({"匹配结论": "c"}))], "id string, task_type string, a string"
+    )
     rows = rows.select("id", "task_type", messages(F.lit("问"), F.col("a")).alias("messages"))
     got = {r.source_id: r for r in preferences.bootstrap_preferences(rows).collect()}
     names = list(preferences.WORSE["jd_parse"])
@@ -62,14 +64,23 @@ def test_explanations_and_match_samples(spark):
 
 def test_mismatch_preferences_and_audit(spark):
     same, other = dumped(ADVERT), dumped(ADVERT | {"岗位方向": "前端开发"})
-    rows = [("a", "jd_parse", "t", same, other, ""), ("b", "jd_parse", "t", same, same, ""), ("c", "jd_parse", "t", same, None, " raw "), ("d", "match", "t", dumped({"匹配等级": "高匹配"}), None, "")]
-    df = spark.createDataFrame(rows, "id string, task string, text string, label string, parsed string, prediction string").withColumn("rule_result", F.lit(dumped({"匹配等级": "低匹配"})))
+    rows = [
+        ("a", "jd_parse", "t", same, other, ""), ("b", "jd_parse", "t", same, same, ""), ("c", "jd_parse", "t", same, None, " raw "),
+        ("d", "match", "t", dumped({"匹配等级": "高匹配"}), None, "")
+    ]
+    df = spark.createDataFrame(
+        rows, "id string, task string, text string, label string, parsed string, prediction string"
+    ).withColumn("rule_result", F.lit(dumped({"匹配等级": "低匹配"})))
     got = {r.id: r for r in preferences.mismatch_preferences(df).collect()}
     assert set(got) == {"a", "c", "d"} and got["c"].rejected[0].content == "raw" and got["d"].meta.rejection_strategy == "match_analysis_mismatch" and got["a"].prompt[1].content.endswith("JD：\nt")
     prefs = preferences.mismatch_preferences(df)
-    both = prefs.withColumns({"split": F.lit("train"), "source_id": F.col("id")}).unionByName(prefs.filter("id = 'a'").withColumns({"split": F.lit("valid"), "source_id": F.lit("h")}))
+    both = prefs.withColumns({"split": F.lit("train"), "source_id": F.col("id")}).unionByName(
+        prefs.filter("id = 'a'").withColumns({"split": F.lit("valid"), "source_id": F.lit("h")})
+    )
     one = preferences.audit(both, spark.createDataFrame([("h",)], "id string")).first()
-    assert (one.train, one.valid, one.invalid_rows, one.duplicate_ids, one.chosen_equals_rejected, one.holdout_overlap, one.cross_split_prompt_hashes) == (3, 1, 1, 1, 0, 1, 1)
+    assert (
+        one.train, one.valid, one.invalid_rows, one.duplicate_ids, one.chosen_equals_rejected, one.holdout_overlap, one.cross_split_prompt_hashes
+    ) == (3, 1, 1, 1, 0, 1, 1)
     assert not one.format_ready and one.preference_origin == "non_synthetic_or_unknown"
 
 
@@ -101,17 +112,28 @@ def test_normalized_resumes(spark):
 
 def test_pools_of_resumes(spark):
     good = json.dumps({"license_status": "confirmed", "intended_usage": "training"})
-    public = resume_rows(spark, 2).withColumns({"task": F.lit("resume_parse"), "source_type": F.lit("public_text"), "meta": F.when(F.col("id") == "r0", good).otherwise("{}")})
+    public = resume_rows(spark, 2).withColumns(
+        {"task": F.lit("resume_parse"), "source_type": F.lit("public_text"), "meta": F.when(F.col("id") == "r0", good).otherwise("{}")}
+    )
     own = public.filter("id = 'r1'").withColumn("id", F.lit("own"))
     assert {r.id for r in resumes.combined_pool(own, own, public=public).collect()} == {"own", "r0"}
-    adverts = spark.createDataFrame([("a", 1, "后端开发工程师", "", "熟悉 python 与 mysql，硕士及以上学历"), ("b", 2, "文员", "", "python mysql"), ("c", 3, "后端开发工程师", "", "python")], "id string, index int, job_title string, company string, raw_text string")
+    adverts = spark.createDataFrame(
+        [("a", 1, "后端开发工程师", "", "熟悉 python 与 mysql，硕士及以上学历"), ("b", 2, "文员", "", "python mysql"), ("c", 3, "后端开发工程师", "", "python")],
+        "id string, index int, job_title string, company string, raw_text string"
+    )
     made = resumes.from_adverts(adverts, VOCABULARY).collect()
     assert [r.id for r in made] == ["resume_bootstrap_1_a"] and made[0].label["教育背景"] == ["硕士及以上学历，计算机相关专业，示例高校"] and made[0].text.startswith("目标岗位：后端开发\n教育背景：硕士")
 
 
 def test_match_pool(spark):
-    adverts = spark.createDataFrame([(f"{'hf_job_educational_' if i % 2 else 'a'}{i}", "后端开发工程师" if i % 3 else "前端开发工程师", f"任务类型：从岗位中提取学历\n任职要求：熟悉 Python 和 Java，本科，编号{i}") for i in range(40)], "id string, job_title string, raw_text string")
-    people = spark.createDataFrame([(f"r{i}", f"简历 {i} python 本科", (("后端开发", "前端开发", "测试开发")[i % 3], ["本科"], ["Python"], [], ["Python 项目"], [])) for i in range(60)], f"id string, text string, label {resumes.LABEL}")
+    adverts = spark.createDataFrame(
+        [(f"{'hf_job_educational_' if i % 2 else 'a'}{i}", "后端开发工程师" if i % 3 else "前端开发工程师", f"任务类型：从岗位中提取学历\n任职要求：熟悉 Python 和 Java，本科，编号{i}") for i in range(40)],
+        "id string, job_title string, raw_text string"
+    )
+    people = spark.createDataFrame(
+        [(f"r{i}", f"简历 {i} python 本科", (("后端开发", "前端开发", "测试开发")[i % 3], ["本科"], ["Python"], [], ["Python 项目"], [])) for i in range(60)],
+        f"id string, text string, label {resumes.LABEL}"
+    )
     rows = resumes.match_pool(adverts, people, VOCABULARY, max_adverts=30).collect()
     metas = [json.loads(r.meta) for r in rows]
     by = {}
@@ -119,7 +141,9 @@ def test_match_pool(spark):
         parts = r.id.split("_")
         by.setdefault(m["jd_entity_hash"], []).append((parts[-1], m["jd_direction"] == m["resume_direction"]))
         assert r.label["岗位方向匹配"] == (m["jd_direction"] == m["resume_direction"]) and r.label["命中技能"] == ["Python"] and r.label["缺失技能"] == ["Java"] and "任务类型" not in r.jd_text
-    assert all(sorted(v) == [("1", True), ("2", True), ("3", False)] or len(v) < 3 for v in by.values()) and sum(len(v) == 3 for v in by.values()) >= 24 and len(by) <= 30
+    assert all(
+        sorted(v) == [("1", True), ("2", True), ("3", False)] or len(v) < 3 for v in by.values()
+    ) and sum(len(v) == 3 for v in by.values()) >= 24 and len(by) <= 30
     assert sum("hf_job_educational" in r.id for r in rows) <= 12 * 3 and {m["entity_split"] for m in metas} == {"train", "valid", "test"}
     sides = {}
     for m in metas:

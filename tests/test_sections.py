@@ -51,7 +51,10 @@ def test_sections_of_a_long_text(spark):
 
 
 def test_tagged_spans(spark):
-    rows = [(["a", "bc", "d", "e"], ["B", "I", "O", "B"], [0, 2, 5, 7]), (["a"], ["I"], [0]), (["a", "b"], ["B"], [0, 2]), ([], [], []), (["a", "b"], ["B", "B"], [0, 2])]
+    rows = [
+        (["a", "bc", "d", "e"], ["B", "I", "O", "B"], [0, 2, 5, 7]), (["a"], ["I"], [0]), (["a", "b"], ["B"], [0, 2]), ([], [], []),
+        (["a", "b"], ["B", "B"], [0, 2])
+    ]
     df = spark.createDataFrame(rows, "tokens array<string>, tags array<string>, starts array<int>").coalesce(1)
     got = [r[0] for r in df.select(sections.tagged_spans(F.col("tokens"), F.col("tags"), F.col("starts"), "skill")).collect()]
     plain = [s and [tuple(x) for x in s] for s in got]

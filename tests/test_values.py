@@ -28,7 +28,10 @@ def test_lists_and_keywords(spark):
 def test_job_posting(spark):
     script = '<script type="application/ld+json">%s</script>'
     posting = {"@type": "JobPosting", "title": "x", "n": [1]}
-    pages = [script % "{bad" + script % json.dumps({"@type": "Org"}) + script % json.dumps([{"@type": "Org"}, posting]), script % json.dumps(posting), "<p>", "", None]
+    pages = [
+        script % "{bad" + script % json.dumps({"@type": "Org"}) + script % json.dumps([{"@type": "Org"}, posting]), script % json.dumps(posting),
+        "<p>", "", None
+    ]
     assert [g and json.loads(g) for g in every(spark, pages, values.job_posting)] == [posting, posting, None, None, None]
 
 
