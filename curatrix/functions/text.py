@@ -105,6 +105,17 @@ def clean(c: Column, markup: bool = False) -> Column:
     return normalize_space(dedup_lines(remove_boilerplate(normalize_space(mask_private(plain)))))
 
 
+#: Characters from which the main element of a page is taken for its text.
+LEAST_MAIN = 80
+
+
+def main_text(page: Column) -> Column:
+    """The cleaned text of a page's first article or main element where it is long enough, else that of the whole page."""
+    inner = F.regexp_extract(text_or_empty(page), r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", 2)
+    both = F.struct(clean(inner, True).alias("inner"), clean(page, True).alias("whole"))
+    return F.get(F.transform(F.array(both), lambda s: F.when(F.length(s["inner"]) >= LEAST_MAIN, s["inner"]).otherwise(s["whole"])), 0)
+
+
 def strip_furniture(c: Column) -> Column:
     """The text of a page without scripts, styles, menus, headers and footers, a line a tag's text."""
     c = F.regexp_replace(text_or_empty(c), r"(?is)<(script|style|noscript|nav|footer|header)\b.*?</\1\s*>", "\n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import text as T
 from curatrix.operators import fields, sections, tiers
 from curatrix.operators.pairing import known_skills
+from curatrix.operators.selection import hash_order
 
 #: The prompts of the tasks.
 SYSTEM = "你是一个招聘文本解析助手。请严格基于输入内容输出 JSON，不要编造输入中没有的信息。"
@@ -148,6 +149,26 @@ def weak_structured_pool(rows: DataFrame) -> DataFrame:
     return once(pool_rows(rows.filter(tiers.is_weak_structured()), "weak_structured_candidate"))
 
 
+def supplemental_pool(rows: DataFrame) -> DataFrame:
+    """Weak rows of other sources that may be used and have a direction."""
+    fit = ~F.coalesce(F.col("source").isin(*tiers.TRUSTED_SOURCES), F.lit(False)) & tiers.training_allowed() & (tiers.filled("labels.direction") != "")
+    return once(pool_rows(rows.filter(fit).filter(tiers.is_weak()), "supplemental_weak_high_conf"))
+
+
+def training_rows(rows: DataFrame, *, weak: bool = False, total: int | None = None, seed: str = "42", strict: bool = True) -> DataFrame:
+    """Strict rows, or all that are ready, and with ``weak`` the weak ones that aren't among them: all without ``total``, else as
+    many as it lacks, in hash order."""
+    marked = rows.withColumns({"_strong": tiers.is_strict() if strict else F.coalesce("sft_ready", F.lit(True)), "_weak": tiers.is_weak()})
+    if not weak:
+        return marked.filter("_strong").drop("_strong", "_weak")
+    rank = F.struct((~F.col("_strong")).alias("late"), F.when(F.col("_strong"), "").otherwise(hash_order(seed, F.col("id"))).alias("h"), F.col("id"))
+    fit = marked.filter("_strong or _weak").withColumn("_order", rank)
+    if total is not None:
+        few = max(total, fit.filter("_strong").count())
+        fit = fit.orderBy("_order").limit(few)
+    return fit.drop("_strong", "_weak", "_order")
+
+
 def public_pool(rows: DataFrame) -> DataFrame:
     return once(rows.filter(tiers.is_usable_public()).select(*POOL))
 

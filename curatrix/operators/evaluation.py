@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import strip, text_or_empty
+from curatrix.functions.text import compact_hash, strip, text_or_empty
 from curatrix.functions.values import normalized_hash
 from curatrix.operators import matching
 from curatrix.operators.fields import cascade
@@ -335,6 +335,43 @@ def gold_report(rows: DataFrame, least: int = 20) -> DataFrame:
     return one.withColumn("gold_ready", reduce(lambda a, c: a & (F.col(c) == 0), clean, ok))
 
 
+#: What a set of candidates must hold: its size, the beginning of its ids, and tags of each group.
+CANDIDATES, CANDIDATE_IDS, UNREVIEWED = (15, 20), "semantic_boundary_v2_", "needs_human_review"
+TAG_GROUPS = {
+    "ocr": ("OCR词内断开", "OCR误报控制"), "requirement_boundary": ("职责与要求边界", "职责要求重复", "加分项非硬门槛"), "direction": ("跨岗位方向",),
+    "project": ("项目证据",),
+}
+
+
+def candidate_report(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """One row about candidate pairs (id, jd_text, resume_text, meta as JSON): its size, overlap with other pairs and problems."""
+    key = compact_hash(F.col("jd_text"), F.col("resume_text"))
+    meta = lambda k: F.get_json_object("meta", f"$.{k}")
+    known = others.select(key.alias("k"), F.lit(True).alias("seen")).distinct()
+    marked = rows.select(
+        text_or_empty(F.col("id")).alias("id"), key.alias("k"), meta("annotation_status").alias("status"), meta("training_eligible").alias("eligible"),
+        F.coalesce(F.from_json(meta("difficulty_tags"), "array<string>"), F.array().cast("array<string>")).alias("tags"),
+    ).join(known, "k", "left")
+    n = F.count(F.lit(1))
+    tags = F.flatten(F.collect_set("tags"))
+    lacking = F.array_compact(F.array(*(F.when(~F.arrays_overlap(F.col("tags"), F.array(*map(F.lit, ts))), F.lit(g)) for g, ts in TAG_GROUPS.items())))
+    one = marked.agg(
+        n.alias("row_count"), F.countDistinct("id").alias("ids"), F.count_if(~F.col("id").startswith(CANDIDATE_IDS)).alias("other_ids"),
+        F.count_if(F.coalesce(F.col("status") != UNREVIEWED, F.lit(True))).alias("reviewed"), F.count_if(F.coalesce(F.col("eligible") != "false", F.lit(True))).alias("eligible"),
+        F.countDistinct("k").alias("pairs"), F.countDistinct(F.when(F.col("seen"), F.col("k"))).alias("comparison_pair_overlap"), tags.alias("tags"),
+    )
+    rules = (
+        (~F.col("row_count").between(*CANDIDATES), F.lit("candidate_count_must_be_15_to_20")),
+        ((F.col("ids") < F.col("row_count")) | (F.col("other_ids") > 0), F.lit("ids_must_be_unique_v2_ids")),
+        ((F.col("reviewed") > 0) | (F.col("row_count") == 0), F.lit("all_rows_must_need_human_review")),
+        (F.col("eligible") > 0, F.lit("all_rows_must_be_training_ineligible")), (F.col("pairs") < F.col("row_count"), F.lit("duplicate_candidate_pairs")),
+        (F.col("comparison_pair_overlap") > 0, F.lit("candidate_pair_overlaps_comparison_set")),
+        (F.size(lacking) > 0, F.concat(F.lit("missing_difficulty_groups:"), F.array_join(lacking, ","))),
+    )
+    problems = F.array_compact(F.array(*(F.when(ok, text) for ok, text in rules)))
+    return one.select("row_count", "comparison_pair_overlap", problems.alias("problems"), (F.size(problems) == 0).alias("audit_ok"))
+
+
 def with_review_fields(rows: DataFrame, origin: str) -> DataFrame:
     """Rows of a candidate set, marked as not yet reviewed."""
     more = {"annotation_status": F.lit("pending_human_review"), "candidate_origin": F.lit(origin), "training_eligible": F.lit("false")}

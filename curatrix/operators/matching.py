@@ -26,9 +26,10 @@ class Policy:
         weights = (self.direction, self.skills, self.education, self.experience, self.projects)
         if min(weights) < 0 or sum(weights) != 100:
             raise ValueError("weights must be 0 or more and sum to 100")
-        limits = [100, *(b for b, _ in self.bands), 0]
-        if any(a < b for a, b in zip(limits, limits[1:], strict=False)) or not 0 <= self.no_skills <= self.skills:
-            raise ValueError("bands must fall from 100 to 0, and no_skills lie within the skill weight")
+        limits = [b for b, _ in self.bands]
+        falling = all(a > b for a, b in zip(limits, limits[1:], strict=False)) and all(0 <= b <= 100 for b in limits)
+        if not falling or not 0 <= self.no_skills <= self.skills:
+            raise ValueError("bands must fall strictly within 0..100, and no_skills lie within the skill weight")
 
     def score(self, direction: Column, required: Column, matched: Column, education: Column, experience: Column, projects: Column) -> Column:
         """The sum of points; halves round to even."""

@@ -102,6 +102,16 @@ def known_skills(text: Column, vocabulary: dict[str, list[str]]) -> Column:
     return F.get(F.transform(F.array(narrow(text)), names), 0)
 
 
+def merged(*vocabularies: dict[str, list[str]]) -> dict[str, list[str]]:
+    """One vocabulary of several: names in order of sight, each with all its aliases once."""
+    out: dict[str, list[str]] = {}
+    for vocabulary in vocabularies:
+        for name, aliases in vocabulary.items():
+            own = out.setdefault(name, [])
+            own += [a for a in aliases if a not in own]
+    return out
+
+
 def canonical_skills(items: Column, vocabulary: dict[str, list[str]], keep_unknown: bool = False) -> Column:
     """Skills by their names, looked up by spelling and then without blanks and hyphens; the first of equal ones stays."""
     exact, near = {}, {}

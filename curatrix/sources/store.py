@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,6 +32,43 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text, a line a row, as a single file of a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def manifest_sources(spark: SparkSession, path: str) -> list[dict]:
+    """The sources of a manifest, JSON or, where that can be read, YAML."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("this manifest needs a reader of YAML") from e
+        value = yaml.safe_load(text) or {}
+    else:
+        value = json.loads(text)
+    found = value.get("sources") or []
+    if not isinstance(found, list):
+        raise ValueError(f"the sources of {path} are not a list")
+    return found
+
+
+def prediction_paths(spark: SparkSession, inputs: list[str], ending: str = "predictions.jsonl") -> list[str]:
+    """Files named by paths, patterns or folders, each once: a folder stands for its files with the ending, by name."""
+    out: list[str] = []
+    for given in inputs:
+        system, path = _located(spark, given)
+        if any(c in given for c in "*?[]"):
+            found = sorted(str(s.getPath()) for s in system.globStatus(path) or [])
+        elif system.exists(path) and system.getFileStatus(path).isDirectory():
+            found = sorted(str(s.getPath()) for s in system.listStatus(path) if str(s.getPath().getName()).endswith(ending))
+        else:
+            found = [given]
+        out += [f for f in found if f not in out]
+    return out
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -135,3 +135,16 @@ def test_picked_rows(spark):
     assert [r.x for r in E.picked(rows, ids).collect()] == [2, 1]
     with pytest.raises(KeyError, match="c"):
         E.picked(rows, spark.createDataFrame([("c", 0)], "id string, pos int"))
+
+
+def test_candidate_sets(spark):
+    meta = {"annotation_status": "needs_human_review", "training_eligible": False, "difficulty_tags": ["OCR词内断开", "职责与要求边界", "跨岗位方向", "项目证据"]}
+    kind = "id string, jd_text string, resume_text string, meta string"
+    rows = spark.createDataFrame([(f"semantic_boundary_v2_{i}", f"岗位 {i}", "R", dumped(meta)) for i in range(15)], kind)
+    none = spark.createDataFrame([("x", "别 的", "R", "{}")], kind)
+    assert E.candidate_report(rows, none).first().audit_ok
+    one = E.candidate_report(rows.limit(3).unionByName(none), rows.limit(1)).first()
+    assert one.comparison_pair_overlap == 1 and one.problems == [
+        "candidate_count_must_be_15_to_20", "ids_must_be_unique_v2_ids", "all_rows_must_need_human_review", "all_rows_must_be_training_ineligible",
+        "candidate_pair_overlaps_comparison_set",
+    ]

@@ -219,3 +219,9 @@ def test_selection_by_tiers(spark):
     assert out(10, excluded=spark.createDataFrame([("c",)], "id string")) == ["a", "b", "f", "e"] and out(10, stage_limits={1: 1}) == ["a", "b", "f", "e"]
     with pytest.raises(ValueError, match="between 0 and 1"):
         tiers.select_tiers(df, 1, max_weak_rate=2)
+
+
+def test_rows_for_training(spark, clean):
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(adverts.training_rows(clean)) == ["a"] and ids(adverts.training_rows(clean, weak=True)) == ["a", "f"] and ids(adverts.training_rows(clean, weak=True, total=1)) == ["a"]
+    assert ids(adverts.training_rows(clean, strict=False)) == list("abcdefg") and ids(adverts.supplemental_pool(clean)) == ["f"]

@@ -131,3 +131,29 @@ def test_shared_folders(spark, monkeypatch):
     spark.range(1).write.parquet(folder)
     folders.remove(spark, folder)
     assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_paths_and_manifests_of_sources(spark, tmp_path):
+    from curatrix.functions import text as T
+    from curatrix.operators.matching import Policy
+    from curatrix.operators.pairing import merged
+    from curatrix.sources import store
+
+    for n in ("b_predictions.jsonl", "a_predictions.jsonl", "other.jsonl"):
+        (tmp_path / n).write_text("{}")
+    names = lambda paths: [p.rsplit("/", 1)[-1] for p in paths]
+    assert names(store.prediction_paths(spark, [str(tmp_path), str(tmp_path / "other.jsonl"), str(tmp_path / "other.jsonl")])) == ["a_predictions.jsonl", "b_predictions.jsonl", "other.jsonl"]
+    assert names(store.prediction_paths(spark, [str(tmp_path / "*_pred*")])) == ["a_predictions.jsonl", "b_predictions.jsonl"]
+    (tmp_path / "m.json").write_text('{"sources": [{"name": "x"}]}')
+    (tmp_path / "bad.json").write_text('{"sources": {"a": 1}}')
+    assert store.manifest_sources(spark, str(tmp_path / "m.json")) == [{"name": "x"}]
+    with pytest.raises(ValueError, match="list"):
+        store.manifest_sources(spark, str(tmp_path / "bad.json"))
+    store.write_text(spark, "报告", str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).first()[0] == "报告"
+    assert merged({"A": ["a"]}, {"B": [], "A": ["a", "x"]}) == {"A": ["a", "x"], "B": []}
+    with pytest.raises(ValueError, match="strictly"):
+        Policy(bands=((85, "x"), (85, "y")))
+    page = "<nav>m</nav><article>" + "<p>正文 &amp; 内容</p>" * 20 + "</article><footer>f</footer>"
+    got = spark.createDataFrame([(page,), ("<p>短</p>",), (None,)], "h string").select(T.main_text(F.col("h")).alias("x")).collect()
+    assert [r.x for r in got] == ["正文 & 内容", "短", ""] or got[0].x.startswith("正文 & 内容")
