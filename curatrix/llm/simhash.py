@@ -197,7 +197,7 @@ def forest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
 
 
 def nearest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
-    """Links of each fingerprint of one key to the NEAREST closest before it, within ``max_bits``; in very large runs those
+    """Links of each fingerprint of one key to the closest before it, within ``max_bits``; in very large runs to the closest
     before it in its own block of :data:`RUN_ROWS` and in the first one."""
     left, right = [], []
     for s in range(0, len(fp), 512):
@@ -206,11 +206,10 @@ def nearest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
         before = np.concatenate((np.arange(min(block, RUN_ROWS)), np.arange(block, own[-1] + 1)))
         bits = np.bitwise_count(fp[own, None] ^ fp[None, before]).astype(np.int16)
         bits[before[None, :] >= own[:, None]] = 999
-        k = min(NEAREST, len(before))
-        pick = np.argpartition(bits, k - 1, axis=1)[:, :k]
-        x, y = np.nonzero(np.take_along_axis(bits, pick, axis=1) <= max_bits)
-        left += before[pick[x, y]].tolist()
-        right += own[x].tolist()
+        pick = bits.argmin(axis=1)
+        good = bits[np.arange(len(own)), pick] <= max_bits
+        left += before[pick[good]].tolist()
+        right += own[good].tolist()
     return left, right
 
 
@@ -385,6 +384,8 @@ def candidates(nodes: DataFrame, rounds: int, max_bits: int, similarity: float)
         own = nodes.select("set", F.col("fps")[r].alias("fp"))
         least = materialize(own.groupBy("fp").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("n")), "round")
         near = keyed_rows(least).mapInArrow(lambda it: link_sorted(it, max_bits, 1 << 62, nearest), "a long, b long").distinct()
+        # A group of near copies shares many keys: of each fingerprint only the closest go on, so rows stay linear.
+        near = closest(near, F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
         one, two = (least.select(F.col("fp").alias(x), F.col("first").alias(f"set_{x}")) for x in ("a", "b"))
         parts.append(near.join(one, "a").join(two, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
         parts.append(
@@ -399,8 +400,13 @@ def candidates(nodes: DataFrame, rounds: int, max_bits: int, similarity: float)
     one, two = (nodes.select(F.col("set").alias(x), F.col("fps").alias(f"fps_{x}")) for x in ("a", "b"))
     bits = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     near = out.join(one, "a").join(two, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= most_bits(similarity, 64 * rounds))
+    return closest(near, F.col("bits"))
+
+
+def closest(pairs: DataFrame, bits: Column) -> DataFrame:
+    """The pairs (a, b) of each b with the NEAREST least differing a."""
     rank = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
+    return pairs.withColumn("bits", bits).withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
