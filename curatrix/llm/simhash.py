@@ -63,6 +63,8 @@ WIDE_SHINGLE, SIMILARITY, ROUNDS, WIDE_BITS = 5, 0.8, 2, 12
 NEAREST, DEVIATIONS = 3, 3.0
 #: Odd numbers that make further fingerprints from one hash of a shingle.
 ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Narrow rows of a file of an intermediate table.
+FILE_ROWS = 500_000
 #: Tasks to which the rows of one key of a join are dealt.
 SALTS = 8
 #: Generator polynomial of the binary Golay code of length 23.
@@ -301,10 +303,15 @@ def keyed_rows(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
 
 
+def parts_for(rows: int) -> int:
+    """Files for a number of narrow rows, so that small tables aren't written in as many files as shuffles have partitions."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with a link, roots included, root the least node reachable: alternating large and small stars."""
     edges, folder = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    state = None
+    state, parts = None, None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -315,14 +322,15 @@ def components(edges: DataFrame) -> DataFrame:
             low.select(F.col("m").alias("x"), F.col("b").alias("y"))
         )
         old = folder
-        edges, folder = written(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "edges")
+        new = small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
+        edges, folder = written(new if parts is None else new.coalesce(parts), "edges")
         remove(edges.sparkSession, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
                 edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
             )
-        state = now
+        state, parts = now, parts_for(now[0])
 
 
 def _grouped(docs: DataFrame, max_bits: int) -> DataFrame:
@@ -379,10 +387,10 @@ def candidates(nodes: DataFrame, rounds: int, max_bits: int, similarity: float)
     """Pairs (a, b) of ``nodes`` (set, fps) to verify, a < b: sets with one fingerprint and the least of them, and the least of
     fingerprints that share a key, if all fingerprints agree as much as the similarity lets expect; of each b the NEAREST
     closest a."""
-    parts = []
+    parts, files = [], parts_for(nodes.count())
     for r in range(rounds):
         own = nodes.select("set", F.col("fps")[r].alias("fp"))
-        least = materialize(own.groupBy("fp").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("n")), "round")
+        least = materialize(own.groupBy("fp").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("n")).coalesce(files), "round")
         near = keyed_rows(least).mapInArrow(lambda it: link_sorted(it, max_bits, 1 << 62, nearest), "a long, b long").distinct()
         # A group of near copies shares many keys: of each fingerprint only the closest go on, so rows stay linear.
         near = closest(near, F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
@@ -446,9 +454,10 @@ def similar(docs: DataFrame, *, size: int = WIDE_SHINGLE, similarity: float = SI
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     marked = materialize(wide_fingerprints(docs, size, rounds), "fingerprints")
     nodes = materialize(marked.groupBy("set").agg(F.min(lead).alias("lead"), F.min("fps").alias("fps")), "sets")
-    pairs = materialize(candidates(nodes, rounds, max_bits, similarity), "candidates")
+    files = parts_for(nodes.count())
+    pairs = materialize(candidates(nodes, rounds, max_bits, similarity).coalesce(files), "candidates")
     roots = components(verified(pairs, docs, nodes, size, similarity))
-    rooted = materialize(nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "lead", "root"), "rooted")
+    rooted = materialize(nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "lead", "root").coalesce(files), "rooted")
     linked = rooted.filter("root is not null")
     lowest = linked.groupBy("root").agg(F.min("lead").alias("least"))
     by_set = salted(linked, lowest, "root", "set").select("set", F.col("least").alias("lead")).unionByName(rooted.filter("root is null").select("set", "lead"))
