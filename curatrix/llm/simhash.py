@@ -20,12 +20,14 @@ one.
 
 :func:`similar` asks for more: texts link at a Jaccard similarity of
 :data:`SIMILARITY` or more of their sets of :data:`WIDE_SHINGLE`-word shingles.
-Such pairs differ in more bits than four (about ten of 64 at 0.8), so each set has
-:data:`ROUNDS` independent fingerprints, pairs of one key are candidates up to
-:data:`WIDE_BITS` differing bits if all fingerprints together agree as much as the
-similarity lets expect, and the closest candidates of each set are verified on their
-whole sets. Keys still hold any pair with two segments of two or fewer differing bits
-each; what that finds depends on the similarity and is stated in the README.
+SimHash can't promise to find such pairs, so they are found exactly. Sets that
+share a MinHash are compared with the first that has it, and what links makes
+groups. Then each set goes under the shingles of its prefix, rare ones first,
+of which two sets that link share one at least; sets under one shingle and in
+different groups are compared on their whole sets. A shingle with more such
+pairs than :data:`PAIRS` a set deals :data:`PIVOTS` sets at a time against all
+others and drops them, until none is left, so a step's rows stay linear and no
+pair is lost.
 
 Defined results: null and empty texts have the fingerprint zero and link like
 any other; texts under four words are one shingle; repeated rows come back as
@@ -43,7 +45,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import bound_batches, materialize, pieces, written
@@ -56,12 +57,17 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Most distinct fingerprints of a key that are compared with each other.
 RUN_ROWS = 4096
-#: Words of a shingle, least similarity, fingerprints and differing bits of candidates of :func:`similar`.
-WIDE_SHINGLE, SIMILARITY, ROUNDS, WIDE_BITS = 5, 0.8, 2, 12
-#: Closest earlier fingerprints or sets that one is a candidate with (groups of near copies have many pairs, most of which
-#: connect nothing new); how many standard deviations more bits than its similarity lets expect a candidate may differ in.
-NEAREST, DEVIATIONS = 3, 3.0
-#: Odd numbers that make further fingerprints from one hash of a shingle.
+#: Words of a shingle and least similarity of :func:`similar`; MinHashes of a set by which groups begin.
+WIDE_SHINGLE, SIMILARITY, ROUNDS = 5, 0.8, 4
+#: Most pairs that a set of a crowded shingle gives at once, and the sets of such a shingle that are compared with all others.
+PAIRS, PIVOTS = 4, 2
+#: Texts whose shingles are counted for the order of all (any order gives the same links), and cells of that count.
+ORDER_TEXTS, ORDER_CELLS = 2048, 1 << 20
+#: Bits of a set that hold the parity of its hashes in as many cells: sets differ in at least as many hashes as bits.
+PARITY_BITS = 1024
+#: Most named sets that are broadcast to the texts.
+NAMED_ROWS = 100_000
+#: Odd numbers that make further hashes from one hash of a shingle.
 ROUND_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Narrow rows of a file of an intermediate table.
 FILE_ROWS = 500_000
@@ -198,24 +204,7 @@ def forest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def nearest(fp: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
-    """Links of each fingerprint of one key to the closest before it, within ``max_bits``; in very large runs to the closest
-    before it in its own block of :data:`RUN_ROWS` and in the first one."""
-    left, right = [], []
-    for s in range(0, len(fp), 512):
-        own = np.arange(s, min(s + 512, len(fp)))
-        block = s // RUN_ROWS * RUN_ROWS
-        before = np.concatenate((np.arange(min(block, RUN_ROWS)), np.arange(block, own[-1] + 1)))
-        bits = np.bitwise_count(fp[own, None] ^ fp[None, before]).astype(np.int16)
-        bits[before[None, :] >= own[:, None]] = 999
-        pick = bits.argmin(axis=1)
-        good = bits[np.arange(len(own)), pick] <= max_bits
-        left += before[pick[good]].tolist()
-        right += own[good].tolist()
-    return left, right
-
-
-def link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, run_rows: int, among=forest) -> Iterator[pa.RecordBatch]:
+def link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, run_rows: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) within the runs of equal keys of rows sorted by (key, fp); a row (fp, null) for each one of a run over ``run_rows``."""
 
     def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
@@ -238,7 +227,7 @@ def link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, run_rows: int,
             left.append(fp[at])
             right.append(fp[at + k])
         for h, n in zip(heads[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-            a, b = among(fp[h : h + n], max_bits)
+            a, b = forest(fp[h : h + n], max_bits)
             left.append(fp[h : h + n][a])
             right.append(fp[h : h + n][b])
         if left and sum(map(len, left)):
@@ -352,79 +341,163 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return _grouped(docs, max_bits).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprints(docs: DataFrame, size: int, rounds: int) -> DataFrame:
-    """(doc_id, h, set, fps): set hashes the set of shingles, fps are its fingerprints."""
+def wide_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h, set, mins, n, parity): set hashes the set of n shingles, mins are its MinHashes (none of an empty set), parity
+    whether an odd number of its hashes falls into each of PARITY_BITS cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in pieces(batches):
-            sets, fps = [], []
+            sets, mins, sizes, parity = [], [], [], []
             for t in batch.column("text").to_pylist():
                 own = np.unique(shingle_hashes(t, size))
                 sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                fps.append(
-                    np.array(
-                        [majority(own * np.uint64(salt) ^ (own * np.uint64(salt) >> np.uint64(32))) for salt in ROUND_SALTS[:rounds]], dtype=np.uint64
-                    ).view(np.int64).tolist()
-                )
-            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(sets, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "set", "fps"])
+                sizes.append(len(own))
+                cells = np.bincount((own >> np.uint64(32)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+                parity.append(np.packbits(cells.astype(np.uint8)).tobytes())
+                mixed = [own * np.uint64(salt) for salt in ROUND_SALTS[:ROUNDS]] if len(own) else []
+                mins.append(np.array([(m ^ (m >> np.uint64(32))).min() for m in mixed], dtype=np.uint64).view(np.int64).tolist())
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(sets, dtype=np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64()))]
+            columns += [pa.array(sizes, pa.int32()), pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "set", "mins", "n", "parity"])
 
     bound_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text"
-    ).mapInArrow(run, "doc_id long, h long, set long, fps array<long>")
-
-
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits of ``bits`` that sets of a similarity hardly exceed."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(np.ceil(p * bits + DEVIATIONS * (p * (1 - p) * bits) ** 0.5))
-
-
-def candidates(nodes: DataFrame, rounds: int, max_bits: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (set, fps) to verify, a < b: sets with one fingerprint and the least of them, and the least of
-    fingerprints that share a key, if all fingerprints agree as much as the similarity lets expect; of each b the NEAREST
-    closest a."""
-    parts, files = [], parts_for(nodes.count())
-    for r in range(rounds):
-        own = nodes.select("set", F.col("fps")[r].alias("fp"))
-        least = materialize(own.groupBy("fp").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("n")).coalesce(files), "round")
-        near = keyed_rows(least).mapInArrow(lambda it: link_sorted(it, max_bits, 1 << 62, nearest), "a long, b long").distinct()
-        # A group of near copies shares many keys: of each fingerprint only the closest go on, so rows stay linear.
-        near = closest(near, F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-        one, two = (least.select(F.col("fp").alias(x), F.col("first").alias(f"set_{x}")) for x in ("a", "b"))
-        parts.append(near.join(one, "a").join(two, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
-        parts.append(
-            salted(
-                own, least.filter("n > 1").select("fp", "first"), "fp", "set"
-            ).filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = (nodes.select(F.col("set").alias(x), F.col("fps").alias(f"fps_{x}")) for x in ("a", "b"))
-    bits = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = out.join(one, "a").join(two, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= most_bits(similarity, 64 * rounds))
-    return closest(near, F.col("bits"))
+    ).mapInArrow(run, "doc_id long, h long, set long, mins array<long>, n int, parity binary")
+
+
+def first_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (set, mins): a is the least set that has one of b's MinHashes."""
+    rows = nodes.select("set", F.posexplode("mins").alias("band", "low")).select("set", F.xxhash64("band", "low").alias("key"))
+    least = rows.groupBy("key").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
+    return salted(rows, least, "key", "set").filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
+
+
+def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """How often shingles fall into each cell, counted over about ORDER_TEXTS texts. It only orders shingles."""
+    share = min(1.0, ORDER_TEXTS / max(1, docs.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            own = [np.unique(shingle_hashes(t, size)) & np.uint64(ORDER_CELLS - 1) for t in batch.column("text").to_pylist()]
+            cells, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.int32).tobytes()], pa.binary()) for v in (cells, n)], ["cells", "n"])
 
+    counts = np.zeros(ORDER_CELLS, dtype=np.int32)
+    for row in docs.filter(F.rand(SEED) < share).select("text").mapInArrow(run, "cells binary, n binary").collect():
+        counts[np.frombuffer(row["cells"], dtype=np.int32)] += np.frombuffer(row["n"], dtype=np.int32)
+    return counts
 
-def closest(pairs: DataFrame, bits: Column) -> DataFrame:
-    """The pairs (a, b) of each b with the NEAREST least differing a."""
-    rank = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
-    return pairs.withColumn("bits", bits).withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
+
+def prefixes(texts: DataFrame, counts: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """(key, set, grp, n, at) of ``texts`` (set, grp, text): the rarest shingles of each set of n, of which sets that link share one;
+    ``at`` is the place of the shingle in the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            keys, kept = [], []
+            for t in batch.column("text").to_pylist():
+                own = np.unique(shingle_hashes(t, size))
+                most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+                keys.append(own[np.lexsort((own, counts[own & np.uint64(ORDER_CELLS - 1)]))[:most]])
+                kept.append((most, len(own)))
+            if not keys:
+                continue
+            rows, n = (np.array(v, dtype=np.int64) for v in zip(*kept, strict=True))
+            at = np.concatenate([np.arange(m) for m in rows]).astype(np.int32)
+            named = [pa.array(np.repeat(batch.column(c).to_numpy(), rows)) for c in ("set", "grp")]
+            key = pa.array(np.concatenate(keys).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, *named, pa.array(np.repeat(n, rows).astype(np.int32)), pa.array(at)], ["key", "set", "grp", "n", "at"])
+
+    return texts.select("set", "grp", "text").mapInArrow(run, "key long, set long, grp long, n int, at int")
+
+
+def crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of sets under one key in different groups that may link, of rows (key, set, grp, n, at) sorted by key and set.
+    Of a key with too many, the pairs of PIVOTS sets, and a row without b for each other set."""
+    names = ["key", "set", "grp", "n", "at"]
+
+    def may_link(run: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether the sets ``x`` of a run may link with each. A pair is seen at the first shingle that both have, where what
+        follows must be enough; so the test loses no pair."""
+        _, _, grp, n, at = (v[x][:, None] for v in run)
+        least = similarity / (1 + similarity) * (n + run[3]) - 1e-6
+        return (grp != run[2]) & (np.minimum(n - at, run[3] - run[4]) >= least) & (np.minimum(n, run[3]) >= similarity * np.maximum(n, run[3]) - 1e-6)
+
+    def out(run: np.ndarray, x: np.ndarray, y: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        a, b = np.minimum(run[1][x], run[1][y]), np.maximum(run[1][x], run[1][y])
+        some = lambda left, more: pa.array(np.concatenate((left, more[rest])))
+        none = np.zeros(len(a), dtype=np.int64)
+        second = pa.concat_arrays([pa.array(b), pa.nulls(len(rest), pa.int64())])
+        return pa.RecordBatch.from_arrays([some(none, run[0]), some(a, run[1]), second, some(none, run[3]), some(none, run[4])], ["key", "a", "b", "n", "at"])
+
+    def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, grp = rows[0], rows[2]
+        if len(key) < 2:
+            return
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        mixed = np.minimum.reduceat(grp, heads) != np.maximum.reduceat(grp, heads)
+        for s, e in zip(heads[mixed].tolist(), np.append(heads[1:], len(key))[mixed].tolist(), strict=True):
+            run = rows[:, s:e]
+            run = run[:, np.concatenate(([True], run[1, 1:] != run[1, :-1]))]  # rows that repeat a set
+            m, none = run.shape[1], np.zeros(0, dtype=np.int64)
+            found, n = [], 0
+            for k in range(0, m if m <= RUN_ROWS else 0, 512):
+                own = np.arange(k, min(k + 512, m))
+                x, y = np.nonzero(may_link(run, own) & (own[:, None] < np.arange(m)))
+                found.append((own[x], y))
+                n += len(x)
+                if n > PAIRS * m:
+                    break
+            if m <= RUN_ROWS and n <= PAIRS * m:
+                if n:
+                    yield out(run, *(np.concatenate(v) for v in zip(*found, strict=True)), none)
+                continue
+            pivots = np.sort(np.unique(run[2], return_index=True)[1][:PIVOTS])
+            x, y = np.nonzero(may_link(run, pivots))
+            yield out(run, pivots[x], y, np.setdiff1d(np.arange(m), pivots))
+
+    held = np.zeros((5, 0), dtype=np.int64)
+    for batch in batches:
+        held = np.concatenate((held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])), axis=1)
+        last = int(np.searchsorted(held[0], held[0, -1], side="left")) if held.shape[1] else 0
+        yield from closed(held[:, :last])
+        held = held[:, last:]
+    yield from closed(held)
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose parities differ in no more bits than the similarity lets their sets differ in; it loses no link."""
+    one, two = (nodes.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            x, y = (np.frombuffer(b"".join(batch.column(f"parity_{c}").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in "ab")
+            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            kept = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= (1 - similarity) / (1 + similarity) * both + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], ["a", "b"])
+
+    joined = pairs.join(one, "a").join(two, "b")
+    return joined.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
+def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``named`` (id, h and more) with the texts of the rows of ``docs`` that they name."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("h"), "text")
+    same = F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.h") == F.col("w.h"))
+    return rows.alias("r").join(named.alias("w"), same).select("w.*", "text")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets whose shingles have at least the similarity in common. Only texts in a pair are read again,
     one for each set."""
+    pairs = materialize(possible(pairs, nodes, similarity), "possible")
     named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = nodes.join(named, "set").select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("h"), "text")
-    same = F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.h") == F.col("w.h"))
-    texts = rows.alias("r").join(wanted.alias("w"), same).select("set", "text")
+    wanted = materialize(nodes.join(named, "set").select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h")), "named")
+    wanted = F.broadcast(wanted) if wanted.count() <= NAMED_ROWS else wanted
+    texts = texts_of(docs, wanted).select("set", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -449,14 +522,40 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, sim
     return both.select("a", "b", "own_a", "own_b").mapInArrow(compared, "a long, b long")
 
 
-def similar(docs: DataFrame, *, size: int = WIDE_SHINGLE, similarity: float = SIMILARITY, rounds: int = ROUNDS, max_bits: int = WIDE_BITS) -> DataFrame:
+def set_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, root) of every set of ``nodes`` (set, lead, mins, n, parity) with a link, root the least set that links connect it with."""
+    files = parts_for(nodes.count())
+    check = lambda pairs: materialize(verified(pairs, docs, nodes, size, similarity).coalesce(files), "links")
+    found = check(materialize(first_pairs(nodes).coalesce(files), "first"))
+    roots = components(found)
+    grouped = lambda df: df.join(roots, df["set"] == roots["node"], "left").withColumn("grp", F.coalesce("root", "set"))
+    named = grouped(nodes).select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h"), "grp")
+    rows = prefixes(texts_of(docs, named), shingle_counts(docs, size), size, similarity)
+    folder = None
+    while True:
+        dealt = rows.repartition("key").sortWithinPartitions("key", "set")
+        shape = "key long, a long, b long, n long, at long"
+        seen, new = written(dealt.mapInArrow(lambda it: crossing(it, similarity), shape), "crossing")
+        if folder:
+            remove(docs.sparkSession, folder)
+        folder = new
+        pairs = materialize(seen.filter("b is not null").select("a", "b").distinct().coalesce(files), "pairs")
+        if not pairs.isEmpty():
+            found = found.unionByName(check(pairs))
+            roots = components(found)
+        rest = seen.filter("b is null").select("key", F.col("a").alias("set"), "n", "at")
+        if rest.isEmpty():
+            return roots
+        rows = grouped(rest).select("key", "set", "grp", "n", "at")
+
+
+def similar(docs: DataFrame, *, size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, h, lead) of every row: lead is the first (no_id, doc_id, h) of its group, texts that similarities connect."""
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    marked = materialize(wide_fingerprints(docs, size, rounds), "fingerprints")
-    nodes = materialize(marked.groupBy("set").agg(F.min(lead).alias("lead"), F.min("fps").alias("fps")), "sets")
+    marked = materialize(wide_sets(docs, size), "sets")
+    nodes = materialize(marked.groupBy("set").agg(F.min(lead).alias("lead"), F.min("mins").alias("mins"), F.min("n").alias("n"), F.min("parity").alias("parity")), "nodes")
     files = parts_for(nodes.count())
-    pairs = materialize(candidates(nodes, rounds, max_bits, similarity).coalesce(files), "candidates")
-    roots = components(verified(pairs, docs, nodes, size, similarity))
+    roots = set_links(docs, nodes, size, similarity)
     rooted = materialize(nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "lead", "root").coalesce(files), "rooted")
     linked = rooted.filter("root is not null")
     lowest = linked.groupBy("root").agg(F.min("lead").alias("least"))

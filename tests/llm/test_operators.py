@@ -636,3 +636,36 @@ def test_similar_texts_are_found_and_no_others(spark):
     assert all(want[i] == want[g] for i, g in got.items())
     kept = simhash.keep_one_similar(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, h string"))
     assert kept.columns == ["doc_id", "text", "h"] and len(set(want.values())) <= kept.count() <= len(set(want.values())) + 2
+
+
+def test_similar_texts_lose_no_link_in_crowds(spark):
+    """Chains of near copies, of which a text has far more than three neighbours, and texts that share a long passage."""
+    import pyarrow as pa
+
+    from curatrix.llm import simhash
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
+    passage = [word() for _ in range(40)]
+    texts = [passage + [word() for _ in range(rng.choice((4, 7, 9, 12)))] for _ in range(120)]
+    for _ in range(4):
+        own = [word() for _ in range(60)]
+        for _ in range(40):
+            own = list(own)
+            own[rng.randrange(60)] = word()
+            texts.append(own)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    own = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    want = groups_of(list(own), lambda x, y: len(own[x] & own[y]) >= 0.8 * len(own[x] | own[y]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.lead.doc_id for r in simhash.similar(df).collect()} == want
+    # Pivots alone find every link as well.
+    run = np.array([[0, k, k, 50, 0] for k in range(30)]).T
+    names, pairs, at = ["key", "set", "grp", "n", "at"], [], 0
+    while run.shape[1]:
+        made = [b.to_pydict() for b in simhash.crossing(iter([pa.RecordBatch.from_arrays([pa.array(v) for v in run], names)]), 0.8)]
+        assert sum(len(m["a"]) for m in made) <= simhash.PAIRS * run.shape[1]
+        pairs += [(a, b) for m in made for a, b in zip(m["a"], m["b"], strict=True) if b is not None]
+        left = [a for m in made for a, b in zip(m["a"], m["b"], strict=True) if b is None]
+        run, at = np.array([[0, k, k, 50, 0] for k in left]).reshape(-1, 5).T, at + 1
+    assert set(pairs) == {(a, b) for b in range(30) for a in range(b)} and at > 5
