@@ -187,11 +187,14 @@ def once(rows: DataFrame, *order: str) -> DataFrame:
 
 def combined_pool(manual: DataFrame, public: DataFrame, supplemental: DataFrame | None = None, weak_structured: DataFrame | None = None) -> DataFrame:
     """Pools in order of trust; of the same rows that of the first pool stays. Rows of later pools name their origin."""
-    named = lambda df, origin, always: df.select(
+    from curatrix.sources.store import shared_copy
+
+    # Written, since plans of normalised rows are large and the parts together would hold them many times over.
+    named = lambda df, origin, always: shared_copy(df, "pool").select(
         *POOL[:-1],
         with_meta(F.col("meta"), pool_origin=F.lit(origin) if always else F.coalesce(F.get_json_object("meta", "$.pool_origin"), F.lit(origin))).alias("meta")
     )
-    parts = [manual_pool(manual)]
+    parts = [shared_copy(manual_pool(shared_copy(manual, "normalized")), "pool")]
     parts += [named(supplemental, "supplemental_candidate", False)] if supplemental is not None else []
     parts += [named(weak_structured, "weak_structured_candidate", False)] if weak_structured is not None else []
     parts += [named(public, "public_candidate", True)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from curatrix.functions.values import normalized_hash
 from curatrix.operators import adverts, answers, audits, evaluation, fields, pairing, preferences, privacy, resumes, sections, spans, tiers
 from curatrix.sources import imports
+from curatrix.sources.folders import shared_copy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -251,10 +252,11 @@ def f12_advert_samples(spark):
 
 @fixture("id varchar, origin varchar", [("a", "strict_manual"), ("q", "public_candidate"), ("s", "supplemental_candidate")])
 def f13_combined_pools(spark):
-    manual = adverts.manual_pool(clean(spark))
+    rows = shared_copy(clean(spark), "normalized")
+    manual = shared_copy(adverts.manual_pool(rows), "pool")
     other = manual.withColumns({"id": F.lit("q"), "job_title": F.lit("t")})
     more = manual.withColumns({"id": F.lit("s"), "company": F.lit("z"), "meta": F.lit("{}")})
-    both = adverts.combined_pool(clean(spark), other.unionByName(manual.withColumn("id", F.lit("p"))), more)
+    both = adverts.combined_pool(rows, other.unionByName(manual.withColumn("id", F.lit("p"))), more)
     return both.select("id", F.get_json_object("meta", "$.pool_origin").alias("origin"))
 
 

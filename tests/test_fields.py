@@ -225,3 +225,11 @@ def test_rows_for_training(spark, clean):
     ids = lambda df: sorted(r.id for r in df.collect())
     assert ids(adverts.training_rows(clean)) == ["a"] and ids(adverts.training_rows(clean, weak=True)) == ["a", "f"] and ids(adverts.training_rows(clean, weak=True, total=1)) == ["a"]
     assert ids(adverts.training_rows(clean, strict=False)) == list("abcdefg") and ids(adverts.supplemental_pool(clean)) == ["f"]
+
+
+def test_combined_pool_plans_do_not_hold_their_parts(spark):
+    """Of rows with a costly plan, the pool's plan holds no more than what reads the written parts."""
+    from curatrix.plans.fixtures import f13_combined_pools
+
+    plan = f13_combined_pools(spark)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000 and "LogicalRDD" not in plan
