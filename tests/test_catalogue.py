@@ -75,6 +75,42 @@ def test_jaccard_pairs_match_brute_force(spark):
     assert {(r.left_id, r.right_id) for r in got.collect()} == want
 
 
+def test_jaccard_pairs_write_no_sets_and_lose_none(spark, monkeypatch):
+    import random
+
+    rng, made = random.Random(5), []
+    copied = dedup.shared_copy
+
+    def noted(df, name):
+        out = copied(df, name)
+        made.append(out.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(dedup, "shared_copy", noted)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(2000)) for _ in range(100)]
+    df = spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)], "id long, bucket string, t string")
+    assert dedup.jaccard_pairs(df, "id", "bucket", "t").count() == 0 and sum(made) < 400_000
+    for n in (1, 4, 5, 6, 7, 12, 40, 160, 700):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 1 + n // 90)):
+                k = rng.randrange(len(own))
+                own[k : k + rng.randint(0, 1)] = rng.choices("abcxyz", k=rng.randint(0, 2)) or ["q"]
+            texts.append("".join(own) + "z" * rng.choice((0, 0, n // 50)))
+    texts += ["aaaaa", "aaaaaa", "aaaaaaa", "bbbb", "bbbbb"]
+    rows = [(i, rng.choice("xy"), t) for i, t in enumerate(texts[100:])] + [(9999, None, texts[-1])]
+    least, want = {}, {}
+    for i, b, t in rows[:-1]:
+        least.setdefault((b, t), i)
+    own = {k: dedup.shingles(k[1], 5) for k in least}
+    for threshold in (0.9, 0.6, 1.0):
+        want = {(i, j): len(own[k] & own[m]) / len(own[k] | own[m]) for k, i in least.items() for m, j in least.items() if k[0] == m[0] and i < j}
+        want = {k: v for k, v in want.items() if v >= threshold}
+        got = dedup.jaccard_pairs(spark.createDataFrame(rows, "id long, bucket string, t string"), "id", "bucket", "t", threshold).collect()
+        assert {(r.left_id, r.right_id): r.jaccard for r in got} == want and len(got) == len(want) > 0
+
+
 def test_policy_rounds_half_to_even(spark):
     p = matching.Policy()
     row = spark.range(1).select(p.score(F.lit(True), F.lit(2), F.lit(1), F.lit(True), F.lit(False), F.lit(3)).alias("s")).first()
