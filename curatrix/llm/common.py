@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curatrix.sources.store import shared_folder
 
 #: Bytes of an Arrow batch: a task holds one in the executor and one in Python.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 #: Rows of a slice of an Arrow batch in Python; texts can be long.
 BATCH_ROWS = 500
 

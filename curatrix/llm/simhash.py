@@ -61,6 +61,10 @@ RUN_ROWS = 4096
 WIDE_SHINGLE, SIMILARITY, ROUNDS = 5, 0.8, 4
 #: Most pairs that a set of a crowded shingle gives at once, and the sets of such a shingle that are compared with all others.
 PAIRS, PIVOTS = 4, 2
+#: Times as many such sets in each next round, as long as they give no more pairs of a shingle at once than these.
+MORE_PIVOTS, CROWD_PAIRS = 4, 4_000_000
+#: Sets of a shingle that are compared with all its others at a time.
+BLOCK_ROWS = 64
 #: Texts whose shingles are counted for the order of all (any order gives the same links), and cells of that count.
 ORDER_TEXTS, ORDER_CELLS = 2048, 1 << 20
 #: Bits of a set that hold the parity of its hashes in as many cells: sets differ in at least as many hashes as bits.
@@ -341,15 +345,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return _grouped(docs, max_bits).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, h, set, mins, n, parity): set hashes the set of n shingles, mins are its MinHashes (none of an empty set), parity
-    whether an odd number of its hashes falls into each of PARITY_BITS cells."""
+def wide_sets(docs: DataFrame, counts: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """(doc_id, h, set, mins, n, parity, prefix): set hashes the set of n shingles, mins are its MinHashes (none of an empty set),
+    parity whether an odd number of its hashes falls into each of PARITY_BITS cells, prefix its rarest shingles by ``counts``, of
+    which sets that link share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in pieces(batches):
-            sets, mins, sizes, parity = [], [], [], []
+            sets, mins, sizes, parity, prefix = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 own = np.unique(shingle_hashes(t, size))
                 sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
@@ -358,14 +363,16 @@ def wide_sets(docs: DataFrame, size: int) -> DataFrame:
                 parity.append(np.packbits(cells.astype(np.uint8)).tobytes())
                 mixed = [own * np.uint64(salt) for salt in ROUND_SALTS[:ROUNDS]] if len(own) else []
                 mins.append(np.array([(m ^ (m >> np.uint64(32))).min() for m in mixed], dtype=np.uint64).view(np.int64).tolist())
+                most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+                prefix.append(own[np.lexsort((own, counts[own & np.uint64(ORDER_CELLS - 1)]))[:most]].view(np.int64))
             columns = [batch.column("doc_id"), batch.column("h"), pa.array(np.array(sets, dtype=np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64()))]
-            columns += [pa.array(sizes, pa.int32()), pa.array(parity, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "set", "mins", "n", "parity"])
+            columns += [pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "set", "mins", "n", "parity", "prefix"])
 
     bound_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text"
-    ).mapInArrow(run, "doc_id long, h long, set long, mins array<long>, n int, parity binary")
+    ).mapInArrow(run, "doc_id long, h long, set long, mins array<long>, n int, parity binary, prefix array<long>")
 
 
 def first_pairs(nodes: DataFrame) -> DataFrame:
@@ -391,32 +398,16 @@ def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
     return counts
 
 
-def prefixes(texts: DataFrame, counts: np.ndarray, size: int, similarity: float) -> DataFrame:
-    """(key, set, grp, n, at) of ``texts`` (set, grp, text): the rarest shingles of each set of n, of which sets that link share one;
-    ``at`` is the place of the shingle in the order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            keys, kept = [], []
-            for t in batch.column("text").to_pylist():
-                own = np.unique(shingle_hashes(t, size))
-                most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
-                keys.append(own[np.lexsort((own, counts[own & np.uint64(ORDER_CELLS - 1)]))[:most]])
-                kept.append((most, len(own)))
-            if not keys:
-                continue
-            rows, n = (np.array(v, dtype=np.int64) for v in zip(*kept, strict=True))
-            at = np.concatenate([np.arange(m) for m in rows]).astype(np.int32)
-            named = [pa.array(np.repeat(batch.column(c).to_numpy(), rows)) for c in ("set", "grp")]
-            key = pa.array(np.concatenate(keys).view(np.int64))
-            yield pa.RecordBatch.from_arrays([key, *named, pa.array(np.repeat(n, rows).astype(np.int32)), pa.array(at)], ["key", "set", "grp", "n", "at"])
-
-    return texts.select("set", "grp", "text").mapInArrow(run, "key long, set long, grp long, n int, at int")
+def prefixes(marked: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, set, grp, n, at) of the sets ``named`` (set, grp, n), a row for each shingle of their prefixes in ``marked``; ``at`` is
+    the place of the shingle in the order."""
+    own = marked.groupBy("set").agg(F.first("prefix").alias("prefix"))  # rows of a set have the same
+    return own.join(named, "set").select(F.posexplode("prefix").alias("at", "key"), "set", "grp", "n").select("key", "set", "grp", "n", "at")
 
 
-def crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def crossing(batches: Iterator[pa.RecordBatch], similarity: float, pivots: int = PIVOTS) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of sets under one key in different groups that may link, of rows (key, set, grp, n, at) sorted by key and set.
-    Of a key with too many, the pairs of PIVOTS sets, and a row without b for each other set."""
+    Of a key with too many, the pairs of ``pivots`` sets of different groups, and a row without b for each other set."""
     names = ["key", "set", "grp", "n", "at"]
 
     def may_link(run: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -444,8 +435,8 @@ def crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             run = run[:, np.concatenate(([True], run[1, 1:] != run[1, :-1]))]  # rows that repeat a set
             m, none = run.shape[1], np.zeros(0, dtype=np.int64)
             found, n = [], 0
-            for k in range(0, m if m <= RUN_ROWS else 0, 512):
-                own = np.arange(k, min(k + 512, m))
+            for k in range(0, m if m <= RUN_ROWS else 0, BLOCK_ROWS):
+                own = np.arange(k, min(k + BLOCK_ROWS, m))
                 x, y = np.nonzero(may_link(run, own) & (own[:, None] < np.arange(m)))
                 found.append((own[x], y))
                 n += len(x)
@@ -455,9 +446,12 @@ def crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
                 if n:
                     yield out(run, *(np.concatenate(v) for v in zip(*found, strict=True)), none)
                 continue
-            pivots = np.sort(np.unique(run[2], return_index=True)[1][:PIVOTS])
-            x, y = np.nonzero(may_link(run, pivots))
-            yield out(run, pivots[x], y, np.setdiff1d(np.arange(m), pivots))
+            first = np.sort(np.unique(run[2], return_index=True)[1][: min(pivots, max(PIVOTS, CROWD_PAIRS // m))])
+            for k in range(0, len(first), step := max(1, CROWD_PAIRS // 16 // m)):
+                own = first[k : k + step]
+                x, y = np.nonzero(may_link(run, own) & ~np.isin(np.arange(m), first[:k]))
+                yield out(run, own[x], y, none)
+            yield out(run, none, none, np.setdiff1d(np.arange(m), first))
 
     held = np.zeros((5, 0), dtype=np.int64)
     for batch in batches:
@@ -490,12 +484,12 @@ def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
     return rows.alias("r").join(named.alias("w"), same).select("w.*", "text")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets whose shingles have at least the similarity in common. Only texts in a pair are read again,
-    one for each set."""
-    pairs = materialize(possible(pairs, nodes, similarity), "possible")
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float, files: int) -> DataFrame:
+    """The pairs (a, b) of sets whose shingles have at least the similarity in common, in so many files. Only texts in a pair are
+    read again, one for each set; the tables in between are removed."""
+    pairs, pairs_folder = written(possible(pairs, nodes, similarity), "possible")
     named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = materialize(nodes.join(named, "set").select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h")), "named")
+    wanted, named_folder = written(nodes.join(named, "set").select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h")), "named")
     wanted = F.broadcast(wanted) if wanted.count() <= NAMED_ROWS else wanted
     texts = texts_of(docs, wanted).select("set", "text")
 
@@ -505,7 +499,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, sim
             yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(own, pa.binary())], ["set", "own"])
 
     # Rows that repeat the id and the text give one set several times.
-    sets = materialize(texts.mapInArrow(hashed, "set long, own binary").groupBy("set").agg(F.min("own").alias("own")), "shingles")
+    sets, sets_folder = written(texts.mapInArrow(hashed, "set long, own binary").groupBy("set").agg(F.min("own").alias("own")), "shingles")
     one, two = (sets.select(F.col("set").alias(x), F.col("own").alias(f"own_{x}")) for x in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
 
@@ -519,43 +513,51 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, sim
             kept = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
-    return both.select("a", "b", "own_a", "own_b").mapInArrow(compared, "a long, b long")
+    found = materialize(both.select("a", "b", "own_a", "own_b").mapInArrow(compared, "a long, b long").repartition(files), "links")
+    for folder in (pairs_folder, named_folder, sets_folder):
+        remove(docs.sparkSession, folder)
+    return found
 
 
-def set_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, root) of every set of ``nodes`` (set, lead, mins, n, parity) with a link, root the least set that links connect it with."""
+def set_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, root) of every set of ``nodes`` (set, lead, mins, n, parity) with a link, root the least set that links connect it with;
+    ``marked`` has their prefixes."""
     files = parts_for(nodes.count())
-    check = lambda pairs: materialize(verified(pairs, docs, nodes, size, similarity).coalesce(files), "links")
-    found = check(materialize(first_pairs(nodes).coalesce(files), "first"))
-    roots = components(found)
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        pairs, folder = written(pairs.coalesce(files), name)
+        out = None if pairs.isEmpty() else verified(pairs, docs, nodes, size, similarity, files)
+        remove(docs.sparkSession, folder)
+        return out
+
+    found = check(first_pairs(nodes), "first")
+    roots = components(docs.sparkSession.createDataFrame([], "a long, b long") if found is None else found)
     grouped = lambda df: df.join(roots, df["set"] == roots["node"], "left").withColumn("grp", F.coalesce("root", "set"))
-    named = grouped(nodes).select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h"), "grp")
-    rows = prefixes(texts_of(docs, named), shingle_counts(docs, size), size, similarity)
-    folder = None
+    rows = prefixes(marked, grouped(nodes).select("set", "grp", "n"))
+    folder, pivots = None, PIVOTS
     while True:
         dealt = rows.repartition("key").sortWithinPartitions("key", "set")
         shape = "key long, a long, b long, n long, at long"
-        seen, new = written(dealt.mapInArrow(lambda it: crossing(it, similarity), shape), "crossing")
+        seen, new = written(dealt.mapInArrow(lambda it, n=pivots: crossing(it, similarity, n), shape), "crossing")
         if folder:
             remove(docs.sparkSession, folder)
         folder = new
-        pairs = materialize(seen.filter("b is not null").select("a", "b").distinct().coalesce(files), "pairs")
-        if not pairs.isEmpty():
-            found = found.unionByName(check(pairs))
-            roots = components(found)
+        more = check(seen.filter("b is not null").select("a", "b").distinct(), "pairs")
+        if more is not None and not more.isEmpty():
+            roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
         rest = seen.filter("b is null").select("key", F.col("a").alias("set"), "n", "at")
         if rest.isEmpty():
             return roots
-        rows = grouped(rest).select("key", "set", "grp", "n", "at")
+        rows, pivots = grouped(rest).select("key", "set", "grp", "n", "at"), pivots * MORE_PIVOTS
 
 
 def similar(docs: DataFrame, *, size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, h, lead) of every row: lead is the first (no_id, doc_id, h) of its group, texts that similarities connect."""
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    marked = materialize(wide_sets(docs, size), "sets")
+    marked = materialize(wide_sets(docs, shingle_counts(docs, size), size, similarity), "sets")
     nodes = materialize(marked.groupBy("set").agg(F.min(lead).alias("lead"), F.min("mins").alias("mins"), F.min("n").alias("n"), F.min("parity").alias("parity")), "nodes")
     files = parts_for(nodes.count())
-    roots = set_links(docs, nodes, size, similarity)
+    roots = set_links(docs, marked, nodes, size, similarity)
     rooted = materialize(nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "lead", "root").coalesce(files), "rooted")
     linked = rooted.filter("root is not null")
     lowest = linked.groupBy("root").agg(F.min("lead").alias("least"))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and defined results on small tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -669,3 +670,38 @@ def test_similar_texts_lose_no_link_in_crowds(spark):
         left = [a for m in made for a, b in zip(m["a"], m["b"], strict=True) if b is None]
         run, at = np.array([[0, k, k, 50, 0] for k in left]).reshape(-1, 5).T, at + 1
     assert set(pairs) == {(a, b) for b in range(30) for a in range(b)} and at > 5
+
+
+def test_similar_texts_take_little_memory(spark, monkeypatch):
+    """Arrow batches of texts are small, the sets of a crowded shingle are compared in small blocks, and no table in between stays."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from curatrix.llm import common, simhash
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    common.bound_batches(spark)
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("text "), 1000).alias("text"))
+    assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 3_000_000
+    names = ["key", "set", "grp", "n", "at"]
+    run = [np.full(4096, 1), np.arange(4096), np.arange(4096), np.arange(4096) * 5 + 50, np.zeros(4096, dtype=np.int64)]
+    tracemalloc.start()
+    list(simhash.crossing(iter([pa.RecordBatch.from_arrays([pa.array(v) for v in run], names)]), 0.8))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25_000_000
+    folders, write = [], simhash.written
+
+    def noted(df, name):
+        out = write(df, name)
+        folders.append((name, out[1].removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(simhash, "written", noted)
+    simhash.similar(spark.createDataFrame(near_copies(), "doc_id long, text string")).collect()
+    assert {"first", "possible", "named", "shingles", "pairs"} <= {name for name, _ in folders}
+    assert not [name for name, path in folders if name not in ("edges", "crossing") and os.path.exists(path)]
