@@ -26,8 +26,11 @@ groups. Then each set goes under the shingles of its prefix, rare ones first,
 of which two sets that link share one at least; sets under one shingle and in
 different groups are compared on their whole sets. A shingle with more such
 pairs than :data:`PAIRS` a set deals :data:`PIVOTS` sets at a time against all
-others and drops them, until none is left, so a step's rows stay linear and no
-pair is lost.
+others and drops them, until none is left. What is left of such shingles goes
+on with the parities of its sets, so only pairs that may link leave a task, and
+of many pairs one for each set is compared on whole sets first: those that are
+in one group by then need no comparison. So a step's rows and the sets that
+move stay linear where sets are alike, and no link is lost.
 
 Defined results: null and empty texts have the fingerprint zero and link like
 any other; texts under four words are one shingle; repeated rows come back as
@@ -40,7 +43,7 @@ ignored elsewhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, compress
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +70,11 @@ MORE_PIVOTS, CROWD_PAIRS = 4, 4_000_000
 BLOCK_ROWS = 64
 #: Texts whose shingles are counted for the order of all (any order gives the same links), and cells of that count.
 ORDER_TEXTS, ORDER_CELLS = 2048, 1 << 20
-#: Bits of a set that hold the parity of its hashes in as many cells: sets differ in at least as many hashes as bits.
+#: Least bits of a set that hold the parity of its hashes in as many cells: sets differ in at least as many hashes as bits. Larger
+#: sets have the first power of two above three fifths of their size, as few cells would be about half odd whatever the sets.
 PARITY_BITS = 1024
+#: Bytes of parities that are compared at a time.
+PARITY_BYTES = 1 << 21
 #: Most named sets that are broadcast to the texts.
 NAMED_ROWS = 100_000
 #: Odd numbers that make further hashes from one hash of a shingle.
@@ -347,7 +353,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def wide_sets(docs: DataFrame, counts: np.ndarray, size: int, similarity: float) -> DataFrame:
     """(doc_id, h, set, mins, n, parity, prefix): set hashes the set of n shingles, mins are its MinHashes (none of an empty set),
-    parity whether an odd number of its hashes falls into each of PARITY_BITS cells, prefix its rarest shingles by ``counts``, of
+    parity whether an odd number of its hashes falls into each cell, prefix its rarest shingles by ``counts``, of
     which sets that link share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,8 +365,7 @@ def wide_sets(docs: DataFrame, counts: np.ndarray, size: int, similarity: float)
                 own = np.unique(shingle_hashes(t, size))
                 sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
-                cells = np.bincount((own >> np.uint64(32)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
-                parity.append(np.packbits(cells.astype(np.uint8)).tobytes())
+                parity.append(parity_of(own))
                 mixed = [own * np.uint64(salt) for salt in ROUND_SALTS[:ROUNDS]] if len(own) else []
                 mins.append(np.array([(m ^ (m >> np.uint64(32))).min() for m in mixed], dtype=np.uint64).view(np.int64).tolist())
                 most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
@@ -407,7 +412,8 @@ def prefixes(marked: DataFrame, named: DataFrame) -> DataFrame:
 
 def crossing(batches: Iterator[pa.RecordBatch], similarity: float, pivots: int = PIVOTS) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of sets under one key in different groups that may link, of rows (key, set, grp, n, at) sorted by key and set.
-    Of a key with too many, the pairs of ``pivots`` sets of different groups, and a row without b for each other set."""
+    Of a key with too many, the pairs of ``pivots`` sets of different groups, and a row without b for each other set. Rows with a
+    ``parity`` give only pairs whose parities let them link."""
     names = ["key", "set", "grp", "n", "at"]
 
     def may_link(run: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -424,7 +430,7 @@ def crossing(batches: Iterator[pa.RecordBatch], similarity: float, pivots: int =
         second = pa.concat_arrays([pa.array(b), pa.nulls(len(rest), pa.int64())])
         return pa.RecordBatch.from_arrays([some(none, run[0]), some(a, run[1]), second, some(none, run[3]), some(none, run[4])], ["key", "a", "b", "n", "at"])
 
-    def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def closed(rows: np.ndarray, parity: list[bytes]) -> Iterator[pa.RecordBatch]:
         key, grp = rows[0], rows[2]
         if len(key) < 2:
             return
@@ -432,13 +438,16 @@ def crossing(batches: Iterator[pa.RecordBatch], similarity: float, pivots: int =
         mixed = np.minimum.reduceat(grp, heads) != np.maximum.reduceat(grp, heads)
         for s, e in zip(heads[mixed].tolist(), np.append(heads[1:], len(key))[mixed].tolist(), strict=True):
             run = rows[:, s:e]
-            run = run[:, np.concatenate(([True], run[1, 1:] != run[1, :-1]))]  # rows that repeat a set
+            once = np.concatenate(([True], run[1, 1:] != run[1, :-1]))  # rows may repeat a set
+            run = run[:, once]
+            bits = Parities(list(compress(parity[s:e], once)), run[3], similarity) if parity else None
             m, none = run.shape[1], np.zeros(0, dtype=np.int64)
             found, n = [], 0
             for k in range(0, m if m <= RUN_ROWS else 0, BLOCK_ROWS):
                 own = np.arange(k, min(k + BLOCK_ROWS, m))
                 x, y = np.nonzero(may_link(run, own) & (own[:, None] < np.arange(m)))
-                found.append((own[x], y))
+                x, y = (own[x], y) if bits is None else bits.may_link(own[x], y)
+                found.append((x, y))
                 n += len(x)
                 if n > PAIRS * m:
                     break
@@ -450,16 +459,59 @@ def crossing(batches: Iterator[pa.RecordBatch], similarity: float, pivots: int =
             for k in range(0, len(first), step := max(1, CROWD_PAIRS // 16 // m)):
                 own = first[k : k + step]
                 x, y = np.nonzero(may_link(run, own) & ~np.isin(np.arange(m), first[:k]))
-                yield out(run, own[x], y, none)
+                yield out(run, *((own[x], y) if bits is None else bits.may_link(own[x], y)), none)
             yield out(run, none, none, np.setdiff1d(np.arange(m), first))
 
-    held = np.zeros((5, 0), dtype=np.int64)
+    held, parity = np.zeros((5, 0), dtype=np.int64), []
     for batch in batches:
         held = np.concatenate((held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])), axis=1)
+        parity += batch.column("parity").to_pylist() if "parity" in batch.schema.names else []
         last = int(np.searchsorted(held[0], held[0, -1], side="left")) if held.shape[1] else 0
-        yield from closed(held[:, :last])
-        held = held[:, last:]
-    yield from closed(held)
+        yield from closed(held[:, :last], parity[:last])
+        held, parity = held[:, last:], parity[last:]
+    yield from closed(held, parity)
+
+
+def parity_of(own: np.ndarray) -> bytes:
+    """The parity of a set's hashes in each cell. Half as many cells have the exclusive or of both halves."""
+    width = max(PARITY_BITS, 1 << (3 * len(own) // 5).bit_length())
+    cells = np.bincount(((own >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(cells.astype(np.uint8)).tobytes()
+
+
+class Parities:
+    """Parities of sets of ``n`` shingles, which tell of most pairs that their sets can't have the similarity."""
+
+    def __init__(self, parity: list[bytes], n: np.ndarray, similarity: float) -> None:
+        self.parity, self.n, self.share = parity, n, (1 - similarity) / (1 + similarity)
+        self.width = np.array([len(v) for v in parity], dtype=np.int64)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def level(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, place): parities of at least so many bytes folded to them, and the row of each set."""
+        if width not in self.levels:
+            at = np.flatnonzero(self.width >= width)
+            place = np.zeros(len(self.width), dtype=np.int64)
+            place[at] = np.arange(len(at))
+            rows = [np.bitwise_xor.reduce(np.frombuffer(self.parity[k], dtype=np.uint64).reshape(-1, width // 8), axis=0) for k in at.tolist()]
+            self.levels[width] = np.stack(rows), place
+        return self.levels[width]
+
+    def test(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the sets x and y differ in no more bits than the similarity lets them differ in shingles; it loses no link."""
+        width, both, good = np.minimum(self.width[x], self.width[y]), self.n[x] + self.n[y], np.zeros(len(x), dtype=bool)
+        for w in np.unique(width).tolist():
+            rows, place = self.level(w)
+            which, step = np.flatnonzero(width == w), max(1, PARITY_BYTES // w)
+            for k in range(0, len(which), step):
+                at = which[k : k + step]
+                differ = np.bitwise_count(rows[place[x[at]]] ^ rows[place[y[at]]]).sum(axis=1)
+                good[at] = differ <= self.share * both[at] + 1e-6
+        return good & (np.abs(self.n[x] - self.n[y]) <= self.share * both + 1e-6)
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = self.test(x, y)
+        return x[good], y[good]
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -468,9 +520,9 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            x, y = (np.frombuffer(b"".join(batch.column(f"parity_{c}").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in "ab")
-            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            kept = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= (1 - similarity) / (1 + similarity) * both + 1e-6)
+            parity, n = ([v for c in "ab" for v in batch.column(f"{name}_{c}").to_pylist()] for name in ("parity", "n"))
+            at = np.arange(batch.num_rows)
+            kept = pa.array(Parities(parity, np.array(n, dtype=np.int64), similarity).test(at, at + batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], ["a", "b"])
 
     joined = pairs.join(one, "a").join(two, "b")
@@ -484,14 +536,21 @@ def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
     return rows.alias("r").join(named.alias("w"), same).select("w.*", "text")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float, files: int) -> DataFrame:
-    """The pairs (a, b) of sets whose shingles have at least the similarity in common, in so many files. Only texts in a pair are
-    read again, one for each set; the tables in between are removed."""
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets in different groups of ``roots`` (node, root)."""
+    group = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(group("a"), "a", "left").join(group("b"), "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def verified(roots: DataFrame | None, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float, files: int) -> DataFrame | None:
+    """The groups ``roots`` (node, root; None if there are none yet), joined by those pairs (a, b) of sets whose shingles have at
+    least the similarity in common. Only texts in a pair are read again, one for each set; the tables in between are removed."""
     pairs, pairs_folder = written(possible(pairs, nodes, similarity), "possible")
     named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     wanted, named_folder = written(nodes.join(named, "set").select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h")), "named")
-    wanted = F.broadcast(wanted) if wanted.count() <= NAMED_ROWS else wanted
-    texts = texts_of(docs, wanted).select("set", "text")
+    n = wanted.count()
+    texts = texts_of(docs, F.broadcast(wanted) if n <= NAMED_ROWS else wanted).select("set", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -501,7 +560,6 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, sim
     # Rows that repeat the id and the text give one set several times.
     sets, sets_folder = written(texts.mapInArrow(hashed, "set long, own binary").groupBy("set").agg(F.min("own").alias("own")), "shingles")
     one, two = (sets.select(F.col("set").alias(x), F.col("own").alias(f"own_{x}")) for x in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -513,10 +571,22 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, sim
             kept = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
-    found = materialize(both.select("a", "b", "own_a", "own_b").mapInArrow(compared, "a long, b long").repartition(files), "links")
+    def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "own_a", "own_b")
+        found = materialize(both.mapInArrow(compared, "a long, b long").repartition(files), "links")
+        if found.isEmpty():
+            return roots
+        return components(found if roots is None else roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
+
+    if pairs.count() > PAIRS * n:
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        roots = joined(roots, first)
+        rest = pairs.join(first, ["a", "b"], "left_anti")
+        pairs = rest if roots is None else apart(rest, roots)
+    roots = joined(roots, pairs)
     for folder in (pairs_folder, named_folder, sets_folder):
         remove(docs.sparkSession, folder)
-    return found
+    return roots
 
 
 def set_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -524,14 +594,14 @@ def set_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, size: int, s
     ``marked`` has their prefixes."""
     files = parts_for(nodes.count())
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
+    def check(roots: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame | None:
         pairs, folder = written(pairs.coalesce(files), name)
-        out = None if pairs.isEmpty() else verified(pairs, docs, nodes, size, similarity, files)
+        out = roots if pairs.isEmpty() else verified(roots, pairs, docs, nodes, size, similarity, files)
         remove(docs.sparkSession, folder)
         return out
 
-    found = check(first_pairs(nodes), "first")
-    roots = components(docs.sparkSession.createDataFrame([], "a long, b long") if found is None else found)
+    roots = check(None, first_pairs(nodes), "first")
+    roots = components(docs.sparkSession.createDataFrame([], "a long, b long")) if roots is None else roots
     grouped = lambda df: df.join(roots, df["set"] == roots["node"], "left").withColumn("grp", F.coalesce("root", "set"))
     rows = prefixes(marked, grouped(nodes).select("set", "grp", "n"))
     folder, pivots = None, PIVOTS
@@ -542,13 +612,11 @@ def set_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, size: int, s
         if folder:
             remove(docs.sparkSession, folder)
         folder = new
-        more = check(seen.filter("b is not null").select("a", "b").distinct(), "pairs")
-        if more is not None and not more.isEmpty():
-            roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+        roots = check(roots, seen.filter("b is not null").select("a", "b").distinct(), "pairs")
         rest = seen.filter("b is null").select("key", F.col("a").alias("set"), "n", "at")
         if rest.isEmpty():
             return roots
-        rows, pivots = grouped(rest).select("key", "set", "grp", "n", "at"), pivots * MORE_PIVOTS
+        rows, pivots = grouped(rest).join(nodes.select("set", "parity"), "set").select("key", "set", "grp", "n", "at", "parity"), pivots * MORE_PIVOTS
 
 
 def similar(docs: DataFrame, *, size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -672,6 +672,32 @@ def test_similar_texts_lose_no_link_in_crowds(spark):
     assert set(pairs) == {(a, b) for b in range(30) for a in range(b)} and at > 5
 
 
+def test_parities_part_long_and_crowded_sets():
+    """Parities tell long unrelated sets apart whatever their width, lose no link, and keep a crowd's other pairs in their task."""
+    import pyarrow as pa
+
+    from curatrix.llm import simhash
+
+    rng = np.random.default_rng(5)
+    new = lambda n: rng.integers(1 << 63, size=n).astype(np.uint64)
+    base = new(4200)
+    sets = [np.concatenate((base[cut:], new(extra))) for cut, extra in ((0, 0), (200, 0), (400, 300), (0, 900), (460, 460), (700, 0))]
+    sets += [new(n) for n in (3000, 4000, 4095, 4096, 5000, 900, 1100)]
+    parity = simhash.Parities([simhash.parity_of(s) for s in sets], np.array([len(s) for s in sets]), 0.8)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(x, sets[j]))
+            good = bool(parity.test(np.array([i]), np.array([j]))[0])
+            assert good or shared < 0.8 * (len(x) + len(sets[j]) - shared)
+            assert not good or shared
+    # 300 sets share a shingle; only ten of them may link.
+    crowd = [new(3000) for _ in range(290)] + [np.concatenate((base[: 2990], new(10))) for _ in range(10)]
+    columns = [[0] * 300, list(range(300)), list(range(300)), [len(s) for s in crowd], [0] * 300, [simhash.parity_of(s) for s in crowd]]
+    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["key", "set", "grp", "n", "at", "parity"])
+    made = [b.to_pydict() for b in simhash.crossing(iter([batch]), 0.8)]
+    assert {(a, b) for m in made for a, b in zip(m["a"], m["b"], strict=True)} == {(a, b) for b in range(290, 300) for a in range(290, b)}
+
+
 def test_similar_texts_take_little_memory(spark, monkeypatch):
     """Arrow batches of texts are small, the sets of a crowded shingle are compared in small blocks, and no table in between stays."""
     import tracemalloc
