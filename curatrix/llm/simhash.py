@@ -27,10 +27,11 @@ of which two sets that link share one at least; sets under one shingle and in
 different groups are compared on their whole sets. A shingle with more such
 pairs than :data:`PAIRS` a set deals :data:`PIVOTS` sets at a time against all
 others and drops them, until none is left. What is left of such shingles goes
-on with the parities of its sets, so only pairs that may link leave a task, and
-of many pairs one for each set is compared on whole sets first: those that are
-in one group by then need no comparison. So a step's rows and the sets that
-move stay linear where sets are alike, and no link is lost.
+on with the parities of its sets, so only pairs that may link leave a task. Of
+too many such pairs a tree of the closest goes first, and of many pairs one for
+each set is compared on whole sets first: those that are in one group by then
+need no comparison. So a step's rows and the sets that move stay linear where
+sets are alike, rounds are few, and no link is lost.
 
 Defined results: null and empty texts have the fingerprint zero and link like
 any other; texts under four words are one shingle; repeated rows come back as
@@ -43,7 +44,7 @@ ignored elsewhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, compress
+from itertools import combinations, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,8 @@ ORDER_TEXTS, ORDER_CELLS = 2048, 1 << 20
 PARITY_BITS = 1024
 #: Bytes of parities that are compared at a time.
 PARITY_BYTES = 1 << 21
+#: Most links of which one task makes the groups; each round of :func:`components` is a dozen shuffles, however few they are.
+GRAPH_ROWS = 500_000
 #: Most named sets that are broadcast to the texts.
 NAMED_ROWS = 100_000
 #: Odd numbers that make further hashes from one hash of a shingle.
@@ -332,6 +335,29 @@ def components(edges: DataFrame) -> DataFrame:
         state, parts = now, parts_for(now[0])
 
 
+def spanned(edges: DataFrame, rows: int) -> DataFrame:
+    """As :func:`components`, of ``rows`` links: in one task, if they are few."""
+    if rows > GRAPH_ROWS:
+        return components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = root(x), root(y)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (list(parent), [root(x) for x in list(parent)])], ["node", "root"])
+
+    return materialize(edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long"), "groups")
+
+
 def _grouped(docs: DataFrame, max_bits: int) -> DataFrame:
     """(doc_id, h, fp, component_id, lead) of every row; lead is the component's first (no id, doc_id, h)."""
     marked = materialize(fingerprints(docs), "fingerprints")
@@ -410,10 +436,11 @@ def prefixes(marked: DataFrame, named: DataFrame) -> DataFrame:
     return own.join(named, "set").select(F.posexplode("prefix").alias("at", "key"), "set", "grp", "n").select("key", "set", "grp", "n", "at")
 
 
-def crossing(batches: Iterator[pa.RecordBatch], similarity: float, pivots: int = PIVOTS) -> Iterator[pa.RecordBatch]:
+def crossing(batches: Iterator[pa.RecordBatch], similarity: float, pivots: int = PIVOTS, closest: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of sets under one key in different groups that may link, of rows (key, set, grp, n, at) sorted by key and set.
     Of a key with too many, the pairs of ``pivots`` sets of different groups, and a row without b for each other set. Rows with a
-    ``parity`` give only pairs whose parities let them link."""
+    ``parity`` give only pairs whose parities let them link; with ``closest``, of a key with too many a tree of the closest, and all
+    its sets come back."""
     names = ["key", "set", "grp", "n", "at"]
 
     def may_link(run: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -455,6 +482,9 @@ def crossing(batches: Iterator[pa.RecordBatch], similarity: float, pivots: int =
                 if n:
                     yield out(run, *(np.concatenate(v) for v in zip(*found, strict=True)), none)
                 continue
+            if closest and bits is not None and m <= RUN_ROWS:
+                yield out(run, *bits.tree(run[2]), np.arange(m))
+                continue
             first = np.sort(np.unique(run[2], return_index=True)[1][: min(pivots, max(PIVOTS, CROWD_PAIRS // m))])
             for k in range(0, len(first), step := max(1, CROWD_PAIRS // 16 // m)):
                 own = first[k : k + step]
@@ -497,17 +527,41 @@ class Parities:
             self.levels[width] = np.stack(rows), place
         return self.levels[width]
 
-    def test(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether the sets x and y differ in no more bits than the similarity lets them differ in shingles; it loses no link."""
-        width, both, good = np.minimum(self.width[x], self.width[y]), self.n[x] + self.n[y], np.zeros(len(x), dtype=bool)
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the sets x and y differ."""
+        width, out = np.minimum(self.width[x], self.width[y]), np.zeros(len(x), dtype=np.int64)
         for w in np.unique(width).tolist():
             rows, place = self.level(w)
             which, step = np.flatnonzero(width == w), max(1, PARITY_BYTES // w)
             for k in range(0, len(which), step):
                 at = which[k : k + step]
-                differ = np.bitwise_count(rows[place[x[at]]] ^ rows[place[y[at]]]).sum(axis=1)
-                good[at] = differ <= self.share * both[at] + 1e-6
-        return good & (np.abs(self.n[x] - self.n[y]) <= self.share * both + 1e-6)
+                out[at] = np.bitwise_count(rows[place[x[at]]] ^ rows[place[y[at]]]).sum(axis=1)
+        return out
+
+    def test(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the sets x and y differ in no more bits than the similarity lets them differ in shingles; it loses no link."""
+        most = self.share * (self.n[x] + self.n[y]) + 1e-6
+        return (self.differ(x, y) <= most) & (np.abs(self.n[x] - self.n[y]) <= most)
+
+    def tree(self, grp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs that may link, a spanning forest of those that differ least for their size; pairs of a group cost nothing
+        and are left out."""
+        rest, left, right = np.arange(len(grp)), [], []
+        cost, near = np.full(len(grp), np.inf), np.zeros(len(grp), dtype=np.int64)
+        while len(rest):
+            k = int(np.argmin(cost[rest]))
+            x = int(rest[k])
+            if 0 <= cost[x] < np.inf:
+                left.append(near[x])
+                right.append(x)
+            rest = np.delete(rest, k)
+            own = np.full(len(rest), x)
+            most = self.share * (self.n[own] + self.n[rest]) + 1e-6
+            now = np.maximum(self.differ(own, rest), np.abs(self.n[own] - self.n[rest])) / most
+            now = np.where(grp[rest] == grp[x], -1, np.where(now <= 1, now, np.inf))
+            less = now < cost[rest]
+            cost[rest[less]], near[rest[less]] = now[less], x
+        return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
     def may_link(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         good = self.test(x, y)
@@ -543,10 +597,13 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def verified(roots: DataFrame | None, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float, files: int) -> DataFrame | None:
+def verified(
+    roots: DataFrame | None, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float, files: int, tested: bool
+) -> DataFrame | None:
     """The groups ``roots`` (node, root; None if there are none yet), joined by those pairs (a, b) of sets whose shingles have at
-    least the similarity in common. Only texts in a pair are read again, one for each set; the tables in between are removed."""
-    pairs, pairs_folder = written(possible(pairs, nodes, similarity), "possible")
+    least the similarity in common. Only texts in a pair are read again, one for each set; the tables in between are removed.
+    ``tested``: the parities let all the pairs link."""
+    pairs, pairs_folder = (pairs, None) if tested else written(possible(pairs, nodes, similarity), "possible")
     named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     wanted, named_folder = written(nodes.join(named, "set").select("set", F.col("lead.doc_id").alias("id"), F.col("lead.h").alias("h")), "named")
     n = wanted.count()
@@ -574,9 +631,10 @@ def verified(roots: DataFrame | None, pairs: DataFrame, docs: DataFrame, nodes:
     def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "own_a", "own_b")
         found = materialize(both.mapInArrow(compared, "a long, b long").repartition(files), "links")
-        if found.isEmpty():
-            return roots
-        return components(found if roots is None else roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
+        n = found.count()
+        if not n or roots is None:
+            return spanned(found, n) if n else roots
+        return spanned(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found), n + roots.count())
 
     if pairs.count() > PAIRS * n:
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -584,7 +642,7 @@ def verified(roots: DataFrame | None, pairs: DataFrame, docs: DataFrame, nodes:
         rest = pairs.join(first, ["a", "b"], "left_anti")
         pairs = rest if roots is None else apart(rest, roots)
     roots = joined(roots, pairs)
-    for folder in (pairs_folder, named_folder, sets_folder):
+    for folder in filter(None, (pairs_folder, named_folder, sets_folder)):
         remove(docs.sparkSession, folder)
     return roots
 
@@ -594,25 +652,25 @@ def set_links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, size: int, s
     ``marked`` has their prefixes."""
     files = parts_for(nodes.count())
 
-    def check(roots: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame | None:
+    def check(roots: DataFrame | None, pairs: DataFrame, name: str, tested: bool = False) -> DataFrame | None:
         pairs, folder = written(pairs.coalesce(files), name)
-        out = roots if pairs.isEmpty() else verified(roots, pairs, docs, nodes, size, similarity, files)
+        out = roots if pairs.isEmpty() else verified(roots, pairs, docs, nodes, size, similarity, files, tested)
         remove(docs.sparkSession, folder)
         return out
 
     roots = check(None, first_pairs(nodes), "first")
-    roots = components(docs.sparkSession.createDataFrame([], "a long, b long")) if roots is None else roots
+    roots = docs.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
     grouped = lambda df: df.join(roots, df["set"] == roots["node"], "left").withColumn("grp", F.coalesce("root", "set"))
     rows = prefixes(marked, grouped(nodes).select("set", "grp", "n"))
     folder, pivots = None, PIVOTS
-    while True:
+    for turn in count():
         dealt = rows.repartition("key").sortWithinPartitions("key", "set")
         shape = "key long, a long, b long, n long, at long"
-        seen, new = written(dealt.mapInArrow(lambda it, n=pivots: crossing(it, similarity, n), shape), "crossing")
+        seen, new = written(dealt.mapInArrow(lambda it, n=pivots, first=turn == 1: crossing(it, similarity, n, first), shape), "crossing")
         if folder:
             remove(docs.sparkSession, folder)
         folder = new
-        roots = check(roots, seen.filter("b is not null").select("a", "b").distinct(), "pairs")
+        roots = check(roots, seen.filter("b is not null").select("a", "b").distinct(), "pairs", tested=turn > 0)
         rest = seen.filter("b is null").select("key", F.col("a").alias("set"), "n", "at")
         if rest.isEmpty():
             return roots

@@ -698,6 +698,53 @@ def test_parities_part_long_and_crowded_sets():
     assert {(a, b) for m in made for a, b in zip(m["a"], m["b"], strict=True)} == {(a, b) for b in range(290, 300) for a in range(290, b)}
 
 
+def test_crowds_take_few_rounds_and_one_task_makes_groups(spark, monkeypatch):
+    """Each round over few rows costs thousands of tasks on many partitions; trees of the closest pairs save most of them."""
+    import pyarrow as pa
+
+    from curatrix.llm import simhash
+
+    # 300 sets of 15 families share a shingle; members of a family link with the next one only.
+    rng = np.random.default_rng(7)
+    new = lambda n: rng.integers(1 << 63, size=n).astype(np.uint64)
+    sets = [f[k : k + 200] for f in (new(600) for _ in range(15)) for k in range(0, 400, 20)]
+    names, grp, pairs, turns = ["key", "set", "grp", "n", "at", "parity"], list(range(300)), set(), 0
+    linked = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 / 1.8 * 400
+    left = list(range(300))
+    monkeypatch.setattr(simhash, "PAIRS", 1)
+    while left:
+        columns = [[0] * len(left), left, [grp[k] for k in left], [200] * len(left), [0] * len(left), [simhash.parity_of(sets[k]) for k in left]]
+        batch = pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names)
+        made = [b.to_pydict() for b in simhash.crossing(iter([batch]), 0.8, closest=not turns)]
+        some = [(a, b) for m in made for a, b in zip(m["a"], m["b"], strict=True) if b is not None]
+        assert len(some) <= 300
+        for a, b in some:
+            if linked(a, b):
+                one, two = sorted((grp[a], grp[b]))
+                grp = [one if g == two else g for g in grp]
+        left = sorted(a for m in made for a, b in zip(m["a"], m["b"], strict=True) if b is None)
+        turns += 1
+    assert turns <= 2 and grp == [k // 20 * 20 for k in range(300)]
+
+    links = [(1, 2), (5, 4), (4, 3), (9, 9), (7, 2), (-8, 7), (2, 1)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in simhash.spanned(edges, len(links)).collect()}
+    assert got == {1: -8, 2: -8, 7: -8, -8: -8, 3: 3, 4: 3, 5: 3, 9: 9}
+    assert simhash.spanned(edges.filter("false"), 0).count() == 0
+
+    def none(edges):
+        raise AssertionError("few links need no rounds of shuffles")
+
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, " ".join("abcdefghijklmnopqrst")), (4, " ".join("abcdefghijklmnopqrstu"))]
+    rounds = simhash.components
+    monkeypatch.setattr(simhash, "components", none)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.lead.doc_id for r in simhash.similar(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    monkeypatch.setattr(simhash, "components", rounds)
+    monkeypatch.setattr(simhash, "GRAPH_ROWS", 0)
+    assert {r.doc_id: r.lead.doc_id for r in simhash.similar(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_similar_texts_take_little_memory(spark, monkeypatch):
     """Arrow batches of texts are small, the sets of a crowded shingle are compared in small blocks, and no table in between stays."""
     import tracemalloc
