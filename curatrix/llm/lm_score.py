@@ -32,10 +32,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import bound_batches, materialize, pieces
+from curatrix.llm.common import bound_batches, materialize
 
 #: Counts of neighbouring levels differ by this factor.
 LEVEL_BASE = 1.5
@@ -44,36 +45,47 @@ PROBES = 7
 LAMBDA = 0.8
 #: Characters of text to a block and to a shard, and the least number of either.
 BLOCK_CHARS, SHARD_CHARS, LEAST_PARTS = 1 << 24, 1 << 25, 32
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+BLANKS = " \t\n\v\f\r"
 #: Salts of words, of pairs, of steps between probes and of shards.
 WORD, PAIR, STEP, SHARD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
 
 
-class _Hashes(dict):
-    """Hashes of words; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh64_intdigest(word, 0)
-        if len(word) <= 40:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = value
-        return value
-
-
-_HASHES = _Hashes()
 END = 0xEF46DB3751D8E999  # the hash of the empty word
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text and of the end."""
-    ws = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    out = np.empty(len(ws) + 1, dtype=np.uint64)
-    out[:-1] = np.fromiter(map(_HASHES.__getitem__, ws), dtype=np.uint64, count=len(ws))
-    out[-1] = END
-    return out
+def tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of distinct words, the place there of each token, tokens of each text): the words of each text and the end."""
+    import xxhash
+
+    lower = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts, "")), BLANKS)
+    none, blank = pa.scalar("", lower.type), pa.scalar(" ", lower.type)
+    # The blank behind a text makes an empty word, the end; an empty text is one already.
+    split = pc.ascii_split_whitespace(pc.if_else(pc.equal(lower, none), lower, pc.binary_join_element_wise(lower, none, blank)))
+    found = pc.list_flatten(split).dictionary_encode().combine_chunks()
+    words = found.dictionary.cast(pa.large_binary())
+    edges, data = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1).tolist(), words.buffers()[2].to_pybytes()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(data[i:j]) for i, j in zip(edges, edges[1:], strict=False)), np.uint64, len(words))
+    return hashes, found.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
+
+
+def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.unique`` with the inverse. Numbers sort many times faster than positions, so each position replaces the lowest bits of its key."""
+    bits = np.uint64(max(len(keys) - 1, 0).bit_length())
+    packed = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ranked = keys[order]
+    wrong = ranked[1:] < ranked[:-1]
+    if wrong.any():  # among keys that differ in the lowest bits only
+        upper = ranked >> bits
+        tied = np.flatnonzero(np.isin(upper, upper[1:][wrong]))
+        order[tied] = order[tied][np.argsort(ranked[tied])]
+        ranked = keys[order]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    at = np.empty(len(keys), dtype=np.int64)
+    at[order] = np.cumsum(first) - 1
+    return ranked[first], at
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,17 +108,21 @@ class Filter:
         self.size = max(1024, entries * BITS_PER_ENTRY)
         self.bits = np.zeros(self.size // 8 + 1, dtype=np.uint8)
 
-    def places(self, key: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
-        h = mixed(key + np.asarray(level).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        step = mixed(h ^ np.uint64(STEP)) | np.uint64(1)
-        for i in range(PROBES):
-            yield (h + np.uint64(i) * step) % np.uint64(self.size)
+    def starts(self, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, step to the next), both before the size is taken off."""
+        h = mixed(key + np.uint64(level * 0x9FB21C651E98DF25 % (1 << 64)))
+        return h, mixed(h ^ np.uint64(STEP)) | np.uint64(1)
 
     def enter(self, key: np.ndarray, levels: np.ndarray) -> None:
         """Enter each key under levels 1 .. levels."""
+        entered = np.zeros(len(self.bits) * 8, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for at in self.places(key[levels >= level], level):
-                np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+            h, step = self.starts(key[levels >= level], level)
+            for i in range(PROBES):
+                at = (h + np.uint64(i) * step) % np.uint64(self.size)
+                at.sort()  # memory is written faster in order
+                entered[at] = True
+        self.bits |= np.packbits(entered, bitorder="little")
 
     def level(self, key: np.ndarray) -> np.ndarray:
         """The highest level under which each key is found, by probing until one is missing."""
@@ -114,16 +130,11 @@ class Filter:
         alive, level = np.arange(len(key)), 0
         while len(alive):
             level += 1
-            for at in self.places(key[alive], level):
-                there = self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-                break
-            keep = there.astype(bool)
-            alive_now = alive[keep]
-            for i, at in enumerate(self.places(key[alive_now], level)):
-                if i and len(alive_now):
-                    there = self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-                    keep = there.astype(bool) if i == 1 else keep & there.astype(bool)
-            alive = alive_now[keep] if len(alive_now) else alive_now
+            h, step = self.starts(key[alive], level)
+            for i in range(PROBES):
+                at = (h + np.uint64(i) * step) % np.uint64(self.size)
+                there = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                alive, h, step = alive[there], h[there], step[there]
             out[alive] = level
         return out
 
@@ -149,36 +160,36 @@ def logs(single: np.ndarray, joint: np.ndarray, history: np.ndarray, norm: float
 class Block:
     """The tokens of a block of texts and its distinct words and pairs, in the order in which shards are asked."""
 
-    def __init__(self, texts: list[str | None], shards: int):
-        found = [tokens(t) for t in texts]
-        self.sizes = np.array([len(t) for t in found], dtype=np.int64)
+    def __init__(self, texts: pa.ChunkedArray, shards: int):
+        hashes, at, self.sizes = tokens(texts)
         self.heads = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
-        self.words = np.concatenate(found)
-        self.before = np.concatenate(([END], self.words[:-1])).astype(np.uint64)
-        self.before[self.heads] = END
-        self.pairs = pair_hash(self.before, self.words)
+        after = hashes[at]
+        before = np.concatenate(([END], after[:-1])).astype(np.uint64)
+        before[self.heads] = END
+        words, same = distinct_of(hashes)
+        #: Of words and of pairs: (distinct keys, the place there of each token).
+        self.words, self.pairs = (words, same[at]), distinct_of(pair_hash(before, after))
         self.shards = shards
 
     def order(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(shard of each key, order by shards and then by keys) of sorted keys."""
-        shard = (mixed(distinct ^ np.uint64(SHARD)) % np.uint64(self.shards)).astype(np.int64)
+        # A stable order of short numbers takes no comparisons.
+        shard = (mixed(distinct ^ np.uint64(SHARD)) % np.uint64(self.shards)).astype(np.min_scalar_type(self.shards))
         return shard, np.argsort(shard, kind="stable")
 
-    def asked(self, keys: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    def asked(self, keys: tuple[np.ndarray, np.ndarray], train: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
         """(shard, keys, counts in training documents)."""
-        distinct = np.unique(keys)
-        trained, n = np.unique(keys[train], return_counts=True)
-        count = np.zeros(len(distinct), dtype=np.uint32)
-        count[np.searchsorted(distinct, trained)] = n
+        distinct, at = keys
+        count = np.bincount(at[train], minlength=len(distinct)).astype(np.uint32)
         shard, order = self.order(distinct)
         distinct, count = distinct[order], count[order]
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=self.shards))))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             yield k, distinct[edges[k] : edges[k + 1]].tobytes(), count[edges[k] : edges[k + 1]].tobytes()
 
-    def answered(self, keys: np.ndarray, answers: np.ndarray) -> np.ndarray:
-        """The answer to each of ``keys`` from the shards' answers in their order."""
-        distinct, at = np.unique(keys, return_inverse=True)
+    def answered(self, keys: tuple[np.ndarray, np.ndarray], answers: np.ndarray) -> np.ndarray:
+        """The answer to each token's key from the shards' answers in their order."""
+        distinct, at = keys
         if len(answers) != len(distinct):
             raise ValueError(f"{len(answers)} answers to {len(distinct)} n-grams")
         out = np.empty(len(distinct), dtype=answers.dtype)
@@ -186,9 +197,20 @@ class Block:
         return out[at]
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in pieces(batches):
-        yield from batch.to_pylist()
+def runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """(values of the columns ``by``, the rows that have them) of batches sorted by these."""
+    last, held = None, []
+    for batch in batches:
+        at = 0
+        for key, rows in groupby(zip(*(batch.column(c).to_pylist() for c in by), strict=True)):
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            n = sum(1 for _ in rows)
+            last, at = key, at + n
+            held.append(batch.slice(at - n, n))
+    if held:
+        yield last, pa.Table.from_batches(held)
 
 
 ASKED = "block int, shard int, kind int, keys binary, counts binary"
@@ -197,10 +219,9 @@ ANSWERED = "block int, shard int, kind int, levels binary, exact binary, n long,
 
 def ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """What the blocks of rows (block, held_out, text) sorted by block ask the shards; kind 1: words, 2: pairs."""
-    for number, rows in groupby(rows_of(batches), lambda r: r["block"]):
-        rows = list(rows)
-        block = Block([r["text"] for r in rows], shards)
-        train = np.repeat([not r["held_out"] for r in rows], block.sizes)
+    for (number,), rows in runs(batches, "block"):
+        block = Block(rows["text"], shards)
+        train = np.repeat(~rows["held_out"].to_numpy(), block.sizes)
         out = [(number, shard, kind, k, c) for kind, keys in ((1, block.words), (2, block.pairs)) for shard, k, c in block.asked(keys, train)]
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays(
@@ -210,9 +231,10 @@ def ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBat
 
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The answers to rows sorted by shard and kind; the first of a shard's has its number of training tokens and of words."""
-    for (shard, kind), rows in groupby(rows_of(batches), lambda r: (r["shard"], r["kind"])):
-        rows = [(r["block"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint32)) for r in rows]
-        keys, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+    for (shard, kind), rows in runs(batches, "shard", "kind"):
+        of = lambda name, kind, rows=rows: [np.frombuffer(x.as_buffer(), kind) for x in rows[name]]
+        rows = list(zip(rows["block"].to_pylist(), of("keys", np.uint64), of("counts", np.uint32), strict=True))
+        keys, at = distinct_of(np.concatenate([r[1] for r in rows]))
         count = np.bincount(at, weights=np.concatenate([r[2] for r in rows])).astype(np.int64)
         salted = keys ^ np.uint64(WORD) if kind == 1 else keys
         levels = levels_of(count[count > 0])
@@ -241,23 +263,22 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def scored(batches: Iterator[pa.RecordBatch], shards: int, n: int, v: int) -> Iterator[pa.RecordBatch]:
     """The scores of blocks from their documents (kind 0) and answers, sorted by block, kind and shard."""
     norm = float(n + v + 1)
-    for _, rows in groupby(rows_of(batches), lambda r: r["block"]):
-        kinds: tuple[list, list, list] = ([], [], [])
-        for r in rows:
-            kinds[r["kind"]].append(r)
-        docs, words, pairs = kinds
-        block = Block([r["text"] for r in docs], shards)
-        exact = block.answered(block.words, np.frombuffer(b"".join(r["exact"] for r in words), np.int64))
-        single = count_of(block.answered(block.words, np.frombuffer(b"".join(r["levels"] for r in words), np.uint8)))
-        joint = count_of(block.answered(block.pairs, np.frombuffer(b"".join(r["levels"] for r in pairs), np.uint8)))
+    counts = count_of(np.arange(256))
+    for _, parts in groupby(runs(batches, "block", "kind"), lambda x: x[0][0]):
+        docs, words, pairs = (rows for _, rows in parts)
+        block = Block(docs["text"], shards)
+        whole = lambda rows, name, kind: np.frombuffer(b"".join(x.as_buffer() for x in rows[name]), kind)
+        exact = block.answered(block.words, whole(words, "exact", np.int64))
+        single = counts[block.answered(block.words, whole(words, "levels", np.uint8))]
+        joint = counts[block.answered(block.pairs, whole(pairs, "levels", np.uint8))]
         history = np.concatenate(([0.0], single[:-1]))
         # Every text ends with the end token, which also stands before its first word.
         history[block.heads] = single[block.heads + block.sizes - 1]
         joint[single == 0] = 0
         total = lambda x: np.add.reduceat(x, block.heads)
         columns = [
-            pa.array([r["doc_id"] for r in docs], pa.int64()),
-            pa.array([r["held_out"] for r in docs], pa.bool_()),
+            docs["doc_id"].combine_chunks(),
+            docs["held_out"].combine_chunks(),
             pa.array(block.sizes),
             pa.array(total((exact > 0).astype(np.int64))),
             pa.array(np.full(len(docs), n, dtype=np.int64)),

@@ -554,6 +554,60 @@ def test_lm_takes_rows_without_id(spark):
     assert len(rows) == 3 and sorted(r.held_out for r in rows if r.doc_id is None) == [False, False]
 
 
+def test_lm_blocks_cost_less_than_a_plain_count():
+    import time
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from curatrix.llm.lm_score import ask
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(100_000)])
+    texts = [" ".join(x) for x in words[(rng.random((400, 1000)) ** 3 * len(words)).astype(int)]]
+    rows = pa.record_batch({"block": pa.array([7] * 400, pa.int32()), "held_out": pa.array([k % 7 == 2 for k in range(400)]), "text": texts})
+    single, joint = Counter(), Counter()
+
+    def plain():
+        for t in texts:
+            ws = t.lower().split()
+            single.update(ws)
+            joint.update(zip(ws, ws[1:], strict=False))
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    # Where hash tables of NumPy found the distinct ones, it took one and a half times as long as this count; now a third.
+    assert min(seconds(lambda: list(ask(iter([rows]), 32))) for _ in range(3)) < 0.8 * min(seconds(plain) for _ in range(3))
+
+
+def test_lm_tokens_and_distinct_keys():
+    import pyarrow as pa
+    import xxhash
+
+    from curatrix.llm.lm_score import END, Filter, distinct_of, tokens
+
+    texts = ["", None, " \t ", " A b\tA\x0b\x0cq\r\n", "\u00c9 \u00e9\xa0x\x1cy \x00", "a"]
+    want = [[*map(xxhash.xxh64_intdigest, (t or "").encode().lower().split()), END] for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        hashes, at, sizes = tokens(pa.chunked_array([pa.array(texts[:2], kind), pa.array(texts[2:], kind)]))
+        assert hashes[at].tolist() == sum(want, []) and sizes.tolist() == [*map(len, want)]
+    rng = np.random.default_rng(6)
+    far, near = rng.integers(0, 50, 5000, dtype=np.uint64) << np.uint64(60), rng.integers(0, 300, 5000, dtype=np.uint64)
+    for keys in (far | near, near, rng.integers(0, 1 << 64, 5000, dtype=np.uint64), near[:1], near[:0]):
+        distinct, at = distinct_of(keys)
+        first, inverse = np.unique(keys, return_inverse=True)
+        assert np.array_equal(distinct, first) and np.array_equal(at, inverse)
+    levels = rng.integers(1, 9, 3000)
+    keys = rng.integers(0, 1 << 64, 6000, dtype=np.uint64)
+    model = Filter(int(levels.sum()))
+    model.enter(keys[:3000], levels)
+    found = model.level(keys)
+    assert np.all(found[:3000] >= levels) and np.mean(found[:3000] > levels) < 0.03 and np.mean(found[3000:] > 0) < 0.03
+
+
 def test_chat_and_warc_take_repeated_rows_and_clashing_columns(spark):
     from curatrix.llm import chat
     from curatrix.llm.warc import round_trip
