@@ -57,15 +57,22 @@ def tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of distinct words, the place there of each token, tokens of each text): the words of each text and the end."""
     import xxhash
 
-    lower = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts, "")), BLANKS)
-    none, blank = pa.scalar("", lower.type), pa.scalar(" ", lower.type)
-    # The blank behind a text makes an empty word, the end; an empty text is one already.
-    split = pc.ascii_split_whitespace(pc.if_else(pc.equal(lower, none), lower, pc.binary_join_element_wise(lower, none, blank)))
-    found = pc.list_flatten(split).dictionary_encode().combine_chunks()
+    none, blank = pa.scalar("", texts.type), pa.scalar(" ", texts.type)
+    split = []
+    for chunk in texts.chunks:  # one at a time, for memory
+        lower = pc.ascii_trim(pc.ascii_lower(pc.fill_null(chunk, none)), BLANKS)
+        # The blank behind a text makes an empty word, the end; an empty text is one already.
+        split.append(pc.ascii_split_whitespace(pc.if_else(pc.equal(lower, none), lower, pc.binary_join_element_wise(lower, none, blank))))
+    sizes = np.concatenate([pc.list_value_length(x).to_numpy() for x in split]).astype(np.int64)
+    found = pa.chunked_array([x.flatten() for x in split]).dictionary_encode().combine_chunks()
+    del split
     words = found.dictionary.cast(pa.large_binary())
     edges, data = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1).tolist(), words.buffers()[2].to_pybytes()
     hashes = np.fromiter((xxhash.xxh64_intdigest(data[i:j]) for i, j in zip(edges, edges[1:], strict=False)), np.uint64, len(words))
-    return hashes, found.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    at = found.indices.to_numpy().copy()
+    del found, words
+    pa.default_memory_pool().release_unused()
+    return hashes, at, sizes
 
 
 def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +80,8 @@ def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = np.uint64(max(len(keys) - 1, 0).bit_length())
     packed = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
     packed.sort()
-    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    packed &= (np.uint64(1) << bits) - np.uint64(1)
+    order = packed.view(np.int64)
     ranked = keys[order]
     wrong = ranked[1:] < ranked[:-1]
     if wrong.any():  # among keys that differ in the lowest bits only
@@ -83,8 +91,8 @@ def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ranked = keys[order]
     first = np.ones(len(keys), dtype=bool)
     first[1:] = ranked[1:] != ranked[:-1]
-    at = np.empty(len(keys), dtype=np.int64)
-    at[order] = np.cumsum(first) - 1
+    at = np.empty(len(keys), dtype=np.min_scalar_type(-len(keys)))
+    at[order] = np.cumsum(first, dtype=at.dtype) - 1
     return ranked[first], at
 
 
