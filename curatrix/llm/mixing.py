@@ -43,6 +43,13 @@ STEPS = 40
 TOLERANCE = 1e-9
 #: Passes that place single copies after the first rounding.
 PASSES = 3
+#: Rows of the table for each file of what is made of it: writing a file starts processes beside the executor (chmod).
+FILE_ROWS = 50_000
+
+
+def files_of(n: int) -> int:
+    """Files at most for what is made of ``n`` rows, whatever the number of shuffle partitions."""
+    return n // FILE_ROWS + 1
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -75,8 +82,8 @@ def rate_of(a: Column, x: Column, most: int) -> Column:
     return F.when(z > 0, most / (1 + (most - 1) * F.exp(-z))).otherwise(most * F.exp(z) / (most - 1 + F.exp(z)))
 
 
-def balanced(cells: DataFrame, goals: DataFrame, *, tilt: float, most: int, steps: int, tolerance: float) -> DataFrame:
-    """``goals`` with the multiplier ``a`` of each source; null where the source gives all it can."""
+def balanced(cells: DataFrame, goals: DataFrame, *, tilt: float, most: int, steps: int, tolerance: float, files: int) -> DataFrame:
+    """``goals`` with the multiplier ``a`` of each source; null where the source gives all it can. Each step writes ``files`` files at most."""
     x = F.pow(F.col("size") / F.col("mean"), F.lit(tilt))
     used = cells.filter("size > 0")
     ratio = F.col("target") / F.col("source_size")
@@ -103,7 +110,7 @@ def balanced(cells: DataFrame, goals: DataFrame, *, tilt: float, most: int, step
         inside = F.coalesce((step > F.col("lo")) & (step < F.col("hi")), F.lit(False))
         new = new.withColumn("a", F.when(F.col("off") <= tolerance, F.col("a")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2))
         old = folder
-        state, folder = written(new.select("source", "source_size", "mean", "target", "full", "lo", "hi", "a", "off"), "dual")
+        state, folder = written(new.select("source", "source_size", "mean", "target", "full", "lo", "hi", "a", "off").coalesce(files), "dual")
         remove(state.sparkSession, old)
         worst = state.agg(F.max("off")).first()[0] or 0.0
         if worst <= tolerance:
@@ -141,8 +148,9 @@ def mix(
     """(doc_id, h, source, size, source_size, target, rate, copies, taken) of every row of ``docs`` (doc_id, source, text)."""
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     rows = materialize(sized(docs).select("doc_id", key.alias("h"), "source", "size"), "sizes")
-    plain = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
-    duals = balanced(plain, targets(plain, most=most), tilt=tilt, most=most, steps=steps, tolerance=tolerance)
+    files = files_of(rows.count())
+    plain = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).coalesce(files), "cells")
+    duals = balanced(plain, targets(plain, most=most), tilt=tilt, most=most, steps=steps, tolerance=tolerance, files=files)
     # Large cells are split; their number of parts follows from n alone.
     parts = plain.select("source", "size", (F.floor(F.col("n") / cell_rows) + 1).alias("parts"))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))

@@ -42,10 +42,11 @@ def op6_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from curatrix.llm.mixing import mix
+    from curatrix.llm.mixing import files_of, mix
 
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    return out.repartition(files_of(docs.count()))
 
 
 @query

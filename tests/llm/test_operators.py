@@ -374,6 +374,29 @@ def test_mixing_targets_and_copies_match_their_definition(spark):
         mix(docs, steps=1)
 
 
+def test_mixing_writes_files_by_rows_not_by_shuffle_partitions(spark, tmp_path):
+    from urllib.parse import urlparse
+
+    from curatrix.llm.queries import QUERIES
+    from curatrix.sources.folders import shared_folder
+
+    top = os.path.dirname(urlparse(shared_folder(spark, "none")).path)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, before, got = {k: spark.conf.get(k) for k in held}, set(os.listdir(top)), {}
+    for name, conf in (("usual", old), ("many", held)):
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            QUERIES["op7_entropy_balance"](spark, SMALL).write.parquet(str(tmp_path / name))
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        got[name] = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / name)).select("doc_id", "size", "source_size", "taken", "copies").collect())
+    folders = [os.path.join(top, d) for d in set(os.listdir(top)) - before if d.startswith(("cells-", "dual-"))] + [str(tmp_path / "many")]
+    assert len(folders) == 5 and all(sum(f.startswith("part-") for f in os.listdir(d)) == 1 for d in folders)
+    assert got["many"] == got["usual"] and len(got["many"]) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
 def test_main_text_names_decide_nothing_on_articles_headings_and_inline_text():
     from curatrix.llm.html_main import text_of
 
